@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -99,7 +100,7 @@ def windows(first: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarr
 
 def pieces(texts: pa.Array, most: int = 4 << 20):
     """(start, stop) runs of rows of at most ``most`` bytes each, or one long row."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     at, size = 0, 0
     for i, n in enumerate(lengths):
         if size and size + n > most:
