@@ -1,0 +1,27 @@
+"""Connected components of a graph in a DataFrame, by least labels and pointer jumps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a long, b long) -> (node, label): the least node of its component, for every node of an edge.
+
+    A round gives each node the least label among its neighbours and its own, then the
+    label of that label.  Labels only fall, and the number of rounds follows the
+    logarithm of the longest chain.  Rounds are checkpointed, so that plans stay short and a
+    lost executor costs no more than a round.  A hub's edges are aggregated before they
+    meet, and where they are joined Spark may split them.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")).checkpoint()
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
+        jump = lower.select(F.col("node").alias("low"), F.col("low").alias("jump"))
+        new = lower.join(jump, "low").select("node", "old", F.least("low", "jump").alias("label")).checkpoint()
+        labels = new.select("node", "label")
+        if new.filter("label <> old").isEmpty():
+            return labels

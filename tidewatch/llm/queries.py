@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship
-from . import bpe, mixing, substring
+from . import bpe, mixing, near, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +38,16 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op2_bpe": op2_bpe,
         "op6_mixing": op6_mixing,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
