@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship
-from . import bpe, mixing, near, substring, topk
+from . import bpe, flac, htmltext, langid, lmscore, mixing, near, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), carry=["doc_id"])
+    return rows.select("row.doc_id", (~langid.in_training(F.col("row.doc_id"))).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     return rows.select(
@@ -29,6 +34,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages")).select("row.page_id", "row.url", "text", "n_chars")
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -37,6 +46,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lmscore.score(_table(spark, sf_dir, "documents"), targets)
+
+
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flac.store_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "row.doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -48,9 +71,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_language": op1_language,
         "op2_bpe": op2_bpe,
+        "op4_html_text": op4_html_text,
         "op5_topk": op5_topk,
         "op6_mixing": op6_mixing,
+        "op7_lm_score": op7_lm_score,
+        "op8_flac": op8_flac,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_near_duplicates": op10_near_duplicates,
     }
