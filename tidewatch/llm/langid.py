@@ -38,7 +38,7 @@ ORDER = 5
 #: Labelled texts of a language that the models are fitted to, and the part that calibrates.
 SAMPLE, HELD_BACK = 300, 5
 #: Standard deviations, and nats, by which a text may exceed its language's usual cross-entropy.
-DEVIATIONS, MARGIN = 6.0, 0.35
+DEVIATIONS, MARGIN = 6.0, 1.6
 START, END = "\x02", "\x03"
 #: Characters that the floor of the models counts with.
 ALPHABET = 1000

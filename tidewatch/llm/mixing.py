@@ -129,9 +129,9 @@ def mix(
     block_words: int = 1024,
     most_blocks: int = 1 << 17,
     seed: int = 20250101,
-    carry: Sequence[str] = (),
+    keep: bool = False,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken, shard, place (and the ``carry`` columns) of every row.
+    """doc_id, size, source_size, target, taken, shard and place of every row; with ``keep`` also the row, a struct.
 
     A source with target t and size s is passed floor(t / s) times in full; the
     words left over are the first ones of its permuted stream, so at most one
@@ -140,7 +140,7 @@ def mix(
     ``shard`` owns the block in which the document's first pass begins (null when it takes
     nothing); ``place`` is its random order inside the shard.
     """
-    carried = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"), *carried).withColumn(
         "grp", F.pmod(F.col("key"), F.lit(GROUPS))
@@ -176,25 +176,28 @@ def mix(
         "doc_id", "size", "source_size", "target", "taken",
         F.when(F.col("taken") > 0, owner).alias("shard"),
         F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("place"),
-        *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)],
+        *(["row"] if keep else []),
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows with the columns of ``docs``: a document once for each full pass that takes it,
     and the document on the edge of its source's quota cut after the words taken."""
-    columns = docs.columns
-    taken = mix(docs, carry=columns, **options).drop("doc_id") if "doc_id" in columns else mix(docs, carry=columns, **options)
-    names = [f"c_{i}" for i in range(len(columns))]
-    extra = len(taken.columns) - len(columns)
-    taken = taken.toDF(*taken.columns[:extra], *names)
-    text = names[columns.index("text")]
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.when(F.col("size") > 0, F.col("size")))).otherwise(0).cast("int")
+    taken = mix(docs, keep=True, **options)
+    some = F.when(F.col("size") > 0, F.col("size"))
+    whole = F.coalesce(F.floor(F.col("taken") / some), F.lit(0)).cast("int")
     part = (F.col("taken") - F.col("size") * whole).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), 1), 1, F.greatest(F.col("words"), F.lit(1))), " ")
-    rows = taken.withColumn("words", F.explode(copies)).withColumn(text, F.when(F.col("words") > 0, head).otherwise(F.col(text)))
-    rows = rows.select(*[F.col(n).alias(c) for n, c in zip(names, columns, strict=True)])
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return rows
+    rows = taken.withColumn("words", F.explode(copies))
+    cut = F.col("words") > 0
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest(F.col("words"), F.lit(1))), " ")
+    text = F.when(cut, head).otherwise(F.col("row.text"))
+    columns = []
+    for c in docs.columns:
+        value = F.col("row").getField(c)
+        if c == "text":
+            value = text
+        elif c == "n_chars":
+            value = F.when(cut, F.length(head).cast(docs.schema[c].dataType)).otherwise(value)
+        columns.append(value.alias(c))
+    return rows.select(*columns)

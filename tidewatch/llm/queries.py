@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship
-from . import bpe, flac, htmltext, langid, lmscore, mixing, near, substring, topk
+from . import bpe, flac, htmltext, langid, lmscore, mixing, near, substring, tokencounts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.section_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages")).select("row.page_id", "row.url", "text", "n_chars")
 
@@ -73,6 +77,7 @@ def queries() -> dict:
     return {
         "op1_language": op1_language,
         "op2_bpe": op2_bpe,
+        "op3_token_counts": op3_token_counts,
         "op4_html_text": op4_html_text,
         "op5_topk": op5_topk,
         "op6_mixing": op6_mixing,
