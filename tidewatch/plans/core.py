@@ -264,7 +264,7 @@ def _(v: Views):
 
 @query(
     "t2_keyset_page",
-    "SELECT id, created_at, row_number() OVER (ORDER BY created_at DESC, id DESC) <= 20 AS on_page FROM signals WHERE (created_at, id) < (SELECT created_at, id FROM signals WHERE id = 500) ORDER BY created_at DESC, id DESC LIMIT 21",
+    "SELECT s.id, s.created_at, row_number() OVER (ORDER BY s.created_at DESC, s.id DESC) <= 20 AS on_page FROM signals s, (SELECT created_at AS c, id AS i FROM signals WHERE id = 500) WHERE (s.created_at, s.id) < (c, i) ORDER BY created_at DESC, id DESC LIMIT 21",
     S,
 )
 def _(v: Views):
@@ -342,7 +342,7 @@ def _(v: Views):
     return v.signals.groupBy("source_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"))
 
 
-@query("w17_decay_ranking", f"SELECT id, round((CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.7 WHEN 'medium' THEN 0.4 WHEN 'low' THEN 0.15 ELSE 0.05 END + 0.1 * source_count) * power(0.5, date_diff('second', created_at, {NOW}) / 3600.0 / 4), 6) AS score FROM signals WHERE created_at > {NOW} - INTERVAL 48 HOURS ORDER BY score DESC, id LIMIT 50", S)
+@query("w17_decay_ranking", f"SELECT id, round((CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.7 WHEN 'medium' THEN 0.4 WHEN 'low' THEN 0.15 ELSE 0.05 END + 0.1 * source_count) * power(0.5, date_sub('second', created_at, {NOW}) / 3600.0 / 4), 6) AS score FROM signals WHERE created_at > {NOW} - INTERVAL 48 HOURS ORDER BY score DESC, id LIMIT 50", S)
 def _(v: Views):
     return B.decay_ranked(B.within_hours(v.signals, v.as_of, 48), v.as_of, half_life=4).orderBy(F.desc("score"), "id").limit(50).select("id", "score")
 
