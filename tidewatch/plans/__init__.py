@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-for _name in ("core", "scoring", "indices", "joins"):
+for _name in ("core", "scoring", "indices", "joins", "graph"):
     import_module(f"{__name__}.{_name}")
 
 
