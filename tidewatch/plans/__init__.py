@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-for _name in ("core", "scoring", "indices", "joins", "graph", "texts", "streams"):
+for _name in ("core", "scoring", "indices", "joins", "graph", "texts", "streams", "exports"):
     import_module(f"{__name__}.{_name}")
 
 
