@@ -111,11 +111,14 @@ class Models:
 
     def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique())
+        self.limits = np.full(len(self.langs), np.inf)
+        self.floor = -np.log(ALPHABET)
+        if not self.langs:
+            return
         levels = {lang: _levels(part.set_index("gram")["n"]) for lang, part in counts.groupby("lang")}
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []  # a pair of hashes and rows for each order
         self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
         lower: pd.DataFrame | None = None
-        self.floor = -np.log(ALPHABET)
         for n in range(ORDER):
             weights = pd.DataFrame({lang: levels[lang][n][1] for lang in self.langs}).fillna(0.0)
             p = pd.DataFrame({lang: levels[lang][n][0] for lang in self.langs})
@@ -124,7 +127,6 @@ class Models:
             lower = p.where(p.notna(), np.nan_to_num(context) + below)
             self.grams.append(self._sorted(lower))
             self.contexts.append(self._sorted(weights))
-        self.limits = np.full(len(self.langs), np.inf)
 
     @staticmethod
     def _sorted(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:

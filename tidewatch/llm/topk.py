@@ -68,11 +68,10 @@ def _scores(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(shard).max(initial=0)) * queries.shape[1]
     if most < 2.0**53:
         return (queries @ shard.T).astype(np.int64)
-    exact = queries.astype(object).astype(int) if most >= 2.0**63 else queries.astype(np.int64)
     if most < 2.0**63:
-        return exact @ shard.astype(np.int64).T
+        return queries.astype(np.int64) @ shard.astype(np.int64).T
     whole = np.array([[int(x) for x in row] for row in queries], dtype=object) @ np.array([[int(x) for x in row] for row in shard], dtype=object).T
-    return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(whole, -(2**63) + 2, 2**63 - 1).astype(np.int64)  # beyond 64 bits the score stays at the bound
 
 
 def _best(k: int):
