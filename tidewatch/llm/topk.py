@@ -8,7 +8,8 @@ that no task gets all lists of a query.  A stated query set meets all rows, in b
 Defined cases: a vector that is null or holds a null or non-finite component takes no
 part, as query or candidate; vectors are compared only with vectors of their length; a
 vector is not its own candidate (rows with its id are left out); ties go to the smaller
-id; repeated rows count once; a query with fewer than k candidates gets all of them; an empty table gives no rows;
+id; a repeated row is a candidate as often as it is there, and rows that share a query's id
+are one query (the least vector); a query with fewer than k candidates gets all of them; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -109,13 +110,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 102
     pairs = vectors.select("vec_id", "embedding")
     schema = "dim int, ids binary, data binary"
     shards = pairs.filter("vec_id is not null and embedding is not null").mapInArrow(_tiles(scale, tile), schema)
-    queries = pairs.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & is_query).mapInArrow(_tiles(scale, tile), schema)
+    queries = pairs.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & is_query)
+    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(_tiles(scale, tile), schema)
     queries = queries.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     # a candidate tile goes to one slot, a query tile to all of them: 1 % of the rows, slots times
     shards = shards.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(slots)))
     queries = queries.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     met = shards.join(queries, (F.col("dim") == F.col("q_dim")) & (F.col("part") == F.col("q_part")))
-    lists = met.select("dim", "ids", "data", "q_ids", "q_data", "part").mapInArrow(_best(k), "query_id long, vec_id long, score long, part long").distinct()
+    lists = met.select("dim", "ids", "data", "q_ids", "q_data", "part").mapInArrow(_best(k), "query_id long, vec_id long, score long, part long")
     order = [F.desc("score"), F.asc("vec_id")]
     some = lists.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).filter(F.col("r") <= k)
     best = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
