@@ -13,10 +13,10 @@ def connect(folder):
 
 
 def plain(x):
-    if x is None or x != x:
-        return None
     if hasattr(x, "tolist"):
         x = x.tolist()
+    if x is None or isinstance(x, float) and x != x:
+        return None
     if isinstance(x, (list, tuple)):
         return [plain(v) for v in x]
     if isinstance(x, float):

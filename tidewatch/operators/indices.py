@@ -9,7 +9,8 @@ from ..functions import ranks as R
 from ..functions import scores as C
 from .basic import top_n
 
-_ALL = Window.partitionBy()
+def _all():
+    return Window.partitionBy()
 
 
 def _recent(as_of: Column, hours: float) -> Column:
@@ -18,7 +19,7 @@ def _recent(as_of: Column, hours: float) -> Column:
 
 def min_max(df: DataFrame, column: str) -> DataFrame:
     """``scaled``: the column between the least and the greatest of the result."""
-    low, high = F.min(column).over(_ALL), F.max(column).over(_ALL)
+    low, high = F.min(column).over(_all()), F.max(column).over(_all())
     return df.withColumn("scaled", (F.col(column) - low) / F.coalesce(F.nullif((high - low).cast("double"), F.lit(0.0)), F.lit(1.0)))
 
 
@@ -216,7 +217,7 @@ def anomalies(daily_counts: DataFrame, days: int, least: int, z: float) -> DataF
 
 def region_hotspots(df: DataFrame, z: float, limit: int) -> DataFrame:
     c = df.groupBy("country_code").agg(F.count("*").alias("n"), F.avg(R.by_severity(R.RANK_5)).alias("severity"))
-    score = (F.col("n") - F.avg("n").over(_ALL)) / F.coalesce(F.nullif(F.stddev_pop("n").over(_ALL), F.lit(0.0)), F.lit(1.0))
+    score = (F.col("n") - F.avg("n").over(_all())) / F.coalesce(F.nullif(F.stddev_pop("n").over(_all()), F.lit(0.0)), F.lit(1.0))
     hot = c.withColumn("z", score).filter(F.col("z") >= z)
     return hot.select("country_code", "n", F.round("severity", 6).alias("severity"), F.round("z", 6).alias("z")).orderBy(F.desc("z"), "country_code").limit(limit)
 

@@ -101,7 +101,7 @@ def diverse(df: DataFrame, key: str, order: str, most: int, in_a_row: int, limit
                 break
         return pd.DataFrame(out, columns=["id", key])
 
-    return df.groupBy(F.lit(1)).applyInPandas(run, f"id long, {key} string")
+    return df.withColumn("page", F.lit(0)).groupBy("page").applyInPandas(run, f"id long, {key} string")
 
 
 def greedy_clusters(df: DataFrame, keys: list[str], least: int) -> DataFrame:
