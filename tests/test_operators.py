@@ -110,3 +110,11 @@ def test_components_of_a_chain_a_star_and_a_loop(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in range(100, 120)) and 200 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_parameters_are_clamped():
+    from tidewatch.functions import params as P
+
+    assert [P.whole(x, 50, 1, 200) for x in ("7", 0, "9999", "x", None, " 12 ")] == [7, 1, 200, 50, 50, 12]
+    assert P.one_of("HIGH", ["high", "low"], "low") == "high" and P.one_of(None, ["a"], "a") == "a"
+    assert P.box("-10,0,10,5") == (-10.0, 0.0, 10.0, 5.0) and P.box("10,0,-10,5") is None and P.box("a,b") is None and P.box(None) is None

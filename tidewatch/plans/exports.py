@@ -58,6 +58,18 @@ def _(v: Views):
     return P.feed_items(feeds)
 
 
+@query("x1_due_sources", "SELECT source_id, max(created_at) AS last_at FROM signals GROUP BY source_id HAVING max(created_at) + INTERVAL 45 MINUTES <= TIMESTAMP '2024-01-31 00:00:00'", S)
+def _(v: Views):
+    seen = v.signals.groupBy("source_id").agg(F.max("created_at").alias("last_at")).withColumn("tier", F.lit("wire"))
+    return B.due_sources(seen, v.as_of, 45).select("source_id", "last_at")
+
+
+@query("x8_distress", "SELECT event_id FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 16 AS status FROM events) WHERE status IN (7, 14)")
+def _(v: Views):
+    frames = v.table("events").select("event_id", (F.get_json_object("props", "$.k").cast("int") % 16).alias("status"))
+    return In.distress(frames).select("event_id")
+
+
 @query("x12_backlog", "SELECT title, count(*) AS n, min(id) AS first_id FROM signals WHERE status = 'pending' GROUP BY title", S)
 def _(v: Views):
     return v.signals.filter("status = 'pending'").groupBy("title").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))

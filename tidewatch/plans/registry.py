@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..bind import Views, with_views
+from ..session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +18,7 @@ def query(name: str, sql: str | None = None, *views: str):
 
     def register(build: Callable[[Views], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(Views(spark, folder))
+            return build(Views(ship(spark), folder))
 
         run.__name__, run.__doc__ = name, build.__doc__
         QUERIES[name] = run
