@@ -111,7 +111,7 @@ def capped_severity(severity: Column, sources: Column, category: Column) -> Colu
 
 def alert_tier(severity: Column, reliability_: Column, category: Column) -> Column:
     critical = severity == "critical"
-    raised = category.isin("conflict", "disaster", "health", "security", "breaking")
+    raised = category.isin("breaking", "conflict", "disaster")
     return F.when(critical & ((reliability_ >= 0.65) | (category == "breaking")), "FLASH").when(critical | (severity == "high") | raised, "PRIORITY").otherwise("ROUTINE")
 
 
@@ -123,7 +123,8 @@ def corroboration_boost(sources: Column, categories: Column, severity: Column) -
 
 
 def virality(sources: Column, age_hours: Column) -> Column:
-    return F.when(sources >= 8, "viral").when((sources >= 3) & (age_hours < 4), "spreading").when(sources >= 2, "multi").otherwise("single")
+    """Null below three sources."""
+    return F.when(sources >= 8, "viral").when((sources >= 3) & (age_hours < 4), "spreading").when(sources >= 3, "multi_source")
 
 
 def escalation(current: Column, previous: Column, weighted: Column) -> Column:

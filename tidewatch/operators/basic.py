@@ -68,14 +68,16 @@ def category_filter(category: str) -> Column:
 
 
 def quality_gate() -> Column:
-    """The tiered editorial gate: the less severe, the more support a signal needs."""
+    """The tiered editorial gate: a signal with few sources needs a higher reliability and a strategic category."""
     s, r, n, c = (F.col(x) for x in ("severity", "reliability", "source_count", "category"))
-    return (
-        ((s == "critical") & ((r >= 0.4) | (n >= 2)))
-        | ((s == "high") & (r >= 0.5))
-        | ((s == "medium") & (((r >= 0.6) & (n >= 2)) | (c.isin("disaster", "conflict") & (r >= 0.55))))
-        | ((s == "low") & (r >= 0.75) & (n >= 3))
+    tiers = (
+        ((s == "critical") & (r >= 0.55) & (n >= 3))
+        | ((s == "critical") & (r >= 0.70) & c.isin("disaster", "health", "security", "conflict"))
+        | ((s == "high") & (r >= 0.55) & (n >= 2))
+        | ((s == "high") & (r >= 0.70) & c.isin("conflict", "geopolitics", "security", "disaster", "health", "breaking"))
+        | ((s == "medium") & (r >= 0.75) & c.isin("conflict", "geopolitics", "security", "disaster", "health", "economy", "elections"))
     )
+    return tiers & ~c.isin("culture", "sports", "other")
 
 
 def emit_guard(change: Column, by_category: dict[str, float], default: float) -> Column:

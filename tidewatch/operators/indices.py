@@ -87,12 +87,22 @@ def convergence(df: DataFrame, degrees: float, least: int) -> DataFrame:
 
 
 def topic_groups(df: DataFrame) -> DataFrame:
-    """Reports of one topic with an initial reliability: their number, trust, authority and diversity."""
+    """Reports of one topic with an initial reliability: their number, their sources' trust by tier, authority and diversity.
+
+    A source's tier follows from its number, as the bindings have none.
+    """
+    number = F.substring("source_id", 2, 9).cast("int") % 3
+    tier = F.when(number == 0, "wire").when(number == 1, "institutional").otherwise("regional")
+    weight = F.when(number == 0, 1.5).when(number == 1, 1.3).otherwise(1.0)
     g = df.groupBy("title").agg(
-        F.count("*").alias("n"), F.countDistinct("source_id").alias("sources"), F.avg("reliability").alias("trust"), F.max("reliability").alias("best"), F.countDistinct("region").alias("regions")
-    )
-    initial = 0.30 * F.least(F.col("n") / 5, F.lit(1.0)) + 0.30 * F.col("trust") + 0.25 * F.col("best") + 0.15 * F.least(F.col("regions") / 3, F.lit(1.0))
-    return g.select("title", "n", "sources", F.round(initial, 4).alias("initial"))
+        F.count("*").alias("n"), F.countDistinct("source_id").alias("sources"), (F.sum(F.col("reliability") * weight) / F.sum(weight)).alias("trust"), F.collect_set(tier).alias("tiers"),
+        F.max("reliability").alias("best"),
+    )
+    has = lambda name: F.array_contains("tiers", name)
+    authority = F.when(has("wire"), 0.25).when(has("institutional"), 0.20).when(F.col("best") >= 0.8, 0.12).otherwise(0.05)
+    diversity = F.when(F.size("tiers") >= 3, 0.15).when(F.size("tiers") >= 2, 0.10).otherwise(0.03)
+    initial = 0.30 * F.least(F.col("n") / 3, F.lit(1.0)) + 0.30 * F.col("trust") + authority + diversity
+    return g.select("title", "n", "sources", F.round(F.least(F.lit(1.0), initial), 4).alias("initial"))
 
 
 def verification(df: DataFrame) -> DataFrame:
@@ -101,9 +111,10 @@ def verification(df: DataFrame) -> DataFrame:
         F.countDistinct("source_id").alias("sources"), F.avg("reliability").alias("trust"), F.max(R.by_severity(R.RANK_4)).alias("worst"), F.countDistinct("region").alias("regions")
     )
     score = 0.35 * F.least(F.col("sources") / 3, F.lit(1.0)) + 0.35 * F.col("trust") + 0.15 * (F.col("sources") >= 2).cast("int") + 0.15 * F.least(F.col("regions") / 2, F.lit(1.0))
-    bar = F.when(F.col("worst") == 4, 0.80).when(F.col("worst") == 3, 0.70).otherwise(0.60)
+    bar = F.when(F.col("worst") == 4, 0.80).when(F.col("worst") == 3, 0.75).otherwise(0.70)
+    floor = F.when(F.col("worst") == 4, 0.20).when(F.col("worst") == 3, 0.25).otherwise(0.30)
     g = g.withColumn("score", score)
-    return g.select("country_code", "category", F.round("score", 4).alias("score"), F.when(F.col("score") >= bar, "verified").when(F.col("score") >= 0.40, "pending").otherwise("disputed").alias("status"))
+    return g.select("country_code", "category", F.round("score", 4).alias("score"), F.when(F.col("score") >= bar, "verified").when(F.col("score") >= floor, "pending").otherwise("disputed").alias("status"))
 
 
 def summary_parts(df: DataFrame, parts: dict[str, tuple[str, int | None]]) -> DataFrame:
@@ -123,10 +134,15 @@ def weighted_mean(df: DataFrame, key: str, value: str, weight: Column, name: str
 
 
 def source_reputation(df: DataFrame, least: int = 3) -> DataFrame:
+    """A source's reliability, adjusted from ten signals on: disputes and a lack of corroboration cost, corroboration pays a little."""
     b = df.groupBy("source_id").agg(
-        F.count("*").alias("n"), F.avg("reliability").alias("rel"), F.count_if(F.col("status") == "disputed").alias("disputed"), F.count_if(F.col("source_count") >= 2).alias("corroborated")
+        F.count("*").alias("n"), F.avg("reliability").alias("rel"), F.avg((F.col("status") == "disputed").cast("int")).alias("d"), F.avg((F.col("source_count") >= 2).cast("int")).alias("c")
     ).filter(F.col("n") >= least)
-    score = F.col("rel") - 0.3 * F.col("disputed") / F.col("n") + 0.1 * F.col("corroborated") / F.col("n")
+    d, c = F.col("d"), F.col("c")
+    disputes = F.when(d > 0.15, F.greatest(F.lit(-0.15), -(d - 0.15) * 0.5)).otherwise(0.0)
+    alone = F.when((c < 0.05) & (F.col("n") >= 20), F.greatest(F.lit(-0.15), disputes - 0.03)).otherwise(disputes)
+    total = F.when(c > 0.30, F.least(F.lit(0.05), alone + F.least(F.lit(0.05), (c - 0.30) * 0.1))).otherwise(alone)
+    score = F.col("rel") + F.when(F.col("n") >= 10, total).otherwise(0.0)
     return b.select("source_id", "n", F.round(R.clamp(score, 0.05, 0.99), 4).alias("reputation"))
 
 
@@ -143,8 +159,8 @@ def quality_composite(df: DataFrame) -> DataFrame:
 def implicit_interests(df: DataFrame, as_of: Column, active: int) -> DataFrame:
     c = df.groupBy("user_id", "category").agg(F.count("*").alias("n"), _recent(as_of, 168).alias("recent"))
     own = Window.partitionBy("user_id")
-    w = c.withColumn("total", F.sum("n").over(own)).withColumn("w", F.col("n") + 2 * F.col("recent"))
-    return w.withColumn("weight", F.round(F.col("w") / F.max("w").over(own), 6)).filter(F.col("total") >= active).select("user_id", "category", "weight")
+    w = c.withColumn("total", F.sum("n").over(own)).withColumn("w", F.col("n") + F.col("recent"))  # recent ones count twice
+    return w.withColumn("weight", F.round(F.col("w") / F.max("w").over(own), 3)).filter(F.col("total") >= active).select("user_id", "category", "weight")
 
 
 def latency_percentiles(df: DataFrame, last: int) -> DataFrame:

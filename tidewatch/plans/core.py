@@ -79,10 +79,10 @@ def _(v: Views):
     return v.signals.filter(B.category_filter("breaking")).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-F12_SQL = """SELECT id FROM signals WHERE
-    (severity = 'critical' AND (reliability >= 0.4 OR source_count >= 2)) OR (severity = 'high' AND reliability >= 0.5)
-    OR (severity = 'medium' AND (reliability >= 0.6 AND source_count >= 2 OR category IN ('disaster', 'conflict') AND reliability >= 0.55))
-    OR (severity = 'low' AND reliability >= 0.75 AND source_count >= 3)"""
+F12_SQL = """SELECT id FROM signals WHERE category NOT IN ('culture', 'sports', 'other') AND (
+    severity = 'critical' AND reliability >= 0.55 AND source_count >= 3 OR severity = 'critical' AND reliability >= 0.70 AND category IN ('disaster', 'health', 'security', 'conflict')
+    OR severity = 'high' AND reliability >= 0.55 AND source_count >= 2 OR severity = 'high' AND reliability >= 0.70 AND category IN ('conflict', 'security', 'disaster', 'health')
+    OR severity = 'medium' AND reliability >= 0.75 AND category IN ('conflict', 'security', 'disaster', 'health', 'economy'))"""
 
 
 @query("f12_quality_gate", F12_SQL, S)

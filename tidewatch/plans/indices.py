@@ -104,18 +104,21 @@ def _(v: Views):
 
 @query(
     "a14_topic_groups",
-    "g AS (SELECT title, count(*) AS n, count(DISTINCT source_id) AS sources, avg(reliability) AS trust, max(reliability) AS best, count(DISTINCT region) AS regions FROM signals GROUP BY title) SELECT title, n, sources, round(0.30 * least(n / 5.0, 1.0) + 0.30 * trust + 0.25 * best + 0.15 * least(regions / 3.0, 1.0), 4) AS initial FROM g WHERE sources >= 2",
+    """t AS (SELECT title, source_id, reliability, CAST(substr(source_id, 2) AS INT) % 3 AS m FROM signals),
+    g AS (SELECT title, count(*) AS n, count(DISTINCT source_id) AS sources, sum(reliability * CASE m WHEN 0 THEN 1.5 WHEN 1 THEN 1.3 ELSE 1.0 END::DOUBLE) / sum(CASE m WHEN 0 THEN 1.5 WHEN 1 THEN 1.3 ELSE 1.0 END::DOUBLE) AS trust,
+        min(m) AS top, count(DISTINCT m) AS tiers, max(reliability) AS best FROM t GROUP BY title)
+    SELECT title, n, sources, round(least(1.0, 0.30 * least(n / 3.0::DOUBLE, 1.0) + 0.30 * trust + CASE WHEN top = 0 THEN 0.25 WHEN top = 1 THEN 0.20 WHEN best >= 0.8 THEN 0.12 ELSE 0.05 END::DOUBLE + CASE WHEN tiers >= 3 THEN 0.15 WHEN tiers >= 2 THEN 0.10 ELSE 0.03 END::DOUBLE), 4) AS initial FROM g WHERE n >= 3""",
     S,
 )
 def _(v: Views):
-    return I.topic_groups(v.signals).filter("sources >= 2")
+    return I.topic_groups(v.signals).filter("n >= 3")
 
 
 @query(
     "a15_verification",
     f"""c AS (SELECT country_code, category, count(DISTINCT source_id) AS sources, avg(reliability) AS trust, max({RANK4}) AS worst, count(DISTINCT region) AS regions FROM signals WHERE created_at > {NOW} - INTERVAL 48 HOURS GROUP BY 1, 2),
     s AS (SELECT *, 0.35 * least(sources / 3.0, 1.0) + 0.35 * trust + 0.15 * CASE WHEN sources >= 2 THEN 1 ELSE 0 END + 0.15 * least(regions / 2.0, 1.0) AS score FROM c)
-    SELECT country_code, category, round(score, 4) AS score, CASE WHEN score >= CASE worst WHEN 4 THEN 0.80 WHEN 3 THEN 0.70 ELSE 0.60 END THEN 'verified' WHEN score >= 0.40 THEN 'pending' ELSE 'disputed' END AS status FROM s""",
+    SELECT country_code, category, round(score, 4) AS score, CASE WHEN score >= CASE worst WHEN 4 THEN 0.80 WHEN 3 THEN 0.75 ELSE 0.70 END THEN 'verified' WHEN score >= CASE worst WHEN 4 THEN 0.20 WHEN 3 THEN 0.25 ELSE 0.30 END THEN 'pending' ELSE 'disputed' END AS status FROM s""",
     S,
 )
 def _(v: Views):
@@ -184,8 +187,10 @@ def _(v: Views):
 
 @query(
     "a29_source_reputation",
-    f"""b AS (SELECT source_id, count(*) AS n, avg(reliability) AS rel, count(*) FILTER (status = 'disputed') AS disputed, count(*) FILTER (source_count >= 2) AS corroborated FROM signals WHERE created_at > {NOW} - INTERVAL 30 DAYS GROUP BY source_id HAVING count(*) >= 3)
-    SELECT source_id, n, round(least(0.99, greatest(0.05, rel - 0.3 * disputed / n::DOUBLE + 0.1 * corroborated / n::DOUBLE)), 4) AS reputation FROM b""",
+    f"""b AS (SELECT source_id, count(*) AS n, avg(reliability) AS rel, count(*) FILTER (status = 'disputed') / count(*)::DOUBLE AS d, count(*) FILTER (source_count >= 2) / count(*)::DOUBLE AS c FROM signals WHERE created_at > {NOW} - INTERVAL 30 DAYS GROUP BY source_id HAVING count(*) >= 3),
+    x AS (SELECT *, CASE WHEN d > 0.15 THEN greatest(-0.15, -(d - 0.15) * 0.5) ELSE 0 END AS a1 FROM b), y AS (SELECT *, CASE WHEN c < 0.05 AND n >= 20 THEN greatest(-0.15, a1 - 0.03) ELSE a1 END AS a2 FROM x),
+    z AS (SELECT *, CASE WHEN c > 0.30 THEN least(0.05, a2 + least(0.05, (c - 0.30) * 0.1)) ELSE a2 END AS a3 FROM y)
+    SELECT source_id, n, round(least(0.99, greatest(0.05, rel + CASE WHEN n >= 10 THEN a3 ELSE 0 END)), 4)::DOUBLE AS reputation FROM z""",
     S,
 )
 def _(v: Views):
@@ -203,8 +208,8 @@ def _(v: Views):
 
 @query(
     "a31_implicit_interests",
-    f"""c AS (SELECT user_id, category, count(*) AS n, count(*) FILTER (created_at > {NOW} - INTERVAL 7 DAYS) AS recent FROM signals GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY user_id) AS total, n + 2 * recent AS w FROM c)
-    SELECT user_id, category, round(w / max(w) OVER (PARTITION BY user_id)::DOUBLE, 6) AS weight FROM t WHERE total >= 50""",
+    f"""c AS (SELECT user_id, category, count(*) AS n, count(*) FILTER (created_at > {NOW} - INTERVAL 7 DAYS) AS recent FROM signals GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY user_id) AS total, n + recent AS w FROM c)
+    SELECT user_id, category, round(w / max(w) OVER (PARTITION BY user_id)::DOUBLE, 3) AS weight FROM t WHERE total >= 50""",
     S,
 )
 def _(v: Views):

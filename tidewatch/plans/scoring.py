@@ -58,7 +58,7 @@ def _(v: Views):
     return v.signals.select("id", C.capped_severity(F.col("severity"), F.col("source_count"), F.col("category")).alias("severity"))
 
 
-TIER = "CASE WHEN severity = 'critical' AND (reliability >= 0.65 OR category = 'breaking') THEN 'FLASH' WHEN severity IN ('critical', 'high') OR category IN ('conflict', 'disaster', 'health', 'security', 'breaking') THEN 'PRIORITY' ELSE 'ROUTINE' END"
+TIER = "CASE WHEN severity = 'critical' AND (reliability >= 0.65 OR category = 'breaking') THEN 'FLASH' WHEN severity IN ('critical', 'high') OR category IN ('breaking', 'conflict', 'disaster') THEN 'PRIORITY' ELSE 'ROUTINE' END"
 
 
 @query("s17_alert_tier", f"SELECT {TIER} AS tier, count(*) AS n, min(id) AS first_id FROM signals GROUP BY 1", S)
@@ -83,7 +83,7 @@ def _(v: Views):
     return boosted.select("country_code", "sources", F.round("boost", 6).alias("boost"), F.round(F.least(F.col("rel") + F.col("boost"), F.lit(1.0)), 6).alias("reliability"), (F.col("rel") + F.col("boost") >= 0.65).alias("promoted"))
 
 
-@query("s19_virality", f"SELECT id, CASE WHEN k % 10 >= 8 THEN 'viral' WHEN k % 10 >= 3 AND {AGE} < 4 THEN 'spreading' WHEN k % 10 >= 2 THEN 'multi' ELSE 'single' END AS virality FROM signals", S)
+@query("s19_virality", f"SELECT id, CASE WHEN k % 10 >= 8 THEN 'viral' WHEN k % 10 >= 3 AND {AGE} < 4 THEN 'spreading' WHEN k % 10 >= 3 THEN 'multi_source' END AS virality FROM signals", S)
 def _(v: Views):
     return v.signals.select("id", C.virality(F.col("k") % 10, age(v)).alias("virality"))
 
@@ -105,33 +105,43 @@ def _(v: Views):
     return v.signals.select("id", C.band(F.col("value")).alias("band"))
 
 
-#: Numeric severity ladders of feeds: bounds for critical, high, medium and low; fixed values.
+#: Numeric severity ladders of feeds: the least values that are critical, high and medium (None: never); fixed values.
 LADDERS = {
-    "seismic": (7.0, 6.0, 5.0, 4.5), "vix": (40, 30, 25, 20), "change": (7, 5, 3, 1), "fire_power": (500, 200, 100, 50), "outage_score": (90, 70, 50, 30),
-    "radiation": (1000, 500, 200, 100), "fatalities": (50, 10, 3, 1), "displaced": (100000, 10000, 1000, 100), "customers_out": (1000000, 100000, 10000, 1000),
+    "seismic": (7.0, 6.0, 5.0), "vix": (40, 30, 25), "index_change": (6, 4, 2), "crypto_change": (None, 20, 10), "commodity_change": (None, 10, 5),
+    "fire_power": (1000, 400, 100), "internet_outage": (500, 100, 30), "radiation": (1000, 350, 100), "customers_out": (500_000, 100_000, 25_000), "jamming_share": (None, 0.9, 0.7),
+    "negative_goldstein": (7, 4, 0),
 }
+_never = 1e300
 
 
 @query(
     "s39_severity_ladders",
-    "f(feed, a, b, c, d) AS (VALUES " + ", ".join(f"('{k}', {float(a)}, {float(b)}, {float(c)}, {float(d)})" for k, (a, b, c, d) in LADDERS.items()) + ")"
-    " SELECT feed, CASE WHEN value >= a THEN 'critical' WHEN value >= b THEN 'high' WHEN value >= c THEN 'medium' WHEN value >= d THEN 'low' ELSE 'info' END AS level, count(*) AS n FROM signals, f GROUP BY 1, 2",
+    "f(feed, a, b, c) AS (VALUES " + ", ".join("('" + k + "', " + ", ".join(f"{_never if x is None else float(x)}::DOUBLE" for x in v) + ")" for k, v in LADDERS.items()) + "), w AS (SELECT (value - 20) / s AS x FROM signals, (VALUES (1.0::DOUBLE), (20.0), (0.001)) t(s))"
+    " SELECT feed, CASE WHEN x >= a THEN 'critical' WHEN x >= b THEN 'high' WHEN x >= c THEN 'medium' ELSE 'low' END AS level, count(*) AS n FROM w, f GROUP BY 1, 2",
     S,
 )
 def _(v: Views):
-    """One rule table for all feeds, sent to the executors as literals."""
-    rules = F.explode(F.array(*[F.struct(F.lit(k).alias("feed"), *[F.lit(float(x)).alias(n) for n, x in zip("abcd", steps)]) for k, steps in LADDERS.items()])).alias("r")
-    level = F.when(F.col("value") >= F.col("r.a"), "critical").when(F.col("value") >= F.col("r.b"), "high").when(F.col("value") >= F.col("r.c"), "medium").when(F.col("value") >= F.col("r.d"), "low").otherwise("info")
-    return v.signals.select("value", rules).groupBy("r.feed", level.alias("level")).agg(F.count("*").alias("n"))
+    """One rule table for all feeds, sent to the executors as literals; values are tried on three scales."""
+    bounds = [F.struct(F.lit(k).alias("feed"), *[F.lit(_never if x is None else float(x)).alias(n) for n, x in zip("abc", steps)]) for k, steps in LADDERS.items()]
+    scale = F.explode(F.array(F.lit(1.0), F.lit(20.0), F.lit(0.001)))
+    x = v.signals.select("value", scale.alias("s")).select(((F.col("value") - 20) / F.col("s")).alias("x"), F.explode(F.array(*bounds)).alias("r"))
+    level = F.when(F.col("x") >= F.col("r.a"), "critical").when(F.col("x") >= F.col("r.b"), "high").when(F.col("x") >= F.col("r.c"), "medium").otherwise("low")
+    return x.groupBy("r.feed", level.alias("level")).agg(F.count("*").alias("n"))
 
 
-CAMEO = ["statement", "appeal", "cooperate", "consult", "diplomacy", "aid", "yield", "investigate", "demand", "disapprove", "reject", "threaten", "protest", "force posture", "reduce relations", "coerce", "assault", "fight", "mass violence"]
+#: Labels and categories of the event root codes 1 to 20; fixed values.
+CAMEO = [
+    ("Public statement", "geopolitics"), ("Appeal", "geopolitics"), ("Intent to cooperate", "geopolitics"), ("Consultation", "geopolitics"), ("Diplomatic cooperation", "geopolitics"),
+    ("Material cooperation", "economy"), ("Humanitarian aid", "other"), ("Concession", "geopolitics"), ("Investigation", "security"), ("Demand", "conflict"),
+    ("Disapproval", "geopolitics"), ("Rejection", "geopolitics"), ("Threat", "conflict"), ("Protest", "elections"), ("Military show of force", "conflict"),
+    ("Diplomatic reduction", "geopolitics"), ("Coercion", "conflict"), ("Assault", "conflict"), ("Armed conflict", "conflict"), ("Mass atrocity", "conflict"),
+]
 
 
-@query("s40_code_labels", "m(code, label) AS (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(CAMEO)) + ") SELECT label, count(*) AS n FROM signals JOIN m ON k % 19 = code GROUP BY label", S)
+@query("s40_code_labels", "m(code, label, category) AS (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(CAMEO)) + ") SELECT label, m.category, count(*) AS n FROM signals JOIN m ON k % 20 = code GROUP BY 1, 2", S)
 def _(v: Views):
-    label = F.element_at(F.array(*map(F.lit, CAMEO)), (F.col("k") % 19 + 1).cast("int"))
-    return v.signals.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+    entry = F.element_at(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("category")) for a, b in CAMEO]), (F.col("k") % 20 + 1).cast("int"))
+    return v.signals.select(entry.alias("e")).groupBy("e.label", "e.category").agg(F.count("*").alias("n"))
 
 
 @query("s41_jamming", "SELECT id, CASE WHEN value >= 110 THEN 'spoofing' WHEN value >= 60 THEN 'jamming' ELSE 'interference' END AS kind, CASE WHEN severity = 'critical' THEN 300 WHEN severity = 'high' THEN 200 WHEN severity = 'medium' THEN 120 ELSE 60 END AS radius_km, round(least(0.95, 0.5 + 0.1 * source_count), 6) AS confidence FROM signals", S)
