@@ -102,7 +102,7 @@ def topic_groups(df: DataFrame) -> DataFrame:
     authority = F.when(has("wire"), 0.25).when(has("institutional"), 0.20).when(F.col("best") >= 0.8, 0.12).otherwise(0.05)
     diversity = F.when(F.size("tiers") >= 3, 0.15).when(F.size("tiers") >= 2, 0.10).otherwise(0.03)
     initial = 0.30 * F.least(F.col("n") / 3, F.lit(1.0)) + 0.30 * F.col("trust") + authority + diversity
-    return g.select("title", "n", "sources", F.round(F.least(F.lit(1.0), initial), 4).alias("initial"))
+    return g.select("title", "n", "sources", F.round(F.least(F.lit(1.0), initial) + 1e-9, 4).alias("initial"))
 
 
 def verification(df: DataFrame) -> DataFrame:

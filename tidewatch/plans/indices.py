@@ -107,7 +107,7 @@ def _(v: Views):
     """t AS (SELECT title, source_id, reliability, CAST(substr(source_id, 2) AS INT) % 3 AS m FROM signals),
     g AS (SELECT title, count(*) AS n, count(DISTINCT source_id) AS sources, sum(reliability * CASE m WHEN 0 THEN 1.5 WHEN 1 THEN 1.3 ELSE 1.0 END::DOUBLE) / sum(CASE m WHEN 0 THEN 1.5 WHEN 1 THEN 1.3 ELSE 1.0 END::DOUBLE) AS trust,
         min(m) AS top, count(DISTINCT m) AS tiers, max(reliability) AS best FROM t GROUP BY title)
-    SELECT title, n, sources, round(least(1.0, 0.30 * least(n / 3.0::DOUBLE, 1.0) + 0.30 * trust + CASE WHEN top = 0 THEN 0.25 WHEN top = 1 THEN 0.20 WHEN best >= 0.8 THEN 0.12 ELSE 0.05 END::DOUBLE + CASE WHEN tiers >= 3 THEN 0.15 WHEN tiers >= 2 THEN 0.10 ELSE 0.03 END::DOUBLE), 4) AS initial FROM g WHERE n >= 3""",
+    SELECT title, n, sources, round(least(1.0, 0.30 * least(n / 3.0::DOUBLE, 1.0) + 0.30 * trust + CASE WHEN top = 0 THEN 0.25 WHEN top = 1 THEN 0.20 WHEN best >= 0.8 THEN 0.12 ELSE 0.05 END::DOUBLE + CASE WHEN tiers >= 3 THEN 0.15 WHEN tiers >= 2 THEN 0.10 ELSE 0.03 END::DOUBLE) + 1e-9, 4) AS initial FROM g WHERE n >= 3""",
     S,
 )
 def _(v: Views):
