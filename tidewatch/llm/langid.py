@@ -167,6 +167,11 @@ class Models:
         many = lengths - (ORDER - 1)
         return -np.add.reduceat(total, np.cumsum(many) - many), many
 
+    def losses_in_parts(self, words: list[str], part: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+        """As ``losses``, so many words at a time, which bounds the memory."""
+        parts = [self.losses(words[i : i + part]) for i in range(0, len(words), part)] or [self.losses([])]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Sum of the losses and characters of each text; a distinct word is scored once."""
         words = Words(texts)
@@ -178,7 +183,7 @@ class Models:
             found = _letters.findall(data[a:b].decode("utf-8").lower())
             runs += found
             many.append(len(found))
-        loss, chars = self.losses(runs)
+        loss, chars = self.losses_in_parts(runs)
         runs_of = np.concatenate([[0], np.cumsum(many)]).astype(np.int64)
         return tuple(_sums(_sums(x, runs_of)[place], words.first) for x in (loss, chars))
 
@@ -194,8 +199,8 @@ def _predict(models: Broadcast):
         own: Models = models.value
         names = pa.array([*own.langs, "und"], pa.string())
         for batch in batches:
-            texts = batch.column("text")
-            for a, b in pieces(texts):
+            texts = batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text").cast(pa.string())
+            for a, b in pieces(texts, 2 << 20):
                 loss, chars = own.texts(texts.slice(a, b - a)) if own.langs else (np.zeros((b - a, 1)), np.zeros(b - a))
                 none = chars == 0
                 mean = loss / np.maximum(chars, 1)[:, None]
@@ -247,7 +252,9 @@ def in_training(doc_id: Column) -> Column:
 def identify(docs: DataFrame, learn: Column | None = None, carry: Sequence[str] | None = None) -> DataFrame:
     """The carried columns (all) of ``docs`` as a struct, row, with lang_pred, score, entropy (nats a character) and rejected."""
     models = fit(docs, in_training(F.col("doc_id")) if learn is None else learn)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (carry or docs.columns)]).alias("row"), F.col("text").cast("string").alias("text"))
+    names = list(carry or docs.columns)
+    text = [] if "text" in names else [F.col("text").cast("string").alias("text")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *text)
     return rows.mapInArrow(_predict(models), f"row {rows.schema['row'].dataType.simpleString()}, {_RESULT}")
 
 

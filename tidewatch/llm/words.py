@@ -98,7 +98,7 @@ def windows(first: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarr
     return start, text
 
 
-def pieces(texts: pa.Array, most: int = 4 << 20):
+def pieces(texts: pa.Array, most: int = 2 << 20):
     """(start, stop) runs of rows of at most ``most`` bytes each, or one long row."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     at, size = 0, 0
