@@ -34,8 +34,8 @@ from .words import pieces
 
 #: The pre-token pattern of byte-level BPE vocabularies; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries of the lexicon, the bound of what is sent to the driver and to the tasks.
-LEXICON_WORDS = 1 << 15
+#: Most entries of the lexicon, the bound of what is sent to the driver and to the tasks.
+LEXICON_WORDS = 1 << 17
 #: Words that a Python worker remembers before it starts anew.
 REMEMBERED = 200_000
 #: Bytes of a word from which on it is merged by itself.
@@ -374,10 +374,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The ``most`` most frequent pre-tokens of all texts (ties: the smaller word); at most that many rows reach the driver."""
+    """The pre-tokens that make up at least 1 / ``most`` of all of the corpus: so there are ``most`` at the most, at any size."""
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in top.select("word").collect()]
+    total = counted.agg(F.sum("n").alias("total"))
+    frequent = counted.crossJoin(F.broadcast(total)).filter(F.col("n") * most >= F.col("total"))  # one row: the total
+    return sorted(r["word"] for r in frequent.select("word").collect())
 
 
 def model_for(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> Broadcast:
