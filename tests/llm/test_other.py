@@ -73,6 +73,31 @@ def test_lm_scores_prefer_the_target(spark, odd, none):
     assert lmscore.score(none, none).count() == 0
 
 
+def test_lm_scores_use_rare_words_and_bigrams(spark):
+    """Words and bigrams that are a tiny part of all tokens count; losses equal the model in arrays over all words."""
+    texts = {1: "rare word here", 2: "rare word", 3: "other thing", 4: "filler " * 70000, 5: "word rare word", None: "rare word"}
+    data = [*texts.items(), (2, "rare word")]
+    got = lmscore.score(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame([(1,), (5,)], "doc_id long")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in data)
+    own = {r.doc_id: r for r in got}
+    assert own[2].score > own[3].score + 0.25
+    names = sorted({w for t in texts.values() for w in t.split()})
+    ids, counts = {w: i for i, w in enumerate(names)}, Counter()
+    for i, t in data:
+        w = [ids[x] for x in t.split()]
+        for key in [(-1, x) for x in w] + [(x, -1) for x in w[:-1]] + list(zip(w, w[1:])):
+            counts[key, 0] += 1
+            counts[key, 1] += i in (1, 5)
+    keys = sorted({k for k, _ in counts})
+    model = lmscore.Model(len(names), np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), np.array([[counts[k, c] for k in keys] for c in (0, 1)]))
+    for i, t in texts.items():
+        w = [ids[x] for x in t.split()]
+        for (unigram, rest, pair), mean in zip(model.losses, (own[i].background_loss, own[i].target_loss)):
+            seen = {int(k): float(p) for k, p in zip(model.keys, pair)}
+            total = unigram[w[0]] + sum(seen.get(a * len(names) + b, rest[a] + unigram[b]) for a, b in zip(w, w[1:]))
+            assert mean == pytest.approx(total / len(w)) and own[i].n_tokens == len(w)
+
+
 def test_bigram_model_is_a_distribution():
     left, right = np.array([-1, -1, -1, 0, 1, 0, 0, 1]), np.array([0, 1, 2, -1, -1, 0, 1, 0])
     n = np.array([5, 4, 2, 5, 4, 2, 3, 1])

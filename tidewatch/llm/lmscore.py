@@ -5,10 +5,10 @@ way of smoothing (absolute discounting over add-one unigrams), so that only the
 differ.  A document's score is its mean background loss less its mean target loss, in
 nats a token: high for texts like the target's.
 
-Both corpora are counted in full by Spark.  What tasks get of the counts is bounded: the
-vocabulary has the words that make up at least 1 / MOST_WORDS of all tokens and the model
-the bigrams that make up at least 1 / MOST_BIGRAMS, so there can be no more of them than
-that, at any size of the corpus; the rest goes to an unknown word and to the smoothing.
+Both corpora are counted in full by Spark, and every word and every bigram is in the
+models: as the background is all documents, there is no unknown word.  The counts stay
+Spark tables.  A document's distinct bigrams are joined to the bigrams' losses by hash and
+summed; nothing of the models is collected or broadcast but three totals.
 
 Defined cases: null and empty texts have no tokens, null losses and the score 0; without
 any target document the target model is uniform over the vocabulary; repeated ids count
@@ -22,69 +22,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, pieces
+from .words import Words, mix, pieces
 
-#: Bounds of the vocabulary and of the bigrams of the model.
-MOST_WORDS, MOST_BIGRAMS = 1 << 15, 1 << 20
+#: Stands for the word before a text's first one.
+BEGIN = np.uint64(0x5851F42D4C957F2D)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Count that a seen bigram gives up to the unseen ones.
 DISCOUNT = 0.75
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bigrams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every word: the hashes of the one before it, of itself and of both."""
+    right = words.hashes
+    left = np.concatenate([np.array([BEGIN]), right[:-1]])[: len(right)]
+    left[words.first[:-1][words.counts > 0]] = BEGIN
+    return left, right, mix(left * _STEP + right)
+
+
+def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bigrams of a run of texts with their counts in all of them and in those of the target."""
+    for batch in batches:
+        texts, target = batch.column("text"), np.asarray(batch.column("target"))
+        for a, b in pieces(texts, 4 << 20):
+            words = Words(texts.slice(a, b - a))
+            left, right, gram = _bigrams(words)
+            mark = np.repeat(target[a:b], words.counts).astype(np.float64)
+            one, at, place = np.unique(gram, return_index=True, return_inverse=True)
+            n, n_target = np.bincount(place, minlength=len(one)), np.bincount(place, mark, len(one)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (one, left[at], right[at])), pa.array(n), pa.array(n_target)], names=["gram", "left", "right", "n", "n_target"])
+
+
+def _bigrams_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct bigrams of each text with their counts; the first row of a text is its head (without words: a row that counts nothing)."""
     for batch in batches:
-        for a, b in pieces(batch.column(0), 8 << 20):
-            word, n = np.unique(Words(batch.column(0).slice(a, b - a)).hashes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-
-class Tokens:
-    """Numbers of the words of texts; the unknown word has the last one."""
-
-    def __init__(self, vocabulary: np.ndarray, texts: pa.Array):
-        self.words = Words(texts)
-        hashes = self.words.hashes
-        at = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
-        hit = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), dtype=bool)
-        self.ids = np.where(hit, at, len(vocabulary))
-        self.begins = np.zeros(len(self.ids) + 1, dtype=bool)
-        self.begins[self.words.first] = True
-        self.begins = self.begins[:-1]
-
-
-def _count_bigrams(vocabulary: Broadcast):
-    """Per batch: (left, right, n, n_target); left -1: a word's own counts, right -1: its counts as a history."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        size = len(known) + 1
-        for batch in batches:
-            texts, target = batch.column("text"), np.asarray(batch.column("target"))
-            for a, b in pieces(texts, 4 << 20):
-                tokens = Tokens(known, texts.slice(a, b - a))
-                mark = np.repeat(target[a:b], tokens.words.counts).astype(np.float64)
-                ids, inner = tokens.ids, np.flatnonzero(~tokens.begins)
-                left, right = ids[inner - 1], ids[inner]
-                pair, place = np.unique(left * size + right, return_inverse=True)
-                out = [(pair // size, pair % size, np.bincount(place, minlength=len(pair)), np.bincount(place, mark[inner], len(pair)))]
-                for which, weights, side in ((ids, mark, 0), (left, mark[inner], 1)):
-                    n = np.bincount(which, minlength=size)
-                    seen = np.flatnonzero(n)
-                    none = np.full(len(seen), -1)
-                    out.append((none if side == 0 else seen, seen if side == 0 else none, n[seen], np.bincount(which, weights, size)[seen]))
-                left, right, n, n_target = (np.concatenate(x).astype(np.int64) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(n), pa.array(n_target)], names=["left", "right", "n", "n_target"]
-                )
-
-    return run
+        texts, rest = batch.column("text"), batch.select(["doc_id", "key"])
+        for a, b in pieces(texts, 2 << 20):
+            words = Words(texts.slice(a, b - a))
+            gram, text = _bigrams(words)[2], words.texts_of_words()
+            order = np.lexsort((gram, text))
+            gram, text = gram[order], text[order]
+            new = np.ones(len(gram), dtype=bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(gram)))
+            gram, text = gram[at].view(np.int64), text[at]
+            head = np.ones(len(text), dtype=bool)
+            head[1:] = text[1:] != text[:-1]
+            empty = np.flatnonzero(words.counts == 0)
+            own = rest.slice(a, b - a).take(pa.array(np.concatenate([text, empty])))
+            none = np.zeros(len(empty), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    own.column("doc_id"), own.column("key"), pa.array(np.concatenate([gram, np.asarray(own.column("key"))[len(text) :]])),
+                    pa.array(np.concatenate([n, none]).astype(np.int32)), pa.array(np.concatenate([head, none + 1]).astype(np.int32)),
+                ],
+                names=["doc_id", "key", "gram", "n", "heads"],
+            )
 
 
 class Model:
-    """Losses of both models, ready for lookups."""
+    """Losses of both models in arrays, for a small set of bigrams; ``losses`` below says the same of Spark tables."""
 
     def __init__(self, size: int, left: np.ndarray, right: np.ndarray, counts: np.ndarray):
         """counts: a row for the background and one for the target."""
@@ -106,66 +106,45 @@ class Model:
             pair = kept / np.maximum(history[a], 1) + rest[a] * unigram[b]
             self.losses.append((-np.log(unigram), -np.log(rest), -np.log(pair)))
 
-    def score(self, tokens: Tokens) -> np.ndarray:
-        """Sums of the losses of each text: a column for the background and one for the target."""
-        ids = tokens.ids
-        inner = np.flatnonzero(~tokens.begins)
-        key = ids[inner - 1] * self.size + ids[inner]
-        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        hit = self.keys[at] == key if len(self.keys) else np.zeros(len(key), dtype=bool)
-        out = np.zeros((len(tokens.words.counts), 2))
-        for c, (unigram, rest, pair) in enumerate(self.losses):
-            loss = unigram[ids]
-            loss[inner] += rest[ids[inner - 1]]
-            loss[inner[hit]] = pair[at[hit]]
-            total = np.concatenate([[0.0], np.cumsum(loss)])
-            out[:, c] = total[tokens.words.first[1:]] - total[tokens.words.first[:-1]]
-        return out
-
-
-def train(docs: DataFrame, targets: DataFrame, most_words: int = MOST_WORDS, most_bigrams: int = MOST_BIGRAMS) -> tuple[Broadcast, Broadcast]:
-    """Vocabulary and models, broadcast; ``targets`` has the doc_ids of the target corpus, the background is all of ``docs``."""
-    context = docs.sparkSession.sparkContext
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    counted = texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counted.agg(F.sum("n").alias("total"))
-    rows = counted.crossJoin(F.broadcast(total)).filter(F.col("n") * most_words >= F.col("total")).select("word", "total").toPandas()
-    vocabulary = context.broadcast(np.sort(rows["word"].to_numpy(np.int64).view(np.uint64)))
-    tokens = int(rows["total"].max()) if len(rows) else 0
 
+def losses(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """gram, background and target (its losses) of every bigram; ``targets`` has the doc_ids of the target corpus, the background is all of ``docs``."""
     # a sort-merge join at any size: the ids grow with the documents, so a broadcast would only do for small corpora
     marked = targets.select("doc_id").filter("doc_id is not null").distinct().withColumn("target", F.lit(True)).hint("merge")
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(marked, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    grams = joined.mapInArrow(_count_bigrams(vocabulary), "left int, right int, n long, n_target long").groupBy("left", "right").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    kept = grams.filter((F.col("left") < 0) | (F.col("right") < 0) | (F.col("n") * most_bigrams >= tokens)).toPandas()
-    model = Model(len(rows) + 1, kept["left"].to_numpy(np.int64), kept["right"].to_numpy(np.int64), kept[["n", "n_target"]].to_numpy(np.int64).T)
-    return vocabulary, context.broadcast(model)
-
-
-def _score(vocabulary: Broadcast, model: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id")
-            for a, b in pieces(texts):
-                tokens = Tokens(vocabulary.value, texts.slice(a, b - a))
-                counts = tokens.words.counts
-                none = counts == 0
-                mean = model.value.score(tokens) / np.maximum(counts, 1)[:, None]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(mean[:, 1], mask=none), pa.array(mean[:, 0], mask=none),
-                        pa.array(mean[:, 0] - mean[:, 1]),
-                    ],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    return run
-
-
-def score(docs: DataFrame, targets: DataFrame, **bounds: int) -> DataFrame:
+    # without nulls and filters all uses of the counts have the same plan up to their exchange, which is made once
+    counted = joined.mapInArrow(_count_bigrams, "gram long not null, left long not null, right long not null, n long not null, n_target long not null")
+    grams = counted.groupBy("gram", "left", "right").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    own = grams.groupBy("right").agg(F.sum("n").alias("own"), F.sum("n_target").alias("own_target"))
+    totals = own.agg(F.count("*").alias("size"), F.sum("own").alias("total"), F.sum("own_target").alias("total_target"))
+    history = grams.groupBy("left").agg(
+        F.sum("n").alias("history"), F.sum("n_target").alias("history_target"), F.count("*").alias("types"), F.count_if(F.col("n_target") > 0).alias("types_target")
+    )
+
+    def loss(end: str) -> Column:
+        n, before = F.col(f"n{end}"), F.when(F.col("left") == F.lit(int(BEGIN)), 0).otherwise(F.col(f"history{end}"))
+        unigram = (F.col(f"own{end}") + 1) / (F.col(f"total{end}") + F.col("size"))
+        # each seen bigram gives up as much, so that what is left for the unseen ones follows from their number
+        seen = F.greatest(n - DISCOUNT, F.lit(0.0)) / before + F.greatest(DISCOUNT * F.col(f"types{end}") / before, F.lit(1e-12)) * unigram
+        return -F.log(F.when(before > 0, seen).otherwise(unigram))
+
+    facts = grams.join(own, "right").join(history, "left").crossJoin(F.broadcast(totals))
+    return facts.select("gram", loss("").alias("background"), loss("_target").alias("target"))
+
+
+def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of every row."""
-    vocabulary, model = train(docs, targets, **bounds)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _score(vocabulary, model), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double"
-    )
+    # rows alike in id and text share a key and are scored as one; their heads tell how many they are
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = texts.mapInArrow(_bigrams_of_texts, f"doc_id {kind}, key long, gram long, n int, heads int")
+    met = rows.join(losses(docs, targets), "gram", "left")
+    sums = met.groupBy("doc_id", "key").agg(
+        F.sum("heads").alias("heads"), F.sum("n").alias("n"),
+        *(F.sum(F.when(F.col("n") > 0, F.col("n") * F.col(c))).alias(c) for c in ("background", "target")),
+    )
+    mean = {c: F.col(c) / F.nullif(F.col("n"), F.lit(0)) for c in ("background", "target")}
+    return sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "heads"))).select(
+        "doc_id", F.floor(F.col("n") / F.col("heads")).alias("n_tokens"), mean["target"].alias("target_loss"), mean["background"].alias("background_loss"),
+        F.coalesce(mean["background"] - mean["target"], F.lit(0.0)).alias("score"),
+    )
