@@ -30,6 +30,21 @@ def test_language_of_held_out_documents(spark):
     assert sum(got[r.doc_id].rejected for r in docs) <= 0.01 * len(docs)
 
 
+@pytest.mark.parametrize("unlearnt", ["de", "en", "es", "fr"])
+def test_language_left_out_is_rejected(spark, unlearnt):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = langid.identify(docs, langid.in_training(F.col("doc_id")) & (F.col("lang") != unlearnt), carry=["doc_id", "lang"]).collect()
+    other = [r.rejected for r in got if r.row.lang == unlearnt]
+    own = [r.rejected for r in got if r.row.lang != unlearnt]
+    assert sum(other) >= 0.95 * len(other) and sum(own) <= 0.03 * len(own)
+
+
+def test_language_limits_come_from_held_back_texts():
+    held = [("a", 1 + i / 100) for i in range(40)] + [("a", 9.0), ("b", 2.0)]
+    a, b, c = langid.calibrated(["a", "b", "c"], held)
+    assert 1.4 < a < 3 and 2 < b == c < 3.5 and np.isinf(langid.calibrated(["a"], [])).all()
+
+
 def test_language_of_odd_rows(spark, odd, none):
     got = {r.row.doc_id: r for r in langid.identify(odd).collect()}
     for i in (1, 2, 3, 5):

@@ -37,8 +37,9 @@ from .words import Words, mix, pieces
 ORDER = 5
 #: Labelled texts of a language that the models are fitted to, and the part that calibrates.
 SAMPLE, HELD_BACK = 300, 5
-#: Standard deviations, and nats, by which a text may exceed its language's usual cross-entropy.
-DEVIATIONS, MARGIN = 6.0, 1.6
+#: Spreads of the held-back texts by which a text may exceed its language's usual cross-entropy, and the
+#: number of held-back texts from which a language's own spread is used, where it is beyond that of all languages.
+DEVIATIONS, ENOUGH = 6.0, 20
 START, END = "\x02", "\x03"
 #: Characters that the floor of the models counts with.
 ALPHABET = 1000
@@ -236,14 +237,34 @@ def fit(docs: DataFrame, learn: Column) -> Broadcast:
     models = Models(counts)
     if models.langs:
         draft = spark.sparkContext.broadcast(models)
-        held = sample.filter("not fold").select("lang", "text").mapInArrow(_predict(draft), f"lang string, {_RESULT}").filter("lang = lang_pred")
-        usual = {r["lang"]: r for r in held.groupBy("lang").agg(F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("spread")).collect()}
-        for i, lang in enumerate(models.langs):
-            if lang in usual:
-                models.limits[i] = usual[lang]["mean"] + DEVIATIONS * usual[lang]["spread"] + MARGIN
+        held = sample.filter("not fold").select("lang", "text").mapInArrow(_predict(draft), f"lang string, {_RESULT}").filter("lang = lang_pred and entropy is not null")
+        models.limits = calibrated(models.langs, [(r["lang"], r["entropy"]) for r in held.select("lang", "entropy").collect()])
     return spark.sparkContext.broadcast(models)
 
 
+def calibrated(langs: Sequence[str], held: Sequence[tuple[str, float]]) -> np.ndarray:
+    """Limits of the cross-entropy from held-back (language, cross-entropy): the median and a number of spreads.
+
+    A spread is an upper quantile in standard deviations, which a few odd texts don't move.  It is pooled over
+    all languages; a language without a held-back text gets the median of the hardest other one.  Without any
+    held-back text there is nothing to judge by and no limit.
+    """
+    if not held:
+        return np.full(len(langs), np.inf)
+    own = {lang: np.array([e for x, e in held if x == lang]) for lang in {x for x, _ in held}}
+    usual = {lang: float(np.median(e)) for lang, e in own.items()}
+
+    def spread(excess: np.ndarray) -> float:
+        return float(np.quantile(excess, 0.95)) / 1.645
+
+    pooled = spread(np.concatenate([e - usual[lang] for lang, e in own.items()]))
+    limits = [
+        usual.get(lang, max(usual.values())) + DEVIATIONS * max(pooled, spread(own[lang] - usual[lang]) if len(own.get(lang, ())) >= ENOUGH else 0.0)
+        for lang in langs
+    ]
+    return np.array(limits)
+
+
 def in_training(doc_id: Column) -> Column:
     """Rows that may be learnt from: crc32 of the id as text leaves no remainder of 2 modulo 4."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
