@@ -132,6 +132,23 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.select("doc_id").collect()} >= {1, 2, 3, 4, 8}
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    """Unlike rows stay, also without a doc_id or with that of another row; copies, near copies and repeats go."""
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(5)]
+    text = [" ".join(w) for w in base]
+    near_ = [" ".join([*w[:-1], "other"]) for w in base]
+    rows = [(None, text[0]), (None, text[0]), (None, near_[0]), (None, text[1]), (3, near_[1]), (5, text[2]), (5, text[2]), (5, text[3]), (7, near_[3]), (None, text[4]), (9, ""), (9, ""), (None, ""), (None, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in near.representatives(df).collect()), key=repr)
+    first = [r for r in kept if r[1] in (text[0], near_[0])]
+    assert len(first) == 1 and first[0][0] is None
+    want = [(3, near_[1]), (5, text[2]), (5, text[3]), (None, text[4]), (9, ""), (None, ""), (None, None)]
+    assert sorted([r for r in kept if r not in first], key=repr) == sorted(want, key=repr)
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in near.near_duplicates(df).collect())
+    assert got == Counter({(None, None, 2): 3, (None, 3, 1): 1, (3, 3, 1): 1, (5, 5, 0): 2, (5, 5, 1): 1, (7, 5, 1): 1, (None, None, 0): 3, (9, 9, 0): 2})
+
+
 def test_bands_reach_the_recall():
     bands, rows = near.choose_bands(0.8, 0.9999, 128)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9999

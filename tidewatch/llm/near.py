@@ -4,7 +4,7 @@ A document's set has its n-grams of ``words`` consecutive words (all of its word
 has fewer).  Two documents are linked if the Jaccard similarity of their sets is at
 least ``similarity``.
 
-1. Documents with the same words in the same order form one class; its least doc_id stands for it.
+1. Documents with the same words in the same order form one class, whatever their doc_ids; a hash of the words names it.
 2. Each class gets MinHash signatures in bands; band and row counts come from the
    target recall at the threshold.  Classes that share a band are candidates.  A band's
    members are tied to its least member only, never all to all, and the ties' connected
@@ -28,7 +28,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -81,7 +81,7 @@ def _sketch(n: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id")
+            texts, rest = batch.column("text"), batch.select(["doc_id", "tkey"])
             for a, b in pieces(texts, 1 << 19):
                 words = Words(texts.slice(a, b - a))
                 grams, text = _grams(words, n)
@@ -99,13 +99,13 @@ def _sketch(n: int, bands: int, rows: int):
                 k1, k2 = _class_keys(words, have)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(a, b - a).take(pa.array(have)),
+                        *rest.slice(a, b - a).take(pa.array(have)).columns,
                         pa.array(k1),
                         pa.array(k2),
                         pa.array(many[have]),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, bands, dtype=np.int32)), pa.array(band.ravel())),
                     ],
-                    names=["doc_id", "k1", "k2", "grams", "bands"],
+                    names=["doc_id", "tkey", "k1", "k2", "grams", "bands"],
                 )
 
     return run
@@ -209,29 +209,44 @@ def _verify(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.9999, most_hashes: int = 128, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class, over chains of links) and n_links (documents linked to it, copies included) of every row."""
+def _keys() -> tuple[Column, Column]:
+    """Whether a row has words, and a hash of its text (0: without words) that tells rows of one doc_id, or of none, apart."""
+    text = F.col("text").cast("string")
+    some = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return some, F.when(some, F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    some, tkey = _keys()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), tkey.alias("tkey"), some.alias("some"))
+
+
+def _classes(
+    texts: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.9999, most_hashes: int = 128, block: int = BLOCK
+) -> tuple[DataFrame, DataFrame]:
+    """The rows with words with the keys of their words, and of each key: size (documents), rep (the row that stands for it), links and label (its class)."""
     bands, rows = choose_bands(similarity, recall, most_hashes)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = texts.mapInArrow(_sketch(words, bands, rows), "doc_id long, k1 long, k2 long, grams long, bands array<long>").checkpoint()
+    sketched = texts.filter("some").select("doc_id", "text", "tkey").mapInArrow(_sketch(words, bands, rows), "doc_id long, tkey long, k1 long, k2 long, grams long, bands array<long>").checkpoint()
 
-    one = sketched.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "grams", "bands")).alias("s")).select("doc_id", "s.*")
-    classes = one.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "grams", "bands")).alias("s"), F.count("*").alias("size"))
-    stands = classes.select(F.col("s.doc_id").alias("class"), "k1", "k2", "size", "s.grams", "s.bands").checkpoint()
-    member = one.select("doc_id", "k1", "k2").join(stands.select("k1", "k2", "class", "size"), ["k1", "k2"]).select("doc_id", "class", "size")
+    one = sketched.groupBy("doc_id", "k1", "k2").agg(F.min(F.struct("tkey", "grams", "bands")).alias("s"), F.count("*").alias("rows"))
+    documents = F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1)
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("s.tkey").alias("tkey"))
+    classes = one.groupBy("k1", "k2").agg(F.min(F.struct(rep.alias("rep"), F.col("s.grams").alias("grams"), F.col("s.bands").alias("bands"))).alias("s"), F.sum(documents).alias("size"))
+    stands = classes.select(F.col("k1").alias("class"), "k1", "k2", "size", "s.rep", "s.grams", "s.bands").checkpoint()
 
-    keys = stands.select("class", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy(F.bitwise_not("key").alias("flipped"), "band").agg(F.min("class").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # ties go to the least doc_id, which is the same one in most bands of a group, so that they stay few
+    keys = stands.select(F.struct(F.coalesce("rep.id", F.lit((1 << 63) - 1)).alias("id"), "class").alias("by"), F.posexplode("bands").alias("band", "key"))
+    shared = keys.groupBy(F.bitwise_not("key").alias("flipped"), "band").agg(F.min("by").alias("first"), F.count("*").alias("n")).filter("n > 1")
     ties = keys.join(shared.select(F.bitwise_not("flipped").alias("key"), "band", "first"), ["key", "band"])
-    groups = components(ties.select(F.col("class").alias("a"), F.col("first").alias("b"))).withColumnRenamed("node", "class")
-    sizes = stands.select("class", "k1", "k2", "size", "grams").join(groups, "class").checkpoint()
+    groups = components(ties.select(F.col("by.class").alias("a"), F.col("first.class").alias("b"))).withColumnRenamed("node", "class")
+    sizes = stands.select("class", "k1", "k2", "size", "rep", "grams").join(groups, "class").checkpoint()
     blocks = sizes.groupBy("label").agg(F.ceil(F.sum("grams") / F.lit(block)).cast("int").alias("n_blocks"))
     blocks = blocks.filter("n_blocks > 1").checkpoint()
     cut = sizes.join(blocks, "label", "left").select(
-        F.col("class"), "k1", "k2", "size", F.col("label").alias("grp"), F.coalesce("n_blocks", F.lit(1)).alias("n_blocks")
+        F.col("class"), "k1", "k2", "size", F.col("rep.id").alias("rep_id"), F.col("rep.tkey").alias("rep_tkey"), F.col("label").alias("grp"), F.coalesce("n_blocks", F.lit(1)).alias("n_blocks")
     ).withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"))
 
-    loaded = texts.join(cut, F.col("doc_id") == F.col("class")).select("text", "class", "k1", "k2", "size", "grp", "block", F.sequence(F.lit(0), F.col("n_blocks") - 1).alias("other"))
+    loaded = texts.join(cut, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("tkey") == F.col("rep_tkey"))).select("text", "class", "k1", "k2", "size", "grp", "block", F.sequence(F.lit(0), F.col("n_blocks") - 1).alias("other"))
     sets = loaded.mapInArrow(_sets(words), "class long, size long, grp long, block int, other array<int>, grams binary")
     paired = sets.withColumn("other", F.explode("other")).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     verified = (
@@ -243,14 +258,28 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, re
     )
     links = verified.groupBy("class").agg(F.sum("links").alias("links"))
     final = components(verified.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")
-    facts = links.join(final, "class", "left").select("class", "links", "label").checkpoint()
-    found = member.join(facts, "class", "left").select(
-        "doc_id", F.coalesce("label", "class").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")
-    )
-    return texts.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    facts = links.join(final, "class", "left")
+    return sketched, stands.select("class", "k1", "k2", "size", "rep").join(facts, "class", "left").select("k1", "k2", "size", "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "class").alias("label")).checkpoint()
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class, over chains of links) and n_links (documents linked to it, copies included) of every row."""
+    texts = _texts(docs)
+    sketched, classes = _classes(texts, **options)
+    least = classes.groupBy("label").agg(F.min("rep.id").alias("class_id"))
+    found = classes.join(least, "label").select("k1", "k2", "class_id", (F.col("links") + F.col("size") - 1).cast("long").alias("n_links"))
+    alone = texts.filter("not some").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return sketched.select("doc_id", "k1", "k2").join(found, ["k1", "k2"]).select("doc_id", "class_id", "n_links").union(alone)
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class stays, the one with the least doc_id; rows that repeat it become one."""
-    kept = near_duplicates(docs, **options).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi")
+    """One row of each class stays, one of the least doc_id; rows without words stay, those that repeat a doc_id as one."""
+    keys = ("__near_id", "__near_tkey", "__near_nth")
+    _, classes = _classes(_texts(docs), **options)
+    kept = classes.groupBy("label").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("kept_id"), F.col("rep.tkey").alias("kept_tkey"))
+    some, tkey = _keys()
+    rows = docs.withColumn(keys[0], F.col("doc_id").cast("long")).withColumn(keys[1], tkey)
+    nth = F.row_number().over(Window.partitionBy(*keys[:2]).orderBy(F.xxhash64("text")))
+    met = rows.filter(some).join(kept, F.col(keys[0]).eqNullSafe(F.col("kept_id")) & (F.col(keys[1]) == F.col("kept_tkey")), "left_semi")
+    single = met.union(rows.filter(~some & F.col("doc_id").isNotNull())).withColumn(keys[2], nth).filter(F.col(keys[2]) == 1)
+    return single.drop(*keys).union(docs.filter(~some & F.col("doc_id").isNull()))
