@@ -30,6 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import as_row, with_row
 from .words import pieces
 
 #: The pre-token pattern of byte-level BPE vocabularies; a fixed value.
@@ -412,5 +413,5 @@ def _encode_decode(model: Broadcast):
 def encode(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> DataFrame:
     """row (a struct of the input's columns), ids (array<int>), and decoded: the text that the ids give back."""
     model = model_for(docs, path, words)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.mapInArrow(_encode_decode(model), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
+    rows = docs.select(as_row(docs.columns))
+    return rows.mapInArrow(_encode_decode(model), with_row(rows, "ids array<int>, decoded string"))

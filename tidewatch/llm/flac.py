@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import as_row, with_id, with_row
 from .words import pieces
 
 FRAME = 4096
@@ -460,8 +461,8 @@ def _round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """row (a struct of the input's columns), n_bytes, media (a FLAC stream), payload (read back from media) and feature."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.mapInArrow(_round_trip, f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, media binary, payload binary, feature string")
+    rows = docs.select(as_row(docs.columns))
+    return rows.mapInArrow(_round_trip, with_row(rows, "n_bytes long, media binary, payload binary, feature string"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -484,5 +485,4 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """(doc_id, media) -> doc_id, block, first_sample, samples, pcm: a row a frame, seekable by first_sample."""
-    kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "media").mapInArrow(_blocks, f"doc_id {kind}, block int, first_sample long, samples int, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(_blocks, with_id(media, "block int, first_sample long, samples int, pcm binary"))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import as_row, with_row
 from .words import pieces
 
 _TOKEN = re.compile(
@@ -217,5 +218,5 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, carry: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """row (a struct of the carried columns), text and n_chars (code points) of every page."""
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extract, f"row {rows.schema['row'].dataType.simpleString()}, text string, n_chars long")
+    rows = pages.select(as_row(carry), F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(_extract, with_row(rows, "text string, n_chars long"))

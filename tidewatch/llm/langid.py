@@ -32,6 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import as_row, with_row
 from .words import Words, mix, pieces
 
 ORDER = 5
@@ -275,8 +276,8 @@ def identify(docs: DataFrame, learn: Column | None = None, carry: Sequence[str]
     models = fit(docs, in_training(F.col("doc_id")) if learn is None else learn)
     names = list(carry or docs.columns)
     text = [] if "text" in names else [F.col("text").cast("string").alias("text")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *text)
-    return rows.mapInArrow(_predict(models), f"row {rows.schema['row'].dataType.simpleString()}, {_RESULT}")
+    rows = docs.select(as_row(names), *text)
+    return rows.mapInArrow(_predict(models), with_row(rows, _RESULT))
 
 
 def accepted(docs: DataFrame) -> DataFrame:

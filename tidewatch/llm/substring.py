@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import as_row, with_row
 from .words import Rolling, Words, mix, pieces, windows
 
 #: Words of an anchor gram.
@@ -177,7 +178,7 @@ def _repeated(rows: DataFrame, column: str, weight: Column) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """row (a struct of the input's columns), n_words, n_removed and kept, the words that stay joined by one space."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    row = as_row(docs.columns)
     key = F.xxhash64("doc_id", "text").alias("key")
     keyed = docs.select(row, key)
     plain = docs.select(F.col("text").cast("string").alias("text"), key)
@@ -198,12 +199,11 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     found = known.filter("places is not null and copies < 3").select("row", "key", "places", "copies").mapInArrow(_candidate_windows(width), "window long, key long, start int, weight int")
     twice = _repeated(found, "window", F.col("weight"))
     starts = found.filter("weight = 1").join(twice, "window").groupBy("key").agg(F.collect_set("start").alias("starts"))
-    schema = keyed.schema["row"].dataType.simpleString()
     return (
         keyed.join(facts.select("key", "copies"), "key", "left")
         .join(starts, "key", "left")
         .select("row", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")
-        .mapInArrow(_remove(width), f"row {schema}, n_words long, n_removed long, kept string")
+        .mapInArrow(_remove(width), with_row(keyed, "n_words long, n_removed long, kept string"))
     )
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Vocabulary, encoder_of, model_for
+from .columns import with_id
 from .words import pieces
 
 
@@ -91,7 +92,6 @@ def section_tokens(docs: DataFrame, path: str, sections: str | None = None, lexi
     ``sections`` names a column of arrays of [begin, end]; without it, lines are counted.
     """
     columns = ["doc_id", F.col("text").cast("string").alias("text")] + ([F.col(sections).alias("sections")] if sections else [])
-    kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(*columns).mapInArrow(
-        _count(model_for(docs, path, lexicon_words)), f"doc_id {kind}, section long, begin long, end long, n_tokens long, n_crossing long"
+        _count(model_for(docs, path, lexicon_words)), with_id(docs, "section long, begin long, end long, n_tokens long, n_crossing long")
     )
