@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -75,54 +76,71 @@ def test_kneser_ney_sums_to_one():
     assert all(0 < p < 1 for p in first)
 
 
-def test_lm_scores_prefer_the_target(spark, odd, none):
-    target = [(i, " ".join(random.Random(i).choices(["red", "green", "blue"], k=40))) for i in range(20)]
-    rest = [(100 + i, " ".join(random.Random(i).choices(["one", "two", "three"], k=40))) for i in range(20)]
-    df = spark.createDataFrame(target + rest, "doc_id long, text string")
-    ids = spark.createDataFrame([(i,) for i in range(10)] * 2 + [(None,)], "doc_id long")
-    got = {r.doc_id: r for r in lmscore.score(df, ids).collect()}
-    assert min(got[i].score for i, _ in target) > max(got[i].score for i, _ in rest)
-    assert all(math.isclose(r.score, r.background_loss - r.target_loss) for r in got.values())
-    empty = {r.doc_id: r for r in lmscore.score(odd, odd.filter("doc_id < 0")).collect()}
-    assert empty[1].n_tokens == 0 and empty[1].target_loss is None and empty[1].score == 0.0
+def brute_lm(data, target):
+    """(id, words, target loss, background loss) of every row, by models of all the other rows."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in data]
+    unigrams, bigrams = [Counter(), Counter()], [Counter(), Counter()]
+    for (i, _), w in zip(data, words):
+        for k in (0, 1) if i in target else (0,):
+            unigrams[k].update(w)
+            bigrams[k].update(zip(w, w[1:]))
+    out = []
+    for (i, _), w in zip(data, words):
+        own, pairs, losses = Counter(w), Counter(zip(w, w[1:])), []
+        for k in (1, 0):
+            mine = k == 0 or i in target
+            size, total = sum(unigrams[k].values()) - mine * len(w) + len(unigrams[0]), 0.0
+            for before, x in zip([None, *w], w):
+                p = (unigrams[k][x] - mine * own[x] + 1) / size
+                if before is not None:
+                    p = (bigrams[k][before, x] - mine * pairs[before, x] + lmscore.PRIOR * p) / (unigrams[k][before] - mine * own[before] + lmscore.PRIOR)
+                total -= math.log(p)
+            losses.append(total / len(w) if w else None)
+        out.append((i, len(w), *losses))
+    return out
+
+
+def same_scores(got, want):
+    key = lambda r: (str(r[0]), r[1], r[2] or 0, r[3] or 0)
+    got, want = sorted((tuple(r)[:4] for r in got), key=key), sorted(want, key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for g, w in zip(got, want):
+        assert g[2:] == pytest.approx(w[2:], abs=1e-9) if w[1] else g[2:] == (None, None)
+
+
+@pytest.mark.parametrize(("split", "bucket"), [(lmscore.SPLIT, lmscore.BUCKET), (20_000, 2_000)])
+def test_lm_scores_equal_brute_force(spark, split, bucket):
+    """On whole sf0.001, in one split and in many."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    targets = spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality = 1").select("doc_id")
+    data = [(r.doc_id, r.text) for r in docs.collect()]
+    got = lmscore.score(docs, targets, split, bucket).collect()
+    same_scores(got, brute_lm(data, {r.doc_id for r in targets.collect()}))
+    assert all(math.isclose(r.score, r.background_loss - r.target_loss) for r in got if r.n_tokens)
+
+
+def test_lm_scores_of_odd_rows(spark, odd, none):
+    """Null and repeated ids, with texts alike and unlike; an id that holds most of the text is spread over splits."""
+    data = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()] + [(7, f"some words of row {i % 3} and more") for i in range(40)] + [(None, "a text without an id")] * 3
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    targets = spark.createDataFrame([(1,), (7,), (8,), (8,), (None,), (77,)], "doc_id long")
+    for split in (lmscore.SPLIT, 400):
+        same_scores(lmscore.score(df, targets, split, 50).collect(), brute_lm(data, {1, 7, 8}))
+    empty = lmscore.score(odd, odd.filter("doc_id < 0")).collect()
+    assert len(empty) == odd.count() and all(r.score == 0.0 for r in empty if not r.n_tokens)
     assert lmscore.score(none, none).count() == 0
 
 
-def test_lm_scores_use_rare_words_and_bigrams(spark):
-    """Words and bigrams that are a tiny part of all tokens count; losses equal the model in arrays over all words."""
-    texts = {1: "rare word here", 2: "rare word", 3: "other thing", 4: "filler " * 70000, 5: "word rare word", None: "rare word"}
-    data = [*texts.items(), (2, "rare word")]
-    got = lmscore.score(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame([(1,), (5,)], "doc_id long")).collect()
-    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in data)
-    own = {r.doc_id: r for r in got}
-    assert own[2].score > own[3].score + 0.25
-    names = sorted({w for t in texts.values() for w in t.split()})
-    ids, counts = {w: i for i, w in enumerate(names)}, Counter()
-    for i, t in data:
-        w = [ids[x] for x in t.split()]
-        for key in [(-1, x) for x in w] + [(x, -1) for x in w[:-1]] + list(zip(w, w[1:])):
-            counts[key, 0] += 1
-            counts[key, 1] += i in (1, 5)
-    keys = sorted({k for k, _ in counts})
-    model = lmscore.Model(len(names), np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), np.array([[counts[k, c] for k in keys] for c in (0, 1)]))
-    for i, t in texts.items():
-        w = [ids[x] for x in t.split()]
-        for (unigram, rest, pair), mean in zip(model.losses, (own[i].background_loss, own[i].target_loss)):
-            seen = {int(k): float(p) for k, p in zip(model.keys, pair)}
-            total = unigram[w[0]] + sum(seen.get(a * len(names) + b, rest[a] + unigram[b]) for a, b in zip(w, w[1:]))
-            assert mean == pytest.approx(total / len(w)) and own[i].n_tokens == len(w)
-
-
-def test_bigram_model_is_a_distribution():
-    left, right = np.array([-1, -1, -1, 0, 1, 0, 0, 1]), np.array([0, 1, 2, -1, -1, 0, 1, 0])
-    n = np.array([5, 4, 2, 5, 4, 2, 3, 1])
-    model = lmscore.Model(3, left, right, np.stack([n, n]))
-    unigram, rest, pair = model.losses[0]
-    assert np.exp(-unigram).sum() == pytest.approx(1)
-    seen = {int(k): float(p) for k, p in zip(model.keys, pair)}
-    for a in (0, 1):
-        total = sum(math.exp(-seen.get(a * 3 + b, rest[a] + unigram[b])) for b in range(3))
-        assert total == pytest.approx(1)
+def test_lm_scores_tell_copies_and_target_texts(spark):
+    """A document is not favoured by its own presence, and copies of others are likely under a model of the whole corpus."""
+    rng = random.Random(6)
+    text = lambda names: " ".join(rng.choices(names, k=40))
+    target, rest = [(i, text(["red", "green", "blue"])) for i in range(20)], [(100 + i, text(["one", "two", "three"])) for i in range(20)]
+    odd_ones = [(200 + i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for i in range(6)]
+    df = spark.createDataFrame(target + rest + odd_ones + [(300, odd_ones[0][1])], "doc_id long, text string")
+    got = {r.doc_id: r for r in lmscore.score(df, spark.createDataFrame([(i,) for i in range(10)], "doc_id long")).collect()}
+    assert min(got[i].score for i, _ in target) > max(got[i].score for i, _ in rest)
+    assert got[200].background_loss + 1 < min(got[200 + i].background_loss for i in range(1, 6)) and got[200].score == got[300].score
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{x:1}</style><script>var t="</p>";</script></head><body class="page">
@@ -177,37 +195,90 @@ def fill(sizes, weights, total, caps):
     return target
 
 
-def test_mix_meets_the_targets(spark):
-    got = mixing.mix(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
-    source = {r.doc_id: r.source for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    sizes, taken, targets = Counter(), Counter(), {}
+def mixed(got, source):
+    """Of the rows of a mix: sizes and taken words by source, and words by shard and source."""
+    sizes, taken, shards = Counter(), Counter(), Counter()
     for r in got:
-        s = source[r.doc_id]
-        sizes[s] += r["size"]
-        taken[s] += r.taken
-        targets[s] = r.target
-        assert 0 <= r.taken <= 2 * r["size"] and (r.shard is None) == (r.taken == 0)
+        sizes[source[r.doc_id]] += r["size"]
+        taken[source[r.doc_id]] += r.taken
+        assert 0 <= r.taken <= 2 * r["size"] and r.taken == sum(x.words for x in r.draws) and all(x.words for x in r.draws)
+        for x in r.draws:
+            shards[source[r.doc_id], x.shard] += x.words
+    return sizes, taken, shards
+
+
+def test_mix_meets_the_targets(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = mixing.mix(docs).collect()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    sizes, taken, _ = mixed(got, source)
+    targets = {source[r.doc_id]: r.target for r in got}
     order = sorted(sizes)
     want = fill(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()), {s: 2 * n for s, n in sizes.items()})
     for s in order:
         assert targets[s] == pytest.approx(want[s]) and abs(taken[s] - targets[s]) <= 1
-    again = mixing.mix(spark.read.parquet(f"{SMALL}/documents.parquet").repartition(7)).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
-
-
-def test_mix_of_odd_rows(odd, none):
+        parts = [x.words for r in got if source[r.doc_id] == s for x in r.draws if x.words < r["size"]]
+        assert len(parts) <= 1
+    again = mixing.mix(docs.repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_mix_draws_blocks_by_shard(spark):
+    """On sf0.01: other seeds and blocks draw other documents; shards' words follow their quotas of blocks."""
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.collect()}
+    shards, block = 4, 512
+    got = mixing.mix(docs, shards=shards, block_words=block).collect()
+    sizes, taken, words = mixed(got, source)
+    longest = Counter()
+    for r in got:
+        longest[source[r.doc_id]] = max(longest[source[r.doc_id]], r["size"])
+    by_shard = Counter()
+    for (s, shard), n in words.items():
+        by_shard[shard] += n
+    assert set(by_shard) == set(range(shards)) and max(by_shard.values()) < 1.25 * min(by_shard.values())
+    for s in taken:
+        # a shard's quota is a hypergeometric draw about a fourth of the source's blocks
+        q = taken[s] / block
+        for shard in range(shards):
+            assert abs(words[s, shard] - taken[s] / shards) <= 4 * block * math.sqrt(q * 3 / 16) + 2 * longest[s]
+    other = {r.doc_id: r.taken for r in mixing.mix(docs, seed=5).collect()}
+    assert sum(other[r.doc_id] != r.taken for r in got) > len(got) / 10 and sum(other.values()) == pytest.approx(sum(taken.values()), abs=40)
+
+
+def test_mix_of_odd_rows(spark, odd, none):
     got = mixing.mix(odd).collect()
     assert len(got) == odd.count() and all(r.taken == 0 for r in got if r["size"] == 0)
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
-    mixed = mixing.mixed_documents(odd)
-    assert mixed.columns == odd.columns
-    words = sum(len((r.text or "").split()) for r in mixed.collect())
-    assert abs(words - sum(r.taken for r in got)) <= 2
-
-
-def test_splitting_tree_keeps_quotas(spark):
-    quotas = [(0, 1000), (1, 0), (2, 37), (3, 5000)]
-    runs = mixing.split_quotas(spark.createDataFrame(quotas, "rank int, quota long"), 8, 1).collect()
+    out = mixing.mixed_documents(odd)
+    assert out.columns == odd.columns
+    assert sum(len((r.text or "").split()) for r in out.collect()) == sum(r.taken for r in got)
+    # a third of the rows alike in id and text, and many without an id
+    data = [(5, "one two three four", "a")] * 60 + [(None, f"row {i} of it", "a") for i in range(60)] + [(i, f"text {i}", "b") for i in range(60)]
+    many = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), block_words=64).collect()
+    assert len(many) == 180 and len({r.taken for r in many if r.doc_id == 5}) == 1
+    total = sum(r.taken for r in many if r.doc_id is None or r.doc_id == 5)
+    target = next(r.target for r in many if r.doc_id == 5)
+    assert target - 60 <= total <= target + 1
+
+
+def test_mixed_documents_are_the_draws_in_shuffled_shards(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = Counter()
+    for r in mixing.mix(docs, shards=2).collect():
+        for x in r.draws:
+            want[r.doc_id, x.words] += 1
+    out = mixing.mixed_documents(docs, shards=2, part_words=1 << 14)
+    got = out.collect()
+    assert Counter((r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text))) for r in got) == want
+    assert [r.doc_id for r in got] != sorted(r.doc_id for r in got)
+    assert {r.doc_id: r.source for r in got}.items() <= {r.doc_id: r.source for r in docs.collect()}.items()
+
+
+@pytest.mark.parametrize("chunk", [mixing.CHUNK, 1, 3])
+def test_splitting_tree_keeps_quotas(spark, chunk):
+    quotas = [(0, 1000), (1, 0), (2, 37), (3, 5000)] + [(i, 3) for i in range(4, 12)]
+    runs = mixing.split_quotas(spark.createDataFrame(quotas, "rank int, quota long"), 8, 1, chunk).collect()
     for rank, quota in quotas:
         own = sorted((r.shard, r.first, r.blocks) for r in runs if r.rank == rank)
         assert sum(b for _, _, b in own) == quota and [f for _, f, _ in own] == [sum(b for _, _, b in own[:i]) for i in range(8)]

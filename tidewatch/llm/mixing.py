@@ -1,17 +1,26 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Every source is a stream of words: its documents in a seeded random order.  The
-stream is cut into equal blocks, a source's quota is a number of blocks, and a
-splitting tree deals the quotas out to the output shards: at each node the left
-half of the shards gets a multivariate hypergeometric draw of the node's quotas
-and the right half gets the rest, so every level keeps the quotas exactly.  A
-shard then owns one run of blocks of each source's permuted stream; runs of
-different shards are disjoint, and a shard's rows are ordered by a local random key.
-
-Defined cases: null text has size 0 and takes 0; a null source is a source of
-its own, last in the order; repeated doc_ids are separate rows; a source whose
-documents have no words has target 0; an empty table gives no rows; extra columns
-are ignored, whatever their names.
+1. Each source's documents are dealt out to small groups by a seeded hash, and runs of
+   groups make blocks of nearly equal numbers of words.
+2. A pass draws every block of a source once, in a random order of its own.  A source with
+   target t and size s is passed floor(t / s) times in full; then blocks are drawn until the
+   target is met, the last one in part.  The number of draws is the source's quota.
+3. A splitting tree deals the quotas out to the output shards: at each node the left half of
+   the shards gets a multivariate hypergeometric draw of the node's quotas and the right half
+   gets the rest, so every level keeps the quotas exactly.  Draws of many sources are made by
+   chunks: first of the chunks' totals, then of the sources in each chunk.
+4. A shard takes the next blocks, as many as its quota says, of each source's permuted draws.
+   What a document gives is the sum of what shards draw from its block; shards are disjoint,
+   and a shard's documents are shuffled by a random key.
+
+There are at most BLOCKS blocks and one a source, whatever the input.  Nothing is ordered
+over documents but those of the one group a source in which its last draw ends.
+
+Defined cases: null text has size 0 and takes 0; a null source is a source of its own,
+last in the order; repeated doc_ids are separate rows, and rows alike in id and text share a
+group and take alike (of the words that are left for m of them each takes an m-th, rounded
+down); a source whose documents have no words has target 0; an empty table gives no rows;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +30,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import as_row
+
 WORD = r"[^\x20\x09-\x0D]+"
-#: Groups of a source's permuted order; prefix sums run inside a group and over the groups.
-GROUPS = 4096
+#: Blocks of all sources together (besides one a source), and groups of a block.
+BLOCKS, GROUPS = 1 << 15, 4
+#: Sources whose quotas are split in one row of the tree.
+CHUNK = 128
+#: Rows of the table of draws up to which it is broadcast; beyond, documents are joined to it by shuffles.
+BROADCAST = 1 << 18
+#: Words of a task's part of a shard, on average.
+PART_WORDS = 4 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -68,58 +85,77 @@ def _unit(*keys: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
 
 
-def _left_quotas(seed: int) -> Column:
-    """The left child's draw of a node's quotas: one hypergeometric draw a source, conditioned on those before it."""
+def _draw(entries: Column, room: Column, total: Column, *keys: Column) -> Column:
+    """A multivariate hypergeometric draw of ``room`` out of entries (id, n), ``total`` in sum: one hypergeometric draw an entry, conditioned on those before it."""
 
     def draw(state: Column, entry: Column) -> Column:
-        blocks = F.when(entry["quota"] > 0, F.sequence(F.lit(1).cast("long"), entry["quota"])).otherwise(F.array().cast("array<bigint>"))
+        blocks = F.when(entry["n"] > 0, F.sequence(F.lit(1).cast("long"), entry["n"])).otherwise(F.array().cast("array<bigint>"))
 
         def step(inner: Column, i: Column) -> Column:
-            hit = _unit(F.lit(seed), F.col("level"), F.col("node"), entry["rank"], i) * inner["rest"] < inner["room"]
-            took = F.when(hit, 1).otherwise(0).cast("long")
+            took = F.when(_unit(*keys, entry["id"], i) * inner["rest"] < inner["room"], 1).otherwise(0).cast("long")
             return F.struct((inner["room"] - took).alias("room"), (inner["rest"] - 1).alias("rest"), (inner["took"] + took).alias("took"))
 
         after = F.aggregate(blocks, F.struct(state["room"].alias("room"), state["rest"].alias("rest"), F.lit(0).cast("long").alias("took")), step)
-        return F.struct(
-            after["room"].alias("room"), after["rest"].alias("rest"),
-            F.concat(state["out"], F.array(F.struct(entry["rank"].alias("rank"), after["took"].alias("quota")))).alias("out"),
-        )
-
-    start = F.struct(
-        F.col("left_room").alias("room"), F.col("total").alias("rest"),
-        F.array().cast("array<struct<rank:int,quota:bigint>>").alias("out"),
-    )
-    return F.aggregate(F.col("quotas"), start, draw, lambda s: s["out"])
+        return F.struct(after["room"].alias("room"), after["rest"].alias("rest"), F.concat(state["out"], F.array(F.struct(entry["id"].alias("id"), after["took"].alias("n")))).alias("out"))
+
+    none = F.array().cast("array<struct<id:int,n:bigint>>")
+    return F.aggregate(entries, F.struct(room.alias("room"), total.alias("rest"), none.alias("out")), draw, lambda s: s["out"])
 
 
-def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(rank, quota) -> (rank, shard, first, blocks): which run of each source's blocks a shard owns.
+def _sum(entries: Column | str) -> Column:
+    return F.aggregate(entries, F.lit(0).cast("long"), lambda a, x: a + x["n"])
 
-    ``shards`` is a power of two; level k of the tree has 2**k rows.
+
+def split_quotas(quotas: DataFrame, shards: int, seed: int, chunk: int = CHUNK) -> DataFrame:
+    """(rank, quota) -> (rank, shard, first, blocks): which run of each source's draws a shard owns.
+
+    ``shards`` is a power of two; level k of the tree has 2**k nodes, each in rows of ``chunk`` sources.
     """
-    node = quotas.agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), F.col("quota").cast("long").alias("quota")))).alias("quotas")).select(
-        F.lit(0).alias("level"), F.lit(0).alias("node"), "quotas"
-    )
-    width = shards
+    entry = F.struct(F.col("rank").cast("int").alias("id"), F.col("quota").cast("long").alias("n"))
+    rows = quotas.groupBy(F.floor(F.col("rank") / chunk).cast("int").alias("chunk")).agg(F.array_sort(F.collect_list(entry)).alias("quotas")).withColumn("node", F.lit(0))
+    width, level = shards, 0
     while width > 1:
-        width //= 2
-        total = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x["quota"])
-        halves = (
-            node.withColumn("total", total)
-            .withColumn("left_room", F.floor(F.col("total") / 2))
-            .withColumn("left", _left_quotas(seed))
-            .withColumn("right", F.zip_with("quotas", "left", lambda q, x: F.struct(q["rank"].alias("rank"), (q["quota"] - x["quota"]).alias("quota"))))
-        )
-        node = halves.select(
-            (F.col("level") + 1).alias("level"),
-            F.posexplode(F.array("left", "right")).alias("side", "quotas"),
-            "node",
-        ).select("level", (F.col("node") * 2 + F.col("side")).alias("node"), "quotas")
-    leaves = node.select(F.col("node").alias("shard"), F.explode("quotas").alias("q")).select("shard", F.col("q.rank").alias("rank"), F.col("q.quota").alias("blocks"))
+        width, level = width // 2, level + 1
+        totals = F.array_sort(F.collect_list(F.struct(F.col("chunk").alias("id"), _sum("quotas").alias("n"))))
+        nodes = rows.groupBy("node").agg(totals.alias("chunks")).withColumn("total", _sum("chunks"))
+        rooms = nodes.select("node", F.explode(_draw(F.col("chunks"), F.floor(F.col("total") / 2), F.col("total"), F.lit(seed), F.lit(-level), F.col("node"))).alias("room"))
+        rooms = rooms.select("node", F.col("room.id").alias("chunk"), F.col("room.n").alias("room"))
+        drawn = rows.join(rooms, ["node", "chunk"]).withColumn("left", _draw(F.col("quotas"), F.col("room"), _sum("quotas"), F.lit(seed), F.lit(level), F.col("node")))
+        drawn = drawn.withColumn("right", F.zip_with("quotas", "left", lambda q, x: F.struct(q["id"].alias("id"), (q["n"] - x["n"]).alias("n"))))
+        rows = drawn.select("chunk", "node", F.posexplode(F.array("left", "right")).alias("side", "quotas")).select("chunk", (F.col("node") * 2 + F.col("side")).alias("node"), "quotas")
+    leaves = rows.select(F.col("node").alias("shard"), F.explode("quotas").alias("q")).select("shard", F.col("q.id").alias("rank"), F.col("q.n").alias("blocks"))
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return leaves.select("rank", "shard", F.coalesce(F.sum("blocks").over(before), F.lit(0).cast("long")).alias("first"), "blocks")
 
 
+def _before(values: str, keys: list[str], *order: str) -> Column:
+    """The sum of the values before a row, in its keys' order."""
+    return F.coalesce(F.sum(values).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+
+
+def _draws(groups: DataFrame, plan: DataFrame, shards: int, seed: int) -> DataFrame:
+    """rank, grp, words, shard, pass and share (words of the group that the shard takes in that pass) of all draws.
+
+    groups: rank, grp, words, start (words of the source before the group); plan: a row a source.
+    """
+    block = F.least(F.floor(F.col("start") * F.col("n_blocks") / F.col("source_size")), F.col("n_blocks") - 1).cast("long")
+    cut = groups.join(plan.select("rank", "n_blocks", "source_size"), "rank").select("rank", "grp", "words", block.alias("block"))
+    blocks = cut.groupBy("rank", "block").agg(F.sum("words").alias("block_words")).join(plan.select("rank", "passes", "left_over"), "rank")
+    passed = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes")))).withColumn("order", F.xxhash64(F.lit(seed), "rank", "pass", "block"))
+    in_pass = Window.partitionBy("rank", "pass")
+    passed = passed.withColumn("drawn", _before("block_words", ["rank", "pass"], "order", "block")).withColumn("nth", F.row_number().over(in_pass.orderBy("order", "block")) - 1).withColumn("many", F.count("*").over(in_pass))
+    drawn = passed.filter((F.col("pass") < F.col("passes")) | (F.col("drawn") < F.col("left_over"))).select(
+        "rank", "block", "pass", (F.col("pass") * F.col("many") + F.col("nth")).alias("place"),
+        F.when(F.col("pass") < F.col("passes"), F.col("block_words")).otherwise(F.least("block_words", F.col("left_over") - F.col("drawn"))).alias("share"),
+    )
+    runs = split_quotas(drawn.groupBy("rank").agg(F.count("*").alias("quota")), shards, seed)
+    runs = runs.filter("blocks > 0").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("first", "shard"))).alias("runs"))
+    owned = drawn.join(runs, "rank").withColumn("shard", F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("place")), -1)["shard"])
+    met = cut.withColumn("inside", _before("words", ["rank", "block"], "grp")).join(owned, ["rank", "block"])
+    share = F.least(F.col("words"), F.col("share") - F.col("inside"))
+    return met.withColumn("share", share).filter("share > 0").select("rank", "grp", "words", "pass", "shard", "share")
+
+
 def mix(
     docs: DataFrame,
     share: float = 1.5,
@@ -127,77 +163,74 @@ def mix(
     most: float = 2.0,
     shards: int = 16,
     block_words: int = 1024,
-    most_blocks: int = 1 << 17,
+    most_blocks: int = BLOCKS,
     seed: int = 20250101,
     keep: bool = False,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken, shard and place of every row; with ``keep`` also the row, a struct.
-
-    A source with target t and size s is passed floor(t / s) times in full; the
-    words left over are the first ones of its permuted stream, so at most one
-    document a source is taken in part and the sum of ``taken`` is t rounded.
-    Blocks hold ``block_words`` words, or more where that gives over ``most_blocks``.
-    ``shard`` owns the block in which the document's first pass begins (null when it takes
-    nothing); ``place`` is its random order inside the shard.
-    """
-    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"), *carried).withColumn(
-        "grp", F.pmod(F.col("key"), F.lit(GROUPS))
-    )
-    groups = sized.groupBy("source", "grp").agg(F.sum("size").alias("group_size"))
-    before_group = Window.partitionBy("source").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("source", "grp", F.coalesce(F.sum("group_size").over(before_group), F.lit(0).cast("long")).alias("group_start"))
+    """doc_id, size, source_size, target, taken and draws (pass, shard and words, an array) of every row; with ``keep`` also key and the row, a struct.
 
+    The sum of ``taken`` over a source is its target, rounded, and at most one document a
+    source is taken in part (with its exact copies).  Blocks hold ``block_words`` words, or more where that gives over ``most_blocks``.
+    """
+    carried = [as_row(docs.columns)] if keep else []
+    keyed = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"), *carried)
+    sized = keyed.select("source", word_count(F.col("text")).alias("size"))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights, most)
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    targets = (
-        targets.withColumn("words", F.round("target").cast("long"))
-        .withColumn("block", F.greatest(F.lit(block_words).cast("long"), F.ceil(F.sum("words").over(whole) / F.lit(most_blocks))))
-        .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.when(F.col("source_size") > 0, F.col("source_size")))).otherwise(0))
-        .withColumn("left_over", F.col("words") - F.col("passes") * F.col("source_size"))
+    some = F.when(F.col("source_size") > 0, F.col("source_size"))
+    plan = (
+        targets.withColumn("quota_words", F.round("target").cast("long"))
+        .withColumn("block", F.greatest(F.lit(block_words).cast("long"), F.ceil(F.sum("source_size").over(whole) / F.lit(most_blocks))))
+        .withColumn("n_blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / F.col("block"))))
+        .withColumn("passes", F.coalesce(F.floor(F.col("quota_words") / some), F.lit(0)).cast("long"))
+        .withColumn("left_over", F.col("quota_words") - F.col("passes") * F.col("source_size"))
+        .select(F.col("source").alias("s_source"), "rank", "source_size", "target", "n_blocks", "passes", "left_over")
+        .checkpoint()
     )
-    runs = split_quotas(targets.select("rank", F.ceil(F.col("words") / F.col("block")).alias("quota")), shards, seed)
-    starts = runs.groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "first"))), lambda x: x["first"]).alias("starts"))
-    plan = targets.join(starts, "rank").select(F.col("source").alias("s_source"), "source_size", "target", "block", "passes", "left_over", "starts")
-    grouped = groups.select(F.col("source").alias("g_source"), F.col("grp").alias("g_grp"), "group_start")
-
-    inside = Window.partitionBy("source", "grp").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
-        .join(grouped, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("grp") == F.col("g_grp")))
-        .withColumn("at", F.col("group_start") + F.col("inside"))
-        .join(plan, F.col("source").eqNullSafe(F.col("s_source")))
-    )
-    extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("left_over") - F.col("at")))
-    taken = F.col("passes") * F.col("size") + extra
-    owner = F.size(F.filter("starts", lambda x: x <= F.floor(F.col("at") / F.col("block")))) - 1
-    return placed.withColumn("taken", taken).select(
-        "doc_id", "size", "source_size", "target", "taken",
-        F.when(F.col("taken") > 0, owner).alias("shard"),
-        F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("place"),
-        *(["row"] if keep else []),
-    )
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows with the columns of ``docs``: a document once for each full pass that takes it,
-    and the document on the edge of its source's quota cut after the words taken."""
-    taken = mix(docs, keep=True, **options)
-    some = F.when(F.col("size") > 0, F.col("size"))
-    whole = F.coalesce(F.floor(F.col("taken") / some), F.lit(0)).cast("int")
-    part = (F.col("taken") - F.col("size") * whole).cast("int")
-    copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    rows = taken.withColumn("words", F.explode(copies))
-    cut = F.col("words") > 0
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest(F.col("words"), F.lit(1))), " ")
-    text = F.when(cut, head).otherwise(F.col("row.text"))
+    grp = F.pmod("key", F.col("n_blocks") * GROUPS).alias("grp")
+    named = keyed.join(plan, F.col("source").eqNullSafe(F.col("s_source")))
+    groups = named.select("rank", grp, word_count(F.col("text")).alias("size")).groupBy("rank", "grp").agg(F.sum("size").alias("words")).filter("words > 0")
+    draws = _draws(groups.withColumn("start", _before("words", ["rank"], "grp")).checkpoint(), plan, shards, seed).checkpoint()
+
+    # the one group a source that is not drawn in full: its documents up to a key, and that key's in part
+    edge = draws.filter("share < words").select("rank", "grp", "pass", "share")
+    inside = named.select("rank", grp, "key", "text").join(edge, ["rank", "grp"]).select("rank", "grp", "pass", "share", "key", word_count(F.col("text")).alias("size"))
+    inside = inside.groupBy("rank", "grp", "pass", "share", "key").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).withColumn("before", _before("words", ["rank", "grp", "pass"], "key"))
+    ends = inside.filter("before < share and share <= before + words").select("rank", "grp", "pass", F.col("key").alias("end_key"), F.floor((F.col("share") - F.col("before")) / F.col("rows")).alias("end_words"))
+    entry = F.struct("pass", "shard", "end_key", "end_words")
+    table = draws.join(ends, ["rank", "grp", "pass"], "left").groupBy("rank", "grp").agg(F.array_sort(F.collect_list(entry)).alias("entries")).checkpoint()
+    table = table.select(F.col("rank").alias("d_rank"), F.col("grp").alias("d_grp"), "entries")
+    if table.count() <= BROADCAST:
+        table = F.broadcast(table)
+
+    rows = named.select("doc_id", "source_size", "target", "key", "rank", grp, word_count(F.col("text")).alias("size"), *(["row"] if keep else []))
+    met = rows.join(table, (F.col("rank") == F.col("d_rank")) & (F.col("grp") == F.col("d_grp")), "left")
+    words = lambda x: F.when(x["end_key"].isNull() | (F.col("key") < x["end_key"]), F.col("size")).when(F.col("key") == x["end_key"], F.least("size", x["end_words"])).otherwise(0).cast("long")
+    given = F.transform(F.coalesce("entries", F.array().cast(table.schema["entries"].dataType)), lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), words(x).alias("words")))
+    given = met.withColumn("draws", F.filter(given, lambda x: x["words"] > 0))
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return given.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws", *(["key", "row"] if keep else []))
+
+
+def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 20250101, part_words: int = PART_WORDS, **options) -> DataFrame:
+    """The mix as rows with the columns of ``docs``, a row for each draw that takes words of a document, cut where it takes it in part.
+
+    Rows come by shard, each shard in one or more parts, and shuffled inside them.
+    """
+    mixed = mix(docs, keep=True, shards=shards, seed=seed, **options)
+    rows = mixed.select("size", "key", "row", F.inline("draws"))
+    words = docs.select(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)))).first()[0] or 0
+    place = F.xxhash64(F.lit(seed + 1), "key", "pass")
+    parts = max(1, -(-words // (4 * shards * part_words)))  # of a shard; a word and its blank take four bytes or more, mostly
+    dealt = rows.withColumn("place", place).withColumn("part", F.pmod(F.xxhash64("place"), F.lit(parts))).repartition("shard", "part").sortWithinPartitions("shard", "part", "place")
+    cut = F.col("words") < F.col("size")
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest(F.col("words"), F.lit(1)).cast("int")), " ")
     columns = []
     for c in docs.columns:
         value = F.col("row").getField(c)
         if c == "text":
-            value = text
+            value = F.when(cut, head).otherwise(value)
         elif c == "n_chars":
             value = F.when(cut, F.length(head).cast(docs.schema[c].dataType)).otherwise(value)
         columns.append(value.alias(c))
-    return rows.select(*columns)
+    return dealt.select(*columns)
