@@ -1,11 +1,22 @@
 """HTML main-text extraction by tree scoring.
 
-A page is read into a tree.  Parts that are never the article (menus, footers, forms,
-adverts, notices, reader comments and the like, by element or by class and id words)
-are left out.  Every block of text earns points for its commas and its length, which go
-to the elements around it, in full to the nearest container and in falling parts to those
-further out; a container's points are discounted by its link density.  The best container
-is kept, with those of its siblings that score well or read like paragraphs.
+A page is read into a tree in one pass.  Elements that are never the article (menus,
+footers, forms, scripts and the like) are left out.  Every block of text earns points for
+its commas and its length, which go to the elements around it, in full to the nearest
+container and in falling parts to those further out; a container's points are discounted
+by its link density.  The best container is kept, with those of its siblings that score
+well or read like paragraphs.
+
+Words of a class, id or role mark parts as adverts, notices, comments and so on, but a mark
+is weighed: a part that holds the article itself (an article, a main or the page's title) is
+only a wrapper; words that are said to be absent or are mere tags (``no-sidebar``,
+``ad-free``, ``tag-alert``) mark nothing; a part with a doubtful word (``related``,
+``header``) stays if it has prose or a heading and few links.  If nothing is left by the
+marks, they are not heeded.
+
+Time is linear in the page, also for unclosed tags, quotes and comments: what is once
+looked for in vain up to the page's end is not looked for again, and open elements are
+found by their names.
 
 Defined cases: a null or empty page, and one without article text, gives the empty text;
 unclosed, misnested and cut-off markup is read as far as it goes; depth and length are not
@@ -17,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -26,16 +38,13 @@ from pyspark.sql import functions as F
 from .columns import as_row, with_row
 from .words import pieces
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"  # a comment
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|(?P<text>[^<]+|<)",
-    re.S,
-)
-_NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE = re.compile(r">|=\s*[\"']")
+_ATTRIBUTES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+#: Numbers of character references that can't be code points, and leading zeros.
+_HUGE, _ZEROS = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,});?"), re.compile(r"(&#[xX]?)0+(?=[0-9a-fA-F])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noframes".split())
@@ -44,10 +53,15 @@ NEVER = frozenset(
 )
 #: Words of a class, id or role that mark a part as no article text.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices alert disclaimer "
-    "sidebar aside nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar footer header masthead comment comments respond disqus reply replies "
-    "share sharing social follow related recommended recommendations newsletter subscribe signup login search widget widgets skip tags taglist banner complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal cookie cookies consent gdpr notice notices disclaimer sidebar nav navbar navigation menu "
+    "breadcrumb breadcrumbs pagination pager toolbar footer masthead comment comments respond disqus replies share sharing social newsletter subscribe signup login skip complementary contentinfo".split()
 )
+#: Words that may mark one.
+DOUBTFUL = frozenset("header alert overlay aside follow related recommended recommendations widget widgets reply search tags taglist".split())
+#: Of an article element, only these are heeded.
+OF_ARTICLES = frozenset("comment comments reply replies".split())
+#: First parts of a class by which its other parts mark nothing, and such last parts.
+ABSENT, ABSENT_AFTER = frozenset("has no not with without hide is tag category".split()), frozenset("free less".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre "
     "section summary table tbody td tfoot th thead tr ul caption".split()
@@ -59,45 +73,92 @@ LEAVES = HEADINGS | frozenset("p pre li dt dd td th blockquote figcaption captio
 START = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 3.0}
 #: An element that starts closes these open ones, up to the given scope.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Characters from which a block is prose, and the part of links up to which a doubtful or sibling part is kept.
+PROSE, LINKS = 60, 0.25
+
 
+def _marks(name: str, rest: str) -> int:
+    """2 for an element that class, id or role mark as no article text, 1 for a doubtful one, else 0."""
+    if "=" not in rest or name in ("html", "body", "main"):
+        return 0
+    worst = 0
+    for groups in _ATTRIBUTES.findall(rest):
+        for label in "".join(groups).split():
+            parts = [w.lower() for w in _PARTS.findall(label)]
+            if len(parts) > 1 and (parts[0] in ABSENT or parts[-1] in ABSENT_AFTER):
+                continue
+            if name == "article":
+                worst = max(worst, 2 * (not OF_ARTICLES.isdisjoint(parts)))
+            elif not MARKS.isdisjoint(parts):
+                worst = 2
+            elif not DOUBTFUL.isdisjoint(parts) and name not in HEADINGS:
+                worst = max(worst, 1)
+    return worst
 
-def _marked(name: str, rest: str) -> bool:
-    if name in NEVER or _HIDDEN.search(rest):
-        return True
-    if name in ("html", "body", "article", "main") or "=" not in rest:
-        return False
-    for groups in _NAMES.findall(rest):
-        if not MARKS.isdisjoint(w.lower() for w in _WORD.findall("".join(groups))):
-            return True
-    return False
+
+def _unescaped(text: str) -> str:
+    if "&#" in text:
+        text = _ZEROS.sub(r"\1", _HUGE.sub("\ufffd", text))
+    return html.unescape(text) if "&" in text else text
 
 
 class Page:
     """A page's elements in document order, and its blocks of text with the element each is in."""
 
     def __init__(self, source: str):
-        self.name, self.parent, self.out = ["html"], [-1], [False]
+        self.name, self.parent, self.out, self.mark = ["html"], [-1], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._open, self._links = [0], 0
+        self._depths: dict[str, list[int]] = defaultdict(list, html=[0])  # of the open elements, by name
+        self._holders = [0]  # open elements that hold blocks
         self._parts: list[str] = []
         self._linked = 0
-        at, n = 0, len(source)
+        self._read(source)
+        self._flush()
+
+    def _read(self, source: str) -> None:
+        at, n, unclosed = 0, len(source), set()
         while at < n:
-            m = _TOKEN.match(source, at)
-            at = m.end()
-            if (text := m["text"]) is not None:
-                self._text(text)
-            elif name := m["name"]:
-                name = name.lower()
-                if m["end"]:
-                    self._end(name)
+            begin = source.find("<", at)
+            if begin < 0:
+                begin = n
+            if begin > at:
+                self._text(source[at:begin])
+            if begin == n:
+                return
+            second = source[begin + 1 : begin + 2]
+            if source.startswith("<!--", begin):
+                close = source.find("-->", begin + 2)
+                at = close + 3 if close >= 0 else n
+                continue
+            named = _NAME.match(source, begin + (2 if second == "/" else 1))
+            if named is None:
+                if second and second in "!?/":
+                    close = source.find(">", begin)
+                    at = close + 1 if close >= 0 else n
                 else:
-                    rest = m["rest"]
-                    self._start(name, rest)
-                    if name in RAW and not rest.endswith("/"):
-                        close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
-                        at = close.start() if close else n
-        self._flush()
+                    self._text("<")
+                    at = begin + 1
+                continue
+            end = named.end()
+            while (stop := _QUOTE.search(source, end)) and stop.group() != ">":  # a value in quotes may hold anything
+                quote, end = source[stop.end() - 1], stop.end()
+                if quote not in unclosed:
+                    close = source.find(quote, end)
+                    if close < 0:
+                        unclosed.add(quote)
+                    else:
+                        end = close + 1
+            at, last = (stop.end(), stop.start()) if stop else (n, n)
+            name = named.group().lower()
+            if second == "/":
+                self._end(name)
+                continue
+            rest = source[named.end() : last]
+            self._start(name, rest)
+            if name in RAW and not rest.endswith("/"):
+                close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+                at = close.start() if close else n
 
     def _text(self, text: str) -> None:
         if not self.out[self._open[-1]]:
@@ -107,25 +168,30 @@ class Page:
 
     def _flush(self) -> None:
         if self._parts:
-            text = " ".join(html.unescape("".join(self._parts)).split())
+            text = " ".join(_unescaped("".join(self._parts)).split())
             if text:
-                element = next(e for e in reversed(self._open) if self.name[e] in BLOCK)
-                self.blocks.append((element, text, min(self._linked, len(text))))
+                self.blocks.append((self._holders[-1], text, min(self._linked, len(text))))
             self._parts, self._linked = [], 0
 
     def _close(self, depth: int) -> None:
         """Closes the open elements from this depth on."""
-        for e in self._open[depth:]:
+        closing = self._open[depth:]
+        if any(self.name[e] in BLOCK for e in closing):
+            self._flush()
+        for e in closing:
+            self._links -= self.name[e] == "a"
+            self._depths[self.name[e]].pop()
             if self.name[e] in BLOCK:
-                self._flush()
-                break
-        self._links -= sum(self.name[e] == "a" for e in self._open[depth:])
+                self._holders.pop()
         del self._open[depth:]
 
+    def _deepest(self, names) -> int:
+        return max((self._depths[x][-1] for x in names if self._depths.get(x)), default=-1)
+
     def _start(self, name: str, rest: str) -> None:
         if name == "br":
             return self._text(" ")
-        if name in ("html", "body") and name in (self.name[e] for e in self._open):
+        if name in ("html", "body") and self._depths.get(name):
             return None
         closed, scope = ({"p"}, {"td", "th", "button", "object"}) if name in BLOCK and name not in CLOSES else CLOSES.get(name, (set(), set()))
         if name in CLOSES and name != "option":
@@ -133,40 +199,68 @@ class Page:
         self._close_open(closed, scope)
         if name in BLOCK:
             self._flush()
-        up = self._open[-1]
-        out = self.out[up] or _marked(name, rest)
-        if name == "header" and not self.out[up]:
-            out = not any(self.name[e] in ("article", "main") for e in self._open)
+        up, mark = self._open[-1], _marks(name, rest)
+        out = self.out[up] or name in NEVER or _HIDDEN.search(rest) is not None or (mark == 2 and name not in BLOCK)
+        if name == "header" and not self._depths.get("article") and not self._depths.get("main"):
+            out = True
         if name not in VOID and not rest.endswith("/") or name in RAW:
             self.name.append(name)
             self.parent.append(up)
             self.out.append(out)
-            self._open.append(len(self.name) - 1)
+            self.mark.append(mark if name in BLOCK else 0)
+            e = len(self.name) - 1
+            self._depths[name].append(len(self._open))
+            self._open.append(e)
             self._links += name == "a"
+            if name in BLOCK:
+                self._holders.append(e)
         return None
 
     def _close_open(self, names: set[str], scope: set[str]) -> None:
-        for depth in range(len(self._open) - 1, 0, -1):
-            open_name = self.name[self._open[depth]]
-            if open_name in names:
-                return self._close(depth)
-            if open_name in scope or depth < len(self._open) - 64:
-                return None
-        return None
+        depth = self._deepest(names)
+        if depth > 0 and depth > self._deepest(scope):
+            self._close(depth)
 
     def _end(self, name: str) -> None:
-        if name == "p" or name in BLOCK:
+        if name in BLOCK:
             self._flush()
-        for depth in range(len(self._open) - 1, 0, -1):
-            if self.name[self._open[depth]] == name:
-                return self._close(depth)
-        return None
+        if self._depths.get(name) and self._depths[name][-1] > 0:
+            self._close(self._depths[name][-1])
+
+    def _left_out(self, chars: list[int], linked: list[int], heed: bool) -> list[bool]:
+        """Which elements are no article text, by their kind and by their marks, weighed."""
+        n = len(self.name)
+        if not heed:
+            return list(self.out)
+        holds, prose = [False] * n, [False] * n  # the article or its title; a heading or prose
+        for element, text, _ in self.blocks:
+            prose[element] = prose[element] or len(text) >= PROSE or self.name[element] in HEADINGS
+        for e in range(n - 1, 0, -1):
+            up, name = self.parent[e], self.name[e]
+            holds[up] = holds[up] or holds[e] or name == "h1" or name in ("article", "main") and self.mark[e] < 2
+            prose[up] = prose[up] or prose[e]
+        out = list(self.out)
+        for e in range(1, n):
+            few_links = linked[e] < LINKS * max(chars[e], 1)
+            marked = self.mark[e] == 2 or self.mark[e] == 1 and not (prose[e] and few_links)
+            out[e] = out[e] or out[self.parent[e]] or marked and not holds[e]
+        return out
 
     def article(self) -> list[str]:
         """The blocks of the best container and of its good siblings, in page order."""
+        return self._best(True) or self._best(False)
+
+    def _best(self, heed: bool) -> list[str]:
         n = len(self.name)
-        points, chars, linked = [0.0] * n, [0] * n, [0] * n
+        chars, linked = [0] * n, [0] * n
         for element, text, in_links in self.blocks:
+            chars[element] += len(text)
+            linked[element] += in_links
+        total = self._added(chars), self._added(linked)
+        out = self._left_out(*total, heed)
+        blocks = [b for b in self.blocks if not out[b[0]]]
+        points, chars, linked = [0.0] * n, [0] * n, [0] * n
+        for element, text, in_links in blocks:
             earned = 1 + text.count(",") + min(len(text) / 100, 3)
             chars[element] += len(text)
             linked[element] += in_links
@@ -177,28 +271,33 @@ class Page:
             while holder >= 0 and part < 5:
                 points[holder] += earned / part
                 holder, part = self.parent[holder], part + 1
-        for e in range(n - 1, 0, -1):
-            chars[self.parent[e]] += chars[e]
-            linked[self.parent[e]] += linked[e]
-        score = [(points[e] + START.get(self.name[e], 0)) * (1 - linked[e] / chars[e]) if points[e] and chars[e] and not self.out[e] else 0.0 for e in range(n)]
+        chars, linked = self._added(chars), self._added(linked)
+        score = [(points[e] + START.get(self.name[e], 0)) * (1 - linked[e] / chars[e]) if points[e] and chars[e] and not out[e] else 0.0 for e in range(n)]
         best = max(range(n), key=lambda e: (score[e], e))
         if score[best] <= 0:
             return []
         kept = {best}
-        bar = max(10.0, score[best] / 5)
+        bar = score[best] / 5
         own: dict[int, list[str]] = {}
-        for element, text, _ in self.blocks:
+        for element, text, _ in blocks:
             own.setdefault(element, []).append(text)
         for e in range(1, n):
-            if e != best and self.parent[e] == self.parent[best] and not self.out[e] and chars[e]:
+            if e != best and self.parent[e] == self.parent[best] and not out[e] and chars[e]:
                 density, text = linked[e] / chars[e], " ".join(own.get(e, []))
-                paragraph = self.name[e] in LEAVES and (density < 0.25 and len(text) > 80 or not density and (self.name[e] == "h1" or text[-1:] in ".!?…。"))
+                paragraph = self.name[e] in LEAVES and (density < LINKS and len(text) > 80 or not density and (self.name[e] == "h1" or text[-1:] in ".!?…。"))
                 if score[e] >= bar or paragraph:
                     kept.add(e)
         inside = [False] * n
         for e in range(n):
             inside[e] = e in kept or self.parent[e] >= 0 and inside[self.parent[e]]
-        return [text for element, text, _ in self.blocks if inside[element]]
+        return [text for element, text, _ in blocks if inside[element]]
+
+    def _added(self, values: list[int]) -> list[int]:
+        """The sums over each element and all that it holds."""
+        out = list(values)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
 
 
 def main_text(source: str | None) -> str:
