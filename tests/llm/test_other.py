@@ -178,6 +178,25 @@ def test_top_k_of_odd_vectors(spark):
     assert [g[2] for g in got] == [1, 1] and got[0][3] == 1024 * 1024 + 2048 * 2048
     assert topk.search(df, F.col("vec_id") == 100, k=20).filter("score > 0").count() == 0
     assert topk.search(df.filter("false"), F.col("vec_id") % 100 == 0).count() == 0
+    # an unusable vector does not hide a usable one of the same id
+    twice = spark.createDataFrame([(0, [1.0, None]), (0, [1.0, 2.0]), (1, [1.0, 1.0]), (0, [float("inf"), 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.search(twice, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 1, 1024 * 1024 + 2048 * 1024)]
+
+
+def test_top_k_in_many_cells_with_ties(spark):
+    rng = random.Random(9)
+    rows_ = [(i, [float(rng.randrange(-3, 4)) for _ in range(3 if i % 5 else 2)]) for i in range(400)] + [(i, [5e8, -1.0, 2.0]) for i in (500, 501)]  # the products of two of these are beyond 64 bits
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(4)
+    want = []
+    for q, v in rows_:
+        if q % 10 == 0:
+            scores = sorted((-sum(math.floor(8 * a) * math.floor(8 * b) for a, b in zip(v, w)), i) for i, w in rows_ if i != q and len(w) == len(v))
+            want += [(q, rank, i, min(-s, 2**63 - 1)) for rank, (s, i) in enumerate(scores[:7], 1)]
+    got = topk.search(df, F.col("vec_id") % 10 == 0, k=7, scale=8.0, tile=16).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert topk.grid(1, 1) == (1, 1)
+    q, c = topk.grid(10**7, 10**9)
+    assert 50 < c / q < 200 and q * c * topk.PRODUCTS >= 10**16 / topk.TILE**2 / 2
 
 
 def fill(sizes, weights, total, caps):

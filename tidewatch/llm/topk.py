@@ -1,20 +1,25 @@
 """Exact top-k search by inner product: tiled matrix products and merged lists.
 
 Queries and candidates are packed into tiles (a bounded number of vectors each, as
-bytes).  Each tile of candidates meets each tile of queries in one matrix product,
-which keeps only the best k of each query; those lists are merged in two levels, so
-that no task gets all lists of a query.  A stated query set meets all rows, in blocks.
+bytes).  Tiles are dealt out to a grid of cells, as many as the products ask for: a cell
+has some tiles of queries and some of candidates, multiplies each with each, selects the
+best k of each query from a product and merges them with those so far.  The cells' lists
+are merged in two levels, so that no task gets all lists of a query.  A stated query set
+meets all rows, in blocks; with n queries and m candidates in g cells about
+2 * sqrt(g * n * m) vectors are sent.
 
 Defined cases: a vector that is null or holds a null or non-finite component takes no
 part, as query or candidate; vectors are compared only with vectors of their length; a
 vector is not its own candidate (rows with its id are left out); ties go to the smaller
 id; a repeated row is a candidate as often as it is there, and rows that share a query's id
-are one query (the least vector); a query with fewer than k candidates gets all of them; an empty table gives no rows;
-other columns are ignored.
+are one query (the least of its usable vectors); a query with fewer than k candidates gets
+all of them; a score beyond 64 bits is the nearest whole number of 64 bits, at which such
+scores tie; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a tile, and slots over which the tiles are spread; a slot's lists are merged first.
-TILE, SLOTS = 2048, 64
+#: Vectors of a tile; products of tiles in a cell where there are over LEAST times as many, and cells up to which each product is one.
+TILE, PRODUCTS, LEAST = 2048, 1024, 64
 
 
 def _quantised(values: np.ndarray, scale: float) -> np.ndarray:
@@ -40,9 +45,15 @@ def _tiles(scale: float, size: int):
         def packed(dim: int):
             ids, data = (np.concatenate(x) for x in zip(*held.pop(dim)))
             for a in range(0, len(ids), size):
+                part = data[a : a + size]
+                narrow = np.abs(part).max() < 2.0**31
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([dim], pa.int32()), pa.array([ids[a : a + size].tobytes()], pa.binary()), pa.array([data[a : a + size].tobytes()], pa.binary())], names=["dim", "ids", "data"]
-                )
+                    [
+                        pa.array([dim], pa.int32()), pa.array([ids[a : a + size].tobytes()], pa.binary()),
+                        pa.array([bool(narrow)]), pa.array([part.astype(np.int32 if narrow else np.float64).tobytes()], pa.binary()),
+                    ],
+                    names=["dim", "ids", "narrow", "data"],
+                )
 
         for batch in batches:
             ids, lists = np.asarray(batch.column(0)), batch.column(1)
@@ -75,50 +86,71 @@ def _scores(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
     return np.clip(whole, -(2**63) + 2, 2**63 - 1).astype(np.int64)  # beyond 64 bits the score stays at the bound
 
 
-def _best(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.to_pylist():
-                dim = x["dim"]
-                q_ids, c_ids = np.frombuffer(x["q_ids"], np.int64), np.frombuffer(x["ids"], np.int64)
-                order = np.argsort(c_ids, kind="stable")
-                queries = np.frombuffer(x["q_data"]).reshape(-1, dim)
-                scores = _scores(queries, np.frombuffer(x["data"]).reshape(-1, dim)[order])
-                c_ids = c_ids[order]
-                own = q_ids[:, None] == c_ids[None, :]
-                usable = (~own).sum(axis=1)
-                n = min(k, len(c_ids))
-                low = np.iinfo(np.int64).min
-                scores[own] = low
-                edge = -np.partition(-np.maximum(scores, low + 1), n - 1, axis=1)[:, n - 1]
-                row, col = np.nonzero((scores >= edge[:, None]) & ~own)  # ties at the edge stay until they are ranked
-                rank = np.lexsort((col, -scores[row, col], row))
-                row, col = row[rank], col[rank]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                keep = place < np.minimum(n, usable)[row]
-                row, col = row[keep], col[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[row]), pa.array(c_ids[col]), pa.array(scores[row, col]), pa.array(np.full(len(row), x["part"], np.int64))],
-                    names=["query_id", "vec_id", "score", "part"],
-                )
+def _vectors(tile: dict) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(tile["data"], np.int32 if tile["narrow"] else np.float64).reshape(-1, tile["dim"])
+    return np.frombuffer(tile["ids"], np.int64), data.astype(np.float64)
+
+
+def _selected(k: int, q_ids: np.ndarray, queries: np.ndarray, c_ids: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, candidate id and score of the best k of each query in one product."""
+    scores = _scores(queries, shard)
+    own = q_ids[:, None] == c_ids[None, :]
+    low = np.iinfo(np.int64).min
+    scores[own] = low
+    n = min(k, len(c_ids))
+    edge = -np.partition(-np.maximum(scores, low + 1), n - 1, axis=1)[:, n - 1]
+    row, col = np.nonzero((scores >= edge[:, None]) & ~own)  # ties at the edge stay until they are ranked
+    return _cut(k, row, c_ids[col], scores[row, col])
+
+
+def _cut(k: int, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rank = np.lexsort((ids, -score, row))
+    row, ids, score = row[rank], ids[rank], score[rank]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], ids[keep], score[keep]
+
+
+def _cell(k: int):
+    def run(shards: pa.Table, queries: pa.Table) -> pa.Table:
+        tiles = shards.to_pylist()
+        out = []
+        for q in queries.to_pylist():
+            q_ids, vectors = _vectors(q)
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for tile in tiles:
+                found = _selected(k, q_ids, vectors, *_vectors(tile))
+                best = _cut(k, *(np.concatenate(x) for x in zip(best, found)))
+            out.append((q_ids[best[0]], *best[1:], np.full(len(best[0]), q["part"])))
+        columns = [np.concatenate(x).astype(np.int64) for x in zip(*out)] if tiles and out else [np.zeros(0, np.int64)] * 4
+        return pa.table([pa.array(x) for x in columns], names=["query_id", "vec_id", "score", "part"])
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, tile: int = TILE, slots: int = SLOTS) -> DataFrame:
+def grid(queries: int, candidates: int, tile: int = TILE) -> tuple[int, int]:
+    """Parts of the queries and of the candidates: square cells of a bounded number of products, as far as there are tiles."""
+    rows, columns = max(1, math.ceil(queries / tile)), max(1, math.ceil(candidates / tile))
+    cells = min(rows * columns, max(LEAST, rows * columns // PRODUCTS))
+    parts = min(rows, max(1, round(math.sqrt(cells * rows / columns))))
+    return parts, min(columns, math.ceil(cells / parts))
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, tile: int = TILE) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every row of (vec_id, embedding) for which is_query holds."""
-    pairs = vectors.select("vec_id", "embedding")
-    schema = "dim int, ids binary, data binary"
-    shards = pairs.filter("vec_id is not null and embedding is not null").mapInArrow(_tiles(scale, tile), schema)
-    queries = pairs.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & is_query)
-    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(_tiles(scale, tile), schema)
-    queries = queries.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    # a candidate tile goes to one slot, a query tile to all of them: 1 % of the rows, slots times
-    shards = shards.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(slots)))
-    queries = queries.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    met = shards.join(queries, (F.col("dim") == F.col("q_dim")) & (F.col("part") == F.col("q_part")))
-    lists = met.select("dim", "ids", "data", "q_ids", "q_data", "part").mapInArrow(_best(k), "query_id long, vec_id long, score long, part long")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    pairs = vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
+    asked = pairs.filter("asks").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows = pairs.agg(F.count("*").alias("all"), F.count_if("asks").alias("asked")).first()
+    q_parts, c_parts = grid(rows["asked"], rows["all"], tile)
+    schema = "dim int, ids binary, narrow boolean, data binary"
+    shards = pairs.select("vec_id", "embedding").mapInArrow(_tiles(scale, tile), schema).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(c_parts)))
+    queries = asked.mapInArrow(_tiles(scale, tile), schema).withColumn("q_part", F.pmod(F.xxhash64("ids"), F.lit(q_parts)))
+    # a tile of candidates goes to every part of the queries, and the other way round
+    shards = shards.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))).groupBy("dim", "part", "q_part")
+    queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(c_parts - 1)))).groupBy("dim", "part", "q_part")
+    lists = shards.cogroup(queries).applyInArrow(_cell(k), "query_id long, vec_id long, score long, part long")
     order = [F.desc("score"), F.asc("vec_id")]
-    some = lists.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).filter(F.col("r") <= k)
+    group = F.pmod("part", F.lit(math.isqrt(c_parts) or 1))
+    some = lists.withColumn("group", group).withColumn("r", F.row_number().over(Window.partitionBy("query_id", "group").orderBy(*order))).filter(F.col("r") <= k)
     best = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
