@@ -6,6 +6,8 @@ import math
 import random
 import re
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -14,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import connect, rows
-from tests.conftest import SMALL
+from tests.conftest import ROOT, SMALL
 from tidewatch.llm import flac, htmltext, langid, lmscore, mixing, topk
 from tidewatch.llm import queries as llm
 
@@ -341,7 +343,50 @@ def test_flac_streams_of_other_encoders():
     c = [1900, -950]
     frames.append(frame(0x20 | 1, 2, c, 10, f"{12:04b}{10:05b}" + "".join(f"{v & 8191:013b}" for v in c)))
     for f in frames:
-        assert flac.decode_frames([(f, 0, len(f), len(x))])[0].tolist() == x
+        assert next(flac.decode_frames([(f, 0, len(f), len(x))])).tolist() == x
+
+
+def test_flac_codes_of_other_encoders():
+    """Partitions, five-bit parameters, escape codes, wasted bits and streams without a seek table."""
+    rng = random.Random(3)
+    x = [2 * int(20 * math.sin(i / 7) + rng.randint(-3, 3)) for i in range(256)]
+    y = [v >> 1 for v in x]  # with one wasted bit
+
+    def residuals(values, order, method, partitions, escape):
+        bits = f"{method:02b}{partitions:04b}"
+        part = len(values) >> partitions
+        for p in range(1 << partitions):
+            own = range(max(order, p * part), (p + 1) * part)
+            r = [values[t] - sum(c * values[t - 1 - j] for j, c in enumerate(flac.FIXED[order])) for t in own]
+            if escape and p == 1:
+                bits += "1" * (4 + method) + f"{9:05b}" + "".join(f"{v & 511:09b}" for v in r)
+            else:
+                k = p % 4 + 2
+                folded = [v << 1 if v >= 0 else (-v << 1) - 1 for v in r]
+                bits += f"{k:0{4 + method}b}" + "".join("0" * (u >> k) + "1" + f"{u & (1 << k) - 1:0{k}b}" for u in folded)
+        return bits
+
+    def frame(number, bits, n):
+        head = bytes([0xFF, 0xF8, 0x74, 0x02, number]) + struct.pack(">H", n - 1)
+        body = head + bytes([flac.crc8(head)]) + int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+        return body + struct.pack(">H", flac.crc16(np.frombuffer(body, np.uint8)))
+
+    warm = lambda values, order, width: "".join(f"{v & (1 << width) - 1:0{width}b}" for v in values[:order])
+    frames = [frame(i, f"{(8 | 2) << 1:08b}" + warm(x, 2, 8) + residuals(x, 2, method, partitions, escape), 256) for i, (method, partitions, escape) in enumerate([(0, 3, False), (1, 0, False), (1, 2, True), (0, 1, True)])]
+    frames.append(frame(4, f"{(8 | 1) << 1 | 1:08b}" + "1" + warm(y, 1, 7) + residuals(y, 1, 0, 0, False), 256))
+    for f in frames:
+        assert next(flac.decode_frames([(f, 0, len(f), 256)])).tolist() == x
+    samples = np.array(x * len(frames), dtype=np.int8).tobytes()
+    info = struct.pack(">HH", 256, 256) + bytes(6) + (8000 << 44 | 7 << 36 | len(samples)).to_bytes(8, "big") + hashlib.md5(samples).digest()
+    stream = b"fLaC" + bytes([0x80]) + len(info).to_bytes(3, "big") + info + b"".join(frames)
+    payload = (np.frombuffer(samples, np.uint8) ^ 0x80).tobytes()
+    assert flac.decode_many([stream]) == [payload] and flac.read_samples(stream, 300, 20) == payload[300:320]
+
+
+def test_flac_of_a_long_text_takes_bounded_memory():
+    code = "import resource; from tidewatch.llm import flac; p = bytes(range(32, 96)) * (1 << 18); s = flac.encode_many([p]); assert flac.decode_many(s) == [p]; flac.features(p); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    peak = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=True).stdout
+    assert int(peak.split()[-1]) < 700_000  # KB, for 16 MB; what is kept is the text, the stream and the payload
 
 
 def test_flac_checksums_are_verified():

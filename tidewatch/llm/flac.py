@@ -7,6 +7,11 @@ residuals.  The decoder walks the Rice codes of many frames in step, restores th
 predictors, and checks every header's CRC-8, every frame's CRC-16 and the stream's MD5;
 any mismatch raises ``BadStream``.
 
+Work goes by groups of frames of a bounded size, so that a long text takes little more
+memory than its bytes, stream and payload.  Streams of other encoders with one channel of
+8 bits are read too: with Rice partitions, escape codes, five-bit parameters, wasted bits
+or without a seek table, one code at a time.
+
 Defined cases: a null text is the empty one; a payload is padded with zero bytes to a
 positive multiple of 64; equal payloads give equal streams; an empty table gives no rows;
 the input's columns pass through whatever their names.
@@ -16,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,8 @@ from .columns import as_row, with_id, with_row
 from .words import pieces
 
 FRAME = 4096
+#: Samples that are encoded or decoded together.
+GROUP = 1 << 20
 #: Sample rate written to the stream, and its code in frame headers (8 kHz).
 RATE, RATE_CODE = 8000, 4
 #: Order, coefficient precision and shift of the encoder's linear predictor.
@@ -212,14 +219,33 @@ def _subframes(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[bytes]:
     return out
 
 
+def _groups(items: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Runs of frames, which end with their number of samples."""
+    group, size = [], 0
+    for item in items:
+        if group and size + item[-1] > GROUP:
+            yield group
+            group, size = [], 0
+        group.append(item)
+        size += item[-1]
+    if group:
+        yield group
+
+
+def _all_subframes(payloads: list[bytes], cuts: list[tuple[int, int, int]]) -> Iterator[bytes]:
+    """The subframes of (payload, first sample, samples), a group at a time."""
+    for group in _groups(cuts):
+        x = (np.frombuffer(b"".join(payloads[i][at : at + m] for i, at, m in group), dtype=np.uint8) ^ 0x80).view(np.int8).astype(np.int32)
+        n = np.array([m for _, _, m in group], dtype=np.int64)
+        yield from _subframes(x, np.cumsum(n) - n, n)
+
+
 def encode_many(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream for each payload; its samples are the payload's bytes less 128."""
-    x = (np.frombuffer(b"".join(payloads), dtype=np.uint8) ^ 0x80).view(np.int8).astype(np.int32)
-    cuts = []  # (stream, first sample in its stream, samples)
+    cuts = []
     for i, payload in enumerate(payloads):
         cuts += [(i, at, min(FRAME, len(payload) - at)) for at in range(0, len(payload), FRAME)]
-    n = np.array([c[2] for c in cuts], dtype=np.int64)
-    subframes = iter(_subframes(x, np.cumsum(n) - n, n) if len(n) else [])
+    subframes = _all_subframes(payloads, cuts)
     heads: dict[tuple[int, int], bytes] = {}
     out, each = [], iter(cuts)
     for payload in payloads:
@@ -265,8 +291,9 @@ class Stream:
                 self.points = [p for p in struct.iter_unpack(">QQH", block) if p[0] != (1 << 64) - 1]
             at += 4 + size
         self.start = at
-        if self.samples and not self.points:
-            raise BadStream("no seek table")
+        if not self.points:
+            self.points = list(_walk(data, at))
+            self.samples = self.samples or sum(p[2] for p in self.points)
 
     def frames(self, first: int = 0, count: int | None = None) -> list[tuple[int, int, int, int]]:
         """(first sample, samples, begin, end) of the frames that hold the samples first .. first + count - 1."""
@@ -275,13 +302,12 @@ class Stream:
         return [(p[0], p[2], a, b) for p, a, b in zip(self.points, cuts, cuts[1:]) if p[0] < end and p[0] + p[2] > first]
 
 
-def _open_frame(data: bytes, begin: int, end: int, samples: int):
-    """Checks a frame's checksums; its subframe's kind, order and first bit."""
-    frame = np.frombuffer(data, dtype=np.uint8, count=end - begin, offset=begin)
-    if int.from_bytes(data[end - 2 : end], "big") != crc16(frame[:-2]):
-        raise BadStream("a frame's CRC-16 doesn't hold")
-    if data[begin] != 0xFF or data[begin + 1] != 0xF8:
+def _frame_header(data: bytes, begin: int) -> tuple[int, int]:
+    """Samples of a frame and the place of its subframe; checks the header's CRC-8."""
+    if data[begin : begin + 2] not in (b"\xff\xf8", b"\xff\xf9"):
         raise BadStream("no frame sync")
+    if data[begin + 3] >> 4 or data[begin + 3] >> 1 & 7 not in (0, 1):
+        raise BadStream("not mono with 8 bits")
     _, at = _read_utf8_number(data, begin + 4)
     size = data[begin + 2] >> 4
     if size == 7:
@@ -290,26 +316,119 @@ def _open_frame(data: bytes, begin: int, end: int, samples: int):
         n, at = data[at] + 1, at + 1
     elif size >= 8:
         n = 256 << size - 8
+    elif size:
+        n = 192 if size == 1 else 576 << size - 2
     else:
         raise BadStream("unknown block size")
+    at += {12: 1, 13: 2, 14: 2}.get(data[begin + 2] & 15, 0)
     if crc8(data[begin:at]) != data[at]:
         raise BadStream("a header's CRC-8 doesn't hold")
+    return n, at + 1
+
+
+def _open_frame(data: bytes, begin: int, end: int, samples: int):
+    """Checks a frame's checksums; its subframe, without the frame's CRC-16."""
+    frame = np.frombuffer(data, dtype=np.uint8, count=end - begin, offset=begin)
+    if int.from_bytes(data[end - 2 : end], "big") != crc16(frame[:-2]):
+        raise BadStream("a frame's CRC-16 doesn't hold")
+    n, at = _frame_header(data, begin)
     if n != samples:
         raise BadStream("the seek table and a frame disagree")
-    return frame[at + 1 - begin : -2]
+    return frame[at - begin : -2]
+
+
+class _Bits:
+    """Reads numbers of any width from bytes, a code at a time."""
+
+    def __init__(self, body: np.ndarray):
+        self.bits, self.at = np.unpackbits(body), 0
+        self.ones = np.flatnonzero(self.bits)
+
+    def take(self, width: int) -> int:
+        if self.at + width > len(self.bits):
+            raise BadStream("a frame is cut off")
+        value = 0
+        for bit in self.bits[self.at : self.at + width].tolist():
+            value = value << 1 | bit
+        self.at += width
+        return value
+
+    def unary(self) -> int:
+        i = int(np.searchsorted(self.ones, self.at))
+        if i == len(self.ones):
+            raise BadStream("a Rice code runs past its frame")
+        zeros, self.at = int(self.ones[i]) - self.at, int(self.ones[i]) + 1
+        return zeros
+
+
+def _any_subframe(body: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """Samples of a subframe of any kind, and its bytes; a code at a time."""
+    bits = _Bits(body)
+    kind, wasted = bits.take(7), 0
+    if bits.take(1):
+        wasted = bits.unary() + 1
+    width = 8 - wasted
+    if kind == 0:
+        x = [_signed(bits.take(width), width)] * n
+    elif kind == 1:
+        x = [_signed(bits.take(width), width) for _ in range(n)]
+    else:
+        order = (kind & 31) + 1 if kind >= 0x20 else kind & 7
+        if kind < 0x20 and (kind >> 3 != 1 or order > 4):
+            raise BadStream("unknown subframe")
+        x = [_signed(bits.take(width), width) for _ in range(order)]
+        weights, shift = FIXED.get(order, []), 0
+        if kind >= 0x20:
+            precision, shift = bits.take(4) + 1, _signed(bits.take(5), 5)
+            weights = [_signed(bits.take(precision), precision) for _ in range(order)]
+        method, partitions = bits.take(2), bits.take(4)
+        if method > 1 or n % (1 << partitions):
+            raise BadStream("unknown residuals")
+        escape = 15 if method == 0 else 31
+        for p in range(1 << partitions):
+            k = bits.take(4 + method)
+            raw = bits.take(5) if k == escape else 0
+            for _ in range((n >> partitions) - (order if p == 0 else 0)):
+                if k == escape:
+                    residual = _signed(bits.take(raw), raw) if raw else 0
+                else:
+                    value = bits.unary() << k
+                    value |= bits.take(k)
+                    residual = value >> 1 ^ -(value & 1)
+                x.append(residual + (sum(w * v for w, v in zip(weights, reversed(x))) >> shift))
+    return np.array(x, dtype=np.int64) << wasted, -(-bits.at // 8)
+
+
+def _walk(data: bytes, start: int) -> Iterator[tuple[int, int, int]]:
+    """(first sample, place after the metadata, samples) of the frames of a stream without a seek table."""
+    at, first = start, 0
+    while at < len(data):
+        n, body = _frame_header(data, at)
+        _, used = _any_subframe(np.frombuffer(data, dtype=np.uint8, offset=body), n)
+        yield first, at - start, n
+        first, at = first + n, body + used + 2
 
 
 def _signed(bits: int, width: int) -> int:
     return bits - (1 << width) if bits >> (width - 1) else bits
 
 
-def decode_frames(jobs: list[tuple[bytes, int, int, int]]) -> list[np.ndarray]:
-    """Samples (int64) of many frames, each (data, begin, end, samples); Rice codes are walked in step."""
+def decode_frames(jobs: Iterable[tuple[bytes, int, int, int]]) -> Iterator[np.ndarray]:
+    """Samples (int64) of many frames, each (data, begin, end, samples), a group at a time."""
+    for group in _groups(jobs):
+        yield from _decode_group(group)
+
+
+def _decode_group(jobs: list[tuple[bytes, int, int, int]]) -> list[np.ndarray]:
+    """Samples of a group of frames; Rice codes are walked in step."""
     out: list[np.ndarray | None] = [None] * len(jobs)
     coded = []  # (job, order, coefficients or None, shift, warm-up, samples, bytes, first bit, parameter)
     for i, (data, begin, end, n) in enumerate(jobs):
         body = _open_frame(data, begin, end, n)
         head = int(body[0]) >> 1
+        if body[0] & 1:  # wasted bits
+            out[i] = _any_subframe(body, n)[0]
+            continue
         if head == 0:
             out[i] = np.full(n, _signed(int(body[1]), 8), dtype=np.int64)
             continue
@@ -334,9 +453,10 @@ def decode_frames(jobs: list[tuple[bytes, int, int, int]]) -> list[np.ndarray]:
         if linear:
             precision, shift = take(4) + 1, _signed(take(5), 5)
             coefficients = [_signed(take(precision), precision) for _ in range(order)]
-        if take(2) != 0 or take(4) != 0:
-            raise BadStream("only whole Rice partitions with 4-bit parameters are read")
-        coded.append((i, order, coefficients, shift, warm, n, body[start:], used + 4, take(4), linear))
+        if take(6) or (k := take(4)) == 15:  # partitions, five-bit parameters or an escape code
+            out[i] = _any_subframe(body, n)[0]
+            continue
+        coded.append((i, order, coefficients, shift, warm, n, body[start:], used, k, linear))
     if not coded:
         return out  # type: ignore[return-value]
     coded.sort(key=lambda c: c[1] - c[5])  # most residuals first
@@ -409,11 +529,10 @@ def decode_many(streams: list[bytes]) -> list[bytes]:
     """The payloads of streams, checked against their MD5."""
     opened = [Stream(s) for s in streams]
     jobs = [(s.data, begin, end, n) for s in opened for _, n, begin, end in s.frames()]
-    parts = iter(decode_frames(jobs))
+    parts = decode_frames(jobs)
     out = []
     for s in opened:
-        samples = [next(parts) for _ in s.frames()]
-        signed = np.concatenate(samples).astype(np.int8).tobytes() if samples else b""
+        signed = b"".join(next(parts).astype(np.int8).tobytes() for _ in s.frames())
         if len(signed) != s.samples or hashlib.md5(signed).digest() != s.md5:
             raise BadStream("the samples' MD5 doesn't hold")
         out.append((np.frombuffer(signed, dtype=np.uint8) ^ 0x80).tobytes())
@@ -426,7 +545,7 @@ def read_samples(stream: bytes, first: int, count: int) -> bytes:
     frames = opened.frames(first, count)
     if not frames:
         return b""
-    samples = np.concatenate(decode_frames([(stream, begin, end, n) for _, n, begin, end in frames]))
+    samples = np.concatenate(list(decode_frames([(stream, begin, end, n) for _, n, begin, end in frames])))
     skip = max(0, first - frames[0][0])
     return (samples[skip : skip + count] + 128).astype(np.uint8).tobytes()
 
@@ -438,9 +557,14 @@ def padded(text: bytes) -> bytes:
 
 def features(payload: bytes) -> str:
     """Whole-number features of the samples: count, sum, energy, sign changes, least and greatest."""
-    x = np.frombuffer(payload, dtype=np.uint8).astype(np.int64) - 128
-    crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"samples={len(x)};sum={int(x.sum())};energy={int((x * x).sum())};crossings={crossings};min={int(x.min())};max={int(x.max())}"
+    total = energy = crossings = 0
+    least, most, before = 127, -128, None
+    for at in range(0, len(payload), GROUP):
+        x = np.frombuffer(payload, dtype=np.uint8)[at : at + GROUP].astype(np.int64) - 128
+        total, energy = total + int(x.sum()), energy + int((x * x).sum())
+        crossings += int(((x[1:] < 0) != (x[:-1] < 0)).sum()) + (before is not None and (before < 0) != (x[0] < 0))
+        least, most, before = min(least, int(x.min())), max(most, int(x.max())), x[-1]
+    return f"samples={len(payload)};sum={total};energy={energy};crossings={crossings};min={least};max={most}"
 
 
 def _round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,32 +577,28 @@ def _round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row").slice(a, b - a), pa.array([len(t) for t in raw], pa.int64()), pa.array(media, pa.binary()),
-                    pa.array(payloads, pa.binary()), pa.array([features(p) for p in payloads], pa.string()),
+                    pa.array([-(-len(p) // FRAME) for p in payloads], pa.int64()), pa.array(payloads, pa.binary()), pa.array([features(p) for p in payloads], pa.string()),
                 ],
-                names=["row", "n_bytes", "media", "payload", "feature"],
+                names=["row", "n_bytes", "media", "n_blocks", "payload", "feature"],
             )
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """row (a struct of the input's columns), n_bytes, media (a FLAC stream), payload (read back from media) and feature."""
+    """row (a struct of the input's columns), n_bytes, media (a FLAC stream), n_blocks (PCM blocks that ``pcm_blocks`` makes of it), payload (read back from media) and feature."""
     rows = docs.select(as_row(docs.columns))
-    return rows.mapInArrow(_round_trip, with_row(rows, "n_bytes long, media binary, payload binary, feature string"))
+    return rows.mapInArrow(_round_trip, with_row(rows, "n_bytes long, media binary, n_blocks long, payload binary, feature string"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        media, ids = batch.column("media"), batch.column("doc_id")
-        for a, b in pieces(media, 1 << 19):
-            rows, jobs = [], []
-            for i, stream in enumerate(media.slice(a, b - a).to_pylist()):
-                if stream is not None:
-                    for number, (first, n, begin, end) in enumerate(Stream(stream).frames()):
-                        rows.append((a + i, number, first, n))
-                        jobs.append((stream, begin, end, n))
-            at, number, first, n = (list(x) for x in zip(*rows)) if rows else ([], [], [], [])
-            pcm = [(x + 128).astype(np.uint8).tobytes() for x in decode_frames(jobs)] if jobs else []
+        ids = batch.column("doc_id")
+        streams = ((i, stream) for i, stream in enumerate(batch.column("media").to_pylist()) if stream is not None)
+        frames = ((i, number, first, stream, begin, end, n) for i, stream in streams for number, (first, n, begin, end) in enumerate(Stream(stream).frames()))
+        for group in _groups(frames):
+            at, number, first = ([f[c] for f in group] for c in range(3))
+            pcm = [(x + 128).astype(np.uint8).tobytes() for x in decode_frames([f[3:] for f in group])]
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(first, pa.int64()), pa.array(n, pa.int32()), pa.array(pcm, pa.binary())],
+                [ids.take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(first, pa.int64()), pa.array([len(x) for x in pcm], pa.int32()), pa.array(pcm, pa.binary())],
                 names=["doc_id", "block", "first_sample", "samples", "pcm"],
             )
 

@@ -60,7 +60,7 @@ def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "row.doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.sha2("media", 256).alias("media_sha256"), "feature", "n_blocks",
     )
 
 
