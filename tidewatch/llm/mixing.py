@@ -34,11 +34,11 @@ from .columns import as_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks of all sources together (besides one a source), and groups of a block.
-BLOCKS, GROUPS = 1 << 15, 4
+BLOCKS, GROUPS = 1 << 13, 4
 #: Sources whose quotas are split in one row of the tree.
 CHUNK = 128
-#: Rows of the table of draws up to which it is broadcast; beyond, documents are joined to it by shuffles.
-BROADCAST = 1 << 18
+#: Rows of the tables of sources and of draws up to which they are broadcast; beyond, documents are joined to them by shuffles.
+BROADCAST = 1 << 17
 #: Words of a task's part of a shard, on average.
 PART_WORDS = 4 << 20
 
@@ -128,6 +128,11 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int, chunk: int = CHUNK)
     return leaves.select("rank", "shard", F.coalesce(F.sum("blocks").over(before), F.lit(0).cast("long")).alias("first"), "blocks")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A checkpointed table, to be broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST else table
+
+
 def _before(values: str, keys: list[str], *order: str) -> Column:
     """The sum of the values before a row, in its keys' order."""
     return F.coalesce(F.sum(values).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
@@ -173,9 +178,9 @@ def mix(
     source is taken in part (with its exact copies).  Blocks hold ``block_words`` words, or more where that gives over ``most_blocks``.
     """
     carried = [as_row(docs.columns)] if keep else []
-    keyed = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"), *carried)
-    sized = keyed.select("source", word_count(F.col("text")).alias("size"))
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights, most)
+    text = F.col("text").cast("string")
+    keyed = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("key"), *carried)
+    targets = source_targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights, most)
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     some = F.when(F.col("source_size") > 0, F.col("source_size"))
     plan = (
@@ -188,23 +193,21 @@ def mix(
         .checkpoint()
     )
     grp = F.pmod("key", F.col("n_blocks") * GROUPS).alias("grp")
-    named = keyed.join(plan, F.col("source").eqNullSafe(F.col("s_source")))
-    groups = named.select("rank", grp, word_count(F.col("text")).alias("size")).groupBy("rank", "grp").agg(F.sum("size").alias("words")).filter("words > 0")
+    named = keyed.join(_small(plan), F.col("source").eqNullSafe(F.col("s_source")))
+    groups = named.select("rank", grp, "size").groupBy("rank", "grp").agg(F.sum("size").alias("words")).filter("words > 0")
     draws = _draws(groups.withColumn("start", _before("words", ["rank"], "grp")).checkpoint(), plan, shards, seed).checkpoint()
 
     # the one group a source that is not drawn in full: its documents up to a key, and that key's in part
     edge = draws.filter("share < words").select("rank", "grp", "pass", "share")
-    inside = named.select("rank", grp, "key", "text").join(edge, ["rank", "grp"]).select("rank", "grp", "pass", "share", "key", word_count(F.col("text")).alias("size"))
+    inside = named.select("rank", grp, "key", "size").join(_small(edge), ["rank", "grp"])
     inside = inside.groupBy("rank", "grp", "pass", "share", "key").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).withColumn("before", _before("words", ["rank", "grp", "pass"], "key"))
     ends = inside.filter("before < share and share <= before + words").select("rank", "grp", "pass", F.col("key").alias("end_key"), F.floor((F.col("share") - F.col("before")) / F.col("rows")).alias("end_words"))
     entry = F.struct("pass", "shard", "end_key", "end_words")
     table = draws.join(ends, ["rank", "grp", "pass"], "left").groupBy("rank", "grp").agg(F.array_sort(F.collect_list(entry)).alias("entries")).checkpoint()
     table = table.select(F.col("rank").alias("d_rank"), F.col("grp").alias("d_grp"), "entries")
-    if table.count() <= BROADCAST:
-        table = F.broadcast(table)
 
-    rows = named.select("doc_id", "source_size", "target", "key", "rank", grp, word_count(F.col("text")).alias("size"), *(["row"] if keep else []))
-    met = rows.join(table, (F.col("rank") == F.col("d_rank")) & (F.col("grp") == F.col("d_grp")), "left")
+    rows = named.select("doc_id", "source_size", "target", "key", "rank", grp, "size", *(["row"] if keep else []))
+    met = rows.join(_small(table), (F.col("rank") == F.col("d_rank")) & (F.col("grp") == F.col("d_grp")), "left")
     words = lambda x: F.when(x["end_key"].isNull() | (F.col("key") < x["end_key"]), F.col("size")).when(F.col("key") == x["end_key"], F.least("size", x["end_words"])).otherwise(0).cast("long")
     given = F.transform(F.coalesce("entries", F.array().cast(table.schema["entries"].dataType)), lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), words(x).alias("words")))
     given = met.withColumn("draws", F.filter(given, lambda x: x["words"] > 0))
