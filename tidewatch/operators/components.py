@@ -13,15 +13,17 @@ def components(edges: DataFrame) -> DataFrame:
     label of that label.  Labels only fall, and the number of rounds follows the
     logarithm of the longest chain.  Rounds are checkpointed, so that plans stay short and a
     lost executor costs no more than a round.  A hub's edges are aggregated before they
-    meet, and where they are joined Spark may split them.
+    meet.  Labels are kept by the complement of their node: where they are joined to edges, or
+    to nodes that share a label, both sides are dealt out anew, so that Spark can split a hub.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")).checkpoint()
+    node = F.bitwise_not("flipped")
+    labels = both.groupBy(F.bitwise_not("a").alias("flipped")).agg(F.min("b").alias("near")).select("flipped", F.least(node, "near").alias("label")).checkpoint()
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
-        jump = lower.select(F.col("node").alias("low"), F.col("low").alias("jump"))
-        new = lower.join(jump, "low").select("node", "old", F.least("low", "jump").alias("label")).checkpoint()
-        labels = new.select("node", "label")
+        near = both.join(labels.select(node.alias("b"), "label"), "b").groupBy(F.bitwise_not("a").alias("flipped")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "flipped").select("flipped", F.col("label").alias("old"), F.least("label", "near").alias("low"))
+        jump = lower.select(node.alias("low"), F.col("low").alias("jump"))
+        new = lower.join(jump, "low").select("flipped", "old", F.least("low", "jump").alias("label")).checkpoint()
+        labels = new.select("flipped", "label")
         if new.filter("label <> old").isEmpty():
-            return labels
+            return labels.select(node.alias("node"), "label")
