@@ -57,25 +57,67 @@ def test_language_of_odd_rows(spark, odd, none):
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
+def kneser_ney(counts):
+    """Interpolated Kneser-Ney of one language by dictionaries: the log probability of a character after those before it."""
+    levels = {langid.ORDER: counts}
+    for n in range(langid.ORDER - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    discount, total, types = {}, Counter(), Counter()
+    for n, grams in levels.items():
+        ones, twos = sum(c == 1 for c in grams.values()), sum(c == 2 for c in grams.values())
+        discount[n] = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.05), 0.95)
+        for g, c in grams.items():
+            total[n, g[:-1]] += c
+            types[n, g[:-1]] += 1
+
+    def probability(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / langid.ALPHABET
+        lower = probability(gram[1:])
+        if not total[n, gram[:-1]]:
+            return lower
+        have = levels[n][gram]
+        return (max(have - discount[n], 0) + discount[n] * types[n, gram[:-1]] * lower) / total[n, gram[:-1]]
+
+    return probability
+
+
+def test_models_equal_plain_kneser_ney():
+    """Probabilities of words seen and unseen, in two languages at once, are those of a plain recursion; seen contexts leave the right mass."""
     import pandas as pd
 
     rng = random.Random(1)
-    counts = Counter()
-    for _ in range(400):
-        word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 6)))
-        padded = langid.START * 4 + word + langid.END
-        for i in range(len(word) + 1):
-            counts["x", padded[i : i + 5]] += 1
-    models = langid.Models(pd.DataFrame([(k[0], k[1], n) for k, n in counts.items()], columns=["lang", "gram", "n"]))
-    # of all words of up to three letters: their probabilities, and those of longer ones, sum to one
-    words = ["".join(w) for n in range(0, 4) for w in itertools.product("abc", repeat=n)]
+    own = {lang: Counter() for lang in ("x", "y")}
+    for lang, alphabet in (("x", "abc"), ("y", "bcd")):
+        for _ in range(300):
+            padded = langid.START * 4 + "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 6))) + langid.END
+            for i in range(len(padded) - 4):
+                own[lang][padded[i : i + 5]] += 1
+    models = langid.Models(pd.DataFrame([(lang, g, n) for lang, c in own.items() for g, n in c.items()], columns=["lang", "gram", "n"]))
+    words = ["".join(w) for n in range(0, 4) for w in itertools.product("abcdz", repeat=n)] + ["abcabcabc", "zzzz"]
     loss, chars = models.losses(words)
-    assert (loss > 0).all() and chars.tolist() == [len(w) + 1 for w in words]
-    total = np.exp(-loss[:, 0].astype(float)).sum()
-    assert 0.3 < total < 1.0
-    first = [math.exp(-float(models.losses([c])[0][0, 0])) for c in "abc"]
-    assert all(0 < p < 1 for p in first)
+    assert chars.tolist() == [len(w) + 1 for w in words]
+    for column, lang in enumerate(models.langs):
+        p = kneser_ney(own[lang])
+        for w, got in zip(words, loss[:, column]):
+            padded = langid.START * 4 + w + langid.END
+            want = -sum(math.log(p(padded[i : i + 5])) for i in range(len(w) + 1))
+            assert float(got) == pytest.approx(want, rel=1e-4)
+        # after a seen context, the known characters have all but the floor's share
+        for context in (langid.START * 4, langid.START * 3 + "b"):
+            assert 0.95 < sum(p(context + c) for c in ["a", "b", "c", "d", langid.END]) <= 1 + 1e-9
+
+
+def test_language_sample_is_bounded(spark):
+    """Many rows of one id, and one text many times, do not make the sample larger; reruns agree."""
+    texts = [f"the quick brown fox number {i} jumps over the lazy dog and runs away from here" for i in range(40)]
+    rows_ = [(7, t, "en") for t in texts] + [(8, texts[0], "en")] * 3000 + [(i, f"der schnelle braune fuchs {i} springt heute hier", "de") for i in range(20)] + [(None, texts[1], "en")] * 50
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    first = langid.identify(df, F.lit(True), carry=["doc_id", "text"]).select("row.text", "lang_pred", "entropy", "rejected").distinct().collect()
+    again = langid.identify(df.repartition(5), F.lit(True), carry=["doc_id", "text"]).select("row.text", "lang_pred", "entropy", "rejected").distinct().collect()
+    assert sorted(map(str, first)) == sorted(map(str, again)) and {r.lang_pred for r in first if r.text.startswith("der")} == {"de"}
+    assert langid.fit(df.filter("doc_id = 8 and lang = 'en'"), F.lit(True)).value.langs == ["en"]
 
 
 def brute_lm(data, target):

@@ -8,9 +8,9 @@ search finds an n-gram for all languages.  The language with the least cross-ent
 character wins; a text whose cross-entropy is beyond what the language's own held-back
 texts show is rejected.
 
-Models are fitted to a bounded sample: at most SAMPLE labelled texts of a language, those
-with the smallest hashes of their ids; a fifth of them is held back to calibrate.  All
-texts are scored whole.
+Models are fitted to a bounded sample: at most SAMPLE labelled texts of a language, of at
+most SAMPLE_CHARS characters each, those with the smallest hashes of id and text (rows alike
+in both count once); a fifth of them is held back to calibrate.  All texts are scored whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
 rejected; unknown characters get the models' floor; equal cross-entropies go to the first
@@ -38,6 +38,8 @@ from .words import Words, mix, pieces
 ORDER = 5
 #: Labelled texts of a language that the models are fitted to, and the part that calibrates.
 SAMPLE, HELD_BACK = 300, 5
+#: Characters up to which a text may be in the sample.
+SAMPLE_CHARS = 1 << 17
 #: Spreads of the held-back texts by which a text may exceed its language's usual cross-entropy, and the
 #: number of held-back texts from which a language's own spread is used, where it is beyond that of all languages.
 DEVIATIONS, ENOUGH = 6.0, 20
@@ -229,11 +231,16 @@ _RESULT = "lang_pred string, score double, entropy double, rejected boolean"
 def fit(docs: DataFrame, learn: Column) -> Broadcast:
     """Models of the labelled rows for which ``learn`` holds, in a broadcast whose size the sample bounds."""
     spark = docs.sparkSession
-    usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("lang", "doc_id").withColumn("r", rank).filter(F.col("r") <= SAMPLE)
-    chosen = chosen.select("doc_id", (F.col("r") % HELD_BACK != 0).alias("fold")).dropDuplicates(["doc_id"])
-    sample = usable.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("lang", "text", "fold")
+    text = F.col("text").cast("string")
+    usable = docs.filter(learn & F.col("lang").isNotNull() & text.isNotNull() & (F.length(text) <= SAMPLE_CHARS)).select(
+        F.col("lang").cast("string").alias("lang"), "doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("hash")
+    )
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    chosen = usable.select("lang", "doc_id", "hash").distinct().withColumn("r", rank).filter(F.col("r") <= SAMPLE)
+    chosen = chosen.select(F.col("lang").alias("c_lang"), F.col("doc_id").alias("c_id"), F.col("hash").alias("c_hash"), (F.col("r") % HELD_BACK != 0).alias("fold"))
+    own = (F.col("lang") == F.col("c_lang")) & F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("hash") == F.col("c_hash"))
+    # at most SAMPLE rows a language are broadcast, and as many texts are kept
+    sample = usable.join(F.broadcast(chosen), own).groupBy("lang", "c_id", "hash", "fold").agg(F.min("text").alias("text")).select("lang", "text", "fold").checkpoint()
     counts = sample.mapInArrow(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     models = Models(counts)
     if models.langs:
