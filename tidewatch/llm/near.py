@@ -15,9 +15,11 @@ least ``similarity``.
 4. The verified forests' components are the result's classes.
 
 Defined cases: null, empty and blank texts have an empty set and link to nothing; equal
-texts (up to white space) link even if shorter than an n-gram; rows that share a doc_id
-are one document with one result, and where their texts differ the one with the least hash
-counts; an empty table gives no rows; other columns are ignored whatever their names.
+texts (up to white space) link even if shorter than an n-gram; rows that repeat a doc_id and
+its words are one document, each with its result, and rows of one doc_id with other words
+are documents of their own; rows without a doc_id are documents each, come after all others
+where the least doc_id names a class, and a class of only such rows has the class_id null;
+``representatives`` keeps one row of each class; an empty table gives no rows; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
+from .columns import with_id
 from .words import Rolling, Words, mix, pieces, windows
 
 _GRAM = Rolling(0xA0761D6478BD642F)
@@ -218,15 +221,15 @@ def _keys() -> tuple[Column, Column]:
 
 def _texts(docs: DataFrame) -> DataFrame:
     some, tkey = _keys()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), tkey.alias("tkey"), some.alias("some"))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), tkey.alias("tkey"), some.alias("some"))
 
 
 def _classes(
-    texts: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.9999, most_hashes: int = 128, block: int = BLOCK
+    texts: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.9999, most_hashes: int = 288, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame]:
     """The rows with words with the keys of their words, and of each key: size (documents), rep (the row that stands for it), links and label (its class)."""
     bands, rows = choose_bands(similarity, recall, most_hashes)
-    sketched = texts.filter("some").select("doc_id", "text", "tkey").mapInArrow(_sketch(words, bands, rows), "doc_id long, tkey long, k1 long, k2 long, grams long, bands array<long>").checkpoint()
+    sketched = texts.filter("some").select("doc_id", "text", "tkey").mapInArrow(_sketch(words, bands, rows), with_id(texts, "tkey long, k1 long, k2 long, grams long, bands array<long>")).checkpoint()
 
     one = sketched.groupBy("doc_id", "k1", "k2").agg(F.min(F.struct("tkey", "grams", "bands")).alias("s"), F.count("*").alias("rows"))
     documents = F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1)
@@ -235,7 +238,7 @@ def _classes(
     stands = classes.select(F.col("k1").alias("class"), "k1", "k2", "size", "s.rep", "s.grams", "s.bands").checkpoint()
 
     # ties go to the least doc_id, which is the same one in most bands of a group, so that they stay few
-    keys = stands.select(F.struct(F.coalesce("rep.id", F.lit((1 << 63) - 1)).alias("id"), "class").alias("by"), F.posexplode("bands").alias("band", "key"))
+    keys = stands.select(F.struct("rep.none", "rep.id", "class").alias("by"), F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy(F.bitwise_not("key").alias("flipped"), "band").agg(F.min("by").alias("first"), F.count("*").alias("n")).filter("n > 1")
     ties = keys.join(shared.select(F.bitwise_not("flipped").alias("key"), "band", "first"), ["key", "band"])
     groups = components(ties.select(F.col("by.class").alias("a"), F.col("first.class").alias("b"))).withColumnRenamed("node", "class")
@@ -249,9 +252,11 @@ def _classes(
     loaded = texts.join(cut, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("tkey") == F.col("rep_tkey"))).select("text", "class", "k1", "k2", "size", "grp", "block", F.sequence(F.lit(0), F.col("n_blocks") - 1).alias("other"))
     sets = loaded.mapInArrow(_sets(words), "class long, size long, grp long, block int, other array<int>, grams binary")
     paired = sets.withColumn("other", F.explode("other")).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    # a block costs its square, so the tasks aren't joined by the bytes that they read
+    tasks = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     verified = (
         paired.select("class", "size", "grp", "block", "low", "high", "grams")
-        .repartition("grp", "low", "high")
+        .repartition(tasks, "grp", "low", "high")
         .sortWithinPartitions("grp", "low", "high")
         .mapInArrow(_verify(similarity), "class long, links long, root long")
         .checkpoint()
@@ -278,7 +283,7 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     _, classes = _classes(_texts(docs), **options)
     kept = classes.groupBy("label").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("kept_id"), F.col("rep.tkey").alias("kept_tkey"))
     some, tkey = _keys()
-    rows = docs.withColumn(keys[0], F.col("doc_id").cast("long")).withColumn(keys[1], tkey)
+    rows = docs.withColumn(keys[0], F.col("doc_id")).withColumn(keys[1], tkey)
     nth = F.row_number().over(Window.partitionBy(*keys[:2]).orderBy(F.xxhash64("text")))
     met = rows.filter(some).join(kept, F.col(keys[0]).eqNullSafe(F.col("kept_id")) & (F.col(keys[1]) == F.col("kept_tkey")), "left_semi")
     single = met.union(rows.filter(~some & F.col("doc_id").isNotNull())).withColumn(keys[2], nth).filter(F.col(keys[2]) == 1)
