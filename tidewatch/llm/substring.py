@@ -18,8 +18,9 @@ makes of small sides:
 
 Texts cross the network once: steps 3 and 4 read the same exchange.
 
-Hashes are 64 bits wide and well mixed: n candidate windows give a false repeat with
-odds of about n**2 / 2**65.
+Windows are told apart by 96 bits of two independent hashes, and rows of one doc_id and
+text by 80: among n windows that differ there is a false repeat with odds of about n**2 /
+2**97.  An anchor's 64 bits need not be exact: a false repeat only adds windows to count.
 
 Defined cases: null and empty texts have no words and keep the empty string; texts
 shorter than ``width`` words keep all; rows that repeat a doc_id and text are copies;
@@ -41,7 +42,7 @@ from .words import Rolling, Words, mix, pieces, windows
 
 #: Words of an anchor gram.
 GRAM = 12
-_WINDOW = Rolling(0xC2B2AE3D27D4EB4F)
+_WINDOW, _ALSO = Rolling(0xC2B2AE3D27D4EB4F), Rolling(0xD1B54A32D192ED03)
 _GRAM = Rolling(0x165667B19E3779F9)
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -91,15 +92,15 @@ def _count_anchors(width: int):
 def _place_anchors(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = batch.column("text"), batch.column("key").to_numpy(zero_copy_only=False)
+            texts, keys, twins = batch.column("text"), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "twin"))
             for a, b in pieces(texts):
                 words = Words(texts.slice(a, b - a))
                 _, text, anchor, grams = _anchors(words, width)
                 one = _first_of_runs(anchor)
                 anchor, text = anchor[one], text[one]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[anchor].view(np.int64)), pa.array(keys[a:b][text]), pa.array((anchor - words.first[text]).astype(np.int32))],
-                    names=["gram", "key", "place"],
+                    [pa.array(grams[anchor].view(np.int64)), pa.array(keys[a:b][text]), pa.array(twins[a:b][text]), pa.array((anchor - words.first[text]).astype(np.int32))],
+                    names=["gram", "key", "twin", "place"],
                 )
 
     return run
@@ -112,11 +113,12 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidate_windows(width: int):
-    """Windows at repeated anchors: (window, key, start, weight); weight 2 for a row that stands for its copies."""
+    """Windows at repeated anchors: (window, also, key, twin, start, weight); weight 2 for a row that stands for its copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys, places = _texts(batch), batch.column("key").to_numpy(zero_copy_only=False), batch.column("places")
+            texts, places = _texts(batch), batch.column("places")
+            keys, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "twin"))
             copies = np.asarray(batch.column("copies"))
             for a, b in pieces(texts):
                 words = Words(texts.slice(a, b - a))
@@ -127,10 +129,14 @@ def _candidate_windows(width: int):
                 keep = wanted[anchor]
                 start, text = start[keep], text[keep]
                 window = mix(_WINDOW.spans(words.hashes, start, start + width)).view(np.int64)
+                also = (mix(_ALSO.spans(words.hashes, start, start + width)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(window), pa.array(keys[a:b][text]), pa.array((start - words.first[text]).astype(np.int32)), pa.array(copies[a:b][text].astype(np.int32))],
-                    names=["window", "key", "start", "weight"],
-                )
+                    [
+                        pa.array(window), pa.array(also), pa.array(keys[a:b][text]), pa.array(twins[a:b][text]),
+                        pa.array((start - words.first[text]).astype(np.int32)), pa.array(copies[a:b][text].astype(np.int32)),
+                    ],
+                    names=["window", "also", "key", "twin", "start", "weight"],
+                )
 
     return run
 
@@ -166,42 +172,44 @@ def _remove(width: int):
     return run
 
 
-def _repeated(rows: DataFrame, column: str, weight: Column) -> DataFrame:
-    """The values of a column of longs whose weights sum to over one.
+def _repeated(rows: DataFrame, column: str, weight: Column, *more: str) -> DataFrame:
+    """The values of a column of longs (with those of further columns) whose weights sum to over one.
 
     They are counted by their complement: the result then has no known partitioning,
     so a join on it deals both sides out anew and Spark can split a hot key's rows.
     """
     flipped = F.bitwise_not(F.col(column)).alias("flipped")
-    return rows.groupBy(flipped).agg(F.sum(weight).alias("n")).filter("n > 1").select(F.bitwise_not("flipped").alias(column))
+    return rows.groupBy(flipped, *more).agg(F.sum(weight).alias("n")).filter("n > 1").select(F.bitwise_not("flipped").alias(column), *more)
 
 
 def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """row (a struct of the input's columns), n_words, n_removed and kept, the words that stay joined by one space."""
     row = as_row(docs.columns)
-    key = F.xxhash64("doc_id", "text").alias("key")
-    keyed = docs.select(row, key)
-    plain = docs.select(F.col("text").cast("string").alias("text"), key)
+    key, twin = F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(11), "text", "doc_id").cast("smallint").alias("twin")
+    keyed = docs.select(row, key, twin)
+    plain = docs.select(F.col("text").cast("string").alias("text"), key, twin)
     repeated = _repeated(plain.select("text").mapInArrow(_count_anchors(width), "gram long, n long"), "gram", F.col("n"))
-    places = plain.mapInArrow(_place_anchors(width), "gram long, key long, place int").join(repeated, "gram").select("key", "place")
+    places = plain.mapInArrow(_place_anchors(width), "gram long, key long, twin smallint, place int").join(repeated, "gram").select("key", "twin", "place")
 
-    own = plain.select("key", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.col("text")).alias("t2"))
-    groups = own.groupBy(F.bitwise_not("t1").alias("t3"), "t2").agg(F.count("*").alias("n"), F.min("key").alias("one")).filter("n > 1")
+    own = plain.select("key", "twin", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.col("text")).alias("t2"))
+    groups = own.groupBy(F.bitwise_not("t1").alias("t3"), "t2").agg(F.count("*").alias("n"), F.min(F.struct("key", "twin")).alias("one")).filter("n > 1")
     groups = groups.select(F.bitwise_not("t3").alias("t1"), "t2", "one")
-    many = own.join(groups, ["t1", "t2"]).select("key", F.when(F.col("key") == F.col("one"), 2).otherwise(3).alias("copies"))
+    stands = (F.col("key") == F.col("one.key")) & (F.col("twin") == F.col("one.twin"))
+    many = own.join(groups, ["t1", "t2"]).select("key", "twin", F.when(stands, 2).otherwise(3).alias("copies"))
 
-    facts = places.groupBy("key").agg(F.collect_set("place").alias("places"), F.lit(1).alias("copies")).unionByName(
-        many.groupBy("key").agg(F.max("copies").alias("copies")), allowMissingColumns=True
+    names = ["key", "twin"]
+    facts = places.groupBy(names).agg(F.collect_set("place").alias("places"), F.lit(1).alias("copies")).unionByName(
+        many.groupBy(names).agg(F.max("copies").alias("copies")), allowMissingColumns=True
     )
-    facts = facts.groupBy("key").agg(F.first("places", ignorenulls=True).alias("places"), F.max("copies").alias("copies"))
-    known = keyed.join(facts, "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    facts = facts.groupBy(names).agg(F.first("places", ignorenulls=True).alias("places"), F.max("copies").alias("copies"))
+    known = keyed.join(facts, names, "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
 
-    found = known.filter("places is not null and copies < 3").select("row", "key", "places", "copies").mapInArrow(_candidate_windows(width), "window long, key long, start int, weight int")
-    twice = _repeated(found, "window", F.col("weight"))
-    starts = found.filter("weight = 1").join(twice, "window").groupBy("key").agg(F.collect_set("start").alias("starts"))
+    found = known.filter("places is not null and copies < 3").select("row", *names, "places", "copies").mapInArrow(_candidate_windows(width), "window long, also int, key long, twin smallint, start int, weight int")
+    twice = _repeated(found, "window", F.col("weight"), "also")
+    starts = found.filter("weight = 1").join(twice, ["window", "also"]).groupBy(names).agg(F.collect_set("start").alias("starts"))
     return (
-        keyed.join(facts.select("key", "copies"), "key", "left")
-        .join(starts, "key", "left")
+        keyed.join(facts.select(*names, "copies"), names, "left")
+        .join(starts, names, "left")
         .select("row", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")
         .mapInArrow(_remove(width), with_row(keyed, "n_words long, n_removed long, kept string"))
     )
