@@ -32,8 +32,8 @@ from .columns import as_row, with_id, with_row
 from .words import pieces
 
 FRAME = 4096
-#: Samples that are encoded or decoded together.
-GROUP = 1 << 20
+#: Samples that are encoded or decoded together; a run of texts of a megabyte fits.
+GROUP = 3 << 19
 #: Sample rate written to the stream, and its code in frame headers (8 kHz).
 RATE, RATE_CODE = 8000, 4
 #: Order, coefficient precision and shift of the encoder's linear predictor.
