@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .tables import EVENT_STOP_WORDS
+
 #: Words that similarity of titles leaves out; a fixed list.
 STOP_WORDS = (
     "the a an and or but in on at to for of with by from is was are were has have had be been being this that these those it its"
@@ -25,9 +27,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def event_fingerprint(title: Column, category: Column) -> Column:
-    """Of the sorted words the first five, and the category, as 16 hexadecimal digits."""
-    picked = F.slice(F.array_sort(words(title, 3, STOP_WORDS)), 1, 5)
-    return F.substring(F.md5(F.concat_ws("|", F.array_join(picked, " "), category)), 1, 16)
+    """The category and the first five of the title's words in order, as 16 hexadecimal digits."""
+    bare = F.regexp_replace(F.lower(title), r"[^a-z0-9\s]", "")
+    kept = F.filter(F.split(bare, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(EVENT_STOP_WORDS))
+    return F.substring(F.md5(F.concat_ws(":", category, F.array_join(F.slice(F.array_sort(kept), 1, 5), ":"))), 1, 16)
 
 
 def topic_key(title: Column, first: int) -> Column:

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables as W
 from ..functions import text as X
+from ..functions.classify import ascii_words
 
 
 def names(docs: DataFrame, pattern: str) -> DataFrame:
@@ -26,11 +28,20 @@ def without_fillers(text: Column, fillers: list[str]) -> Column:
 
 
 def claims(docs: DataFrame) -> DataFrame:
-    """Sentences that state a number, a prediction or a fact, a row each."""
-    s = docs.select("id", F.explode(F.regexp_extract_all("body", F.lit(r"[^.!?]+[.!?]"), F.lit(0))).alias("claim")).withColumn("claim", F.trim("claim"))
-    s = s.filter(F.length("claim").between(20, 500) & F.col("claim").rlike(r"[0-9]|\b(will|shall|that this)\b"))
-    kind = F.when(F.col("claim").rlike("[0-9]"), "statistical").when(F.lower("claim").rlike(r"\b(will|shall)\b"), "predictive").otherwise("factual")
-    return s.withColumn("kind", kind)
+    """Sentences that claim something, by five families of patterns: each text's first ones, without repeats, with what stands around them."""
+
+    def family(kind: str, pattern: str) -> Column:
+        sentences = F.regexp_extract_all("body", F.lit(ascii_words(pattern)), F.lit(1))
+        return F.transform(sentences, lambda x: F.struct(F.lit(kind).alias("kind"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("claim")))
+
+    found = [family(*rule) for rule in W.CLAIM_RULES]
+    c = docs.select("id", "body", F.posexplode(F.concat(*found)).alias("at", "c")).select("id", "body", "at", "c.*")
+    c = c.filter(F.length("claim").between(W.CLAIM_LEAST, W.CLAIM_MOST)).withColumn("same", F.regexp_replace(F.lower("claim"), r"\s+", " "))
+    c = c.withColumn("nth", F.row_number().over(Window.partitionBy("id", "same").orderBy("at"))).filter("nth = 1")
+    c = c.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("at"))).filter(F.col("place") <= W.CLAIMS)
+    begin = F.instr("body", F.col("claim"))
+    context = F.substring("body", F.greatest(begin - W.CLAIM_CONTEXT, F.lit(1)), F.least(begin - 1, F.lit(W.CLAIM_CONTEXT)) + F.length("claim") + W.CLAIM_CONTEXT)
+    return c.select("id", "place", "kind", "claim", context.alias("context"))
 
 
 def claim_confidence(text: Column) -> Column:

@@ -281,9 +281,9 @@ def _(v: Views):
     return v.signals.select("id", spot.alias("spot")).filter("spot is not null")
 
 
-@query("j31_s26_geo_validation", "b AS (SELECT country_code, min(lat) + 1 AS s, max(lat) - 1 AS n FROM signals WHERE id % 2 = 0 GROUP BY 1), c AS (SELECT id, lat, lng, lat < s - 2 OR lat > n + 2 AS outside, abs(lat) < 0.5 AND abs(lng) < 0.5 AS island FROM signals JOIN b USING (country_code)) SELECT id, outside, island, round(1 - CASE WHEN outside THEN 0.3 ELSE 0 END - CASE WHEN island THEN 0.4 ELSE 0 END, 4)::DOUBLE AS confidence FROM c", S)
+@query("j31_s26_geo_validation", "b AS (SELECT country_code, min(lat) + 1 AS s, max(lat) - 1 AS n FROM signals GROUP BY 1), c AS (SELECT id, lat, lng, lat < s - 2 OR lat > n + 2 AS outside, abs(lat) < 0.5 AND abs(lng) < 0.5 AS island FROM signals JOIN b USING (country_code)) SELECT id, outside, island, round(1 - CASE WHEN outside THEN 0.3 ELSE 0 END - CASE WHEN island THEN 0.4 ELSE 0 END, 4)::DOUBLE AS confidence FROM c", S)
 def _(v: Views):
-    bounds = v.signals.filter("id % 2 = 0").groupBy("country_code").agg((F.min("lat") + 1).alias("s"), (F.max("lat") - 1).alias("n"))
+    bounds = v.signals.groupBy("country_code").agg((F.min("lat") + 1).alias("s"), (F.max("lat") - 1).alias("n"))
     outside, island = (F.col("lat") < F.col("s") - 2) | (F.col("lat") > F.col("n") + 2), (F.abs("lat") < 0.5) & (F.abs("lng") < 0.5)
     c = v.signals.join(bounds, "country_code").select("id", outside.alias("outside"), island.alias("island"))
     return c.withColumn("confidence", F.round(1 - F.when(F.col("outside"), 0.3).otherwise(0.0) - F.when(F.col("island"), 0.4).otherwise(0.0), 4))

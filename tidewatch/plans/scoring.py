@@ -151,10 +151,10 @@ def _(v: Views):
     return v.signals.select("id", kind.alias("kind"), radius.alias("radius_km"), F.round(F.least(F.lit(0.95), 0.5 + 0.1 * F.col("source_count")), 6).alias("confidence"))
 
 
-@query("s46_formatters", "SELECT id, CASE WHEN value > 35 THEN 'up' WHEN value < 35 THEN 'down' ELSE 'flat' END AS direction, printf('%.2f', value) AS shown FROM signals WHERE id % 7 = 0", S)
+@query("s46_formatters", "SELECT id, CASE WHEN value > 35 THEN 'up' WHEN value < 35 THEN 'down' ELSE 'flat' END AS direction, printf('%.2f', value) AS shown FROM signals", S)
 def _(v: Views):
     direction = F.when(F.col("value") > 35, "up").when(F.col("value") < 35, "down").otherwise("flat")
-    return v.signals.filter("id % 7 = 0").select("id", direction.alias("direction"), F.format_string("%.2f", "value").alias("shown"))
+    return v.signals.select("id", direction.alias("direction"), F.format_string("%.2f", "value").alias("shown"))
 
 
 @query("s53_best_market", "SELECT user_id, arg_max(id, (value, id)) AS market_id, least(1.0, greatest(0.0, round(max(value) / 200, 6))) AS probability FROM signals GROUP BY user_id", S)

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..bind import Views
 from ..functions import classify as K
+from ..functions import ranks as R
+from ..functions import tables as W
 from ..functions import text as X
 from ..operators import basic as B
+from ..operators import joins as J
 from ..operators import pages as P
 from ..operators import texts as T
 from .core import S
@@ -18,7 +21,32 @@ D = "docs"
 WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(title), '\W+'), lambda w: length(w) >= 3))"
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 SIG = rf"list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '\W+'), lambda w: length(w) >= 3 AND w NOT IN ({STOP}))))"
-PRINT = f"substr(md5(array_to_string({SIG}[1:5], ' ') || '|' || language), 1, 16)"
+EVENT_STOP = ", ".join(f"'{w}'" for w in W.EVENT_STOP_WORDS)
+#: A list of strings as SQL.
+texts = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def case(expr, rules, default):
+    return "CASE " + " ".join(f"WHEN regexp_matches({expr}, '{p.replace(chr(39), chr(39) * 2)}') THEN '{label}'" for label, p in rules) + f" ELSE {default} END"
+
+
+def any_word(expr, rules, default):
+    """The label of the first rule one of whose words is in the expression, in lower case."""
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({expr}), '{w.lower()}')" for w in words) + f" THEN '{label}'" for label, words in rules) + f" ELSE {default} END"
+
+
+FULL = "lower(concat_ws(' ', title, body))"
+CATEGORY = case(FULL, W.CATEGORY_RULES, "'other'")
+PRINT = rf"substr(md5(concat_ws(':', category, array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^a-z0-9\s]', '', 'g'), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({EVENT_STOP})))[1:5], ':'))), 1, 16)"
+CLASSED = f"c AS (SELECT *, {CATEGORY} AS category FROM docs)"
+
+
+def full(v: Views):
+    return F.concat_ws(" ", "title", "body")
+
+
+def classed(v: Views):
+    return v.docs.withColumn("category", K.category(full(v)))
 
 
 @query("s1_tokenize", f"SELECT id, {SIG} AS words FROM docs", D)
@@ -32,9 +60,9 @@ def _(v: Views):
     return v.docs.select("id", F.array_sort(X.words(bare, 3, None, r"\s+")).alias("words"))
 
 
-@query("s3_fingerprint", f"SELECT id, {PRINT} AS fingerprint FROM docs", D)
+@query("s3_fingerprint", f"{CLASSED} SELECT id, {PRINT} AS fingerprint FROM c", D)
 def _(v: Views):
-    return v.docs.select("id", X.event_fingerprint(F.col("title"), F.col("language")).alias("fingerprint"))
+    return classed(v).select("id", X.event_fingerprint(F.col("title"), F.col("category")).alias("fingerprint"))
 
 
 def topic_sql(n):
@@ -58,26 +86,27 @@ def _(v: Views):
     return w.join(nxt, "id").filter(F.size("w") + F.size("x") > 0).select("id", F.round(X.jaccard(F.col("w"), F.col("x")), 6).alias("overlap"))
 
 
-@query("s30_trigram_similarity", "WITH t AS (SELECT n_nationkey AS id, list_distinct(list_transform(range(1, length(n_name) + 2), lambda i: substr('  ' || lower(n_name) || ' ', i, 3))) AS g FROM nation WHERE NOT contains(n_name, ' ')) SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM t a JOIN t b ON a.id < b.id WHERE len(list_intersect(a.g, b.g)) > 0")
-def _(v: Views):
-    t = v.table("nation").filter(~F.contains("n_name", F.lit(" "))).select(F.col("n_nationkey").alias("a"), X.trigrams(F.col("n_name")).alias("g"))
-    pairs = t.join(t.select(F.col("a").alias("b"), F.col("g").alias("h")), F.col("a") < F.col("b")).filter(F.arrays_overlap("g", "h"))
-    return pairs.select("a", "b", F.round(X.jaccard(F.col("g"), F.col("h")), 6).alias("similarity"))
+NATION_TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(n_name), '[^a-z0-9]+'), lambda w: length(w) > 0), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
-def case(expr, rules, default):
-    return "CASE " + " ".join(f"WHEN regexp_matches({expr}, '{p.replace(chr(39), chr(39) * 2)}') THEN '{label}'" for label, p in rules) + f" ELSE {default} END"
+@query("s30_trigram_similarity", f"WITH t AS (SELECT n_nationkey AS id, {NATION_TRI} AS g FROM nation) SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM t a JOIN t b ON a.id < b.id WHERE len(list_intersect(a.g, b.g)) > 0")
+def _(v: Views):
+    """Names meet by the trigrams that they share, so that only pairs with one are made."""
+    t = v.table("nation").select(F.col("n_nationkey").alias("key"), X.trigrams(F.col("n_name")).alias("g")).withColumn("n", F.size("g"))
+    grams = t.select("key", "n", F.explode("g").alias("gram"))
+    met = J.suffixed(grams, "_a").join(J.suffixed(grams, "_b"), (F.col("gram_a") == F.col("gram_b")) & (F.col("key_a") < F.col("key_b")))
+    pairs = met.groupBy("key_a", "key_b", "n_a", "n_b").agg(F.count("*").alias("common"))
+    return pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.round(F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common")), 6).alias("similarity"))
 
 
-@query("s20_category_severity", f"c AS (SELECT id, lower(body) AS t, {case('lower(body)', K.CATEGORY_RULES, chr(39) + 'other' + chr(39))} AS category FROM docs) SELECT id, category, {case('t', K.SEVERITY_RULES, '''CASE WHEN category = 'breaking' THEN 'high' WHEN category IN ('disaster', 'conflict') THEN 'medium' ELSE 'low' END''')} AS severity FROM c", D)
+@query("s20_category_severity", f"{CLASSED} SELECT id, category, {case(FULL, W.SEVERITY_RULES, "CASE WHEN category = 'breaking' THEN 'high' WHEN category IN ('disaster', 'conflict') THEN 'medium' ELSE 'low' END")} AS severity FROM c", D)
 def _(v: Views):
-    c = v.docs.withColumn("category", K.category(F.col("body")))
-    return c.select("id", "category", K.severity(F.col("body"), F.col("category")).alias("severity"))
+    return classed(v).select("id", "category", K.severity(full(v), F.col("category")).alias("severity"))
 
 
-@query("s20_tags", "SELECT id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(body), '{p}') THEN '{t}' END" for t, p in K.TAG_RULES) + "], lambda x: x IS NOT NULL)[1:5] AS tags FROM docs", D)
+@query("s20_tags", "SELECT id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches({FULL}, '{p}') THEN '{t}' END" for t, p in W.TAG_RULES) + "], lambda x: x IS NOT NULL)[1:5] AS tags FROM docs", D)
 def _(v: Views):
-    return v.docs.select("id", K.tags(F.col("body")).alias("tags"))
+    return v.docs.select("id", K.tags(full(v)).alias("tags"))
 
 
 @query("s21_recalibration", "SELECT id, CASE WHEN category = 'health' AND severity IN ('critical', 'high', 'medium') THEN 'low' WHEN (category = 'economy' OR k % 13 = 0) AND severity IN ('critical', 'high') THEN 'medium' ELSE severity END AS severity FROM signals", S)
@@ -86,17 +115,20 @@ def _(v: Views):
     return v.signals.select("id", K.recalibrated(F.col("severity"), renamed, F.col("k") % 13 == 0).alias("severity"))
 
 
-_counts = {lang: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in own) + ")))" for lang, own in K.LANGUAGE_WORDS.items()}
+_counts = {lang: f"len(list_filter(w, lambda x: list_contains({texts(own)}, x)))" for lang, own in W.LANGUAGE_WORDS.items()}
+_best = f"greatest({', '.join(W.LANGUAGE_WORDS)})"
+_scripts = " ".join(f"WHEN regexp_matches(body, '[{chr(a)}-{chr(b)}]') THEN '{lang}'" for lang, a, b in W.SCRIPTS)
+_latin = " ".join(f"WHEN {lang} = {_best} THEN '{lang}'" for lang in W.LANGUAGE_WORDS)
 
 
-@query("s22_language_detect", "c AS (SELECT id, regexp_split_to_array(lower(body), '\\W+') AS w FROM docs), n AS (SELECT id, " + ", ".join(f"{e} AS {lang}" for lang, e in _counts.items()) + " FROM c) SELECT id, CASE WHEN greatest(es, fr, de, it) = 0 THEN 'en' WHEN es = greatest(es, fr, de, it) THEN 'es' WHEN fr = greatest(es, fr, de, it) THEN 'fr' WHEN de = greatest(es, fr, de, it) THEN 'de' ELSE 'it' END AS language FROM n", D)
+@query("s22_language_detect", "c AS (SELECT id, body, regexp_split_to_array(lower(body), '\\W+') AS w FROM docs), n AS (SELECT id, body, " + ", ".join(f"{e} AS {lang}" for lang, e in _counts.items()) + f" FROM c) SELECT id, CASE {_scripts} WHEN {_best} = 0 THEN 'en' {_latin} END AS language FROM n", D)
 def _(v: Views):
     return v.docs.select("id", K.language(F.col("body")).alias("language"))
 
 
-@query("s23_news_ladder", f"SELECT {case('lower(title)', K.CATEGORY_RULES[:6], chr(39) + 'other' + chr(39))} AS category, language, count(*) AS n FROM docs GROUP BY 1, 2", D)
+@query("s23_news_ladder", f"SELECT id, {case(FULL, W.NEWS_CATEGORY, 'source')} AS category, {case(FULL, W.NEWS_SEVERITY, chr(39) + 'low' + chr(39))} AS severity FROM docs", D)
 def _(v: Views):
-    return v.docs.groupBy(K.first_match(F.lower("title"), K.CATEGORY_RULES[:6], "other").alias("category"), "language").agg(F.count("*").alias("n"))
+    return v.docs.select("id", K.news_category(full(v), F.col("source")).alias("category"), K.news_severity(full(v)).alias("severity"))
 
 
 @query("s24_geo_inference", "m AS (SELECT d.id, n_name, row_number() OVER (PARTITION BY d.id ORDER BY length(n_name) DESC, n_name) AS r FROM docs d JOIN nation ON contains(lower(d.body), lower(substr(n_name, 1, 4)))) SELECT id, n_name AS place FROM m WHERE r = 1", D)
@@ -118,7 +150,16 @@ def _(v: Views):
     return v.table("customer").select(F.col("c_custkey").alias("id"), F.trim(bare).alias("bare"))
 
 
-@query("s31_claims", r"s AS (SELECT id, trim(unnest(regexp_extract_all(body, '[^.!?]+[.!?]'))) AS claim FROM docs) SELECT id, claim, CASE WHEN regexp_matches(claim, '[0-9]') THEN 'statistical' WHEN regexp_matches(lower(claim), '\b(will|shall)\b') THEN 'predictive' ELSE 'factual' END AS kind FROM s WHERE length(claim) BETWEEN 20 AND 500 AND regexp_matches(claim, '[0-9]|\b(will|shall|that this)\b')", D)
+_families = " UNION ALL ".join(f"SELECT id, {i} AS family, '{kind}' AS kind, body, unnest(regexp_extract_all(body, '{p}', 1)) AS claim, generate_subscripts(regexp_extract_all(body, '{p}', 1), 1) AS place FROM docs" for i, (kind, p) in enumerate(W.CLAIM_RULES))
+
+
+@query(
+    "s31_claims",
+    rf"""f AS ({_families}), t AS (SELECT id, family, kind, body, place, regexp_replace(claim, '^\s+|\s+$', '', 'g') AS claim FROM f),
+    u AS (SELECT * FROM t WHERE length(claim) BETWEEN 20 AND 500 QUALIFY row_number() OVER (PARTITION BY id, regexp_replace(lower(claim), '\s+', ' ', 'g') ORDER BY family, place) = 1)
+    SELECT id, row_number() OVER (PARTITION BY id ORDER BY family, place) AS place, kind, claim, substr(body, greatest(strpos(body, claim) - 100, 1), least(strpos(body, claim) - 1, 100) + length(claim) + 100) AS context FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY family, place) <= 50""",
+    D,
+)
 def _(v: Views):
     return T.claims(v.docs)
 
@@ -143,12 +184,17 @@ def _(v: Views):
     return v.segments.select("conv_id", "turn", T.without_fillers(F.col("text"), FILLERS).alias("clean"))
 
 
-TOPICS = {"grammar": ["the", "that", "with"], "motion": ["ing", "tion"], "other_words": ["ea", "ou"]}
+_topics = ", ".join("(" + " + ".join(f"contains(lower(said), '{w}')::INT" for w in ws) + f') AS "{t}"' for t, ws in W.TOPICS.items())
+_most = "greatest(" + ", ".join(f'"{t}"' for t in W.TOPICS) + ")"
+#: Conversations are invented words; every turn says some word of the list besides.
+_SPOKEN = [w for ws in W.TOPICS.values() for w in ws] + ["nothing of note"]
 
 
-@query("s35_topic_argmax", "n AS (SELECT conv_id, turn, " + ", ".join("(" + " + ".join(f"contains(lower(text), '{w}')::INT" for w in ws) + f") AS {t}" for t, ws in TOPICS.items()) + " FROM segments) SELECT conv_id, turn, CASE WHEN greatest(grammar, motion, other_words) <= 0 THEN 'none' WHEN grammar = greatest(grammar, motion, other_words) THEN 'grammar' WHEN motion = greatest(grammar, motion, other_words) THEN 'motion' ELSE 'other_words' END AS topic FROM n", "segments")
+@query("s35_topic_argmax", f"b AS (SELECT conv_id, turn, concat_ws(' ', text, {texts(_SPOKEN)}[1 + (conv_id * 7 + turn) % {len(_SPOKEN)}]) AS said FROM segments), n AS (SELECT conv_id, turn, {_topics} FROM b) SELECT conv_id, turn, CASE WHEN {_most} <= 0 THEN 'General' " + " ".join(f"WHEN \"{t}\" = {_most} THEN '{t}'" for t in W.TOPICS) + " END AS topic FROM n", "segments")
 def _(v: Views):
-    return v.segments.select("conv_id", "turn", X.argmax_label({t: X.hits(F.col("text"), ws) for t, ws in TOPICS.items()}, "none").alias("topic"))
+    word = F.element_at(F.array(*map(F.lit, _SPOKEN)), (1 + (F.col("conv_id") * 7 + F.col("turn")) % len(_SPOKEN)).cast("int"))
+    said = F.concat_ws(" ", "text", word)
+    return v.segments.select("conv_id", "turn", X.argmax_label({t: X.hits(said, ws) for t, ws in W.TOPICS.items()}, "General").alias("topic"))
 
 
 @query("w11_scene_segmentation", "l AS (SELECT *, CASE WHEN start_s - lag(end_s) OVER w > 3 OR speaker IS DISTINCT FROM lag(speaker) OVER w THEN 1 ELSE 0 END AS new FROM segments WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), s AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS scene FROM l) SELECT conv_id, CAST(scene AS BIGINT) AS scene, min(start_s) AS start_s, max(end_s) AS end_s, any_value(speaker) AS speaker, string_agg(text, ' ' ORDER BY turn) AS text FROM s GROUP BY conv_id, scene", "segments")
@@ -159,10 +205,24 @@ def _(v: Views):
 HOST = r"lower(regexp_extract(url, '^https?://(?:www\.)?([^/?#]+)', 1))"
 
 
-@query("s36_slop_score", rf"p AS (SELECT page_id, url, html, {HOST} AS host, regexp_extract(html, '<h1>([^<]*)', 1) AS title FROM pages), q AS (SELECT *, count(*) OVER (PARTITION BY host) AS n FROM p) SELECT page_id, round(least(1.0, CASE WHEN host LIKE '%.net' THEN 0.40 ELSE 0 END + 0.15 + CASE WHEN regexp_matches(lower(title), 'you won''t believe|\bshocking(ly)?\b|\b(top|best)\s+\d+\b|\bthis one (trick|thing|secret)\b|what happened next|!{{2,}}') OR (regexp_matches(lower(title), '\bbreaking\b') AND NOT regexp_matches(lower(title), '\bbreaking-')) THEN 0.10 ELSE 0 END + CASE WHEN length(trim(title)) > 0 AND length(trim(title)) < 100 THEN 0.10 ELSE 0 END + CASE WHEN n > 10 THEN 0.10 ELSE 0 END + CASE WHEN regexp_matches(url, '^https?://[^/]+/?$') THEN 0.05 ELSE 0 END), 2)::DOUBLE AS slop FROM q".replace("p AS (", "WITH p AS (", 1))
+_bait = " OR ".join(f"regexp_matches(lower(title), '{p.replace(chr(39), chr(39) * 2)}')" for p in W.CLICKBAIT)
+#: Pages stand for reports: some come from known farms and bait clicks, and a hundred of them are published an hour.
+_BAIT = ["You won't believe it", "Breaking: news", "a report", "breaking-even", "Top 10 ways", "viral video today", "Stop!!"]
+
+
+@query(
+    "s36_slop_score",
+    rf"""WITH p AS (SELECT page_id, url, html, CASE WHEN page_id % 7 = 0 THEN {texts(W.CONTENT_FARMS)}[1 + page_id % {len(W.CONTENT_FARMS)}] ELSE {HOST} END AS host, regexp_extract(html, '<h1>([^<]*)', 1) || ' ' || {texts(_BAIT)}[1 + page_id % {len(_BAIT)}] AS title, regexp_extract(html, '<p>([^<]*)', 1) AS body FROM pages),
+    q AS (SELECT *, row_number() OVER (PARTITION BY host, page_id // 100 ORDER BY page_id) AS n FROM p)
+    SELECT page_id, round(least(1.0, CASE WHEN list_contains({texts(W.CONTENT_FARMS)}, host) THEN 0.40 ELSE 0 END + 0.15 + CASE WHEN {_bait} THEN 0.10 ELSE 0 END + CASE WHEN length(trim(body)) > 0 AND length(trim(body)) < 100 THEN 0.10 ELSE 0 END + CASE WHEN n > 10 THEN 0.10 ELSE 0 END + CASE WHEN regexp_matches(url, '^https?://[^/]+/?$') THEN 0.05 ELSE 0 END), 2)::DOUBLE AS slop FROM q""",
+)
 def _(v: Views):
-    p = v.table("pages").withColumn("host", X.host(F.col("url"))).withColumn("title", F.regexp_extract("html", "<h1>([^<]*)", 1)).withColumn("n", F.count("*").over(Window.partitionBy("host")))
-    return p.select("page_id", K.slop(F.col("host").endswith(".net"), F.lit(False), F.col("title"), F.col("title"), F.col("n") > 10, F.col("url").rlike(r"^https?://[^/]+/?$")).alias("slop"))
+    """Blocklist, byline, nine patterns of titles, thin bodies, cadence by domain and hour, bare paths."""
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (1 + F.col("page_id") % len(words)).cast("int"))
+    host = F.when(F.col("page_id") % 7 == 0, pick(W.CONTENT_FARMS)).otherwise(X.host(F.col("url")))
+    p = v.table("pages").select("page_id", "url", host.alias("host"), F.concat_ws(" ", F.regexp_extract("html", "<h1>([^<]*)", 1), pick(_BAIT)).alias("title"), F.regexp_extract("html", "<p>([^<]*)", 1).alias("body"))
+    p = p.withColumn("n", F.row_number().over(Window.partitionBy("host", F.floor(F.col("page_id") / 100)).orderBy("page_id")))
+    return p.select("page_id", K.slop(F.col("host"), F.lit(False), F.col("title"), F.col("body"), F.col("n") > 10, F.col("url").rlike(r"^https?://[^/]+/?$")).alias("slop"))
 
 
 @query("s37_domain_verdict", rf"WITH d AS (SELECT {HOST} AS host, count(*) AS n, count(DISTINCT regexp_extract(url, '/(en|fr|de|es)/', 1)) AS langs FROM pages GROUP BY 1) SELECT host, n, CASE WHEN n >= 5 AND langs >= 2 THEN 'suspicious' WHEN n >= 3 THEN 'watch' ELSE 'clean' END AS verdict FROM d")
@@ -171,12 +231,26 @@ def _(v: Views):
     return d.select("host", "n", F.when((F.col("n") >= 5) & (F.col("langs") >= 2), "suspicious").when(F.col("n") >= 3, "watch").otherwise("clean").alias("verdict"))
 
 
-@query("s38_source_bias", rf"WITH d AS (SELECT page_id, {HOST} AS host FROM pages) SELECT page_id, CASE WHEN regexp_matches(host, '\.(gov|edu)$') THEN 0.0 WHEN regexp_matches(host, 'example\.com$') THEN -0.25 WHEN regexp_matches(host, 'example\.net$') THEN 0.25 ELSE 0.0 END::DOUBLE AS bias, split_part(host, '.', -1) AS tld FROM d")
+#: Hosts of the pages are invented; each page's outlet is one of these or its own host.
+_OUTLETS = ["opinion.nytimes.com", "reuters.com", "foxnews.com", "data.census.gov", "news.un.org.example", "lse.edu", "sputnik.ru", "daily-liberty-news.com", "progressive-labor-justice.net", "bbc.co.uk", "live.bbc.co.uk", "a.b.infowars.com"]
+_KNOWN = "MAP {" + ", ".join(f"'{k}': {s}" for k, s in W.BIAS.items()) + "}"
+_hits = lambda words: f"len(list_filter(list_filter(regexp_split_to_array(regexp_replace(host, '\\.[^.]+$', ''), '[-_.]+'), lambda w: length(w) > 2), lambda w: list_contains({texts(words)}, w)))"
+_ends = lambda ends: " OR ".join(f"ends_with(host, '{x}')" for x in ends)
+
+
+@query(
+    "s38_source_bias",
+    rf"""WITH d AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {texts(_OUTLETS)}[1 + (page_id // 2) % {len(_OUTLETS)}] ELSE {HOST} END AS host FROM pages),
+    k AS (SELECT page_id, host, {_KNOWN} AS known, string_split(host, '.') AS parts FROM d),
+    p AS (SELECT *, known[host] AS seed, CASE WHEN len(parts) >= 3 THEN list_filter(list_transform(range(2, len(parts)), lambda i: known[array_to_string(parts[i:], '.')]), lambda s: s IS NOT NULL)[1] END AS parent, {_hits(W.LEFT_WORDS)} AS l, {_hits(W.RIGHT_WORDS)} AS r, {_ends(W.NEUTRAL_ENDS)} OR {" OR ".join(f"contains(host, '{x}.')" for x in W.NEUTRAL_ENDS)} AS neutral, {_ends(W.STATE_ENDS)} AS state FROM k),
+    x AS (SELECT page_id, host, CASE WHEN seed IS NOT NULL THEN seed WHEN neutral THEN 0 WHEN parent IS NOT NULL THEN parent WHEN state THEN 0 WHEN l > 0 OR r > 0 THEN greatest(-0.75, least(0.75, (r - l) * 0.25)) END::DOUBLE AS score,
+        CASE WHEN seed IS NOT NULL OR neutral THEN 'high' WHEN parent IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN seed IS NOT NULL THEN 'seed' WHEN neutral OR parent IS NOT NULL OR state OR l > 0 OR r > 0 THEN 'heuristic' ELSE 'unknown' END AS method FROM p)
+    SELECT page_id, score, confidence, method, CASE WHEN score IS NULL THEN 'unknown' WHEN score <= -0.8 THEN 'far-left' WHEN score <= -0.4 THEN 'left' WHEN score <= -0.1 THEN 'center-left' WHEN score < 0.1 THEN 'center' WHEN score < 0.4 THEN 'center-right' WHEN score < 0.8 THEN 'right' ELSE 'far-right' END AS label FROM x""",
+)
 def _(v: Views):
-    host = F.col("host")
-    d = v.table("pages").select("page_id", X.host(F.col("url")).alias("host"))
-    bias = F.when(host.rlike(r"\.(gov|edu)$"), 0.0).when(host.rlike(r"example\.com$"), -0.25).when(host.rlike(r"example\.net$"), 0.25).otherwise(0.0)
-    return d.select("page_id", bias.alias("bias"), F.element_at(F.split("host", r"\."), -1).alias("tld"))
+    pick = F.element_at(F.array(*map(F.lit, _OUTLETS)), (1 + F.floor(F.col("page_id") / 2) % len(_OUTLETS)).cast("int"))
+    d = v.table("pages").select("page_id", F.when(F.col("page_id") % 2 == 0, pick).otherwise(X.host(F.col("url"))).alias("host")).withColumn("b", K.bias(F.col("host")))
+    return d.select("page_id", "b.score", "b.confidence", "b.method", F.when(F.col("b.score").isNull(), "unknown").otherwise(K.bias_label(F.col("b.score"))).alias("label"))
 
 
 @query("x16_canonical_url", r"SELECT page_id, substr(md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:utm_[a-z]+|fbclid|gclid|ref|referrer)=[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&+', '?', 'g'), '[?&]+$', '')), 1, 16) AS key FROM pages")
@@ -189,19 +263,50 @@ def _(v: Views):
     return P.media_urls(v.table("pages").select(F.col("page_id").alias("doc_id"), F.concat_ws(" ", "url", "html").alias("text")))
 
 
-@query("s42_threat_kind", "SELECT CASE WHEN contains(title, 'unit8') THEN 'hypersonic' WHEN contains(title, 'unit7') THEN 'ballistic' WHEN contains(title, 'unit6') THEN 'cruise' WHEN contains(title, 'unit5') THEN 'drone' ELSE 'unknown' END AS kind, count(*) AS n FROM signals GROUP BY 1", S)
+#: Titles of signals are invented; each says one more word of the lists.
+_THREAT_WORDS = [w for _, ws in W.THREATS for w in ws] + [w for _, ws in W.ORIGINS for w in ws] + ["no threat"]
+_said = lambda words: f"concat_ws(' ', title, {texts(words)}[1 + id % {len(words)}], {texts(words)}[1 + (id // 7) % {len(words)}])"
+
+
+def said(words):
+    pick = lambda n: F.element_at(F.array(*map(F.lit, words)), (1 + n % len(words)).cast("int"))
+    return F.concat_ws(" ", "title", pick(F.col("id")), pick(F.floor(F.col("id") / 7)))
+
+
+@query("s42_threat_kind", f"t AS (SELECT id, {_said(_THREAT_WORDS)} AS said FROM signals) SELECT {any_word('said', W.THREATS, chr(39) + 'unknown' + chr(39))} AS kind, {any_word('said', W.ORIGINS, 'NULL')} AS origin, count(*) AS n FROM t GROUP BY 1, 2", S)
 def _(v: Views):
-    kind = None
-    for word, label in (("unit8", "hypersonic"), ("unit7", "ballistic"), ("unit6", "cruise"), ("unit5", "drone")):
-        hit = F.contains("title", F.lit(word))
-        kind = F.when(hit, label) if kind is None else kind.when(hit, label)
-    return v.signals.groupBy(kind.otherwise("unknown").alias("kind")).agg(F.count("*").alias("n"))
+    t = v.signals.select(said(_THREAT_WORDS).alias("said"))
+    return t.groupBy(K.first_word(F.col("said"), W.THREATS, "unknown").alias("kind"), K.first_word(F.col("said"), W.ORIGINS, None).alias("origin")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "s42_digest",
+    f"""t AS (SELECT {any_word('title', W.THREATS, chr(39) + 'unknown' + chr(39))} AS kind, {any_word('title', W.ORIGINS, 'NULL')} AS origin, created_at FROM (SELECT {_said(_THREAT_WORDS)} AS title, created_at FROM signals)),
+    w AS (SELECT * FROM t WHERE created_at > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 48 HOURS), k AS (SELECT kind, count(*) AS n FROM w WHERE kind <> 'unknown' GROUP BY 1 ORDER BY n DESC, kind LIMIT 1), o AS (SELECT origin, count(*) AS n FROM w WHERE origin IS NOT NULL GROUP BY 1 ORDER BY n DESC, origin LIMIT 1),
+    c AS (SELECT count(*) AS n, count(*) FILTER (created_at > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 6 HOURS) AS late FROM w)
+    SELECT CASE WHEN c.n = 0 THEN 'No threat signals detected in the last 48 hours.' ELSE coalesce(k.n || ' ' || kind || ' signals', c.n || ' signals') || ' detected in 48h' || coalesce(' primarily attributed to ' || origin, '') || ' (stable — ' || late || ' signals in last 6h). Total signals: ' || c.n || '.' END AS digest FROM c LEFT JOIN k ON true LEFT JOIN o ON true""",
+    S,
+)
+def _(v: Views):
+    """One sentence about the threats of the last two days."""
+    t = B.within_hours(v.signals, v.as_of, 48).select(said(_THREAT_WORDS).alias("said"), "created_at")
+    t = t.select(K.first_word(F.col("said"), W.THREATS, "unknown").alias("kind"), K.first_word(F.col("said"), W.ORIGINS, None).alias("origin"), "created_at")
+    top = lambda c: t.filter(F.col(c).isNotNull() & (F.col(c) != "unknown")).groupBy(c).agg(F.count("*").alias(f"{c}_n")).orderBy(F.desc(f"{c}_n"), c).limit(1)
+    c = t.agg(F.count("*").alias("n"), F.count_if(F.col("created_at") > R.hours_before(v.as_of, 6)).alias("late"))
+    row = c.join(F.broadcast(top("kind")), F.lit(True), "left").join(F.broadcast(top("origin")), F.lit(True), "left")  # one row each
+    text = lambda x: F.col(x).cast("string")
+    led = F.coalesce(F.concat(text("kind_n"), F.lit(" "), F.col("kind"), F.lit(" signals")), F.concat(text("n"), F.lit(" signals")))
+    sentence = F.concat(led, F.lit(" detected in 48h"), F.coalesce(F.concat(F.lit(" primarily attributed to "), F.col("origin")), F.lit("")), F.lit(" (stable — "), text("late"), F.lit(" signals in last 6h). Total signals: "), text("n"), F.lit("."))
+    return row.select(F.when(F.col("n") == 0, "No threat signals detected in the last 48 hours.").otherwise(sentence).alias("digest"))
+
+
+_SHIP_WORDS = [w for _, ws in W.FLEETS for w in ws] + W.DARK_SHIPS + ["a ship"]
 
 
-@query("s43_alias_match", "f(alias, fleet) AS (VALUES ('place1 ', 'north'), ('place2 ', 'south'), ('place39', 'west')) SELECT id, fleet FROM signals JOIN f ON contains(title, alias)", S)
+@query("s43_alias_match", f"t AS (SELECT id, category, {_said(_SHIP_WORDS)} AS said FROM signals), f AS (SELECT id, category, said, {any_word('said', W.FLEETS, 'NULL')} AS fleet FROM t) SELECT id, fleet, CASE WHEN category = 'conflict' AND fleet IS NOT NULL THEN 'carrier' WHEN {any_word('said', [('x', W.DARK_SHIPS)], 'NULL')} IS NOT NULL THEN 'dark_ship' ELSE 'vessel' END AS kind FROM f", S)
 def _(v: Views):
-    f = v.spark.createDataFrame([("place1 ", "north"), ("place2 ", "south"), ("place39", "west")], "alias string, fleet string")
-    return v.signals.join(F.broadcast(f), F.contains("title", "alias")).select("id", "fleet")
+    t = v.signals.select("id", "category", said(_SHIP_WORDS).alias("said"))
+    return t.select("id", K.fleet(F.col("said")).alias("fleet"), K.vessel(F.col("said"), F.col("category") == "conflict").alias("kind"))
 
 
 @query("s44_tickers", r"WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda w: regexp_full_match(w, '[A-Z]{3,5}')))) AS ticker FROM documents) SELECT ticker, count(*) AS docs FROM t WHERE ticker NOT IN ('THE', 'AND', 'MIT') GROUP BY ticker HAVING count(*) >= 2")
@@ -222,9 +327,9 @@ def _(v: Views):
     return v.docs.select("id", X.first_sentences(F.col("body"), 2).alias("summary"))
 
 
-@query("s51_date_helpers", "SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS stamp FROM events WHERE event_id % 11 = 0")
+@query("s51_date_helpers", "SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS stamp FROM events")
 def _(v: Views):
-    return v.table("events").filter("event_id % 11 = 0").select("event_id", F.date_format("ts", "yyyyMMddHHmmss").alias("stamp"))
+    return v.table("events").select("event_id", F.date_format("ts", "yyyyMMddHHmmss").alias("stamp"))
 
 
 @query("s59_search_fts", f"q AS (SELECT ['the', 'that', 'with'] AS w) SELECT id FROM docs, q WHERE list_has_all(list_distinct(regexp_split_to_array(lower(body), '\\W+')), q.w) AND len(list_filter(list_distinct(regexp_split_to_array(lower(body), '\\W+')), lambda x: starts_with(x, 'thin'))) > 0", D)
@@ -253,9 +358,9 @@ def _(v: Views):
     return out
 
 
-@query("z3_dedup_fingerprint", f"SELECT {PRINT} AS fingerprint, count(*) AS n, min(id) AS first_id FROM docs GROUP BY 1", D)
+@query("z3_dedup_fingerprint", f"{CLASSED} SELECT {PRINT} AS fingerprint, count(*) AS n, min(id) AS first_id FROM c GROUP BY 1", D)
 def _(v: Views):
-    return v.docs.groupBy(X.event_fingerprint(F.col("title"), F.col("language")).alias("fingerprint")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return classed(v).groupBy(X.event_fingerprint(F.col("title"), F.col("category")).alias("fingerprint")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 @query("z2_content_hash", "SELECT substr(sha256(lower(trim(text))), 1, 32) AS hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
