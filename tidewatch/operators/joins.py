@@ -7,7 +7,10 @@ bucket, a grid cell or a rare token; the condition itself then decides.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +38,19 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
 
 
 def geo_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """Pairs within a distance; rows meet in grid cells no smaller than the distance at any latitude up to 85 degrees."""
+    """Pairs within a distance; rows meet in grid cells no smaller than the distance at any latitude up to 85 degrees.
+
+    A row's cells go once around the earth: the last one, which may be narrower, and the first are neighbours.
+    """
     lat_step = km / 110.0
     cell = lambda c, step: F.floor(F.col(c) / step)
     lng_step = F.lit(lat_step) / F.greatest(F.cos(F.radians(F.abs((F.col("row") + 0.5) * lat_step) + lat_step * 1.5)), F.lit(0.05))
     band = F.explode(F.array(*[cell("lat", lat_step) + d for d in (-1, 0, 1)]))
-    a = left.withColumn("row", band).withColumn("col", F.explode(F.array(*[F.floor(F.col("lng") / lng_step) + d for d in (-1, 0, 1)])))
-    b = right.withColumn("row", cell("lat", lat_step)).withColumn("col", F.floor(F.col("lng") / lng_step))
+    around = F.greatest(F.floor(F.lit(360.0) / lng_step), F.lit(1))  # whole cells; what is left over goes to the last one
+    place = F.least(F.floor(F.pmod(F.col("lng") + 180.0, F.lit(360.0)) / lng_step), around - 1)
+    a = left.withColumn("row", band).withColumn("at", place).withColumn("around", around)
+    a = a.withColumn("col", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("at") + d, F.col("around")) for d in (-1, 0, 1)])))).drop("at", "around")
+    b = right.withColumn("row", cell("lat", lat_step)).withColumn("col", place)
     met = suffixed(a, "_a").join(suffixed(b, "_b"), (F.col("row_a") == F.col("row_b")) & (F.col("col_a") == F.col("col_b")))
     far = haversine_km(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
     return met.withColumn("km", far).filter(F.col("km") <= km).drop("row_a", "row_b", "col_a", "col_b")
@@ -56,8 +65,9 @@ def set_similarity_join(df: DataFrame, key: str, tokens: str, least: float, bloc
     rows = df.select(F.col(key).alias("key"), F.col(tokens).alias("tokens"), *block).filter(F.size("tokens") > 0)
     frequency = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
     ranked = rows.select("key", F.explode("tokens").alias("token")).join(frequency, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("ranked"))
-    n = F.size("ranked")
-    prefix = F.slice("ranked", 1, (n - F.ceil(n * F.lit(least)) + 1).cast("int"))
+    n, share = F.size("ranked").cast("long"), Fraction(str(least))
+    most = F.floor((n * share.numerator + share.denominator - 1) / F.lit(share.denominator))  # n * least, rounded up in whole numbers
+    prefix = F.slice("ranked", 1, (n - most + 1).cast("int"))
     probes = ranked.select("key", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token")).join(rows, "key")
     a, b = suffixed(probes, "_a"), suffixed(probes, "_b")
     same = (F.col("token_a") == F.col("token_b")) & (F.col("key_a") < F.col("key_b"))
@@ -65,8 +75,8 @@ def set_similarity_join(df: DataFrame, key: str, tokens: str, least: float, bloc
         same = same & (F.col(f"{c}_a") == F.col(f"{c}_b"))
     pairs = a.join(b, same).dropDuplicates(["key_a", "key_b"])
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    score = common / (F.size("tokens_a") + F.size("tokens_b") - common)
-    return pairs.withColumn("similarity", score).filter(F.col("similarity") >= least).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "similarity")
+    union = F.size("tokens_a") + F.size("tokens_b") - common
+    return pairs.filter(common * share.denominator >= union * share.numerator).withColumn("similarity", common / union).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "similarity")
 
 
 def array_lookup(df: DataFrame, ids: str, table: DataFrame, key: str, row: str = "id") -> DataFrame:
@@ -87,11 +97,57 @@ def nearest(vectors: DataFrame, vec_id: int, k: int) -> DataFrame:
     return scored.orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
-def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """Pairs of vectors with one label whose cosine is at least so high."""
-    a, b = suffixed(vectors, "_a"), suffixed(vectors, "_b")
-    pairs = a.join(b, (F.col("label_a") == F.col("label_b")) & (F.col("vec_id_a") < F.col("vec_id_b")))
-    return pairs.select(F.col("vec_id_a").alias("a"), F.col("vec_id_b").alias("b"), F.round(cosine(F.col("v_a"), F.col("v_b")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+#: Vectors of a block; two blocks meet in one matrix product.
+BLOCK = 1024
+
+
+def _products(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        name, block = (np.asarray(table.column(c)) for c in ("vec_id", "block"))
+        order = np.lexsort((name, block))
+        name, block = name[order], block[order]
+        v = np.array(table.column("v").take(pa.array(order)).to_pylist(), dtype=np.float64)
+        v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+        low = int(table.column("low")[0].as_py()), int(table.column("high")[0].as_py())
+        i, j = np.flatnonzero(block == low[0]), np.flatnonzero(block == low[1])
+        similarity = np.round(v[i] @ v[j].T, 6)
+        a, b = np.nonzero(similarity >= least)
+        first, second = name[i[a]], name[j[b]]
+        keep = first < second if low[0] == low[1] else first != second
+        first, second, similarity = first[keep], second[keep], similarity[a, b][keep]
+        return pa.table([pa.array(np.minimum(first, second)), pa.array(np.maximum(first, second)), pa.array(similarity)], names=["a", "b", "similarity"])
+
+    return run
+
+
+def similar_pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """Pairs of vectors with one label whose cosine is at least so high, by matrix products of blocks of a label's vectors."""
+    sizes = vectors.groupBy("label").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    cut = vectors.filter("v is not null").join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return met.select("label", "low", "high", "block", "vec_id", "v").groupBy("label", "low", "high").applyInArrow(_products(least), "a long, b long, similarity double")
+
+
+def semantic_duplicates(vectors: DataFrame, hours: int, least: float) -> DataFrame:
+    """The most similar vector of each among those within so many hours, where it is similar enough; the cosine is made once a pair."""
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    pairs = range_join(vectors.select("vec_id", "created_at", "v", norm.alias("norm")), vectors.select("vec_id", "created_at", "v", norm.alias("norm")), [], "created_at", hours * 3600).filter("vec_id_a <> vec_id_b")
+    dot = F.aggregate(F.zip_with("v_a", "v_b", lambda p, q: p * q), F.lit(0.0), lambda a, p: a + p)
+    scored = pairs.select(F.col("vec_id_a").alias("vec_id"), F.col("vec_id_b").alias("twin"), F.round(dot / (F.col("norm_a") * F.col("norm_b")), 6).alias("similarity")).filter(F.col("similarity") > least)
+    return scored.groupBy("vec_id").agg(F.max_by("twin", F.struct(F.col("similarity"), -F.col("twin"))).alias("twin"), F.max("similarity").alias("similarity"))
+
+
+def cross_references(claims: DataFrame, docs: DataFrame, head: int = 5) -> DataFrame:
+    """(item_id, own, keys, similar) -> item_id, doc_id, source: documents with a word for each key that begins with it, or in the claim's list.
+
+    Keys have ``head`` characters at least, by which they meet words; the documents' words are counted once each.
+    """
+    wanted = claims.select("item_id", "own", F.size("keys").alias("need"), F.explode("keys").alias("key")).withColumn("head", F.substring("key", 1, head))
+    words = docs.select("doc_id", "source", F.explode(F.array_distinct(F.split(F.lower("text"), r"\W+"))).alias("word")).filter(F.length("word") >= head).withColumn("head", F.substring("word", 1, head))
+    met = wanted.join(words, "head").filter(F.startswith("word", "key")).groupBy("item_id", "own", "need", "doc_id", "source").agg(F.countDistinct("key").alias("have")).filter("have = need")
+    named = claims.select("item_id", "own", F.explode("similar").alias("doc_id")).join(docs.select("doc_id", "source"), "doc_id")
+    found = met.select("item_id", "own", "doc_id", "source").unionByName(named.select("item_id", "own", "doc_id", "source")).distinct()
+    return found.filter(F.col("source").isNull() | (F.col("source") != F.col("own"))).select("item_id", "doc_id", "source")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -110,19 +166,21 @@ def neighbours(edges: DataFrame, start: str, depth: int) -> DataFrame:
 
 
 def causal_chains(df: DataFrame, pairs: Sequence[tuple[str, str]], hours: int, least: float, limit: int) -> DataFrame:
-    """Cause and effect of given category pairs in one country, the effect later; the best of each pair of categories and country."""
-    known = [f"{a}>{b}" for a, b in pairs]
-    causes, effects = {a for a, _ in pairs}, {b for _, b in pairs}
+    """Cause and effect of given category pairs in one country, the effect later; the best of each pair of categories and country.
+
+    Each cause looks for the category of its effect, which is a key of the join; the best pairs are found while they are made.
+    """
+    effects = {a: [y for x, y in pairs if x == a] for a, _ in pairs}
+    wanted = F.try_element_at(F.create_map(*[x for a, own in effects.items() for x in (F.lit(a), F.array(*map(F.lit, own)))]), F.col("category"))
     base = df.select("id", "category", "country_code", "created_at", "tags")
-    met = range_join(base.filter(F.col("category").isin(*causes)), base.filter(F.col("category").isin(*effects)), ["country_code"], "created_at", hours * 3600, after_only=True)
-    met = met.filter(F.concat_ws(">", "category_a", "category_b").isin(known))
+    causes = base.withColumn("wanted", F.explode(wanted)).select("id", F.col("category").alias("cause"), F.col("wanted").alias("category"), "country_code", "created_at", "tags")
+    met = range_join(causes, base.withColumn("cause", F.lit(None).cast("string")), ["country_code", "category"], "created_at", hours * 3600, after_only=True)
     shared = F.size(F.array_intersect("tags_a", "tags_b"))
-    score = 0.3 + 0.2 + F.least(0.1 * shared, F.lit(0.3)) + F.when(F.col("gap_s") < 12 * 3600, 0.1).otherwise(0.0)
-    scored = met.withColumn("confidence", F.round(score, 4)).filter(F.col("confidence") >= least)
-    best = top_n(scored, ["category_a", "category_b", "country_code_a"], [F.desc("confidence"), F.asc("gap_s"), F.asc("id_a"), F.asc("id_b")], 1)
-    return best.select(F.col("category_a").alias("cause"), F.col("category_b").alias("effect"), F.col("country_code_a").alias("country_code"), F.col("id_a").alias("cause_id"), F.col("id_b").alias("effect_id"), "gap_s", "confidence").orderBy(
-        F.desc("confidence"), "gap_s", "cause_id", "effect_id"
-    ).limit(limit)
+    score = F.round(0.3 + 0.2 + F.least(0.1 * shared, F.lit(0.3)) + F.when(F.col("gap_s") < 12 * 3600, 0.1).otherwise(0.0), 4)
+    order = F.struct((-score).alias("low"), "gap_s", "id_a", "id_b")
+    best = met.groupBy(F.col("cause_a").alias("cause"), F.col("category_b").alias("effect"), F.col("country_code_a").alias("country_code")).agg(F.min(order).alias("best"))
+    out = best.select("cause", "effect", "country_code", F.col("best.id_a").alias("cause_id"), F.col("best.id_b").alias("effect_id"), "best.gap_s", (-F.col("best.low")).alias("confidence"))
+    return out.filter(F.col("confidence") >= least).orderBy(F.desc("confidence"), "gap_s", "cause_id", "effect_id").limit(limit)
 
 
 def first_within(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

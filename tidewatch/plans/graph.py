@@ -15,6 +15,13 @@ from .registry import query
 
 M = "mentions"
 NOW = f"TIMESTAMP '{AS_OF}'"
+def trajectories(signals, thread, most: int):
+    """The ranks of each thread's newest signals, the newest first: they are cut before they are collected."""
+    rows = signals.select(thread.alias("thread"), "created_at", "id", R.by_severity(R.RANK_4).alias("rank"))
+    newest = B.top_n(rows, ["thread"], [F.desc("created_at"), F.desc("id")], most, "i")
+    return newest.groupBy("thread").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "rank"))), lambda x: x["rank"]).alias("x"))
+
+
 D = "d AS (SELECT DISTINCT signal_id, entity_id FROM mentions)"
 E = "e AS (SELECT a.entity_id AS a, b.entity_id AS b, count(*) AS n, round(least(1.0, count(*) / 10.0), 6)::DOUBLE AS weight FROM d a JOIN d b ON a.signal_id = b.signal_id AND a.entity_id < b.entity_id GROUP BY 1, 2)"
 W = "w AS (SELECT a AS node, weight FROM e UNION ALL SELECT b, weight FROM e)"
@@ -119,30 +126,11 @@ def _(v: Views):
     return v.table("nation").select("n_name", F.substring(F.sha2(F.concat(F.lit("location::"), F.lower(F.trim("n_name"))), 256), 1, 16).alias("id")).distinct()
 
 
-@query(
-    "k1_star_clusters",
-    f"c AS (SELECT title, category, severity, id, reliability, {RANK4} AS rank FROM signals WHERE created_at > {NOW} - INTERVAL 72 HOURS) SELECT title, count(*) AS n, arg_max(id, (rank, reliability, -id)) AS main_id, max(rank) AS worst, round(avg(reliability), 6) AS mean, CASE WHEN count(DISTINCT category) >= 3 THEN 'multi_factor' ELSE 'single' END AS kind FROM c GROUP BY title HAVING count(*) >= 2",
-    S,
-)
-def _(v: Views):
-    c = B.within_hours(v.signals, v.as_of, 72).withColumn("rank", R.by_severity(R.RANK_4))
-    return c.groupBy("title").agg(
-        F.count("*").alias("n"), F.max_by("id", F.struct(F.col("rank"), F.col("reliability"), -F.col("id"))).alias("main_id"), F.max("rank").alias("worst"), F.round(F.avg("reliability"), 6).alias("mean"),
-        F.when(F.countDistinct("category") >= 3, "multi_factor").otherwise("single").alias("kind"),
-    ).filter("n >= 2")
-
-
 @query("k3_recent_clusters", "SELECT title, max(created_at) AS last_at, count(*) AS n FROM signals GROUP BY title ORDER BY last_at DESC, title LIMIT 100", S)
 def _(v: Views):
     return v.signals.groupBy("title").agg(F.max("created_at").alias("last_at"), F.count("*").alias("n")).orderBy(F.desc("last_at"), "title").limit(100)
 
 
-@query("k5_delayed_rescore", f"SELECT id FROM signals WHERE created_at <= {NOW} - INTERVAL 30 MINUTES AND created_at > {NOW} - INTERVAL 120 MINUTES AND source_count = 1 AND status <> 'disputed' AND id % 3 <> 0", S)
-def _(v: Views):
-    young, old = R.hours_before(v.as_of, 0.5), R.hours_before(v.as_of, 2)
-    return v.signals.filter((F.col("created_at") <= young) & (F.col("created_at") > old) & (F.col("source_count") == 1) & (F.col("status") != "disputed") & (F.col("id") % 3 != 0)).select("id")
-
-
 @query("k8_lifecycle_b", f"g AS (SELECT title, count(*) AS n, date_sub('second', max(created_at), {NOW}) / 3600.0 AS quiet FROM signals GROUP BY 1) SELECT title, n, CASE WHEN quiet >= 168 THEN 'resolved' WHEN quiet >= 48 THEN 'stable' ELSE 'developing' END AS state, n >= 3 AS promoted FROM g", S)
 def _(v: Views):
     quiet = F.timestamp_diff("SECOND", F.max("created_at"), v.as_of) / F.lit(3600.0)
@@ -150,20 +138,10 @@ def _(v: Views):
     return g.withColumn("promoted", F.col("n") >= 3)
 
 
-@query("k9_thread_build", f"SELECT country_code AS thread, arg_min(category, (created_at, id)) AS category, arg_min(region, (created_at, id)) AS region, round(avg({RANK4} + 1), 6) AS severity, list({RANK4} ORDER BY created_at DESC, id DESC)[1:6] AS trajectory FROM signals WHERE severity IN ('critical', 'high') GROUP BY 1", S)
-def _(v: Views):
-    at = F.struct("created_at", "id")
-    newest = F.transform(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("created_at", "id", R.by_severity(R.RANK_4).alias("rank"))))), 1, 6), lambda x: x["rank"])
-    return v.signals.filter(F.col("severity").isin("critical", "high")).groupBy(F.col("country_code").alias("thread")).agg(
-        F.min_by("category", at).alias("category"), F.min_by("region", at).alias("region"), F.round(F.avg(R.by_severity(R.RANK_5)), 6).alias("severity"), newest.alias("trajectory")
-    )
-
-
 @query("w7_thread_status", f"t AS (SELECT country_code AS thread, list({RANK4} ORDER BY created_at DESC, id DESC)[1:6] AS x FROM signals GROUP BY 1) SELECT thread, CASE WHEN list_avg(x[1:3]) > 1.2 * list_avg(x[4:6]) THEN 'escalating' WHEN list_avg(x[1:3]) < 0.8 * list_avg(x[4:6]) THEN 'easing' ELSE 'stable' END AS status FROM t", S)
 def _(v: Views):
-    newest = F.transform(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("created_at", "id", R.by_severity(R.RANK_4).alias("rank"))))), 1, 6), lambda x: x["rank"])
     mean = lambda start: F.aggregate(F.slice("x", start, 3), F.lit(0.0), lambda a, y: a + y) / 3
-    t = v.signals.groupBy(F.col("country_code").alias("thread")).agg(newest.alias("x"))
+    t = trajectories(v.signals, F.col("country_code"), 6)
     return t.select("thread", F.when(mean(1) > 1.2 * mean(4), "escalating").when(mean(1) < 0.8 * mean(4), "easing").otherwise("stable").alias("status"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..bind import AS_OF, Views
+from ..bind import AS_OF, ORDERS_AS_OF, Views
 from ..functions import ranks as R
 from ..functions import scores as C
 from ..functions import text as X
@@ -125,18 +125,17 @@ _C = f"CASE WHEN ca || '>' || cb IN ({_known}) OR cb || '>' || ca IN ({_known})
 _W = r"list_distinct(list_filter(regexp_split_to_array(lower(title), '\W+'), lambda w: length(w) >= 3))"
 
 
-@query(
-    "j9_correlation_pairs",
-    f"""c AS (SELECT *, {_W} AS words FROM signals WHERE created_at > {NOW} - INTERVAL 24 HOURS ORDER BY created_at DESC, id DESC LIMIT 200),
+PAIRS9 = f"""c AS (SELECT *, {_W} AS words FROM signals WHERE created_at > {NOW} - INTERVAL 24 HOURS ORDER BY created_at DESC, id DESC LIMIT 200),
     p AS (SELECT a.id AS a, b.id AS b, abs(date_sub('second', a.created_at, b.created_at)) / 3600.0 AS h, a.category AS ca, b.category AS cb, a.source_id AS sa, b.source_id AS sb, {HAV.format(la='a.lat', lb='b.lat', oa='a.lng', ob='b.lng')} AS hv,
         len(list_intersect(a.tags, b.tags))::DOUBLE / len(list_distinct(list_concat(a.tags, b.tags))) AS tj, len(list_intersect(a.words, b.words))::DOUBLE / len(list_distinct(list_concat(a.words, b.words))) AS wj, a.country_code = b.country_code AS place FROM c a JOIN c b ON a.id < b.id),
     s AS (SELECT *, 2 * 6371 * atan2(sqrt(hv), sqrt(1 - hv)) AS km FROM p),
     f AS (SELECT a, b, {_T} AS t, {_G} AS g, {_C}::DOUBLE AS c, least(1.0, 0.5 * tj + 0.3 * wj + CASE WHEN place THEN 0.3 ELSE 0 END) AS k FROM s),
-    r AS (SELECT *, 0.25 * t + 0.30 * g + 0.25 * c + 0.20 * k AS score FROM f)
-    SELECT a, b, round(score + 1e-9, 5) AS score, CASE WHEN (g > 0.5)::INT + (c > 0.5)::INT + (t > 0.5)::INT + (k > 0.3)::INT >= 3 THEN 'multi_factor' WHEN c >= 0.8 THEN 'causal_chain' WHEN g >= 0.7 AND t >= 0.5 THEN 'geo_temporal' ELSE 'keyword_overlap' END AS kind FROM r WHERE score >= 0.45""",
-    S,
-)
-def _(v: Views):
+    r AS (SELECT *, 0.25 * t + 0.30 * g + 0.25 * c + 0.20 * k AS score FROM f),
+    pairs AS (SELECT a, b, round(score + 1e-9, 5) AS score, CASE WHEN (g > 0.5)::INT + (c > 0.5)::INT + (t > 0.5)::INT + (k > 0.3)::INT >= 3 THEN 'multi_factor' WHEN c >= 0.8 THEN 'causal_chain' WHEN g >= 0.7 AND t >= 0.5 THEN 'geo_temporal' ELSE 'keyword_overlap' END AS kind FROM r WHERE score >= 0.45)"""
+
+
+def correlation_pairs(v: Views):
+    """Pairs of the newest reports of the last day that correlate, with their score and kind."""
     newest = B.within_hours(v.signals, v.as_of, 24).orderBy(F.desc("created_at"), F.desc("id")).limit(200).withColumn("words", X.words(F.col("title")))
     a, b = J.suffixed(newest, "_a"), J.suffixed(newest, "_b")
     p = a.join(b, F.col("id_a") < F.col("id_b"))
@@ -152,6 +151,11 @@ def _(v: Views):
     return scored.select("a", "b", F.round(F.col("score") + 1e-9, 5).alias("score"), C.correlation_type(t, g, c, k).alias("kind"))
 
 
+@query("j9_correlation_pairs", f"{PAIRS9} SELECT * FROM pairs", S)
+def _(v: Views):
+    return correlation_pairs(v)
+
+
 @query(
     "j10_k13_cib",
     f"""w AS (SELECT id, category, created_at, {_W} AS words FROM signals WHERE reliability < 0.4),
@@ -196,13 +200,36 @@ def _(v: Views):
     return J.nearest(v.vectors, 7, 10).select("vec_id", "similarity")
 
 
-@query("j14_semantic_duplicates", f"p AS (SELECT x.vec_id, y.vec_id AS twin, round({COS}, 6) AS similarity FROM vectors x JOIN vectors y ON x.vec_id <> y.vec_id AND abs(x.vec_id - y.vec_id) <= 6) SELECT vec_id, arg_max(twin, (similarity, -twin)) AS twin, max(similarity) AS similarity FROM p WHERE similarity > 0.15 GROUP BY vec_id", "vectors")
+#: Vectors are embeddings of reports that come every quarter of an hour.
+TIMED = "t AS (SELECT *, TIMESTAMP '2024-01-01' + to_minutes(CAST(vec_id * 15 AS BIGINT)) AS created_at FROM vectors)"
+
+
+@query(
+    "j14_semantic_duplicates",
+    f"{TIMED}, p AS (SELECT x.vec_id, y.vec_id AS twin, round({COS}, 6) AS similarity FROM t x JOIN t y ON x.vec_id <> y.vec_id AND abs(date_diff('second', x.created_at, y.created_at)) <= 21600) SELECT vec_id, arg_max(twin, (similarity, -twin)) AS twin, max(similarity) AS similarity FROM p WHERE similarity > 0.15 GROUP BY vec_id",
+    "vectors",
+)
+def _(v: Views):
+    """The most similar vector within six hours; invented vectors are far apart, so the threshold is lower than 0.92 here."""
+    return J.semantic_duplicates(timed(v), 6, 0.15)
+
+
+def timed(v: Views):
+    return v.vectors.withColumn("created_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("vec_id") * 15).cast("int")))
+
+
+@query("j14_same_event", f"{TIMED}, p AS (SELECT x.vec_id, y.vec_id AS twin, round({COS}, 6) AS similarity FROM t x JOIN t y ON x.vec_id <> y.vec_id AND abs(date_diff('second', x.created_at, y.created_at)) <= 21600) SELECT vec_id, arg_max(twin, (similarity, -twin)) AS twin, max(similarity) AS similarity FROM p WHERE similarity > 0.92 GROUP BY vec_id", "vectors")
 def _(v: Views):
-    x = v.vectors.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("vec_id") / 6) + d for d in (-1, 0, 1)])))
-    y = v.vectors.withColumn("bucket", F.floor(F.col("vec_id") / 6))
-    p = J.suffixed(x, "_a").join(J.suffixed(y, "_b"), (F.col("bucket_a") == F.col("bucket_b")) & (F.col("vec_id_a") != F.col("vec_id_b")) & (F.abs(F.col("vec_id_a") - F.col("vec_id_b")) <= 6))
-    p = p.select(F.col("vec_id_a").alias("vec_id"), F.col("vec_id_b").alias("twin"), F.round(J.cosine(F.col("v_a"), F.col("v_b")), 6).alias("similarity")).filter("similarity > 0.15")
-    return p.groupBy("vec_id").agg(F.max_by("twin", F.struct(F.col("similarity"), -F.col("twin"))).alias("twin"), F.max("similarity").alias("similarity"))
+    return J.semantic_duplicates(timed(v), 6, 0.92)
+
+
+@query("j23_communities", f"WITH rp AS (SELECT o_custkey AS cid, count(*) AS recent FROM orders WHERE o_orderdate >= TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 24 HOURS * 30 GROUP BY 1) SELECT c_custkey, c_name, coalesce(recent, 0) AS recent_posts FROM customer LEFT JOIN rp ON c_custkey = cid WHERE c_mktsegment <> 'FURNITURE' ORDER BY recent_posts DESC, c_acctbal DESC, c_custkey LIMIT 50")
+def _(v: Views):
+    """Communities by their posts of late, those without any last."""
+    since = R.hours_before(F.lit(ORDERS_AS_OF).cast("timestamp_ntz"), 24 * 30)
+    rp = v.table("orders").filter(F.col("o_orderdate") >= since).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("recent"))
+    c = v.table("customer").filter("c_mktsegment <> 'FURNITURE'").join(rp, "c_custkey", "left").withColumn("recent_posts", F.coalesce("recent", F.lit(0)))
+    return c.orderBy(F.desc("recent_posts"), F.desc("c_acctbal"), "c_custkey").limit(50).select("c_custkey", "c_name", "recent_posts")
 
 
 @query("j15_similar_pairs", f"SELECT x.vec_id AS a, y.vec_id AS b, round({COS}, 6) AS similarity FROM vectors x JOIN vectors y ON x.label = y.label AND x.vec_id < y.vec_id WHERE round({COS}, 6) >= 0.25", "vectors")
@@ -250,16 +277,22 @@ def _(v: Views):
     return v.table("customer").join(big, "c_custkey", "left").groupBy("c_mktsegment").agg(F.count("*").alias("users"), F.count_if(F.coalesce("big", F.lit(False))).alias("big"))
 
 
+_KEYS = r"list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^a-zA-Z0-9\s]', '', 'g')), '\s+'), lambda w: length(w) > 4)[1:8])"
+
+
 @query(
     "j28_cross_reference",
-    r"WITH q AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\W+'), lambda w: length(w) >= 3)))[1:6] AS words FROM benchmark), d AS (SELECT doc_id, source, list_distinct(list_filter(regexp_split_to_array(lower(text), '\W+'), lambda w: length(w) >= 3)) AS words FROM documents) SELECT item_id, count(*) AS docs, count(DISTINCT source) AS sources FROM q JOIN d ON len(q.words) > 0 AND list_has_all(d.words, q.words) GROUP BY item_id",
+    rf"""WITH q AS (SELECT item_id, 'src' || (item_id % 20) AS own, {_KEYS} AS keys FROM benchmark), d AS (SELECT doc_id, source, list_distinct(regexp_split_to_array(lower(text), '\W+')) AS words FROM documents),
+    f AS (SELECT item_id, own, doc_id, source FROM q JOIN d ON len(q.keys) > 0 AND len(list_filter(q.keys, lambda k: len(list_filter(d.words, lambda w: starts_with(w, k))) = 0)) = 0
+        UNION SELECT item_id, own, doc_id, source FROM q JOIN d ON d.doc_id IN (q.item_id, q.item_id + 1))
+    SELECT item_id, count(*) AS docs, count(DISTINCT source) AS sources FROM f WHERE source IS NULL OR source <> own GROUP BY item_id""",
 )
 def _(v: Views):
-    """Documents that hold all of a claim's words: claims are joined by their words, and those found in full count."""
-    q = v.table("benchmark").select("item_id", F.slice(F.array_sort(X.words(F.col("text"))), 1, 6).alias("words")).withColumn("need", F.size("words"))
-    d = v.table("documents").select("doc_id", "source", F.explode(X.words(F.col("text"))).alias("word"))
-    found = q.select("item_id", "need", F.explode("words").alias("word")).join(d, "word").groupBy("item_id", "need", "doc_id", "source").agg(F.count("*").alias("n"))
-    return found.filter("n = need").groupBy("item_id").agg(F.count("*").alias("docs"), F.countDistinct("source").alias("sources"))
+    """Documents that hold words with all of a claim's beginnings, or are named as similar, but for those of the claim's own source."""
+    bare = F.regexp_replace("text", r"[^a-zA-Z0-9\s]", "")
+    keys = F.array_distinct(F.slice(F.filter(F.split(F.lower(bare), r"\s+"), lambda w: F.length(w) > 4), 1, 8))
+    q = v.table("benchmark").select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("own"), keys.alias("keys"), F.array("item_id", F.col("item_id") + 1).alias("similar"))
+    return J.cross_references(q, v.table("documents")).groupBy("item_id").agg(F.count("*").alias("docs"), F.countDistinct("source").alias("sources"))
 
 
 @query("j29_w19_thread_detail", "t AS (SELECT country_code AS thread, category, id, created_at FROM signals WHERE severity = 'critical') SELECT thread, count(*) AS n, min(created_at) AS first_at, max(created_at) AS last_at, round(date_sub('second', min(created_at), max(created_at)) / 3600.0, 4) AS hours FROM t GROUP BY thread", S)
