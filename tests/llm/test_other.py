@@ -236,8 +236,11 @@ def test_top_k_in_many_cells_with_ties(spark):
         if q % 10 == 0:
             scores = sorted((-sum(math.floor(8 * a) * math.floor(8 * b) for a, b in zip(v, w)), i) for i, w in rows_ if i != q and len(w) == len(v))
             want += [(q, rank, i, min(-s, 2**63 - 1)) for rank, (s, i) in enumerate(scores[:7], 1)]
-    got = topk.search(df, F.col("vec_id") % 10 == 0, k=7, scale=8.0, tile=16).collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    for coalesce in ("true", "false"):  # cells meet also where partitions are many
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        got = topk.search(df, F.col("vec_id") % 10 == 0, k=7, scale=8.0, tile=16).collect()
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert sorted(map(tuple, got)) == sorted(want)
     assert topk.grid(1, 1) == (1, 1)
     q, c = topk.grid(10**7, 10**9)
     assert 50 < c / q < 200 and q * c * topk.PRODUCTS >= 10**16 / topk.TILE**2 / 2

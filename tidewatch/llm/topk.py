@@ -143,8 +143,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 102
     rows = pairs.agg(F.count("*").alias("all"), F.count_if("asks").alias("asked")).first()
     q_parts, c_parts = grid(rows["asked"], rows["all"], tile)
     schema = "dim int, ids binary, narrow boolean, data binary"
-    shards = pairs.select("vec_id", "embedding").mapInArrow(_tiles(scale, tile), schema).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(c_parts)))
-    queries = asked.mapInArrow(_tiles(scale, tile), schema).withColumn("q_part", F.pmod(F.xxhash64("ids"), F.lit(q_parts)))
+    shards = pairs.select("vec_id", "embedding").mapInArrow(_tiles(scale, tile), schema).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(c_parts)).cast("int"))
+    queries = asked.mapInArrow(_tiles(scale, tile), schema).withColumn("q_part", F.pmod(F.xxhash64("ids"), F.lit(q_parts)).cast("int"))
     # a tile of candidates goes to every part of the queries, and the other way round
     shards = shards.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))).groupBy("dim", "part", "q_part")
     queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(c_parts - 1)))).groupBy("dim", "part", "q_part")
