@@ -185,7 +185,7 @@ def _repeated(rows: DataFrame, column: str, weight: Column, *more: str) -> DataF
 def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """row (a struct of the input's columns), n_words, n_removed and kept, the words that stay joined by one space."""
     row = as_row(docs.columns)
-    key, twin = F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(11), "text", "doc_id").cast("smallint").alias("twin")
+    key, twin = F.xxhash64("doc_id", "text").alias("key"), F.shiftright(F.xxhash64(F.lit(11), "text", "doc_id"), 48).cast("smallint").alias("twin")
     keyed = docs.select(row, key, twin)
     plain = docs.select(F.col("text").cast("string").alias("text"), key, twin)
     repeated = _repeated(plain.select("text").mapInArrow(_count_anchors(width), "gram long, n long"), "gram", F.col("n"))
