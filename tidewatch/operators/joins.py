@@ -40,7 +40,7 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str,
 def geo_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     """Pairs within a distance; rows meet in grid cells no smaller than the distance at any latitude up to 85 degrees.
 
-    A row's cells go once around the earth: the last one, which may be narrower, and the first are neighbours.
+    A row's cells go once around the earth: the last one, which may be wider, and the first are neighbours.
     """
     lat_step = km / 110.0
     cell = lambda c, step: F.floor(F.col(c) / step)

@@ -13,8 +13,46 @@ def media_urls(docs: DataFrame) -> DataFrame:
     return urls.withColumn("kind", kind)
 
 
-def article_outline(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.coalesce(F.regexp_count("html", F.lit("<p>")), F.lit(0)).cast("long").alias("paragraphs"))
+#: Elements that are dropped before an article is read, with all they hold, and the places where it is looked for, the best first.
+NOISE = "script style noscript iframe svg nav header footer".split()
+NOISE_CLASSES = "nav navbar header footer sidebar ad ads advertisement social-share share-buttons related-articles comments comment-section cookie-banner popup modal newsletter".split()
+PARAGRAPH, BODY, EXCERPT, LEAST = 40, 3000, 200, 80
+
+
+def article_text(pages: DataFrame) -> DataFrame:
+    """title, body and excerpt of each page: paragraphs of an article, or of the page, of some length, cut at a sentence; pages with little text go.
+
+    Noise of one level and of elements without attributes that nest is dropped by patterns, with built-in functions alone.
+    """
+    html = F.col("html")
+    for name in NOISE:
+        html = F.regexp_replace(html, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
+    classes = "|".join(NOISE_CLASSES)
+    html = F.regexp_replace(html, rf"""(?is)<(div|section|aside|ul|p|span)\b[^>]*\s(?:class|id)=["']?(?:[^"'>]*\s)?(?:{classes})(?:\s[^"'>]*)?["']?[^>]*>.*?</\1\s*>""", " ")
+    plain = lambda x: F.trim(F.regexp_replace(decoded(F.regexp_replace(x, "<[^>]*>", "")), r"\s+", " "))
+    paragraphs = lambda x: F.filter(F.transform(F.regexp_extract_all(x, F.lit(r"(?is)<p\b[^>]*>(.*?)(?=</p\s*>|<p\b|</article|</body|$)"), F.lit(1)), plain), lambda t: F.length(t) > PARAGRAPH)
+    inner = paragraphs(F.regexp_extract("clean", r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1))
+    rows = pages.select("page_id", "html", html.alias("clean")).select("page_id", "html", inner.alias("inner"), paragraphs(F.col("clean")).alias("every"))
+    body = F.array_join(F.when(F.size("inner") >= 2, F.col("inner")).otherwise(F.col("every")), "\n\n")
+    meta = F.regexp_extract("html", r"""(?i)<meta\s[^>]*property=["']og:title["'][^>]*content=["']([^"']*)["']""", 1)
+    heading = F.regexp_extract("html", r"(?is)<article\b.*?<h1\b[^>]*>(.*?)</h1", 1)
+    named = F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title", 1)
+    first = lambda *xs: F.coalesce(*[F.nullif(plain(x), F.lit("")) for x in xs], F.lit(""))
+    rows = rows.select("page_id", first(meta, heading, named).alias("title"), body.alias("body"))
+    head = F.substring("body", 1, BODY)
+    stop = F.length(head) - F.instr(F.reverse(head), " .")  # characters up to the last ". "
+    cut = F.when((F.instr(F.reverse(head), " .") > 0) & (stop - 1 > 0.6 * BODY), F.substring(head, F.lit(1), stop)).otherwise(head)
+    rows = rows.withColumn("body", F.when(F.length("body") > BODY, cut).otherwise(F.col("body"))).filter(F.length("body") >= LEAST)
+    start = F.trim(F.substring("body", 1, EXCERPT))
+    blank = F.length(start) - F.instr(F.reverse(start), " ")  # characters before the last blank
+    return rows.withColumn("excerpt", F.concat(F.when((F.instr(F.reverse(start), " ") > 0) & (blank > 0.7 * EXCERPT), F.substring(start, F.lit(1), blank)).otherwise(start), F.lit("...")))
+
+
+def decoded(text):
+    """The character references that pages use most."""
+    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(value))
+    return text
 
 
 def feed_items(feeds: DataFrame, most: int = 20) -> DataFrame:

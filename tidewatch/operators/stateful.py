@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .basic import epoch
 
 #: A breaker at rest: state, failures in a row, times opened in a row, rest until.
 BREAKER = ("closed", 0, 0, 0.0)
@@ -27,19 +28,26 @@ def breaker_step(now: tuple, at: float, bad: bool, failures: int = 5, rest: floa
     return ("closed", count, opens, 0.0)
 
 
-def breaker_changes(df: DataFrame, key: str, ts: str, failed: str, failures: int = 5) -> DataFrame:
+def _micros(ts: str):
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def breaker_changes(df: DataFrame, key: str, ts: str, failed: str, row: str, failures: int = 5) -> DataFrame:
+    """Each key's changes of its breaker; rows of one moment go by ``row``."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         now, out = BREAKER, []
-        for name, at, bad in rows.sort_values(["at", "order"])[[key, "at", "bad"]].itertuples(index=False):
-            after = breaker_step(now, at, bad, failures)
+        for name, at, bad in rows.sort_values(["at", "row"])[[key, "at", "bad"]].itertuples(index=False):
+            after = breaker_step(now, at / 1e6, bad, failures)
             if after[0] != now[0]:
                 out.append((name, at, after[0]))
             now = after
         return pd.DataFrame(out, columns=[key, "at", "state"])
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(key, epoch(ts).cast("double").alias("at"), F.col(failed).alias("bad"), F.monotonically_increasing_id().alias("order"))
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, at double, state string")
+    rows = df.select(key, _micros(ts).alias("at"), F.col(failed).alias("bad"), F.col(row).alias("row"))
+    changes = rows.groupBy(key).applyInPandas(run, f"{key} {kind}, at long, state string")
+    return changes.withColumn("at", F.timestamp_micros("at").cast("timestamp_ntz"))
 
 
 def ttl_first(df: DataFrame, keys: list[str], ts: str, row: str, seconds: int) -> DataFrame:
@@ -50,26 +58,27 @@ def ttl_first(df: DataFrame, keys: list[str], ts: str, row: str, seconds: int) -
         for at, name in rows.sort_values(["at", "row"])[["at", "row"]].itertuples(index=False):
             if until is None or at >= until:
                 out.append(name)
-                until = at + seconds
+                until = at + seconds * 1_000_000
         return pd.DataFrame({"row": out})
 
-    kept = df.select(*keys, epoch(ts).alias("at"), F.col(row).alias("row")).groupBy(*keys).applyInPandas(run, f"row {df.schema[row].dataType.simpleString()}")
+    kept = df.select(*keys, _micros(ts).alias("at"), F.col(row).alias("row")).groupBy(*keys).applyInPandas(run, f"row {df.schema[row].dataType.simpleString()}")
     return kept.withColumnRenamed("row", row)
 
 
 def rate_limited(df: DataFrame, keys: list[str], ts: str, row: str, most: int, seconds: int) -> DataFrame:
-    """Rows admitted while fewer than ``most`` were in the trailing window; only admitted rows count."""
+    """Rows admitted while fewer than ``most`` were in the trailing window; only admitted rows count, so a key's rows are walked in order."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, admitted = [], []
+        out, admitted = [], deque()
         for at, name in rows.sort_values(["at", "row"])[["at", "row"]].itertuples(index=False):
-            admitted = [t for t in admitted if t > at - seconds]
+            while admitted and admitted[0] <= at - seconds * 1_000_000:
+                admitted.popleft()
             if len(admitted) < most:
                 admitted.append(at)
                 out.append(name)
         return pd.DataFrame({"row": out})
 
-    kept = df.select(*keys, epoch(ts).alias("at"), F.col(row).alias("row")).groupBy(*keys).applyInPandas(run, f"row {df.schema[row].dataType.simpleString()}")
+    kept = df.select(*keys, _micros(ts).alias("at"), F.col(row).alias("row")).groupBy(*keys).applyInPandas(run, f"row {df.schema[row].dataType.simpleString()}")
     return kept.withColumnRenamed("row", row)
 
 
@@ -105,19 +114,26 @@ def diverse(df: DataFrame, key: str, order: str, most: int, in_a_row: int, limit
 
 
 def greedy_clusters(df: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Within a key (and day), rows join the first cluster with which they share so many words, else begin one."""
+    """Within a key (and day), rows join the first cluster with which they share so many words, else begin one.
+
+    Words name the clusters that hold them, so that a row meets only those.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[tuple[int, set]] = []
+        holders: dict[str, list[int]] = {}  # the clusters of a word, in their order
+        names: list[int] = []
         out = []
         for name, words in rows.sort_values("id")[["id", "words"]].itertuples(index=False):
             own = set(words)
-            home = next((c for c in clusters if len(c[1] & own) >= least), None)
+            shared = Counter(c for w in own for c in holders.get(w, ()))
+            home = min((c for c, n in shared.items() if n >= least), default=None)
             if home is None:
-                home = (name, set())
-                clusters.append(home)
-            home[1].update(own)
-            out.append((name, home[0]))
+                home = len(names)
+                names.append(name)
+            for w in own:
+                if home not in holders.setdefault(w, []):
+                    holders[w].append(home)
+            out.append((name, names[home]))
         return pd.DataFrame(out, columns=["id", "cluster"])
 
     return df.select(*keys, "id", "words").groupBy(*keys).applyInPandas(run, "id long, cluster long")

@@ -70,11 +70,6 @@ def _(v: Views):
     return In.distress(frames).select("event_id")
 
 
-@query("x12_backlog", "SELECT title, count(*) AS n, min(id) AS first_id FROM signals WHERE status = 'pending' GROUP BY title", S)
-def _(v: Views):
-    return v.signals.filter("status = 'pending'").groupBy("title").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
-
-
 @query("x14_registry_filter", "SELECT p_partkey, p_name FROM part WHERE p_size BETWEEN 10 AND 20 AND len(list_filter(string_split(p_name, ' '), lambda w: starts_with(w, 'p'))) > 0 ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
 def _(v: Views):
     parts = v.table("part").filter(F.col("p_size").between(10, 20) & F.exists(F.split("p_name", " "), lambda w: w.startswith("p")))
@@ -102,17 +97,12 @@ def _(v: Views):
     return v.table("events").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "event_type").agg(F.count("*").alias("n"))
 
 
-@query("y6_atom", "SELECT id, '<entry><id>urn:signal:' || id || '</id><title>' || title || '</title><updated>' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '</updated></entry>' AS entry FROM signals WHERE severity = 'critical'", S)
-def _(v: Views):
-    return v.signals.filter("severity = 'critical'").select("id", Out.atom_entry(F.col("id"), F.col("title"), F.col("created_at")).alias("entry"))
-
-
 @query("y7_stix", "SELECT id, CAST(least(100, greatest(0, CASE severity WHEN 'critical' THEN 95 WHEN 'high' THEN 80 WHEN 'medium' THEN 60 WHEN 'low' THEN 30 ELSE 15 END + floor((reliability - 0.5) * 20 + 0.5))) AS BIGINT) AS confidence FROM signals", S)
 def _(v: Views):
     return v.signals.select("id", Out.stix_confidence(F.col("severity"), F.col("reliability")).alias("confidence"))
 
 
-@query("y8_bundle", "SELECT n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || '}') AS digest FROM nation")
+@query("y8_row_digests", "SELECT n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || '}') AS digest FROM nation")
 def _(v: Views):
     return v.table("nation").select("n_nationkey", Out.canonical_digest(["n_nationkey", "n_name"]).alias("digest"))
 

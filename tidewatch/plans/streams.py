@@ -38,7 +38,7 @@ def _(v: Views):
 @query("z6_sliding_rate_limit")
 def _(v: Views):
     """Admission depends on what was admitted before; held against a plain loop in tests."""
-    return Z.rate_limited(v.table("events").filter("value >= 35"), ["event_type"], "ts", "event_id", 8, 3600)
+    return Z.rate_limited(v.table("events").filter("value >= 35"), ["user_id"], "ts", "event_id", 2, 86400)
 
 
 @query("z7_tumbling_limits", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id) <= 12")
@@ -60,7 +60,7 @@ def _(v: Views):
 @query("z10_circuit_breaker")
 def _(v: Views):
     """A state machine by key; the stream and a plain loop are held against it in tests."""
-    return Z.breaker_changes(v.table("events").withColumn("bad", F.col("value") >= 35), "user_id", "ts", "bad", 4)
+    return Z.breaker_changes(v.table("events").withColumn("bad", F.col("value") >= 35), "user_id", "ts", "bad", "event_id", 4)
 
 
 @query("z11_heartbeat", f"SELECT source_id, max(created_at) AS last_at, max(created_at) <= {NOW} - INTERVAL 8 MINUTES AS stale FROM signals GROUP BY 1", S)
@@ -125,7 +125,7 @@ def _(v: Views):
 @query("z10_stream_breaker")
 def _(v: Views):
     """A real stream with keyed state: circuit breakers' changes."""
-    events = ST.read_events(v.spark, v.folder).select("user_id", "ts", (F.col("value") >= 35).alias("bad"))
+    events = ST.read_events(v.spark, v.folder).select("user_id", "ts", (F.col("value") >= 35).alias("bad"), F.col("event_id").alias("row"))
     return ST.run_available(ST.breakers(events, "user_id", "bad", 4), mode="append")
 
 

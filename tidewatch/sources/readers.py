@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +21,48 @@ def event_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(*[(F.get(parts, F.lit(i)).try_cast("double") if name in number else F.get(parts, F.lit(i))).alias(name) for name, i in EVENT_COLUMNS.items()])
 
 
-def fire_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Fire detections by header name; rows without finite coordinates and power go."""
-    rows = spark.read.option("header", True).csv(path)
-    typed = rows.select(*[F.col(c).try_cast("double").alias(c) for c in ("latitude", "longitude", "frp")], "acq_date", "acq_time")
+def fire_rows(rows: DataFrame) -> DataFrame:
+    """Fire detections of rows of texts, by name: those of low confidence, or without finite coordinates and power, go."""
+    typed = rows.select(*[F.col(c).try_cast("double").alias(c) for c in ("latitude", "longitude", "frp")], F.lower(F.trim("confidence")).alias("confidence"), F.trim("acq_date").alias("acq_date"), F.trim("acq_time").alias("acq_time"))
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
-    return typed.filter(finite("latitude") & finite("longitude") & finite("frp"))
+    return typed.filter((F.coalesce("confidence", F.lit("")) != "l") & finite("latitude") & finite("longitude") & finite("frp"))
+
+
+def fire_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Fire detections of a CSV file, whose columns are found by their names."""
+    return fire_rows(spark.read.option("header", True).csv(path))
+
+
+def fire_lines(lines: DataFrame, header: str, column: str = "value") -> DataFrame:
+    """Fire detections of CSV lines, as a stream brings them, with the header's names."""
+    return fire_rows(lines.select(F.from_csv(column, ", ".join(f"`{c.strip()}` string" for c in header.split(","))).alias("r")).select("r.*"))
+
+
+def export_urls(texts: DataFrame, column: str = "value") -> DataFrame:
+    """The first link to an export archive in each file list: lines of a checksum, a size and a link."""
+    parts = F.filter(F.transform(F.split(F.trim(column), "\n"), lambda x: F.get(F.split(F.trim(x), r"\s+"), F.lit(2))), lambda u: u.endswith(".export.CSV.zip"))
+    return texts.withColumn("url", F.get(parts, F.lit(0)))
+
+
+def _inflated(batches):
+    for batch in batches:
+        names, lines = [], []
+        for path, content in zip(batch["path"], batch["content"]):
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                for member in archive.namelist():
+                    with archive.open(member) as file:
+                        for line in io.TextIOWrapper(file, "utf-8", errors="replace"):
+                            names.append(path)
+                            lines.append(line.rstrip("\r\n"))
+                            if len(lines) == 10_000:  # a bounded number of lines at a time
+                                yield pd.DataFrame({"path": names, "value": lines})
+                                names, lines = [], []
+        yield pd.DataFrame({"path": names, "value": lines})
+
+
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): the lines of ZIP archives, one task an archive at the most."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_inflated, "path string, value string")
 
 
 QUAKES = "struct<features:array<struct<id:string,properties:struct<mag:double,place:string,time:bigint>,geometry:struct<coordinates:array<double>>>>>"

@@ -50,27 +50,50 @@ def flash(stream: DataFrame, least: float) -> DataFrame:
     return stream.filter(F.col("value") >= least)
 
 
-def breakers(stream: DataFrame, key: str, failed: str, failures: int = 5) -> DataFrame:
-    """Each key's circuit breaker as a state machine; a row for each of its changes."""
+def breakers(stream: DataFrame, key: str, failed: str, failures: int = 5, late: str = "10 minutes", idle_days: int = 30) -> DataFrame:
+    """Each key's circuit breaker as a state machine; a row for each of its changes.
+
+    Rows older than the last one of their key don't change history; a key's state goes when it was idle for so long.
+    """
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else BREAKER
-        rows = pd.concat(list(batches)).sort_values("ts")
-        changes = []
-        for ts, bad in zip(rows["ts"], rows[failed]):
-            after = breaker_step(now, ts.timestamp(), bool(bad), failures)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *now, last = state.get if state.exists else (*BREAKER, 0.0)
+        now, changes = tuple(now), []
+        for ts, bad in pd.concat(list(batches)).sort_values(["ts", "row"])[["ts", failed]].itertuples(index=False):
+            at = ts.timestamp()
+            if at < last:
+                continue
+            after = breaker_step(now, at, bool(bad), failures)
             if after[0] != now[0]:
                 changes.append((group[0], ts, after[0]))
-            now = after
-        state.update(now)
+            now, last = after, at
+        state.update((*now, last))
+        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + idle_days * 86_400_000)
         yield pd.DataFrame(changes, columns=[key, "ts", "state"])
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(
-        update, f"{key} {kind}, ts timestamp, state string", "state string, count int, opens int, until double", "append", GroupStateTimeout.NoTimeout
+    return stream.withWatermark("ts", late).groupBy(key).applyInPandasWithState(
+        update, f"{key} {kind}, ts timestamp, state string", "state string, count int, opens int, until double, last double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def topic_batches(stream: DataFrame, topic, path: str, log: str):
+    """A query that groups the articles of every micro-batch by topic and appends the groups, by batch."""
+
+    def group(batch: DataFrame, number: int) -> None:
+        topic_groups(batch.withColumn("topic", topic)).write.mode("overwrite").parquet(f"{path}/batch={number}")  # a repeated batch replaces itself
+
+    return stream.writeStream.foreachBatch(group).option("checkpointLocation", log).trigger(availableNow=True).start()
+
+
+def topic_groups(articles: DataFrame) -> DataFrame:
+    """(topic, id, source) -> topic, n, sources and the first id of each topic."""
+    return articles.groupBy("topic").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.min("id").alias("first_id"))
+
+
 def upsert_each_batch(stream: DataFrame, path: str, log: str, merge):
     """A query that hands every micro-batch to ``merge(batch, path)``, which must be idempotent."""
     return stream.writeStream.foreachBatch(lambda batch, _: merge(batch, path)).option("checkpointLocation", log).trigger(availableNow=True).start()
