@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import both_ways, suffixed
+from ..functions import text as X
+from ..functions.tables import MERGE_FROM, MERGE_SIMILARITY, TITLES
+from .joins import both_ways, set_similarity_join, suffixed
 
 
 def node_upsert(mentions: DataFrame, most_signals: int) -> DataFrame:
-    """One node an entity: first and last sight, mentions, and its latest signals."""
-    ids = F.array_sort(F.collect_set("signal_id"))
-    return mentions.groupBy("entity_id", "type").agg(
-        F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count("*").alias("mentions"),
-        F.slice(ids, F.greatest(F.size(ids) - most_signals + 1, F.lit(1)), most_signals).alias("signals"),
-    )
+    """One node an entity: first and last sight, mentions, and its latest signals, which are cut before they are collected."""
+    keys = ["entity_id", "type"]
+    newest = mentions.groupBy(*keys, "signal_id").agg(F.lit(1)).withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("signal_id")))).filter(F.col("r") <= most_signals)
+    signals = newest.groupBy(*keys).agg(F.array_sort(F.collect_list("signal_id")).alias("signals"))
+    return mentions.groupBy(*keys).agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count("*").alias("mentions")).join(signals, keys)
 
 
 def edge_upsert(edges: DataFrame, first: float, step: float) -> DataFrame:
@@ -62,3 +65,62 @@ def connected_signals(mentions: DataFrame, signal_id: int) -> DataFrame:
     own = mentions.filter(F.col("signal_id") == signal_id).select("entity_id").distinct()
     met = mentions.filter(F.col("signal_id") != signal_id).join(own, "entity_id")
     return met.groupBy("signal_id").agg(F.countDistinct("entity_id").alias("shared"), F.array_sort(F.collect_set("entity_id")).alias("entities"))
+
+
+def _longest_first(words: Sequence[str]) -> str:
+    return "|".join(sorted(words, key=len, reverse=True))
+
+
+#: Up to two titles before a name, the longest first.
+TITLED = rf"^(?:{_longest_first(TITLES)})\s+"
+
+
+def bare_name(name: Column) -> Column:
+    """A name in lower case without up to two titles before it."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), TITLED, ""), TITLED, "")
+
+
+def contained_names(names: DataFrame) -> DataFrame:
+    """(id, type, name) -> a, b with a < b: names of one type of which one holds the other, or persons with one last name and unlike numbers of words.
+
+    A name that holds another has the other's first four characters somewhere, by which they meet.
+    """
+    n = names.withColumn("n", F.when(F.col("type") == "person", bare_name(F.col("name"))).otherwise(F.lower("name"))).filter(F.length("n") >= 4).select("id", "type", "n")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") - 3), lambda i: F.substring("n", i, F.lit(4))))
+    holds = n.select(F.col("id").alias("big"), "type", F.col("n").alias("long"), F.explode(grams).alias("gram"))
+    inner = n.select(F.col("id").alias("small"), "type", F.col("n").alias("short"), F.substring("n", 1, 4).alias("gram"))
+    met = holds.join(inner, ["type", "gram"]).filter((F.length("long") > F.length("short") + 2) & F.contains("long", "short")).select(F.least("big", "small").alias("a"), F.greatest("big", "small").alias("b"))
+    parts = F.split("n", r"\s+")
+    last = n.filter("type = 'person'").select("id", F.element_at(parts, -1).alias("last"), F.size(parts).alias("words")).filter(F.length("last") >= 4)
+    same = suffixed(last, "_a").join(suffixed(last, "_b"), (F.col("last_a") == F.col("last_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("words_a") != F.col("words_b")))
+    return met.union(same.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).distinct()
+
+
+def merge_candidates(entities: DataFrame, persons: int = 500, organisations: int = 300, most: int = 100) -> DataFrame:
+    """(id, type, name, mentions) -> a, b, similarity, match and keep: pairs of entities that may be one, whether they are merged, and which one stays.
+
+    Spelling by trigrams first, then persons alike but for titles, then names in names, the last two
+    among the entities most spoken of; the best pairs of a run count, and those above their kind's threshold are merged.
+    """
+    grams = entities.filter(F.length("name") >= 3).select("id", "type", X.trigrams(F.col("name")).alias("grams"))
+    named = entities.select("id", "name", "mentions")
+    side = lambda s: named.withColumnsRenamed({"id": s, "name": f"name_{s}", "mentions": f"mentions_{s}"})
+    spelt = set_similarity_join(grams, "id", "grams", 0.6, ["type"]).filter("similarity > 0.6").join(side("a"), "a").join(side("b"), "b").filter("name_a <> name_b")
+    spelt = spelt.select("a", "b", F.round("similarity", 6).alias("similarity"), F.lit("trigram").alias("match")).orderBy(F.desc("similarity"), "a", "b").limit(most)
+    top = lambda kind, n: entities.filter((F.col("type") == kind) & (F.col("mentions") >= 2)).orderBy(F.desc("mentions"), "id").limit(n)
+    people, bodies = top("person", persons), top("organisation", organisations)
+    bare = people.select("id", bare_name(F.col("name")).alias("bare")).filter(F.length("bare") >= 4)
+    alike = suffixed(bare, "_a").join(suffixed(bare, "_b"), (F.col("bare_a") == F.col("bare_b")) & (F.col("id_a") < F.col("id_b")))
+    alike = alike.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(MERGE_SIMILARITY["title_strip"]).alias("similarity"), F.lit("title_strip").alias("match"))
+    inside = lambda rows, kind: contained_names(rows).select("a", "b", F.lit(MERGE_SIMILARITY[kind]).alias("similarity"), F.lit("containment").alias("match"))
+    found = None
+    for nth, part in enumerate((spelt, alike, inside(people, "person"), inside(bodies, "organisation"))):
+        part = part.withColumn("nth", F.lit(nth))
+        found = part if found is None else found.unionByName(part)
+    first = found.withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("nth"))).filter("r = 1")
+    best = first.orderBy(F.desc("similarity"), "a", "b").limit(most).join(side("a"), "a").join(side("b"), "b")
+    longer = F.length("name_a") - F.length("name_b")
+    spoken = F.when(F.col("mentions_a") >= F.col("mentions_b"), F.col("a")).otherwise(F.col("b"))
+    whole = F.when((longer > 0) & (F.col("mentions_b") < F.col("mentions_a") * 5), F.col("a")).when((longer < 0) & (F.col("mentions_a") < F.col("mentions_b") * 5), F.col("b")).otherwise(spoken)
+    enough = F.col("similarity") >= F.element_at(F.create_map(*[F.lit(x) for pair in MERGE_FROM.items() for x in pair]), F.col("match"))
+    return best.select("a", "b", "similarity", "match", enough.alias("merged"), F.when(F.col("match") == "trigram", spoken).otherwise(whole).alias("keep"))

@@ -231,11 +231,19 @@ def anomalies(daily_counts: DataFrame, days: int, least: int, z: float) -> DataF
     return scored.filter(F.abs("z") >= z).select("category", "region", "date", "n", F.round("z", 4).alias("z"), F.when(F.col("z") > 0, "above").otherwise("below").alias("direction"))
 
 
-def region_hotspots(df: DataFrame, z: float, limit: int) -> DataFrame:
-    c = df.groupBy("country_code").agg(F.count("*").alias("n"), F.avg(R.by_severity(R.RANK_5)).alias("severity"))
+def region_hotspots(df: DataFrame, z: float, limit: int, least: int = 5, regions: int = 3, samples: int = 5) -> DataFrame:
+    """Regions with far more reports than the others, with their main category and worst reports; none if there are too few regions to tell."""
+    df = df.filter(F.col("status").isin("verified", "pending") & F.col("country_code").isNotNull())
+    counted = df.groupBy("country_code", "category").agg(F.count("*").alias("many"), F.sum(R.by_severity(R.RANK_5)).alias("ranks"))
+    mode = F.max_by("category", F.struct(F.col("many"), -F.ascii("category")))
+    c = counted.groupBy("country_code").agg(F.sum("many").alias("n"), (F.sum("ranks") / F.sum("many")).alias("severity"), mode.alias("category")).filter(F.col("n") >= least)
     score = (F.col("n") - F.avg("n").over(_all())) / F.coalesce(F.nullif(F.stddev_pop("n").over(_all()), F.lit(0.0)), F.lit(1.0))
-    hot = c.withColumn("z", score).filter(F.col("z") >= z)
-    return hot.select("country_code", "n", F.round("severity", 6).alias("severity"), F.round("z", 6).alias("z")).orderBy(F.desc("z"), "country_code").limit(limit)
+    hot = c.withColumn("z", score).withColumn("regions", F.count("*").over(_all())).filter((F.col("z") >= z) & (F.col("regions") >= regions))
+    hot = hot.orderBy(F.desc("z"), "country_code").limit(limit)
+    worst = df.join(hot.select("country_code"), "country_code", "left_semi").select("country_code", "id", "created_at", R.by_severity(R.RANK_4).alias("rank"))
+    worst = top_n(worst, ["country_code"], [F.desc("rank"), F.desc("created_at"), F.desc("id")], samples, "i").groupBy("country_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("signals"))
+    two = lambda x: F.floor(x * 100 + 0.5) / 100
+    return hot.join(worst, "country_code").select("country_code", "n", two(F.col("severity")).alias("severity"), "category", two(F.col("z")).alias("z"), "signals")
 
 
 def escalation_acceleration(df: DataFrame, last: int) -> DataFrame:

@@ -329,8 +329,17 @@ def _(v: Views):
     return I.anomalies(I.daily(v.orders), days=30, least=5, z=2.0)
 
 
-@query("w4_region_zscore", f"c AS (SELECT country_code, count(*) AS n, avg({RANK4} + 1) AS severity FROM signals WHERE created_at > {NOW} - INTERVAL 7 DAYS GROUP BY 1), z AS (SELECT *, (n - avg(n) OVER ()) / coalesce(nullif(stddev_pop(n) OVER (), 0), 1) AS z FROM c) SELECT country_code, n, round(severity, 6) AS severity, round(z, 6) AS z FROM z WHERE z >= 1 ORDER BY z DESC, country_code LIMIT 20", S)
+@query(
+    "w4_region_zscore",
+    f"""r AS (SELECT * FROM signals WHERE created_at > {NOW} - INTERVAL 7 DAYS AND status IN ('verified', 'pending')), m AS (SELECT country_code, category, count(*) AS many FROM r GROUP BY 1, 2),
+    c AS (SELECT country_code, count(*) AS n, avg({RANK4} + 1) AS severity FROM r GROUP BY 1 HAVING count(*) >= 5), z AS (SELECT *, (n - avg(n) OVER ()) / coalesce(nullif(stddev_pop(n) OVER (), 0), 1) AS z, count(*) OVER () AS regions FROM c),
+    h AS (SELECT * FROM z WHERE z >= 1 AND regions >= 3 ORDER BY z DESC, country_code LIMIT 20)
+    SELECT h.country_code, n, floor(severity * 100 + 0.5) / 100 AS severity, (SELECT arg_max(category, (many, -ascii(category))) FROM m WHERE m.country_code = h.country_code) AS category, floor(z * 100 + 0.5) / 100 AS z,
+        (SELECT list(id ORDER BY {RANK4} DESC, created_at DESC, id DESC)[1:5] FROM r WHERE r.country_code = h.country_code) AS signals FROM h""",
+    S,
+)
 def _(v: Views):
+    """The threshold is one deviation here, not two: invented reports are spread evenly."""
     return I.region_hotspots(B.within_hours(v.signals, v.as_of, 168), 1.0, 20)
 
 

@@ -184,14 +184,6 @@ def _(v: Views):
     return J.set_similarity_join(p, "p_partkey", "t", 0.6, block=["p_size"]).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("j12_containment", "WITH p AS (SELECT p_partkey AS id, lower(p_name) AS n, split_part(lower(p_name), ' ', -1) AS last FROM part WHERE p_partkey <= 500) SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.last = b.last AND a.id < b.id WHERE contains(a.n, b.n) OR contains(b.n, a.n)")
-def _(v: Views):
-    p = v.table("part").filter("p_partkey <= 500").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("n")).withColumn("last", F.element_at(F.split("n", " "), -1))
-    a, b = J.suffixed(p, "_a"), J.suffixed(p, "_b")
-    met = a.join(b, (F.col("last_a") == F.col("last_b")) & (F.col("id_a") < F.col("id_b")))
-    return met.filter(F.contains("n_a", "n_b") | F.contains("n_b", "n_a")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-
-
 COS = "list_sum(list_transform(list_zip(x.v, y.v), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(x.v, lambda p: p * p))) * sqrt(list_sum(list_transform(y.v, lambda p: p * p))))"
 
 
