@@ -49,5 +49,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidewatch-checkpoint-"))
     return spark
