@@ -228,7 +228,7 @@ def test_article_text_matches_a_plain_reader(spark):
 GOLDEN = [
     ("Breaking: flood in the valley", "breaking", "high"), ("Earthquake kills villagers", "disaster", "medium"), ("Troops attacked near the river", "conflict", "medium"),
     ("Defense budget under review", "security", "low"), ("Ransomware hits a port", "security", "low"), ("NATO and the treaty", "geopolitics", "low"), ("A mass casualty drill", "conflict", "medium"),
-    ("Chemical weapon found", "other", "critical"), ("Two were killed 12 hurt", "conflict", "high"), ("Death toll rises", "other", "high"), ("Sanctions on trade", "economy", "medium"), ("A cup of tea", "other", "low"),
+    ("Chemical weapon found", "other", "critical"), ("Two were killed 3 hurt", "conflict", "high"), ("Death toll rises", "other", "high"), ("Sanctions on trade", "economy", "medium"), ("A cup of tea", "other", "low"),
 ]
 
 
