@@ -16,28 +16,39 @@ from tidewatch.session import ensure_checkpoint_dir, ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or unlike every language that was learnt, go."""
+    """Documents without a letter (null and empty ones too), or unlike every language that was learnt, go.
+
+    Rows are judged one by one, also where they repeat; without a labelled document all go.
+    """
     return langid.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least doc_id."""
+    """One document of each group of near duplicates stays, the one with the least doc_id.
+
+    Documents without words are no one's duplicates, but repeats of their doc_id go; rows without a
+    doc_id stay unless their words are like another row's, and come last in their group.
+    """
     ensure_checkpoint_dir(spark)
     return near.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 35 words and more that occur more than once are removed from the texts."""
+    """Passages of 35 words and more that occur more than once are removed from the texts; all rows stay, texts without repeats as they are."""
     return substring.deduplicated(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as their source's target asks: none to two times, one a source in part."""
+    """Documents come as often as their source's target asks: none to two times, one a source in part.
+
+    Documents without words go; a null source is a source; documents come by shard, shuffled inside it.
+    """
+    ensure_checkpoint_dir(spark)
     return mixing.mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, with its columns but the text."""
+    """Each document's token ids (none for a null text), with its columns but the text."""
     rows = bpe.encode(docs, tokenizer_path())
     return rows.select(*[rows["row"].getField(c).alias(c) for c in docs.columns if c != "text"], "ids")
 
