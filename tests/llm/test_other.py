@@ -462,6 +462,46 @@ def test_flac_query_digests(spark):
         assert (r.payload_sha256, r.tail_crc32, r.payload_bytes) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(payload))
 
 
+ODD_NAMES = ["a b", "a.b", "a:b", "a`b", "ids?", "row"]
+
+
+def with_odd_names(df):
+    return df.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(ODD_NAMES)])
+
+
+def test_operators_carry_columns_of_any_name(spark, odd):
+    """Blanks, dots, colons and backticks in names; values stay with their columns."""
+    from tidewatch.llm import bpe, substring
+
+    docs = with_odd_names(odd)
+    for rows_ in (bpe.encode(docs, llm.tokenizer_path()), flac.store_texts(docs), substring.remove_repeats(docs), langid.identify(docs), mixing.mix(docs, keep=True), htmltext.extract(docs.withColumnRenamed("text", "html"), carry=ODD_NAMES)):
+        own = rows_.select(*[rows_["row"].getField(c).alias(f"c{i}") for i, c in enumerate(ODD_NAMES)]).distinct().collect()
+        assert [tuple(r) for r in own] == [tuple(range(len(ODD_NAMES)))]
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
+    """Nulls, empty and very long texts, repeats, columns of any name and an empty table pass through every stage."""
+    import corpus_pipeline
+
+    for rows_ in (with_odd_names(odd), with_odd_names(none)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows_, SMALL)
+            kept = out.collect()
+            names = rows_.columns if name != "BPE encoding" else [c for c in rows_.columns if c != "text"] + ["ids"]
+            assert out.columns == names, name
+            if rows_.isEmpty():
+                assert not kept
+            else:
+                assert kept and all(r["a`b"] == 3 and r["a.b"] == 1 for r in kept), name
+    stages = dict(corpus_pipeline.STAGES)
+    docs = with_odd_names(odd)
+    ids = lambda name: Counter(r.doc_id for r in stages[name](spark, docs, SMALL).collect())
+    assert not {1, 2, 3, 5} & set(ids("language ID")) and ids("substring dedup") == ids("BPE encoding") == Counter(r.doc_id for r in docs.collect())
+    kept = ids("n-gram Jaccard join")
+    assert kept[8] == 1 and kept[9] == 0 and kept[1] == kept[2] == kept[3] == kept[None] == 1
+    assert not {1, 2, 3} & set(ids("mixing sources"))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
