@@ -40,6 +40,8 @@ ORDER = 5
 SAMPLE, HELD_BACK = 300, 5
 #: Characters up to which a text may be in the sample.
 SAMPLE_CHARS = 1 << 17
+#: Parts in which a language's texts are ranked first.
+PARTS = 64
 #: Spreads of the held-back texts by which a text may exceed its language's usual cross-entropy, and the
 #: number of held-back texts from which a language's own spread is used, where it is beyond that of all languages.
 DEVIATIONS, ENOUGH = 6.0, 20
@@ -235,8 +237,10 @@ def fit(docs: DataFrame, learn: Column) -> Broadcast:
     usable = docs.filter(learn & F.col("lang").isNotNull() & text.isNotNull() & (F.length(text) <= SAMPLE_CHARS)).select(
         F.col("lang").cast("string").alias("lang"), "doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("hash")
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
-    chosen = usable.select("lang", "doc_id", "hash").distinct().withColumn("r", rank).filter(F.col("r") <= SAMPLE)
+    # first in parts of a language, so that no task ranks all of one
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy("hash", "doc_id"))
+    chosen = usable.select("lang", "doc_id", "hash").distinct().withColumn("part", F.pmod("hash", F.lit(PARTS)))
+    chosen = chosen.withColumn("r", rank("part")).filter(F.col("r") <= SAMPLE).withColumn("r", rank()).filter(F.col("r") <= SAMPLE)
     chosen = chosen.select(F.col("lang").alias("c_lang"), F.col("doc_id").alias("c_id"), F.col("hash").alias("c_hash"), (F.col("r") % HELD_BACK != 0).alias("fold"))
     own = (F.col("lang") == F.col("c_lang")) & F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("hash") == F.col("c_hash"))
     # at most SAMPLE rows a language are broadcast, and as many texts are kept
