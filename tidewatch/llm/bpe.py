@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a minimal acyclic transducer for frequent words.
 
-Spark counts the pre-tokens of the whole corpus; the most frequent ones, with the
-ids that merging gives them, are compiled into a minimal acyclic automaton whose
+Spark counts the words of the whole corpus that follow a blank; the most frequent ones, with
+the ids that merging gives them, are compiled into a minimal acyclic automaton whose
 transitions carry additive outputs: their sum along a word is the word's number,
 which addresses its ids.  Tasks memory-map the compiled arrays from a file that each
 executor writes once.  Words outside the lexicon are merged exactly, many at a time.
@@ -20,7 +20,6 @@ import heapq
 import json
 import os
 import tempfile
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import as_row, with_row
-from .words import pieces
+from .words import Words, pieces
 
 #: The pre-token pattern of byte-level BPE vocabularies; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -235,7 +234,7 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
 def memory_map(data: bytes) -> np.ndarray:
     """The numbers of ``data``, mapped from a file of this executor's temporary folder, written if it isn't there."""
     path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.u32")
-    if not os.path.exists(path):
+    if not os.path.exists(path) or os.path.getsize(path) != len(data):
         with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as out:
             out.write(data)
         os.replace(out.name, path)
@@ -362,20 +361,29 @@ def encoder_of(model: Broadcast) -> Encoder:
     return _encoders[name]
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    find = regex.compile(PATTERN).findall
+    """Counts of the letters that words after a blank begin with: with the blank, these are pre-tokens, and most of a text's."""
     for batch in batches:
         texts = batch.column(0)
-        for a, b in pieces(texts, 8 << 20):
-            counts: Counter = Counter()
-            for text in texts.slice(a, b - a).to_pylist():
-                if text:
-                    counts.update(find(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        for a, b in pieces(texts, 4 << 20):
+            words = Words(texts.slice(a, b - a), hashes=False)
+            other = np.flatnonzero(np.append(~_LETTER[words.data], True))
+            starts = words.starts[(words.starts > 0) & ~np.isin(words.starts, words.offsets)]
+            starts = starts[words.data[starts - 1] == 0x20]
+            ends = np.minimum(other[np.searchsorted(other, starts)], words.ends[np.searchsorted(words.ends, starts, side="right")] if len(starts) else 0)
+            starts, ends = starts[ends > starts], ends[ends > starts]
+            _, first, n = np.unique(words.span_hashes(starts, ends), return_index=True, return_counts=True)
+            data = words.data.tobytes()
+            found = [" " + data[i:j].decode("utf-8", "ignore") for i, j in zip(starts[first].tolist(), ends[first].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n)], names=["word", "n"])
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The pre-tokens that make up at least 1 / ``most`` of all of the corpus: so there are ``most`` at the most, at any size."""
+    """The words, each with the blank before it, that make up at least 1 / ``most`` of all such words of the corpus: so there are ``most`` at the most, at any size."""
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total = counted.agg(F.sum("n").alias("total"))
     frequent = counted.crossJoin(F.broadcast(total)).filter(F.col("n") * most >= F.col("total"))  # one row: the total

@@ -82,8 +82,11 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)  # index of the first word of each text, and the end
         self.counts = np.diff(self.first)
         if hashes:
-            lengths = (self.ends - self.starts).astype(np.uint64)
-            self.hashes = mix(_WORD.spans(_BYTES[self.data], self.starts, self.ends) + lengths * np.uint64(0xD6E8FEB86659FD93))
+            self.hashes = self.span_hashes(self.starts, self.ends)
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of spans of bytes, as those of words."""
+        return mix(_WORD.spans(_BYTES[self.data], starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def texts_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
