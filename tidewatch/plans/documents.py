@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..bind import Views
 from ..functions import text as X
 from ..operators import graph as G
+from ..sources import adapters as A
 from ..sources import readers as In
 from ..sources import sinks as Out
+from ..sources.adapters import Feed
 from .core import S
 from .registry import query
 
@@ -157,3 +159,29 @@ def _(v: Views):
 def _(v: Views):
     """The 50 newest verified signals as canonical JSON with its digest; signing needs a key and is left out."""
     return Out.signed_bundle(v.signals)
+
+
+#: Kinds of events stand for feeds; fires have the ladder of their detectors.
+FEEDS = {
+    "error": Feed("disaster", 10.0, ((1000, "critical"), (400, "high"), (100, "medium")), 1.0, 24, 100),
+    "click": Feed("conflict", 20.0, ((150, "critical"), (110, "high"), (80, "medium")), 2.0, 12, 5),
+    "view": Feed("health", 35.0, ((120, "high"), (60, "medium")), 5.0, 6, 3),
+}
+_feed = lambda value: "CASE feed " + " ".join(f"WHEN '{name}' THEN {value(f)}" for name, f in FEEDS.items()) + " END"
+_ladder = lambda f: "CASE " + " ".join(f"WHEN measure >= {bound} THEN '{label}'" for bound, label in f.ladder) + " ELSE 'low' END"
+
+
+@query(
+    "x15_feed_reports",
+    f"""rows_ AS (SELECT e.event_type AS feed, s.id, e.ts, s.lat, s.lng, e.value AS measure FROM signals s JOIN events e ON e.event_id = s.id), known AS (SELECT * FROM rows_ WHERE feed IN ({", ".join(f"'{n}'" for n in FEEDS)}) AND measure >= {_feed(lambda f: float(f.least))}),
+    cells AS (SELECT feed, id, measure, CAST(floor(lat / {_feed(lambda f: float(f.degrees))}) AS BIGINT) AS cell_lat, CAST(floor(lng / {_feed(lambda f: float(f.degrees))}) AS BIGINT) AS cell_lng, CAST(floor(epoch_us(ts) / 1e6 / {_feed(lambda f: f.hours * 3600)}) AS BIGINT) AS span FROM known),
+    found AS (SELECT feed, cell_lat, cell_lng, span, count(*) AS n, arg_max(id, (measure, -id)) AS id, max(measure) AS measure FROM cells GROUP BY 1, 2, 3, 4),
+    best AS (SELECT *, row_number() OVER (PARTITION BY feed, span ORDER BY measure DESC, id) AS r FROM found)
+    SELECT feed, cell_lat, cell_lng, span, n, measure, id, {_feed(_ladder)} AS severity, {_feed(lambda f: f"'{f.category}'")} AS category FROM best WHERE r <= {_feed(lambda f: f.most)} AND span % 3 <> 0""",
+    S,
+)
+def _(v: Views):
+    """Three feeds by one rule table; what came in every third span of time is known already."""
+    rows = v.signals.select("id", "lat", "lng").join(v.table("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("feed"), "ts", F.col("value").alias("measure")), "id")
+    found = A.reports(rows, FEEDS)
+    return A.fresh(found, found.filter("span % 3 = 0"))
