@@ -221,6 +221,29 @@ def test_attribution_by_the_first_character():
     assert n.tolist() == [2, 1] and crossing.tolist() == [1, 1] and outside == 0
 
 
+def test_attribution_of_odd_sections(spark):
+    """Sections out of order, overlapping, empty, turned around or null: each token counts once."""
+    rng = random.Random(12)
+    for _ in range(200):
+        size = rng.randint(1, 30)
+        first = np.sort(np.array([rng.randrange(size) for _ in range(rng.randint(0, 12))], dtype=np.int64))
+        sections = np.array([[rng.randint(0, size), rng.randint(0, size)] for _ in range(rng.randint(0, 5))], dtype=np.int64).reshape(-1, 2)
+        real = sorted((b, i) for i, (b, e) in enumerate(sections.tolist()) if e > b)
+        want, outside = [0] * len(sections), 0
+        for t in first.tolist():
+            before = [(b, i) for b, i in real if b <= t]
+            if before and t < sections[before[-1][1], 1]:
+                want[before[-1][1]] += 1
+            else:
+                outside += 1
+        n, _, out = tokencounts.attribute(first, first + 1, sections)
+        assert n.tolist() == want and out == outside
+    spans = spark.createDataFrame([(1, "one two three", [[4, 7], None, [0, 5], [9, None], [8, 3]]), (2, "one two", None)], "doc_id long, text string, spans array<array<long>>")
+    got = {(r.doc_id, r.section): r.n_tokens for r in tokencounts.section_tokens(spans, tokenizer_path(), sections="spans").collect()}
+    # the blank before a word is its token's first character, so the last word's token begins outside of all sections
+    assert got == {(1, 0): 0, (1, 1): 0, (1, 2): 2, (1, 3): 0, (1, 4): 0, (1, -1): 1, (2, -1): 2}
+
+
 def test_small_tables_through_queries(spark):
     from tidewatch.llm.queries import queries
 

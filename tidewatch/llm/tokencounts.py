@@ -6,11 +6,12 @@ sections' spans, and each token counts for the section that holds its first char
 document's sections, and of what lies outside of them, add up to its tokens, which
 encoding the sections one by one would not give.
 
-Sections are half-open spans of code points in order, without overlaps; by default the
-lines of the text, each with its line feed.
+Sections are half-open spans of code points, by default the lines of the text, each with its
+line feed.  They may come in any order; where two overlap, the one that begins first ends
+where the next one begins.
 
 Defined cases: a null or empty text has one section without tokens; a section without
-characters has no tokens; tokens outside all sections go to a row with section -1, which
+characters, or whose span is null or turned around, has no tokens; tokens outside all sections go to a row with section -1, which
 is there only if there are such tokens; rows that repeat a doc_id are counted row by row;
 an empty table gives no rows; other columns are ignored.
 """
@@ -50,16 +51,27 @@ def line_sections(text: str) -> np.ndarray:
 
 def attribute(first: np.ndarray, last: np.ndarray, sections: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Tokens of each section, those of them that end beyond it, and tokens outside all sections."""
-    at = np.searchsorted(sections[:, 0], first, side="right") - 1
-    while len(at) and (behind := (at > 0) & (sections[at, 0] == sections[at, 1])).any():
-        at = at - behind  # an empty section holds no character
-    inside = (at >= 0) & (first < sections[np.maximum(at, 0), 1])
+    n, crossing = np.zeros(len(sections), np.int64), np.zeros(len(sections), np.int64)
+    some = np.flatnonzero(sections[:, 1] > sections[:, 0]) if len(sections) else np.zeros(0, np.int64)
+    if not len(some):
+        return n, crossing, len(first)
+    some = some[np.argsort(sections[some, 0], kind="stable")]
+    begins, ends = sections[some, 0], sections[some, 1].copy()
+    ends[:-1] = np.minimum(ends[:-1], begins[1:])  # a section ends where the next one begins
+    at = np.searchsorted(begins, first, side="right") - 1
+    inside = (at >= 0) & (first < ends[np.maximum(at, 0)])
     own = at[inside]
-    n = np.bincount(own, minlength=len(sections))
-    crossing = np.bincount(own[last[inside] > sections[own, 1]], minlength=len(sections))
+    n[some] = np.bincount(own, minlength=len(some))
+    crossing[some] = np.bincount(own[last[inside] > ends[own]], minlength=len(some))
     return n, crossing, int((~inside).sum())
 
 
+def _sections(spans: list | None) -> np.ndarray:
+    """Spans as an array; what is no pair of numbers holds no characters."""
+    pairs = [(x[0], x[1]) if x and len(x) > 1 and x[0] is not None and x[1] is not None else (0, 0) for x in spans or []]
+    return np.array(pairs, dtype=np.int64).reshape(-1, 2)
+
+
 def _count(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model)
@@ -72,9 +84,9 @@ def _count(model: Broadcast):
                 out = []
                 for i, text in enumerate(strings):
                     own = tokens[cuts[i] : cuts[i + 1]]
-                    sections = line_sections(text) if spans is None else np.array(spans[a + i] or [], dtype=np.int64).reshape(-1, 2)
+                    sections = line_sections(text) if spans is None else _sections(spans[a + i])
                     first, last = token_spans(encoder.vocabulary, own, text.encode())
-                    n, crossing, outside = attribute(first, last, sections) if len(sections) else (np.zeros(0, int), np.zeros(0, int), len(own))
+                    n, crossing, outside = attribute(first, last, sections)
                     number = np.arange(len(sections))
                     if outside:
                         sections = np.concatenate([sections.reshape(-1, 2), [[0, 0]]])
