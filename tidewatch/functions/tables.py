@@ -141,3 +141,20 @@ MERGE_SIMILARITY = {"title_strip": 0.95, "person": 0.88, "organisation": 0.82}
 MERGE_FROM = {"title_strip": 0.90, "containment": 0.85, "trigram": 0.80}
 #: Categories in which a corroborated report of medium severity rises.
 STRATEGIC = ["conflict", "geopolitics", "security", "disaster", "health", "breaking", "economy"]
+#: Places by words of a report, the first match wins: name, country, latitude, longitude, words.
+PLACES = [
+    ("Ukraine", "UA", 50.45, 30.52, ["ukraine", "kyiv", "zaporizhzhia", "kharkiv"]), ("Moscow, Russia", "RU", 55.75, 37.62, ["russia", "moscow", "kremlin"]),
+    ("Israel", "IL", 31.77, 35.22, ["israel", "tel aviv", "jerusalem", "idf"]), ("Gaza", "PS", 31.50, 34.47, ["gaza", "palestin", "hamas", "west bank"]),
+    ("Beijing, China", "CN", 39.91, 116.39, ["china", "beijing", "shanghai", "ccp", "xi jinping"]), ("Taipei, Taiwan", "TW", 25.03, 121.57, ["taiwan", "taipei"]),
+    ("Pyongyang, North Korea", "KP", 39.02, 125.75, ["north korea", "pyongyang", "dprk", "kim jong"]), ("Tehran, Iran", "IR", 35.69, 51.39, ["iran", "tehran", "irgc"]),
+    ("Riyadh, Saudi Arabia", "SA", 24.69, 46.72, ["saudi arabia", "riyadh", "aramco"]), ("Damascus, Syria", "SY", 33.51, 36.29, ["syria", "damascus", "aleppo"]),
+    ("New Delhi, India", "IN", 28.60, 77.21, ["india", "new delhi", "modi", "bjp", "mumbai"]), ("Islamabad, Pakistan", "PK", 33.72, 73.06, ["pakistan", "islamabad", "lahore", "karachi"]),
+    ("Tokyo, Japan", "JP", 35.68, 139.69, ["japan", "tokyo", "osaka", "abe"]), ("Berlin, Germany", "DE", 52.52, 13.41, ["germany", "berlin", "bundestag"]),
+    ("Paris, France", "FR", 48.85, 2.35, ["france", "paris", "macron", "elysee"]), ("London, United Kingdom", "GB", 51.50, -0.12, ["united kingdom", "london", "britain", "uk", "westminster"]),
+    ("Washington D.C., USA", "US", 38.90, -77.04, ["united states", "washington", "white house", "pentagon", "congress", "biden", "trump"]),
+    ("Brasília, Brazil", "BR", -15.79, -47.88, ["brazil", "brasilia", "sao paulo", "lula"]), ("Africa", "ZZ", 0.00, 20.00, ["africa", "sahel", "west africa", "sub-saharan"]),
+    ("Khartoum, Sudan", "SD", 15.55, 32.53, ["sudan", "khartoum"]), ("Addis Ababa, Ethiopia", "ET", 9.02, 38.75, ["ethiopia", "addis ababa", "tigray"]),
+    ("Mogadishu, Somalia", "SO", 2.05, 45.34, ["somalia", "mogadishu", "al-shabaab"]), ("Naypyidaw, Myanmar", "MM", 16.80, 96.16, ["myanmar", "burma", "rangoon", "naypyidaw"]),
+    ("Ankara, Turkey", "TR", 39.93, 32.86, ["turkey", "ankara", "istanbul", "erdogan"]), ("Caracas, Venezuela", "VE", 10.49, -66.88, ["venezuela", "caracas", "maduro"]),
+    ("Mexico City, Mexico", "MX", 19.43, -99.13, ["mexico", "mexico city", "pemex"]),
+]

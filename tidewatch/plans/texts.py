@@ -131,12 +131,31 @@ def _(v: Views):
     return v.docs.select("id", K.news_category(full(v), F.col("source")).alias("category"), K.news_severity(full(v)).alias("severity"))
 
 
-@query("s24_geo_inference", "m AS (SELECT d.id, n_name, row_number() OVER (PARTITION BY d.id ORDER BY length(n_name) DESC, n_name) AS r FROM docs d JOIN nation ON contains(lower(d.body), lower(substr(n_name, 1, 4)))) SELECT id, n_name AS place FROM m WHERE r = 1", D)
+#: Texts are invented; each says one place's word besides, or none.
+_PLACE_WORDS = [w for *_, ws in W.PLACES for w in ws] + ["nowhere"] * 9
+_PLACE_RULES = [(name, ws) for name, *_, ws in W.PLACES]
+_places = "p(place, country_code, lat, lng) AS (VALUES " + ", ".join(f"('{n}', '{c}', {a}::DOUBLE, {o}::DOUBLE)" for n, c, a, o, _ in W.PLACES) + ")"
+
+
+@query("s24_geo_inference", f"{_places}, t AS (SELECT id, source, lower(concat_ws(' ', title, body, {texts(_PLACE_WORDS)}[1 + id % {len(_PLACE_WORDS)}])) AS said FROM docs), f AS (SELECT id, source, {any_word('said', _PLACE_RULES, 'NULL')} AS place FROM t) SELECT id, coalesce(f.place, source) AS place, country_code, lat, lng FROM f LEFT JOIN p ON f.place = p.place", D)
+def _(v: Views):
+    """The place that a report's words hint at, the first rule wins; else its source's home."""
+    word = F.element_at(F.array(*map(F.lit, _PLACE_WORDS)), (1 + F.col("id") % len(_PLACE_WORDS)).cast("int"))
+    found = v.docs.select("id", "source", K.first_word(F.concat_ws(" ", "title", "body", word), _PLACE_RULES, None).alias("hint"))
+    known = F.create_map(*[x for n, c, a, o, _ in W.PLACES for x in (F.lit(n), F.struct(F.lit(c).alias("code"), F.lit(float(a)).alias("lat"), F.lit(float(o)).alias("lng")))])
+    at = F.try_element_at(known, F.col("hint"))
+    return found.select("id", F.coalesce("hint", "source").alias("place"), at["code"].alias("country_code"), at["lat"].alias("lat"), at["lng"].alias("lng"))
+
+
+@query("s24_gazetteer", "t AS (SELECT d.id, lower(concat_ws(' ', body, n_name)) AS said FROM docs d JOIN nation ON n_nationkey = d.id % 25), m AS (SELECT t.id, n_name, row_number() OVER (PARTITION BY t.id ORDER BY length(n_name) DESC, n_name) AS r FROM t JOIN nation ON contains(said, lower(n_name))) SELECT id, n_name AS place FROM m WHERE r = 1", D)
 def _(v: Views):
-    """The longest name of a small gazetteer whose stem is in the text."""
-    g = v.table("nation").select("n_name", F.lower(F.substring("n_name", 1, 4)).alias("stem"))
-    found = v.docs.select("id", F.lower("body").alias("t")).join(g, F.contains("t", "stem"))
-    return found.groupBy("id").agg(F.min_by("n_name", F.struct(-F.length("n_name"), F.col("n_name"))).alias("place"))
+    """The longest name of a small gazetteer that is in the text: one pass a name, the longest first."""
+    names = v.table("nation").agg(F.array_sort(F.collect_set("n_name")).alias("names"))  # one row, as the gazetteer is small
+    home = v.table("nation").select((F.col("n_nationkey").cast("long")).alias("home"), "n_name")
+    said = v.docs.select("id", "body", (F.col("id") % 25).alias("home")).join(F.broadcast(home), "home").select("id", F.lower(F.concat_ws(" ", "body", "n_name")).alias("said"))
+    found = F.filter("names", lambda n: F.contains("said", F.lower(n)))
+    best = F.array_sort(F.transform(found, lambda n: F.struct((-F.length(n)).alias("size"), n.alias("name"))))
+    return said.join(F.broadcast(names)).select("id", F.get(best, F.lit(0))["name"].alias("place")).filter("place is not null")
 
 
 @query("s25_s27_name_candidates", r"c AS (SELECT id, unnest(list_distinct(list_filter(regexp_split_to_array(body, '[^A-Za-z]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{3,}')))) AS name FROM docs) SELECT name, count(*) AS docs FROM c GROUP BY name HAVING count(*) >= 5", D)
