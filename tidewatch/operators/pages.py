@@ -19,26 +19,39 @@ NOISE_CLASSES = "nav navbar header footer sidebar ad ads advertisement social-sh
 PARAGRAPH, BODY, EXCERPT, LEAST = 40, 3000, 200, 80
 
 
+#: Elements whose class or id may mark them as noise.
+HOLDERS = "div section aside ul p span".split()
+#: Where an article stands, where a paragraph begins, and what of it counts.
+ARTICLE, BEGIN, TAKEN = r"(?is)<article\b[^>]*>(.*?)</article\s*>", r"(?i)<p\b[^>]*>", r"(?is)^(.*?)(?:</p\s*>|</article|</body|$)"
+TITLES = [r"""(?i)<meta\s[^>]*property=["']og:title["'][^>]*content=["']([^"']*)["']""", r"(?is)<article\b.*?<h1\b[^>]*>(.*?)</h1", r"(?is)<title\b[^>]*>(.*?)</title"]
+
+
+def noise_patterns() -> list[str]:
+    """Patterns of what is dropped: noisy elements, and holders with a noisy class or id."""
+    classes = "|".join(NOISE_CLASSES)
+    marked = rf"""\b[^>]*\s(?:class|id)=["']?(?:[^"'>]*\s)?(?:{classes})(?:\s[^"'>]*)?["']?[^>]*>.*?</"""
+    return [rf"(?is)<{x}\b[^>]*>.*?</{x}\s*>" for x in NOISE] + [rf"(?is)<{x}{marked}{x}\s*>" for x in HOLDERS]
+
+
 def article_text(pages: DataFrame) -> DataFrame:
     """title, body and excerpt of each page: paragraphs of an article, or of the page, of some length, cut at a sentence; pages with little text go.
 
-    Noise of one level and of elements without attributes that nest is dropped by patterns, with built-in functions alone.
+    Noise that does not nest in itself is dropped by patterns, with built-in functions alone.
     """
     html = F.col("html")
-    for name in NOISE:
-        html = F.regexp_replace(html, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
-    classes = "|".join(NOISE_CLASSES)
-    html = F.regexp_replace(html, rf"""(?is)<(div|section|aside|ul|p|span)\b[^>]*\s(?:class|id)=["']?(?:[^"'>]*\s)?(?:{classes})(?:\s[^"'>]*)?["']?[^>]*>.*?</\1\s*>""", " ")
+    for pattern in noise_patterns():
+        html = F.regexp_replace(html, pattern, " ")
     plain = lambda x: F.trim(F.regexp_replace(decoded(F.regexp_replace(x, "<[^>]*>", "")), r"\s+", " "))
-    paragraphs = lambda x: F.filter(F.transform(F.regexp_extract_all(x, F.lit(r"(?is)<p\b[^>]*>(.*?)(?=</p\s*>|<p\b|</article|</body|$)"), F.lit(1)), plain), lambda t: F.length(t) > PARAGRAPH)
-    inner = paragraphs(F.regexp_extract("clean", r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1))
-    rows = pages.select("page_id", "html", html.alias("clean")).select("page_id", "html", inner.alias("inner"), paragraphs(F.col("clean")).alias("every"))
+
+    def paragraphs(x):
+        parts = F.split(x, BEGIN)
+        own = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda t: plain(F.regexp_extract(t, TAKEN, 1)))
+        return F.filter(own, lambda t: F.length(t) > PARAGRAPH)
+
+    rows = pages.select("page_id", "html", html.alias("clean")).select("page_id", "html", paragraphs(F.regexp_extract("clean", ARTICLE, 1)).alias("inner"), paragraphs(F.col("clean")).alias("every"))
     body = F.array_join(F.when(F.size("inner") >= 2, F.col("inner")).otherwise(F.col("every")), "\n\n")
-    meta = F.regexp_extract("html", r"""(?i)<meta\s[^>]*property=["']og:title["'][^>]*content=["']([^"']*)["']""", 1)
-    heading = F.regexp_extract("html", r"(?is)<article\b.*?<h1\b[^>]*>(.*?)</h1", 1)
-    named = F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title", 1)
-    first = lambda *xs: F.coalesce(*[F.nullif(plain(x), F.lit("")) for x in xs], F.lit(""))
-    rows = rows.select("page_id", first(meta, heading, named).alias("title"), body.alias("body"))
+    title = F.coalesce(*[F.nullif(plain(F.regexp_extract("html", x, 1)), F.lit("")) for x in TITLES], F.lit(""))
+    rows = rows.select("page_id", title.alias("title"), body.alias("body"))
     head = F.substring("body", 1, BODY)
     stop = F.length(head) - F.instr(F.reverse(head), " .")  # characters up to the last ". "
     cut = F.when((F.instr(F.reverse(head), " .") > 0) & (stop - 1 > 0.6 * BODY), F.substring(head, F.lit(1), stop)).otherwise(head)
@@ -48,9 +61,12 @@ def article_text(pages: DataFrame) -> DataFrame:
     return rows.withColumn("excerpt", F.concat(F.when((F.instr(F.reverse(start), " ") > 0) & (blank > 0.7 * EXCERPT), F.substring(start, F.lit(1), blank)).otherwise(start), F.lit("...")))
 
 
+#: The character references that pages use most.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
 def decoded(text):
-    """The character references that pages use most."""
-    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    for name, value in REFERENCES:
         text = F.replace(text, F.lit(name), F.lit(value))
     return text
 

@@ -387,7 +387,38 @@ def _(v: Views):
     return v.table("documents").groupBy(F.substring(F.sha2(F.lower(F.trim("text")), 256), 1, 32).alias("hash")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
 
 
-@query("x10_article_text")
+_q = lambda text: "'" + text.replace("'", "''") + "'"
+
+
+def _plain(x: str) -> str:
+    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for name, value in P.REFERENCES:
+        x = f"replace({x}, {_q(name)}, {_q(value)})"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def _clean(x: str) -> str:
+    for pattern in P.noise_patterns():
+        x = f"regexp_replace({x}, {_q(pattern)}, ' ', 'g')"
+    return x
+
+
+def _paragraphs(x: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array({x}, {_q(P.BEGIN)})[2:], lambda t: {_plain(f'regexp_extract(t, {_q(P.TAKEN)}, 1)')}), lambda t: length(t) > {P.PARAGRAPH})"
+
+
+_head, _start = f"body[1:{P.BODY}]", f"trim(body[1:{P.EXCERPT}])"
+
+
+@query(
+    "x10_article_text",
+    f"""WITH c AS (SELECT page_id, html, {_clean("html")} AS clean FROM pages), n AS (SELECT page_id, html, clean, regexp_extract(clean, {_q(P.ARTICLE)}, 1) AS article FROM c),
+    p AS (SELECT page_id, html, {_paragraphs("article")} AS inside, {_paragraphs("clean")} AS every FROM n),
+    b AS (SELECT page_id, coalesce({", ".join(f"nullif({_plain(f'regexp_extract(html, {_q(x)}, 1)')}, '')" for x in P.TITLES)}, '') AS title, array_to_string(CASE WHEN len(inside) >= 2 THEN inside ELSE every END, chr(10) || chr(10)) AS body FROM p),
+    k AS (SELECT page_id, title, CASE WHEN length(body) <= {P.BODY} THEN body WHEN strpos(reverse({_head}), ' .') > 0 AND length({_head}) - strpos(reverse({_head}), ' .') - 1 > {0.6 * P.BODY} THEN body[1:{P.BODY} - strpos(reverse({_head}), ' .')] ELSE {_head} END AS body FROM b),
+    e AS (SELECT *, {_start} AS start FROM k WHERE length(body) >= {P.LEAST})
+    SELECT page_id, title, body, CASE WHEN strpos(reverse(start), ' ') > 0 AND length(start) - strpos(reverse(start), ' ') > {0.7 * P.EXCERPT} THEN start[1:length(start) - strpos(reverse(start), ' ')] ELSE start END || '...' AS excerpt FROM e""",
+)
 def _(v: Views):
-    """Titles, bodies and excerpts by patterns; held against a plain reader in tests."""
+    """Titles, bodies and excerpts by patterns; held against a plain reader in tests, too."""
     return P.article_text(v.table("pages"))
