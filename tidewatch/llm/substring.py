@@ -18,9 +18,9 @@ makes of small sides:
 
 Texts cross the network once: steps 3 and 4 read the same exchange.
 
-Windows are told apart by 96 bits of two independent hashes, and rows of one doc_id and
-text by 80: among n windows that differ there is a false repeat with odds of about n**2 /
-2**97.  An anchor's 64 bits need not be exact: a false repeat only adds windows to count.
+Windows are told apart by 80 bits of two independent hashes, and rows of one doc_id and
+text by 72: among n windows that differ there is a false repeat with odds of about n**2 /
+2**81.  An anchor's 64 bits need not be exact: a false repeat only adds windows to count.
 
 Defined cases: null and empty texts have no words and keep the empty string; texts
 shorter than ``width`` words keep all; rows that repeat a doc_id and text are copies;
@@ -78,13 +78,15 @@ def _texts(batch: pa.RecordBatch) -> pa.Array:
 
 
 def _count_anchors(width: int):
+    """Each run of texts' anchors, those that repeat in it twice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             for a, b in pieces(texts):
                 _, _, anchor, grams = _anchors(Words(texts.slice(a, b - a)), width)
                 gram, n = np.unique(grams[anchor[_first_of_runs(anchor)]].view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([gram, gram[n > 1]]))], names=["gram"])
 
     return run
 
@@ -113,7 +115,7 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidate_windows(width: int):
-    """Windows at repeated anchors: (window, also, key, twin, start, weight); weight 2 for a row that stands for its copies."""
+    """Windows at repeated anchors: (window, also, key, twin, start), the start as ~start for a row that stands for its copies, which weighs two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,13 +131,14 @@ def _candidate_windows(width: int):
                 keep = wanted[anchor]
                 start, text = start[keep], text[keep]
                 window = mix(_WINDOW.spans(words.hashes, start, start + width)).view(np.int64)
-                also = (mix(_ALSO.spans(words.hashes, start, start + width)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                also = (mix(_ALSO.spans(words.hashes, start, start + width)) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+                place = start - words.first[text]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(window), pa.array(also), pa.array(keys[a:b][text]), pa.array(twins[a:b][text]),
-                        pa.array((start - words.first[text]).astype(np.int32)), pa.array(copies[a:b][text].astype(np.int32)),
+                        pa.array(np.where(copies[a:b][text] > 1, ~place, place).astype(np.int32)),
                     ],
-                    names=["window", "also", "key", "twin", "start", "weight"],
+                    names=["window", "also", "key", "twin", "start"],
                 )
 
     return run
@@ -185,11 +188,13 @@ def _repeated(rows: DataFrame, column: str, weight: Column, *more: str) -> DataF
 def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """row (a struct of the input's columns), n_words, n_removed and kept, the words that stay joined by one space."""
     row = as_row(docs.columns)
-    key, twin = F.xxhash64("doc_id", "text").alias("key"), F.shiftright(F.xxhash64(F.lit(11), "text", "doc_id"), 48).cast("smallint").alias("twin")
+    key, twin = F.xxhash64("doc_id", "text").alias("key"), F.shiftright(F.xxhash64(F.lit(11), "text", "doc_id"), 56).cast("tinyint").alias("twin")
     keyed = docs.select(row, key, twin)
     plain = docs.select(F.col("text").cast("string").alias("text"), key, twin)
-    repeated = _repeated(plain.select("text").mapInArrow(_count_anchors(width), "gram long, n long"), "gram", F.col("n"))
-    places = plain.mapInArrow(_place_anchors(width), "gram long, key long, twin smallint, place int").join(repeated, "gram").select("key", "twin", "place")
+    # a run of texts sends an anchor twice at most, so these rows are dealt out as they are
+    anchors = plain.select("text").mapInArrow(_count_anchors(width), "gram long").select(F.bitwise_not("gram").alias("flipped")).repartition("flipped")
+    repeated = anchors.groupBy("flipped").count().filter("count > 1").select(F.bitwise_not("flipped").alias("gram"))
+    places = plain.mapInArrow(_place_anchors(width), "gram long, key long, twin tinyint, place int").join(repeated, "gram").select("key", "twin", "place")
 
     own = plain.select("key", "twin", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.col("text")).alias("t2"))
     groups = own.groupBy(F.bitwise_not("t1").alias("t3"), "t2").agg(F.count("*").alias("n"), F.min(F.struct("key", "twin")).alias("one")).filter("n > 1")
@@ -204,9 +209,9 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     facts = facts.groupBy(names).agg(F.first("places", ignorenulls=True).alias("places"), F.max("copies").alias("copies"))
     known = keyed.join(facts, names, "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
 
-    found = known.filter("places is not null and copies < 3").select("row", *names, "places", "copies").mapInArrow(_candidate_windows(width), "window long, also int, key long, twin smallint, start int, weight int")
-    twice = _repeated(found, "window", F.col("weight"), "also")
-    starts = found.filter("weight = 1").join(twice, ["window", "also"]).groupBy(names).agg(F.collect_set("start").alias("starts"))
+    found = known.filter("places is not null and copies < 3").select("row", *names, "places", "copies").mapInArrow(_candidate_windows(width), "window long, also smallint, key long, twin tinyint, start int")
+    twice = _repeated(found, "window", F.when(F.col("start") < 0, 2).otherwise(1), "also")
+    starts = found.filter("start >= 0").join(twice, ["window", "also"]).groupBy(names).agg(F.collect_set("start").alias("starts"))
     return (
         keyed.join(facts.select(*names, "copies"), names, "left")
         .join(starts, names, "left")
