@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -13,8 +14,15 @@ _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])
 
 
 def ascii_words(pattern: str) -> str:
-    """A pattern whose word edges are those of ASCII words, whatever the Java version takes for a letter."""
-    return pattern.replace(r"\b", _EDGE)
+    """A pattern whose word edges are those of ASCII words, whatever the Java version takes for a letter.
+
+    An edge before a word needs no word character before it, one behind a word none after it; where a
+    pattern has blanks or signs at edges, both sides are looked at.
+    """
+    if re.search(r"%|\\s\+[|)]", pattern):
+        return pattern.replace(r"\b", _EDGE)
+    before = re.sub(r"\\b(?=\(|\w|\\d)", "(?<![A-Za-z0-9_])", pattern)
+    return before.replace(r"\b", "(?![A-Za-z0-9_])")
 
 
 def first_match(text: Column, rules: Sequence[tuple[str, str]], default: str | Column | None) -> Column:
