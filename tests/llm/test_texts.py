@@ -149,6 +149,15 @@ def test_representatives_of_null_and_repeated_ids(spark):
     assert got == Counter({(None, None, 2): 3, (None, 3, 1): 1, (3, 3, 1): 1, (5, 5, 0): 2, (5, 5, 1): 1, (7, 5, 1): 1, (None, None, 0): 3, (9, 9, 0): 2})
 
 
+def test_near_duplicates_with_names_as_ids(spark):
+    """Ids may be texts; the least one in their order names a class."""
+    rows = near_rows(random.Random(6), 3, 4)
+    df = spark.createDataFrame([(f"doc-{i:03d}", t) for i, t in rows], "doc_id string, text string")
+    want = {f"doc-{i:03d}": (f"doc-{c:03d}", n) for i, (c, n) in brute_near(rows).items()}
+    assert {r.doc_id: (r.class_id, r.n_links) for r in near.near_duplicates(df).collect()} == want
+    assert {r.doc_id for r in near.representatives(df).collect()} == {c for c, _ in want.values()}
+
+
 def test_bands_reach_the_recall():
     bands, rows = near.choose_bands(0.8, 0.9999, 128)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
