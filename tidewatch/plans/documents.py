@@ -24,7 +24,7 @@ def _(v: Views):
     return waiting.groupBy("topic").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("sources"), F.min("id").alias("first_id"))
 
 
-@query("z16_topic_batches", f"SELECT CAST(created_at AS DATE) AS day, {TOPIC} AS topic, count(*) AS n, count(DISTINCT source_id) AS sources, min(id) AS first_id FROM signals GROUP BY 1, 2", S)
+@query("x13_z16_topic_batches", f"SELECT CAST(created_at AS DATE) AS day, {TOPIC} AS topic, count(*) AS n, count(DISTINCT source_id) AS sources, min(id) AS first_id FROM signals GROUP BY 1, 2", S)
 def _(v: Views):
     """The batch twin of the micro-batches: a day is a batch, and its articles are grouped by topic."""
     rows = v.signals.select(F.to_date("created_at").alias("day"), X.topic_key(F.col("title"), 5).alias("topic"), "id", F.col("source_id").alias("source"))
