@@ -120,8 +120,18 @@ def test_near_duplicates_in_many_blocks(spark):
     """A group cut into blocks, down to one text a block, gives the same links."""
     rows = near_rows(random.Random(4), 2, 12)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (60, 300):
-        assert {r.doc_id: (r.class_id, r.n_links) for r in near.near_duplicates(df, block=block).collect()} == brute_near(rows)
+    for options in ({"block": 60}, {"block": 300}, {"members": 5}):
+        assert {r.doc_id: (r.class_id, r.n_links) for r in near.near_duplicates(df, **options).collect()} == brute_near(rows)
+
+
+def test_blocks_are_compared_in_parts(monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, 1 + i % 3, int(i >= 9), np.unique(np.array([rng.randrange(12) for _ in range(10)], dtype=np.uint64))) for i in range(20)]
+    for apart, members in ((False, rows[:9]), (True, rows)):
+        monkeypatch.setattr(near, "ROWS", 256)
+        whole = near._verify_block(members, 4, 5, apart)
+        monkeypatch.setattr(near, "ROWS", 4)
+        assert all((x == y).all() for x, y in zip(whole, near._verify_block(members, 4, 5, apart)))
 
 
 def test_near_duplicates_of_odd_rows(odd, none):

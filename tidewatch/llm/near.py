@@ -40,8 +40,10 @@ from .words import Rolling, Words, mix, pieces, windows
 _GRAM = Rolling(0xA0761D6478BD642F)
 _ALL = Rolling(0xE7037ED1A0B428DB)
 _ALSO = Rolling(0x8EBC6AF09C88C6E3)
-#: n-grams that a block of a candidate group may hold in sum (a single longer document makes a block of its own).
-BLOCK = 400_000
+#: n-grams that a block of a candidate group may hold in sum (a single longer document makes a block of its own), and documents.
+BLOCK, MEMBERS = 400_000, 1536
+#: Rows of a block that are compared at a time.
+ROWS = 256
 
 
 def choose_bands(similarity: float, recall: float, most_hashes: int) -> tuple[int, int]:
@@ -163,18 +165,22 @@ def _verify_block(rows: list[tuple], parts: int, whole: int, apart: bool):
     if same and apart:
         return None  # the other block has no member
     counts = np.array([len(s) for s in sets])
-    common = _overlaps(sets, left).astype(np.int64)
+    overlaps = _overlaps(sets, left)
     other = counts if same else counts[left:]
-    linked = common * whole >= (counts[:left, None] + other[None, :] - common) * parts
-    if same:
-        np.fill_diagonal(linked, False)
-        links = linked @ size
-    else:
-        links = np.concatenate([linked @ size[left:], linked.T @ size[:left]])
+    links, pairs = np.zeros(len(sets), dtype=np.int64), []
+    for low in range(0, left, ROWS):
+        common = overlaps[low : low + ROWS].astype(np.int64)
+        linked = common * whole >= (counts[low : low + len(common), None] + other[None, :] - common) * parts
+        if same:
+            linked[np.arange(len(common)), np.arange(low, low + len(common))] = False
+            links[low : low + len(common)] = linked @ size
+        else:
+            links[low : low + len(common)] = linked @ size[left:]
+            links[left:] += linked.T @ size[low : low + len(common)]
+        a, b = np.nonzero(linked)
+        pairs.append((a + low, b if same else b + left))
+    a, b = (np.concatenate(x) for x in zip(*pairs))
     label = np.arange(len(sets))
-    a, b = np.nonzero(linked)
-    if not same:
-        b = b + left
     while True:  # least labels, over the pairs of this block only
         low = label.copy()
         np.minimum.at(low, a, label[b])
@@ -225,7 +231,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _classes(
-    texts: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.9999, most_hashes: int = 288, block: int = BLOCK
+    texts: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.9999, most_hashes: int = 288, block: int = BLOCK, members: int = MEMBERS
 ) -> tuple[DataFrame, DataFrame]:
     """The rows with words with the keys of their words, and of each key: size (documents), rep (the row that stands for it), links and label (its class)."""
     bands, rows = choose_bands(similarity, recall, most_hashes)
@@ -243,7 +249,7 @@ def _classes(
     ties = keys.join(shared.select(F.bitwise_not("flipped").alias("key"), "band", "first"), ["key", "band"])
     groups = components(ties.select(F.col("by.class").alias("a"), F.col("first.class").alias("b"))).withColumnRenamed("node", "class")
     sizes = stands.select("class", "k1", "k2", "size", "rep", "grams").join(groups, "class").checkpoint()
-    blocks = sizes.groupBy("label").agg(F.ceil(F.sum("grams") / F.lit(block)).cast("int").alias("n_blocks"))
+    blocks = sizes.groupBy("label").agg(F.greatest(F.ceil(F.sum("grams") / F.lit(block)), F.ceil(F.count("*") / F.lit(members))).cast("int").alias("n_blocks"))
     blocks = blocks.filter("n_blocks > 1").checkpoint()
     cut = sizes.join(blocks, "label", "left").select(
         F.col("class"), "k1", "k2", "size", F.col("rep.id").alias("rep_id"), F.col("rep.tkey").alias("rep_tkey"), F.col("label").alias("grp"), F.coalesce("n_blocks", F.lit(1)).alias("n_blocks")
