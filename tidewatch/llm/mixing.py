@@ -40,7 +40,7 @@ CHUNK = 128
 #: Rows of the tables of sources and of draws up to which they are broadcast; beyond, documents are joined to them by shuffles.
 BROADCAST = 1 << 17
 #: Words of a task's part of a shard, on average.
-PART_WORDS = 4 << 20
+PART_WORDS = 1 << 20
 
 
 def word_count(text: Column) -> Column:
