@@ -110,9 +110,10 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int, chunk: int = CHUNK)
     """(rank, quota) -> (rank, shard, first, blocks): which run of each source's draws a shard owns.
 
     ``shards`` is a power of two; level k of the tree has 2**k nodes, each in rows of ``chunk`` sources.
+    Levels are checkpointed: each uses the one before twice.
     """
     entry = F.struct(F.col("rank").cast("int").alias("id"), F.col("quota").cast("long").alias("n"))
-    rows = quotas.groupBy(F.floor(F.col("rank") / chunk).cast("int").alias("chunk")).agg(F.array_sort(F.collect_list(entry)).alias("quotas")).withColumn("node", F.lit(0))
+    rows = quotas.groupBy(F.floor(F.col("rank") / chunk).cast("int").alias("chunk")).agg(F.array_sort(F.collect_list(entry)).alias("quotas")).withColumn("node", F.lit(0)).checkpoint()
     width, level = shards, 0
     while width > 1:
         width, level = width // 2, level + 1
@@ -122,7 +123,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int, chunk: int = CHUNK)
         rooms = rooms.select("node", F.col("room.id").alias("chunk"), F.col("room.n").alias("room"))
         drawn = rows.join(rooms, ["node", "chunk"]).withColumn("left", _draw(F.col("quotas"), F.col("room"), _sum("quotas"), F.lit(seed), F.lit(level), F.col("node")))
         drawn = drawn.withColumn("right", F.zip_with("quotas", "left", lambda q, x: F.struct(q["id"].alias("id"), (q["n"] - x["n"]).alias("n"))))
-        rows = drawn.select("chunk", "node", F.posexplode(F.array("left", "right")).alias("side", "quotas")).select("chunk", (F.col("node") * 2 + F.col("side")).alias("node"), "quotas")
+        rows = drawn.select("chunk", "node", F.posexplode(F.array("left", "right")).alias("side", "quotas")).select("chunk", (F.col("node") * 2 + F.col("side")).alias("node"), "quotas").checkpoint()
     leaves = rows.select(F.col("node").alias("shard"), F.explode("quotas").alias("q")).select("shard", F.col("q.id").alias("rank"), F.col("q.n").alias("blocks"))
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return leaves.select("rank", "shard", F.coalesce(F.sum("blocks").over(before), F.lit(0).cast("long")).alias("first"), "blocks")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .columns import with_id
-from .words import Rolling, Words, mix, pieces, windows
+from .words import Rolling, Words, give_back, mix, pieces, windows
 
 _GRAM = Rolling(0xA0761D6478BD642F)
 _ALL = Rolling(0xE7037ED1A0B428DB)
@@ -207,6 +207,7 @@ def _verify(similarity: float):
                 yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(links.astype(np.int64)), pa.array(root)], names=["class", "links", "root"])
 
         for batch in batches:
+            give_back()
             for x in batch.to_pylist():
                 key = x["grp"], x["low"], x["high"]
                 if key != last:

@@ -6,6 +6,8 @@ Arrow batch inside a task; nothing is kept between batches.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -101,8 +103,21 @@ def windows(first: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarr
     return start, text
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers stay after a stage, and else keep all that they ever took."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def pieces(texts: pa.Array, most: int = 2 << 20):
-    """(start, stop) runs of rows of at most ``most`` bytes each, or one long row."""
+    """(start, stop) runs of rows of at most ``most`` bytes each, or one long row; after the last, freed memory is given back."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     at, size = 0, 0
     for i, n in enumerate(lengths):
@@ -112,3 +127,4 @@ def pieces(texts: pa.Array, most: int = 2 << 20):
         size += int(n)
     if len(lengths) > at:
         yield at, len(lengths)
+    give_back()
