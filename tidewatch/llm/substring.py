@@ -18,9 +18,8 @@ makes of small sides:
 
 Texts cross the network once: steps 3 and 4 read the same exchange.
 
-Windows are told apart by 80 bits of two independent hashes, and rows of one doc_id and
-text by 72: among n windows that differ there is a false repeat with odds of about n**2 /
-2**81.  An anchor's 64 bits need not be exact: a false repeat only adds windows to count.
+Windows are told apart by 72 bits of two independent hashes, and rows of one doc_id and
+text by 64: among n windows that differ, about n**2 / 2**73 repeats are false.  An anchor's 64 bits need not be exact: a false repeat only adds windows to count.
 
 Defined cases: null and empty texts have no words and keep the empty string; texts
 shorter than ``width`` words keep all; rows that repeat a doc_id and text are copies;
@@ -94,15 +93,15 @@ def _count_anchors(width: int):
 def _place_anchors(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys, twins = batch.column("text"), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "twin"))
+            texts, keys = batch.column("text"), batch.column("key").to_numpy(zero_copy_only=False)
             for a, b in pieces(texts):
                 words = Words(texts.slice(a, b - a))
                 _, text, anchor, grams = _anchors(words, width)
                 one = _first_of_runs(anchor)
                 anchor, text = anchor[one], text[one]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[anchor].view(np.int64)), pa.array(keys[a:b][text]), pa.array(twins[a:b][text]), pa.array((anchor - words.first[text]).astype(np.int32))],
-                    names=["gram", "key", "twin", "place"],
+                    [pa.array(grams[anchor].view(np.int64)), pa.array(keys[a:b][text]), pa.array((anchor - words.first[text]).astype(np.int32))],
+                    names=["gram", "key", "place"],
                 )
 
     return run
@@ -115,12 +114,11 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidate_windows(width: int):
-    """Windows at repeated anchors: (window, also, key, twin, start), the start as ~start for a row that stands for its copies, which weighs two."""
+    """Windows at repeated anchors: (window, also, key, start), the start as ~start for a row that stands for its copies, which weighs two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places = _texts(batch), batch.column("places")
-            keys, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "twin"))
+            texts, keys, places = _texts(batch), batch.column("key").to_numpy(zero_copy_only=False), batch.column("places")
             copies = np.asarray(batch.column("copies"))
             for a, b in pieces(texts):
                 words = Words(texts.slice(a, b - a))
@@ -131,14 +129,14 @@ def _candidate_windows(width: int):
                 keep = wanted[anchor]
                 start, text = start[keep], text[keep]
                 window = mix(_WINDOW.spans(words.hashes, start, start + width)).view(np.int64)
-                also = (mix(_ALSO.spans(words.hashes, start, start + width)) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+                also = (mix(_ALSO.spans(words.hashes, start, start + width)) >> np.uint64(56)).astype(np.uint8).view(np.int8)
                 place = start - words.first[text]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(window), pa.array(also), pa.array(keys[a:b][text]), pa.array(twins[a:b][text]),
+                        pa.array(window), pa.array(also), pa.array(keys[a:b][text]),
                         pa.array(np.where(copies[a:b][text] > 1, ~place, place).astype(np.int32)),
                     ],
-                    names=["window", "also", "key", "twin", "start"],
+                    names=["window", "also", "key", "start"],
                 )
 
     return run
@@ -188,33 +186,31 @@ def _repeated(rows: DataFrame, column: str, weight: Column, *more: str) -> DataF
 def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """row (a struct of the input's columns), n_words, n_removed and kept, the words that stay joined by one space."""
     row = as_row(docs.columns)
-    key, twin = F.xxhash64("doc_id", "text").alias("key"), F.shiftright(F.xxhash64(F.lit(11), "text", "doc_id"), 56).cast("tinyint").alias("twin")
-    keyed = docs.select(row, key, twin)
-    plain = docs.select(F.col("text").cast("string").alias("text"), key, twin)
+    key = F.xxhash64("doc_id", "text").alias("key")
+    keyed = docs.select(row, key)
+    plain = docs.select(F.col("text").cast("string").alias("text"), key)
     # a run of texts sends an anchor twice at most, so these rows are dealt out as they are
     anchors = plain.select("text").mapInArrow(_count_anchors(width), "gram long").select(F.bitwise_not("gram").alias("flipped")).repartition("flipped")
     repeated = anchors.groupBy("flipped").count().filter("count > 1").select(F.bitwise_not("flipped").alias("gram"))
-    places = plain.mapInArrow(_place_anchors(width), "gram long, key long, twin tinyint, place int").join(repeated, "gram").select("key", "twin", "place")
+    places = plain.mapInArrow(_place_anchors(width), "gram long, key long, place int").join(repeated, "gram").select("key", "place")
 
-    own = plain.select("key", "twin", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.col("text")).alias("t2"))
-    groups = own.groupBy(F.bitwise_not("t1").alias("t3"), "t2").agg(F.count("*").alias("n"), F.min(F.struct("key", "twin")).alias("one")).filter("n > 1")
+    own = plain.select("key", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.col("text")).alias("t2"))
+    groups = own.groupBy(F.bitwise_not("t1").alias("t3"), "t2").agg(F.count("*").alias("n"), F.min("key").alias("one")).filter("n > 1")
     groups = groups.select(F.bitwise_not("t3").alias("t1"), "t2", "one")
-    stands = (F.col("key") == F.col("one.key")) & (F.col("twin") == F.col("one.twin"))
-    many = own.join(groups, ["t1", "t2"]).select("key", "twin", F.when(stands, 2).otherwise(3).alias("copies"))
+    many = own.join(groups, ["t1", "t2"]).select("key", F.when(F.col("key") == F.col("one"), 2).otherwise(3).alias("copies"))
 
-    names = ["key", "twin"]
-    facts = places.groupBy(names).agg(F.collect_set("place").alias("places"), F.lit(1).alias("copies")).unionByName(
-        many.groupBy(names).agg(F.max("copies").alias("copies")), allowMissingColumns=True
+    facts = places.groupBy("key").agg(F.collect_set("place").alias("places"), F.lit(1).alias("copies")).unionByName(
+        many.groupBy("key").agg(F.max("copies").alias("copies")), allowMissingColumns=True
     )
-    facts = facts.groupBy(names).agg(F.first("places", ignorenulls=True).alias("places"), F.max("copies").alias("copies"))
-    known = keyed.join(facts, names, "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    facts = facts.groupBy("key").agg(F.first("places", ignorenulls=True).alias("places"), F.max("copies").alias("copies"))
+    known = keyed.join(facts, "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
 
-    found = known.filter("places is not null and copies < 3").select("row", *names, "places", "copies").mapInArrow(_candidate_windows(width), "window long, also smallint, key long, twin tinyint, start int")
+    found = known.filter("places is not null and copies < 3").select("row", "key", "places", "copies").mapInArrow(_candidate_windows(width), "window long, also tinyint, key long, start int")
     twice = _repeated(found, "window", F.when(F.col("start") < 0, 2).otherwise(1), "also")
-    starts = found.filter("start >= 0").join(twice, ["window", "also"]).groupBy(names).agg(F.collect_set("start").alias("starts"))
+    starts = found.filter("start >= 0").join(twice, ["window", "also"]).groupBy("key").agg(F.collect_set("start").alias("starts"))
     return (
-        keyed.join(facts.select(*names, "copies"), names, "left")
-        .join(starts, names, "left")
+        keyed.join(facts.select("key", "copies"), "key", "left")
+        .join(starts, "key", "left")
         .select("row", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")
         .mapInArrow(_remove(width), with_row(keyed, "n_words long, n_removed long, kept string"))
     )
