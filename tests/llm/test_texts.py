@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 from tests.conftest import SMALL
 from tidewatch.llm import bpe, near, substring, tokencounts
 from tidewatch.llm.queries import tokenizer_path
+from tidewatch.llm import words as words_module
 from tidewatch.llm.words import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -267,3 +268,42 @@ def test_small_tables_through_queries(spark):
     from tidewatch.llm.queries import queries
 
     assert queries()["op2_bpe"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def thue_morse(n):
+    """The word of n letters a and b, and its complement: polynomials modulo 2**64 take such words for one another."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def structured():
+    """Texts that differ in one such word, and texts of two words in such orders."""
+    x, y = thue_morse(2048)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:30] + [word] + base[30:])) for i, word in enumerate((x, y))]
+    return rows + [(i, t.replace("a", "left ").replace("b", "right ")) for i, t in enumerate((x, y), 2)]
+
+
+def test_structured_words_are_told_apart(spark):
+    rows = structured()
+    w = Words(pa.array([t for _, t in rows]))
+    one, other = w.first[0] + 30, w.first[1] + 30
+    assert w.hashes[one] != w.hashes[other] and w.also[one] != w.also[other]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width in (8, 35):
+        assert ours_repeats(df, width) == brute_repeats(rows, width)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near.near_duplicates(df).collect()}
+    assert got == brute_near(rows)
+
+
+def test_rolling_hashes_are_polynomials():
+    codes = np.random.default_rng(1).integers(0, 1 << 64, size=90, dtype=np.uint64)
+    for width in (1, 2, 3, 5, 12, 31, 35, 64, 90, 91):
+        for number, base in enumerate(words_module._BASES):
+            loop = []
+            for i in range(len(codes) - width + 1):
+                h = 0
+                for code in codes[i : i + width].tolist():
+                    h = (h * base + (code >> 3)) % words_module.PRIME
+                loop.append(h)
+            assert words_module.rolled(codes, width, number).tolist() == loop

@@ -35,11 +35,8 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .columns import with_id
-from .words import Rolling, Words, give_back, mix, pieces, windows
+from .words import Words, give_back, mix, pieces, rolled, windows
 
-_GRAM = Rolling(0xA0761D6478BD642F)
-_ALL = Rolling(0xE7037ED1A0B428DB)
-_ALSO = Rolling(0x8EBC6AF09C88C6E3)
 #: n-grams that a block of a candidate group may hold in sum (a single longer document makes a block of its own), and documents.
 BLOCK, MEMBERS = 400_000, 1536
 #: Rows of a block that are compared at a time.
@@ -59,24 +56,24 @@ def choose_bands(similarity: float, recall: float, most_hashes: int) -> tuple[in
     return best
 
 
-def _grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+def grams_of(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """n-gram hashes of all texts and the text of each; a shorter text has one gram of all its words."""
     start, text = windows(words.first, words.counts, n)
-    few = np.flatnonzero((words.counts > 0) & (words.counts < n))
-    first = np.concatenate([start, words.first[few]])
-    last = np.concatenate([start + n, words.first[few + 1]])
-    text = np.concatenate([text, few])
-    if len(few):
+    grams = [rolled(words.hashes, n)[start]]
+    few = [np.flatnonzero(words.counts == c) for c in range(1, n)]
+    for c, texts in enumerate(few, 1):
+        # the number of words tells runs of other lengths apart
+        grams.append(rolled(words.hashes, c)[words.first[texts]] + np.uint64(c % 8 << 61) if len(texts) else np.zeros(0, np.uint64))
+    grams, text = np.concatenate(grams), np.concatenate([text, *few])
+    if any(map(len, few)):
         order = np.argsort(text, kind="stable")
-        first, last, text = first[order], last[order], text[order]
-    return mix(_GRAM.spans(words.hashes, first, last) + (last - first).astype(np.uint64)), text
+        grams, text = grams[order], text[order]
+    return mix(grams), text
 
 
 def _class_keys(words: Words, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each text's words in order."""
-    i, j = words.first[texts], words.first[texts + 1]
-    count = (j - i).astype(np.uint64)
-    k1, k2 = (mix(rolling.spans(words.hashes, i, j) + count).view(np.int64) for rolling in (_ALL, _ALSO))
+    """Two independent hashes of each text's words in order, of their bytes."""
+    k1, k2 = words.texts_hashes(texts).view(np.int64)
     return k1, k2
 
 
@@ -89,7 +86,7 @@ def _sketch(n: int, bands: int, rows: int):
             texts, rest = batch.column("text"), batch.select(["doc_id", "tkey"])
             for a, b in pieces(texts, 1 << 19):
                 words = Words(texts.slice(a, b - a))
-                grams, text = _grams(words, n)
+                grams, text = grams_of(words, n)
                 many = np.bincount(text, minlength=b - a)
                 have = np.flatnonzero(many)
                 first = (np.cumsum(many) - many)[have]
@@ -124,7 +121,7 @@ def _sets(n: int):
             texts = batch.column("text")
             for a, b in pieces(texts, 1 << 19):
                 words = Words(texts.slice(a, b - a))
-                grams, text = _grams(words, n)
+                grams, text = grams_of(words, n)
                 cuts = np.searchsorted(text, np.arange(b - a + 1))
                 sets = [np.unique(grams[i:j]).tobytes() for i, j in zip(cuts, cuts[1:])]
                 k1, k2 = _class_keys(words, np.arange(b - a))

@@ -16,14 +16,17 @@ makes of small sides:
 3. count the windows at repeated anchors, and find each text's repeated windows;
 4. merge them into maximal runs of words, and remove those.
 
-Texts cross the network once: steps 3 and 4 read the same exchange.
+Texts cross the network once, each compressed: steps 3 and 4 read the same exchange.
 
-Windows are told apart by 72 bits of two independent hashes, and rows of one doc_id and
-text by 64: among n windows that differ, about n**2 / 2**73 repeats are false.  An anchor's 64 bits need not be exact: a false repeat only adds windows to count.
+Windows are told apart by 96 bits of two independent Rabin-Karp hashes modulo a prime, over
+two independent hashes of the words, and rows of one doc_id and text by 96 bits too: among n
+windows that differ, about n**2 / 2**97 repeats are false.  An anchor's 61 bits need not be
+exact: a false repeat only adds windows to count.
 
 Defined cases: null and empty texts have no words and keep the empty string; texts
 shorter than ``width`` words keep all; rows that repeat a doc_id and text are copies;
-an empty table gives no rows; the input's columns pass through whatever their names.
+an empty table gives no rows; the input's columns pass through whatever their names, the text
+as a string.
 """
 
 from __future__ import annotations
@@ -33,16 +36,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from .columns import as_row, with_row
-from .words import Rolling, Words, mix, pieces, windows
+from .words import Words, mix, pieces, rolled, windows
 
 #: Words of an anchor gram.
 GRAM = 12
-_WINDOW, _ALSO = Rolling(0xC2B2AE3D27D4EB4F), Rolling(0xD1B54A32D192ED03)
-_GRAM = Rolling(0x165667B19E3779F9)
+#: Compressed bytes that are unpacked at a time (a single longer text is a piece of its own).
+PACKED = 1 << 19
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -58,7 +63,7 @@ def _anchors(words: Words, width: int):
     if not len(start):
         return start, text, start, np.zeros(0, np.uint64)
     at = np.arange(n)
-    grams = mix(_GRAM.spans(words.hashes, at, at + gram))
+    grams = mix(rolled(words.hashes, gram))
     least = (grams & ~_PLACE) | at.astype(np.uint64)  # ties go to the first place
     span, have = width - gram + 1, 1
     while have < span:  # least of the grams at i .. i + span - 1
@@ -72,8 +77,23 @@ def _first_of_runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else values
 
 
-def _texts(batch: pa.RecordBatch) -> pa.Array:
-    return batch.column("row").field("text").cast(pa.string())
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text compressed on its own, so that it stays so until the task that needs it."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary())
+        packed = pa.array([pack(memoryview(x.as_buffer())) if x.is_valid else None for x in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("rest"), packed, batch.column("key"), batch.column("also_key")], names=["rest", "packed", "key", "also_key"])
+
+
+def _texts(packed: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(memoryview(x.as_buffer())) if x.is_valid else None for x in packed], pa.large_binary()).cast(pa.large_string())
+
+
+def _spots(keys: np.ndarray, low: np.ndarray) -> pa.Array:
+    """The second half of a row's key above a number below 2**32."""
+    return pa.array(keys.astype(np.int64) << 32 | low)
 
 
 def _count_anchors(width: int):
@@ -93,15 +113,15 @@ def _count_anchors(width: int):
 def _place_anchors(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = batch.column("text"), batch.column("key").to_numpy(zero_copy_only=False)
+            texts, keys, more = batch.column("text"), np.asarray(batch.column("key")), np.asarray(batch.column("also_key"))
             for a, b in pieces(texts):
                 words = Words(texts.slice(a, b - a))
                 _, text, anchor, grams = _anchors(words, width)
                 one = _first_of_runs(anchor)
                 anchor, text = anchor[one], text[one]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[anchor].view(np.int64)), pa.array(keys[a:b][text]), pa.array((anchor - words.first[text]).astype(np.int32))],
-                    names=["gram", "key", "place"],
+                    [pa.array(grams[anchor].view(np.int64)), pa.array(keys[a:b][text]), _spots(more[a:b][text], anchor - words.first[text])],
+                    names=["gram", "key", "spot"],
                 )
 
     return run
@@ -114,40 +134,41 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidate_windows(width: int):
-    """Windows at repeated anchors: (window, also, key, start), the start as ~start for a row that stands for its copies, which weighs two."""
+    """Windows at repeated anchors: (window, also, key, spot), with twice the start in the spot, and one more for a row that stands for its copies, which weighs two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys, places = _texts(batch), batch.column("key").to_numpy(zero_copy_only=False), batch.column("places")
+            packed, keys, more, places = batch.column("packed"), np.asarray(batch.column("key")), np.asarray(batch.column("also_key")), batch.column("places")
             copies = np.asarray(batch.column("copies"))
-            for a, b in pieces(texts):
-                words = Words(texts.slice(a, b - a))
+            for a, b in pieces(packed, PACKED):
+                words = Words(_texts(packed.slice(a, b - a)))
                 start, text, anchor, _ = _anchors(words, width)
                 value, row = _flat(places.slice(a, b - a))
                 wanted = np.zeros(len(words.starts) + 1, dtype=bool)
                 wanted[words.first[row] + value] = True
                 keep = wanted[anchor]
                 start, text = start[keep], text[keep]
-                window = mix(_WINDOW.spans(words.hashes, start, start + width)).view(np.int64)
-                also = (mix(_ALSO.spans(words.hashes, start, start + width)) >> np.uint64(56)).astype(np.uint8).view(np.int8)
-                place = start - words.first[text]
+                keep, also = rolled(words.hashes, width)[start], rolled(words.also, width, 1)[start]
+                window = (keep << np.uint64(3) | also >> np.uint64(58)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(window), pa.array(also), pa.array(keys[a:b][text]),
-                        pa.array(np.where(copies[a:b][text] > 1, ~place, place).astype(np.int32)),
+                        pa.array(window), pa.array((also & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(keys[a:b][text]),
+                        _spots(more[a:b][text], 2 * (start - words.first[text]) + (copies[a:b][text] > 1)),
                     ],
-                    names=["window", "also", "key", "start"],
+                    names=["window", "also", "key", "spot"],
                 )
 
     return run
 
 
-def _remove(width: int):
+def _remove(width: int, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch)
-            for a, b in pieces(texts):
-                part = texts.slice(a, b - a)
+            packed = batch.column("packed")
+            rest = dict(zip((c for c in columns if c != "text"), batch.column("rest").flatten()))
+            for a, b in pieces(packed, PACKED):
+                part = _texts(packed.slice(a, b - a)).cast(pa.string())
+                whole = pa.StructArray.from_arrays([part if c == "text" else rest[c].slice(a, b - a) for c in columns], columns)
                 words = Words(part, hashes=False)
                 value, row = _flat(batch.column("starts").slice(a, b - a))
                 copies = np.asarray(batch.column("copies").slice(a, b - a))
@@ -166,7 +187,7 @@ def _remove(width: int):
                         own = [own[k] for k in stay]
                     kept.append(b" ".join(own))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(a, b - a), pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())],
+                    [whole, pa.array(words.counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())],
                     names=["row", "n_words", "n_removed", "kept"],
                 )
 
@@ -185,34 +206,40 @@ def _repeated(rows: DataFrame, column: str, weight: Column, *more: str) -> DataF
 
 def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """row (a struct of the input's columns), n_words, n_removed and kept, the words that stay joined by one space."""
-    row = as_row(docs.columns)
-    key = F.xxhash64("doc_id", "text").alias("key")
-    keyed = docs.select(row, key)
-    plain = docs.select(F.col("text").cast("string").alias("text"), key)
+    ids = [F.xxhash64("doc_id", "text").alias("key"), F.hash(F.lit(7), "text", "doc_id").alias("also_key")]
+    text = F.col("text").cast("string").alias("text")
+    keyed = docs.select(as_row([c for c in docs.columns if c != "text"]).alias("rest"), text, *ids)
+    keyed = keyed.mapInArrow(_pack, StructType([keyed.schema["rest"], *StructType.fromDDL("packed binary, key long, also_key int").fields]))
+    plain = docs.select(text, *ids)
     # a run of texts sends an anchor twice at most, so these rows are dealt out as they are
     anchors = plain.select("text").mapInArrow(_count_anchors(width), "gram long").select(F.bitwise_not("gram").alias("flipped")).repartition("flipped")
     repeated = anchors.groupBy("flipped").count().filter("count > 1").select(F.bitwise_not("flipped").alias("gram"))
-    places = plain.mapInArrow(_place_anchors(width), "gram long, key long, place int").join(repeated, "gram").select("key", "place")
+    also, low = F.shiftright("spot", 32).cast("int").alias("also_key"), F.col("spot").bitwiseAND((1 << 32) - 1)
+    places = plain.mapInArrow(_place_anchors(width), "gram long, key long, spot long").join(repeated, "gram").select("key", also, low.cast("int").alias("place"))
 
-    own = plain.select("key", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.col("text")).alias("t2"))
-    groups = own.groupBy(F.bitwise_not("t1").alias("t3"), "t2").agg(F.count("*").alias("n"), F.min("key").alias("one")).filter("n > 1")
+    own = plain.select("key", "also_key", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.col("text")).alias("t2"))
+    groups = own.groupBy(F.bitwise_not("t1").alias("t3"), "t2").agg(F.count("*").alias("n"), F.min(F.struct("key", "also_key")).alias("one")).filter("n > 1")
     groups = groups.select(F.bitwise_not("t3").alias("t1"), "t2", "one")
-    many = own.join(groups, ["t1", "t2"]).select("key", F.when(F.col("key") == F.col("one"), 2).otherwise(3).alias("copies"))
+    many = own.join(groups, ["t1", "t2"]).select("key", "also_key", F.when(F.struct("key", "also_key") == F.col("one"), 2).otherwise(3).alias("copies"))
 
-    facts = places.groupBy("key").agg(F.collect_set("place").alias("places"), F.lit(1).alias("copies")).unionByName(
-        many.groupBy("key").agg(F.max("copies").alias("copies")), allowMissingColumns=True
+    facts = places.groupBy("key", "also_key").agg(F.collect_set("place").alias("places"), F.lit(1).alias("copies")).unionByName(
+        many.groupBy("key", "also_key").agg(F.max("copies").alias("copies")), allowMissingColumns=True
     )
-    facts = facts.groupBy("key").agg(F.first("places", ignorenulls=True).alias("places"), F.max("copies").alias("copies"))
-    known = keyed.join(facts, "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-
-    found = known.filter("places is not null and copies < 3").select("row", "key", "places", "copies").mapInArrow(_candidate_windows(width), "window long, also tinyint, key long, start int")
-    twice = _repeated(found, "window", F.when(F.col("start") < 0, 2).otherwise(1), "also")
-    starts = found.filter("start >= 0").join(twice, ["window", "also"]).groupBy("key").agg(F.collect_set("start").alias("starts"))
+    facts = facts.groupBy("key", "also_key").agg(F.first("places", ignorenulls=True).alias("places"), F.max("copies").alias("copies"))
+    known = keyed.join(facts, ["key", "also_key"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+
+    # the column rest goes along, so that Spark sees the same exchange of texts here and below
+    found = known.filter("places is not null and copies < 3").select("rest", "packed", "key", "also_key", "places", "copies")
+    found = found.mapInArrow(_candidate_windows(width), "window long, also int, key long, spot long")
+    stands = F.col("spot").bitwiseAND(1)
+    twice = _repeated(found, "window", stands + 1, "also")
+    starts = found.filter(stands == 0).join(twice, ["window", "also"]).groupBy("key", also).agg(F.collect_set(F.shiftright(low, 1).cast("int")).alias("starts"))
+    row = docs.select(as_row(docs.columns)) if docs.schema["text"].dataType == StringType() else docs.withColumn("text", text).select(as_row(docs.columns))
     return (
-        keyed.join(facts.select("key", "copies"), "key", "left")
-        .join(starts, "key", "left")
-        .select("row", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")
-        .mapInArrow(_remove(width), with_row(keyed, "n_words long, n_removed long, kept string"))
+        keyed.join(facts.select("key", "also_key", "copies"), ["key", "also_key"], "left")
+        .join(starts, ["key", "also_key"], "left")
+        .select("rest", "packed", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")
+        .mapInArrow(_remove(width, docs.columns), with_row(row, "n_words long, n_removed long, kept string"))
     )
 
 

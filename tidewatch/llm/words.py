@@ -7,6 +7,7 @@ Arrow batch inside a task; nothing is kept between batches.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,32 +19,47 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _M64 = (1 << 64) - 1
 
 
-def _byte_codes(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, _M64, size=256, dtype=np.uint64)
+#: The prime of the rolling hashes, and their bases.
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+_LOW30, _LOW31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_BASES = [int(x) for x in np.random.default_rng(20250613).integers(1 << 60, PRIME, size=2)]
 
 
-class Rolling:
-    """Polynomial hashing modulo 2**64 over prefix sums, with an odd base."""
+def _fold(x: np.ndarray) -> np.ndarray:
+    return (x & _P) + (x >> np.uint64(61))
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self._up = np.ones(1, dtype=np.uint64)
-        self._down = np.ones(1, dtype=np.uint64)
 
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self._up) < n:
-            k = len(self._up)
-            self._up = np.concatenate([self._up, self._up * np.uint64(pow(self.base, k, 1 << 64))])
-            self._down = np.concatenate([self._down, self._down * np.uint64(pow(self.inverse, k, 1 << 64))])
-        return self._up, self._down
+def _times(x: np.ndarray, factor: int) -> np.ndarray:
+    """x * factor modulo PRIME, up to a few units beyond it."""
+    high, low = np.uint64(factor >> 31), np.uint64(factor & ((1 << 31) - 1))
+    x1, x0 = x >> np.uint64(31), x & _LOW31
+    middle = x1 * low + x0 * high
+    return _fold(((x1 * high) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31)) + x0 * low)
 
-    def spans(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of codes[start:end] for every span."""
-        up, down = self._powers(len(codes) + 1)
-        sums = np.empty(len(codes) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(codes * up[: len(codes)], out=sums[1:])
-        return (sums[ends] - sums[starts]) * down[starts]
+
+def rolled(codes: np.ndarray, width: int, base: int = 0) -> np.ndarray:
+    """Rabin-Karp hashes below PRIME of all runs of ``width`` codes: polynomials of the codes' high 61 bits, at one of two random bases.
+
+    Runs of 2k codes are made of two runs of k, so that it takes some steps for each bit of the width.
+    """
+    n = len(codes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    one = codes >> np.uint64(3)
+    out, done = None, 0
+    size = 1
+    while True:
+        if width & size:  # the run's first ``done`` codes are in out, the next ``size`` in one
+            out = one[:n] if out is None else _fold(_times(out, pow(_BASES[base], size, PRIME)) + one[done : done + n])
+            done += size
+        size *= 2
+        if size > width:
+            break
+        half = size // 2
+        one = _fold(_times(one[:-half], pow(_BASES[base], half, PRIME)) + one[half:])
+    out = _fold(out)
+    return np.where(out >= _P, out - _P, out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,14 +71,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = _byte_codes(20250101)
-_WORD = Rolling(0x9E3779B97F4A7C15 | 1)
+def digests(values: list[bytes]) -> np.ndarray:
+    """Two independent 64-bit hashes of each value, as columns: a cryptographic hash's first 128 bits."""
+    joined = b"".join([hashlib.blake2b(v, digest_size=16).digest() for v in values])
+    return np.frombuffer(joined, dtype="<u8").reshape(-1, 2).T
+
+
+def _lower() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    table[ord("A") : ord("Z") + 1] += 32
+    return table
+
+
+LOWER = _lower()
+
+
+_BYTES = np.random.default_rng(20250101).integers(1, _M64, size=256, dtype=np.uint64)
+#: The first bytes of a word of eight, by their number; keys of the rounds that permute words.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_KEYS = np.random.default_rng(20250714).integers(1, _M64, size=4, dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words:
-    """Word spans and 64-bit word hashes of a run of texts (null: no words)."""
+    """Word spans of a run of texts (null: no words), and two independent 64-bit hashes of each word.
+
+    Words of up to 15 bytes have hashes of their own, since these are a permutation of their
+    bytes and length; longer ones have a cryptographic hash's first 128 bits.  ``lower`` turns
+    A-Z into a-z first; ``gaps`` is a table of the bytes between words.
+    """
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, hashes: bool = True):
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, hashes: bool = True, lower: bool = False, gaps: np.ndarray = _SPACE):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -72,7 +111,9 @@ class Words:
         self.data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
         first, last = int(self.offsets[0]), int(self.offsets[-1])
         self.data, self.offsets = self.data[first:last], self.offsets - first
-        inside = ~_SPACE[self.data]
+        if lower:
+            self.data = LOWER[self.data]
+        inside = ~gaps[self.data]
         edge = np.zeros(len(inside) + 1, dtype=bool)  # a text begins here
         edge[self.offsets] = True
         starts = inside.copy()
@@ -84,11 +125,39 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)  # index of the first word of each text, and the end
         self.counts = np.diff(self.first)
         if hashes:
-            self.hashes = self.span_hashes(self.starts, self.ends)
+            self.hashes, self.also = self._hashes()
+
+    def _hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        eights = np.ndarray(len(self.data) + 8, dtype="<u8", buffer=np.concatenate([self.data, np.zeros(15, np.uint8)]), strides=(1,))
+        size = self.ends - self.starts
+        one = eights[self.starts] & _FIRST[np.minimum(size, 8)]
+        two = eights[np.minimum(self.starts + 8, len(self.data))] & _FIRST[np.clip(size - 8, 0, 7)] | size.astype(np.uint64) << np.uint64(56)
+        for key in _KEYS:
+            one, two = two, one ^ mix(two + key)
+        long = np.flatnonzero(size > 15)
+        if len(long):
+            one[long], two[long] = digests([self.data[a:b].tobytes() for a, b in zip(self.starts[long].tolist(), self.ends[long].tolist())])
+        return one, two
+
+    def distinct(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words, and the number of each word among them."""
+        ends = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        inside = np.zeros(len(self.data) + 1, dtype=np.int8)
+        inside[self.starts] += 1
+        inside[self.ends] -= 1
+        letters = pa.py_buffer(self.data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)])
+        coded = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends), letters]).dictionary_encode()
+        return coded.dictionary, np.asarray(coded.indices)
 
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of spans of bytes, as those of words."""
-        return mix(_WORD.spans(_BYTES[self.data], starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """Fast hashes of any spans of bytes, for counts that may be rough: two spans may collide."""
+        power = np.cumprod(np.full(len(self.data) + 1, _ODD, dtype=np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[self.data] * power[:-1], dtype=np.uint64)])
+        return mix((sums[ends] - sums[starts]) * power[len(self.data) - starts] + (ends - starts).astype(np.uint64))
+
+    def texts_hashes(self, texts: np.ndarray) -> np.ndarray:
+        """Two independent 64-bit hashes of the words in order of each of some texts."""
+        return digests([b" ".join(self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().split()) for i in texts])
 
     def texts_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
