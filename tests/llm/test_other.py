@@ -9,6 +9,7 @@ import struct
 import subprocess
 import sys
 import zlib
+from fractions import Fraction
 from collections import Counter
 
 import numpy as np
@@ -227,6 +228,20 @@ def test_top_k_of_odd_vectors(spark):
     assert [tuple(r) for r in topk.search(twice, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 1, 1024 * 1024 + 2048 * 1024)]
 
 
+def test_top_k_of_huge_components(spark):
+    """Finite components beyond what doubles scale, beside small ones: scores of Python's integers, cut to 64 bits."""
+    big = 1.7e308
+    rows_ = [(0, [1e306, 1.0]), (10, [-big, big]), (20, [0.25, -0.5]), (1, [1e306, 2.0]), (2, [-1e306, 1.0]), (3, [0.0, 0.0]), (4, [1e-300, -1e-300]), (5, [big, big]), (6, [3.0, 1e300]), (7, [0.0, 5.0])]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [math.floor(1024 * Fraction(x)) for x in v] for i, v in rows_}
+    want = []
+    for q in (0, 10, 20):
+        scores = sorted((-max(-(2**63) + 2, min(2**63 - 1, sum(a * b for a, b in zip(whole[q], whole[i])))), i) for i in whole if i != q)
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:10], 1)]
+    for tile in (1, 2, 100):
+        assert sorted(map(tuple, topk.search(df, F.col("vec_id") % 10 == 0, tile=tile).collect())) == want
+
+
 def test_top_k_in_many_cells_with_ties(spark):
     rng = random.Random(9)
     rows_ = [(i, [float(rng.randrange(-3, 4)) for _ in range(3 if i % 5 else 2)]) for i in range(400)] + [(i, [5e8, -1.0, 2.0]) for i in (500, 501)]  # the products of two of these are beyond 64 bits

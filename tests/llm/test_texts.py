@@ -154,7 +154,7 @@ def test_representatives_of_null_and_repeated_ids(spark):
     kept = sorted(((r.doc_id, r.text) for r in near.representatives(df).collect()), key=repr)
     first = [r for r in kept if r[1] in (text[0], near_[0])]
     assert len(first) == 1 and first[0][0] is None
-    want = [(3, near_[1]), (5, text[2]), (5, text[3]), (None, text[4]), (9, ""), (None, ""), (None, None)]
+    want = [(3, near_[1]), (5, text[2]), (5, text[3]), (None, text[4]), (9, ""), (9, ""), (None, ""), (None, None)]
     assert sorted([r for r in kept if r not in first], key=repr) == sorted(want, key=repr)
     got = Counter((r.doc_id, r.class_id, r.n_links) for r in near.near_duplicates(df).collect())
     assert got == Counter({(None, None, 2): 3, (None, 3, 1): 1, (3, 3, 1): 1, (5, 5, 0): 2, (5, 5, 1): 1, (7, 5, 1): 1, (None, None, 0): 3, (9, 9, 0): 2})

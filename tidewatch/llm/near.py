@@ -4,7 +4,7 @@ A document's set has its n-grams of ``words`` consecutive words (all of its word
 has fewer).  Two documents are linked if the Jaccard similarity of their sets is at
 least ``similarity``.
 
-1. Documents with the same words in the same order form one class, whatever their doc_ids; a hash of the words names it.
+1. Documents with the same words in the same order form one class, whatever their doc_ids; 128 bits of a cryptographic hash tell them.
 2. Each class gets MinHash signatures in bands; band and row counts come from the
    target recall at the threshold.  Classes that share a band are candidates.  A band's
    members are tied to its least member only, never all to all, and the ties' connected
@@ -30,11 +30,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .columns import with_id
+from .columns import as_row, with_id
 from .words import Words, give_back, mix, pieces, rolled, windows
 
 #: n-grams that a block of a candidate group may hold in sum (a single longer document makes a block of its own), and documents.
@@ -239,7 +239,8 @@ def _classes(
     documents = F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1)
     rep = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("s.tkey").alias("tkey"))
     classes = one.groupBy("k1", "k2").agg(F.min(F.struct(rep.alias("rep"), F.col("s.grams").alias("grams"), F.col("s.bands").alias("bands"))).alias("s"), F.sum(documents).alias("size"))
-    stands = classes.select(F.col("k1").alias("class"), "k1", "k2", "size", "s.rep", "s.grams", "s.bands").checkpoint()
+    # the classes' numbers hold from the checkpoint on
+    stands = classes.select(F.monotonically_increasing_id().alias("class"), "k1", "k2", "size", "s.rep", "s.grams", "s.bands").checkpoint()
 
     # ties go to the least doc_id, which is the same one in most bands of a group, so that they stay few
     keys = stands.select(F.struct("rep.none", "rep.id", "class").alias("by"), F.posexplode("bands").alias("band", "key"))
@@ -282,13 +283,13 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class stays, one of the least doc_id; rows without words stay, those that repeat a doc_id as one."""
-    keys = ("__near_id", "__near_tkey", "__near_nth")
+    """One row of each class stays, one of the least doc_id; all rows without words stay."""
+    keys = ("__near_id", "__near_tkey")
     _, classes = _classes(_texts(docs), **options)
     kept = classes.groupBy("label").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("kept_id"), F.col("rep.tkey").alias("kept_tkey"))
     some, tkey = _keys()
     rows = docs.withColumn(keys[0], F.col("doc_id")).withColumn(keys[1], tkey)
-    nth = F.row_number().over(Window.partitionBy(*keys[:2]).orderBy(F.xxhash64("text")))
     met = rows.filter(some).join(kept, F.col(keys[0]).eqNullSafe(F.col("kept_id")) & (F.col(keys[1]) == F.col("kept_tkey")), "left_semi")
-    single = met.union(rows.filter(~some & F.col("doc_id").isNotNull())).withColumn(keys[2], nth).filter(F.col(keys[2]) == 1)
-    return single.drop(*keys).union(docs.filter(~some & F.col("doc_id").isNull()))
+    # a row that repeats very often is taken down to one in the tasks first
+    single = met.groupBy(*keys).agg(F.first(as_row(docs.columns)).alias("row"))
+    return single.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).union(docs.filter(~some))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship
-from . import bpe, flac, htmltext, langid, lmscore, mixing, near, substring, tokencounts, topk
+from . import bpe, fim, flac, htmltext, hyper, langid, lmscore, mixing, near, resample, substring, tokencounts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,22 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyper.components_of(_table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        F.col("row.doc_id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_language": op1_language,
@@ -85,6 +101,9 @@ def queries() -> dict:
         "op8_flac": op8_flac,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_hyperminhash": op11_hyperminhash,
+        "op12_resampling": op12_resampling,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 

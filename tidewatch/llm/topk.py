@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,17 @@ TILE, PRODUCTS, LEAST = 2048, 1024, 64
 
 
 def _quantised(values: np.ndarray, scale: float) -> np.ndarray:
-    return np.floor(scale * values)
+    """Whole numbers, as doubles; as Python's integers where a scaled component is beyond doubles."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(scale * values)
+    if np.isfinite(scaled).all():
+        return scaled
+    exact = Fraction(scale)
+    return np.array([[math.floor(exact * Fraction(x)) for x in row] for row in values.tolist()], dtype=object)
 
 
 def _tiles(scale: float, size: int):
-    """Packs usable vectors of one length at a time: (dim, ids, data)."""
+    """Packs usable vectors of one length at a time: (dim, ids, data); whole numbers if they all fit into 32 bits, else as they came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -46,11 +53,11 @@ def _tiles(scale: float, size: int):
             ids, data = (np.concatenate(x) for x in zip(*held.pop(dim)))
             for a in range(0, len(ids), size):
                 part = data[a : a + size]
-                narrow = np.abs(part).max() < 2.0**31
+                narrow = np.abs(part).max() * abs(scale) < 2.0**31 - 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([dim], pa.int32()), pa.array([ids[a : a + size].tobytes()], pa.binary()),
-                        pa.array([bool(narrow)]), pa.array([part.astype(np.int32 if narrow else np.float64).tobytes()], pa.binary()),
+                        pa.array([bool(narrow)]), pa.array([(np.floor(scale * part).astype(np.int32) if narrow else part).tobytes()], pa.binary()),
                     ],
                     names=["dim", "ids", "narrow", "data"],
                 )
@@ -66,7 +73,7 @@ def _tiles(scale: float, size: int):
                 vectors = values[first[rows][:, None] + np.arange(dim)]
                 good = np.isfinite(vectors).all(axis=1)
                 if good.any():
-                    held.setdefault(dim, []).append((ids[rows[good]].astype(np.int64), _quantised(vectors[good], scale)))
+                    held.setdefault(dim, []).append((ids[rows[good]].astype(np.int64), vectors[good]))
                     if sum(len(x[0]) for x in held[dim]) >= size:
                         yield from packed(dim)
         for dim in list(held):
@@ -77,7 +84,8 @@ def _tiles(scale: float, size: int):
 
 def _scores(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
     """Integer inner products; in doubles where these hold every partial sum exactly."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(shard).max(initial=0)) * queries.shape[1]
+    huge = queries.dtype == object or shard.dtype == object
+    most = math.inf if huge else float(np.abs(queries).max(initial=0)) * float(np.abs(shard).max(initial=0)) * queries.shape[1]
     if most < 2.0**53:
         return (queries @ shard.T).astype(np.int64)
     if most < 2.0**63:
@@ -86,9 +94,9 @@ def _scores(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
     return np.clip(whole, -(2**63) + 2, 2**63 - 1).astype(np.int64)  # beyond 64 bits the score stays at the bound
 
 
-def _vectors(tile: dict) -> tuple[np.ndarray, np.ndarray]:
+def _vectors(tile: dict, scale: float) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(tile["data"], np.int32 if tile["narrow"] else np.float64).reshape(-1, tile["dim"])
-    return np.frombuffer(tile["ids"], np.int64), data.astype(np.float64)
+    return np.frombuffer(tile["ids"], np.int64), data.astype(np.float64) if tile["narrow"] else _quantised(data, scale)
 
 
 def _selected(k: int, q_ids: np.ndarray, queries: np.ndarray, c_ids: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,15 +118,15 @@ def _cut(k: int, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[n
     return row[keep], ids[keep], score[keep]
 
 
-def _cell(k: int):
+def _cell(k: int, scale: float):
     def run(shards: pa.Table, queries: pa.Table) -> pa.Table:
         tiles = shards.to_pylist()
         out = []
         for q in queries.to_pylist():
-            q_ids, vectors = _vectors(q)
+            q_ids, vectors = _vectors(q, scale)
             best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
             for tile in tiles:
-                found = _selected(k, q_ids, vectors, *_vectors(tile))
+                found = _selected(k, q_ids, vectors, *_vectors(tile, scale))
                 best = _cut(k, *(np.concatenate(x) for x in zip(best, found)))
             out.append((q_ids[best[0]], *best[1:], np.full(len(best[0]), q["part"])))
         columns = [np.concatenate(x).astype(np.int64) for x in zip(*out)] if tiles and out else [np.zeros(0, np.int64)] * 4
@@ -148,7 +156,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 102
     # a tile of candidates goes to every part of the queries, and the other way round
     shards = shards.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))).groupBy("dim", "part", "q_part")
     queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(c_parts - 1)))).groupBy("dim", "part", "q_part")
-    lists = shards.cogroup(queries).applyInArrow(_cell(k), "query_id long, vec_id long, score long, part long")
+    lists = shards.cogroup(queries).applyInArrow(_cell(k, scale), "query_id long, vec_id long, score long, part long")
     order = [F.desc("score"), F.asc("vec_id")]
     group = F.pmod("part", F.lit(math.isqrt(c_parts) or 1))
     some = lists.withColumn("group", group).withColumn("r", F.row_number().over(Window.partitionBy("query_id", "group").orderBy(*order))).filter(F.col("r") <= k)
