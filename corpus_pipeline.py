@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the least doc_id.
 
-    Documents without words are no one's duplicates, but repeats of their doc_id go; rows without a
+    Documents without words are no one's duplicates and all stay; rows without a
     doc_id stay unless their words are like another row's, and come last in their group.
     """
     ensure_checkpoint_dir(spark)
