@@ -230,16 +230,18 @@ def components_of(
 
     inside = loaded.withColumn("block", F.explode("blocks")).withColumn("low", F.col("block")).withColumn("high", F.col("block")).withColumn("joined", F.col("class"))
     edges = verified(inside).select(F.col("class").alias("a"), F.col("root").alias("b"))
-    many = loaded.join(blocks.select(F.col("label").alias("grp"), "n_blocks"), "grp")
+    final = components(edges)
     if not blocks.isEmpty():
-        joined = components(edges).select(F.col("node").alias("class"), F.col("label").alias("joined"))
-        many = many.join(joined, "class", "left").withColumn("joined", F.coalesce("joined", "class")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"))
-        open_ = many.groupBy("grp").agg((F.min("joined") < F.max("joined")).alias("open")).filter("open").select("grp")
-        across = many.join(open_, "grp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        across = across.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).filter("low < high")
-        edges = edges.union(verified(across).select("class", "root"))
-
-    final = components(edges).withColumnRenamed("node", "class")
+        many = loaded.join(blocks.select(F.col("label").alias("grp"), "n_blocks"), "grp").join(final.select(F.col("node").alias("class"), F.col("label").alias("joined")), "class", "left")
+        many = many.withColumn("joined", F.coalesce("joined", "class")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"))
+        open_ = many.groupBy("grp").agg((F.min("joined") < F.max("joined")).alias("open")).filter("open").select("grp").checkpoint()
+        if not open_.isEmpty():
+            across = many.join(open_, "grp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+            across = across.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).filter("low < high")
+            more = verified(across)
+            if not more.isEmpty():
+                final = components(edges.union(more.select("class", "root")))
+    final = final.withColumnRenamed("node", "class")
     labelled = stands.select("class", "k1", "k2", "rep").join(final, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = labelled.groupBy(F.bitwise_not("label").alias("flipped")).agg(F.min("rep").alias("rep")).select(F.bitwise_not("flipped").alias("label"), F.col("rep.id").alias("component_id"))
     named = labelled.select("k1", "k2", "label").join(least, "label").select(F.bitwise_not("k1").alias("flipped"), "k2", "component_id")

@@ -42,7 +42,7 @@ from .words import Words, give_back, mix, pieces
 #: Buckets of the features' checksums, and words of a feature at most.
 BUCKETS, LONGEST = 10_000, 3
 #: Bytes of texts that share a dictionary, and strings of a part of the global one, on average.
-RUN, PART = 10 << 20, 4 << 20
+RUN, PART = 6 << 20, 2 << 20
 #: Bytes between words: all of ASCII but digits and letters.
 _GAPS = np.zeros(256, dtype=bool)
 _GAPS[:0x80] = True
@@ -96,11 +96,27 @@ def _split(data: bytes) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends - np.arange(len(ends))])), pa.py_buffer(text)])
 
 
-def _send(parts: int, longest: int, run_bytes: int, common: bytes):
-    """Each run of texts' dictionary, dealt out to parts: first words once with the number of their n-grams, further words, counts."""
+def _common(texts: DataFrame, rows: int = 1000, most: int = (1 << 16) - 1) -> list[bytes]:
+    """Frequent words of a bounded sample of text: packets name them by number.  Only the packets' size hangs on them."""
+    sample = pa.array([r["text"] for r in texts.filter("text is not null").select(F.substring("text", 1, 4096).alias("text")).limit(rows).collect()], pa.string())
+    names, ids = Words(sample, hashes=False, lower=True, gaps=_GAPS).distinct()
+    return names.take(pa.array(np.argsort(-np.bincount(ids, minlength=len(names)), kind="stable")[:most])).to_pylist()
+
+
+def _planes(codes: np.ndarray) -> bytes:
+    return np.ascontiguousarray(codes.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes()
+
+
+def _send(parts: int, longest: int, run_bytes: int, common: list[bytes]):
+    """Each run of texts' dictionary, dealt out to parts: the first words once with the number of their n-grams, further words, counts.
+
+    Words are numbers of common ones; others are spelt out, with an end byte that no word holds.
+    """
+
     def packets(texts: pa.Array, target: bool):
-        pack, pack_numbers = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(common)).compress, zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         found = Grams(texts, longest)
+        code = np.asarray(pc.fill_null(pc.index_in(found.names, value_set=pa.array(common, pa.large_binary())), len(common))).astype(np.int64)
         for n, (columns, spread, counts) in enumerate(found.grams, 1):
             part = (spread >> np.uint64(32)).astype(np.int64) * parts >> 32
             order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
@@ -111,10 +127,12 @@ def _send(parts: int, longest: int, run_bytes: int, common: bytes):
             new = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (part[1:] != part[:-1])][: len(head)])
             runs = np.diff(np.append(new, len(head)))
             at = np.searchsorted(new, cut)
-            streams = [_joined(found.names.take(pa.array(head[new])))] + [_joined(found.names.take(pa.array(c[order]))) for c in columns[1:]]
+            head, rest = head[new], [c[order] for c in columns[1:]]
             for p, i, j, u, v in zip(number.tolist(), cut.tolist(), cut[1:].tolist(), at.tolist(), at[1:].tolist()):
-                pieces_ = [data[edges[x] : edges[y]] for (edges, data), (x, y) in zip(streams, [(u, v)] + [(i, j)] * (n - 1))]
-                yield p, target, n, j - i, pack(b"".join(pieces_)), pack_numbers(np.concatenate([runs[u:v], counts[i:j]]).astype("<u4").tobytes())
+                words = np.concatenate([head[u:v], *[c[i:j] for c in rest]])
+                codes = code[words]
+                edges, spelt = _joined(found.names.take(pa.array(words[codes == len(common)])))
+                yield p, target, n, j - i, pack(_planes(codes)), pack(spelt[edges[0] : edges[-1]]), pack(np.concatenate([runs[u:v], counts[i:j]]).astype("<u4").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,57 +146,50 @@ def _send(parts: int, longest: int, run_bytes: int, common: bytes):
     return run
 
 
-_PACKET = [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-_NAMES = ["part", "target", "n", "many", "words", "numbers"]
+_PACKET = [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+_NAMES = ["part", "target", "n", "many", "codes", "rare", "numbers"]
 
 
-def _dictionary(common: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(common, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(common) >= 8 else None
-
-
-def _common(texts: DataFrame, rows: int = 1000, most: int = 96 << 10) -> bytes:
-    """Words of a bounded sample, the most frequent ones last: packets of any size are compressed by them, and nothing else hangs on them."""
-    sample = pa.array([r["text"] for r in texts.filter("text is not null").select(F.substring("text", 1, 4096).alias("text")).limit(rows).collect()], pa.string())
-    names, ids = Words(sample, hashes=False, lower=True, gaps=_GAPS).distinct()
-    order = np.argsort(np.bincount(ids, minlength=len(names)), kind="stable")
-    return b"\n".join(names.take(pa.array(order)).to_pylist())[-most:]
-
-
-def _count(common: bytes):
+def _count(common: list[bytes]):
     """The dictionary of a part: each string once, with its counts in the raw and the target texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(common)).decompress
-        unpack_numbers = zstandard.ZstdDecompressor().decompress
-        return _counted(table, unpack, unpack_numbers)
+        unpack = zstandard.ZstdDecompressor().decompress
+        known = pa.array(common, pa.large_binary())
+        strings, counts, many = [], [], []
+        for r in table.select(_NAMES).to_pylist():
+            n = r["n"]
+            codes = np.frombuffer(unpack(r["codes"]), np.uint8).reshape(2, -1).T
+            codes = np.ascontiguousarray(codes).view("<u2").ravel().astype(np.int64)
+            rare = codes == len(common)
+            codes[rare] += np.arange(int(rare.sum()))
+            words = pa.concat_arrays([known, _split(unpack(r["rare"]))]).take(pa.array(codes))
+            heads = len(words) - r["many"] * (n - 1)
+            numbers = np.frombuffer(unpack(r["numbers"]), "<u4").astype(np.int64)
+            columns = [words.take(pa.array(np.repeat(np.arange(heads), numbers[:heads])))] + [words.slice(heads + r["many"] * k, r["many"]) for k in range(n - 1)]
+            strings.append(pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary())))
+            counts.append(numbers[heads:])
+            many.append(r["many"])
+        target = np.repeat(np.asarray(table.column("target").to_numpy()), many)
+        coded = pa.chunked_array(strings).dictionary_encode().combine_chunks() if strings else None
+        del strings
+        feature = coded.dictionary.cast(pa.binary())
+        place, counts = np.asarray(coded.indices), np.concatenate(counts)
+        del coded
+        sums = [np.bincount(place[x], counts[x], len(feature)).astype(np.int64) for x in (~target, target)]
+        give_back()
+        return pa.table([feature, *map(pa.array, sums)], names=["feature", "n", "n_target"])
 
     return run
 
 
-def _counted(table: pa.Table, unpack, unpack_numbers) -> pa.Table:
-    strings, sums = [], ([], [])
-    for r in table.to_pylist():
-        words, n, many = _split(unpack(r["words"])), r["n"], r["many"]
-        heads = len(words) - many * (n - 1)
-        numbers = np.frombuffer(unpack_numbers(r["numbers"]), "<u4").astype(np.int64)
-        columns = [words.take(pa.array(np.repeat(np.arange(heads), numbers[:heads])))] + [words.slice(heads + many * k, many) for k in range(n - 1)]
-        strings.append(pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary())))
-        for target, out in enumerate(sums):
-            out.append(numbers[heads:] if r["target"] == bool(target) else np.zeros(many, np.int64))
-    coded = pa.concat_arrays(strings).dictionary_encode()
-    place = np.asarray(coded.indices)
-    counts = [np.bincount(place, np.concatenate(x), len(coded.dictionary)).astype(np.int64) for x in sums]
-    give_back()
-    return pa.table([coded.dictionary.cast(pa.binary()), *map(pa.array, counts)], names=["feature", "n", "n_target"])
-
-
 def dictionary(docs: DataFrame, target: DataFrame, longest: int = LONGEST, run_bytes: int = RUN, part_strings: int = PART) -> DataFrame:
     """feature (its bytes), n and n_target of every distinct n-gram of the texts of ``docs`` and ``target``."""
     texts = docs.select(F.col("text").cast("string").alias("text"), F.lit(False).alias("target")).union(target.select(F.col("text").cast("string"), F.lit(True)))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size * longest / 6 / part_strings))  # a word and its gap take some six bytes
     common = _common(texts)
-    sent = texts.mapInArrow(_send(parts, longest, run_bytes, common), "part int, target boolean, n int, many int, words binary, numbers binary")
+    sent = texts.mapInArrow(_send(parts, longest, run_bytes, common), "part int, target boolean, n int, many int, codes binary, rare binary, numbers binary")
     return sent.groupBy("part").applyInArrow(_count(common), "feature binary, n long, n_target long")
 
 
