@@ -8,8 +8,7 @@ on the window's words alone, so equal windows have equal anchors, and a window w
 anchor's gram occurs once in the corpus occurs once too.  About one gram in twelve is
 an anchor, so counting those is cheap; only windows with a repeated anchor are counted.
 
-One plan does it all, with no collected data and no broadcast but those that Spark
-makes of small sides:
+No data are collected and nothing is broadcast but what Spark makes of small sides:
 
 1. count anchors, and find each text's repeated anchors;
 2. count exact copies of texts: of each group one row stands for all (weight two);
@@ -134,11 +133,11 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidate_windows(width: int):
-    """Windows at repeated anchors: (window, also, key, spot), with twice the start in the spot, and one more for a row that stands for its copies, which weighs two."""
+    """Windows at repeated anchors: (window, also, id, start), the start as ~start for a row that stands for its copies, which weighs two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed, keys, more, places = batch.column("packed"), np.asarray(batch.column("key")), np.asarray(batch.column("also_key")), batch.column("places")
+            packed, ids, places = batch.column("packed"), np.asarray(batch.column("id")), batch.column("places")
             copies = np.asarray(batch.column("copies"))
             for a, b in pieces(packed, PACKED):
                 words = Words(_texts(packed.slice(a, b - a)))
@@ -149,13 +148,14 @@ def _candidate_windows(width: int):
                 keep = wanted[anchor]
                 start, text = start[keep], text[keep]
                 keep, also = rolled(words.hashes, width)[start], rolled(words.also, width, 1)[start]
+                place = start - words.first[text]
                 window = (keep << np.uint64(3) | also >> np.uint64(58)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(window), pa.array((also & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(keys[a:b][text]),
-                        _spots(more[a:b][text], 2 * (start - words.first[text]) + (copies[a:b][text] > 1)),
+                        pa.array(window), pa.array((also & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), pa.array(ids[a:b][text]),
+                        pa.array(np.where(copies[a:b][text] > 1, ~place, place).astype(np.int32)),
                     ],
-                    names=["window", "also", "key", "spot"],
+                    names=["window", "also", "id", "start"],
                 )
 
     return run
@@ -226,18 +226,18 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
         many.groupBy("key", "also_key").agg(F.max("copies").alias("copies")), allowMissingColumns=True
     )
     facts = facts.groupBy("key", "also_key").agg(F.first("places", ignorenulls=True).alias("places"), F.max("copies").alias("copies"))
-    known = keyed.join(facts, ["key", "also_key"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    # windows name a row by its number, which holds from the checkpoint on and takes fewer bytes than its keys
+    facts = facts.withColumn("id", F.monotonically_increasing_id()).checkpoint()
 
     # the column rest goes along, so that Spark sees the same exchange of texts here and below
-    found = known.filter("places is not null and copies < 3").select("rest", "packed", "key", "also_key", "places", "copies")
-    found = found.mapInArrow(_candidate_windows(width), "window long, also int, key long, spot long")
-    stands = F.col("spot").bitwiseAND(1)
-    twice = _repeated(found, "window", stands + 1, "also")
-    starts = found.filter(stands == 0).join(twice, ["window", "also"]).groupBy("key", also).agg(F.collect_set(F.shiftright(low, 1).cast("int")).alias("starts"))
+    known = keyed.join(facts.filter("places is not null and copies < 3"), ["key", "also_key"]).select("rest", "packed", "id", "places", "copies")
+    found = known.mapInArrow(_candidate_windows(width), "window long, also int, id long, start int")
+    twice = _repeated(found, "window", F.when(F.col("start") < 0, 2).otherwise(1), "also")
+    starts = found.filter("start >= 0").join(twice, ["window", "also"]).groupBy("id").agg(F.collect_set("start").alias("starts"))
+    marks = facts.select("key", "also_key", "copies", "id").join(starts, "id", "left").drop("id")
     row = docs.select(as_row(docs.columns)) if docs.schema["text"].dataType == StringType() else docs.withColumn("text", text).select(as_row(docs.columns))
     return (
-        keyed.join(facts.select("key", "also_key", "copies"), ["key", "also_key"], "left")
-        .join(starts, ["key", "also_key"], "left")
+        keyed.join(marks, ["key", "also_key"], "left")
         .select("rest", "packed", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")
         .mapInArrow(_remove(width, docs.columns), with_row(row, "n_words long, n_removed long, kept string"))
     )
