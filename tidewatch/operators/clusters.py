@@ -1,12 +1,16 @@
 """The correlation engine: clusters of reports from scored pairs, what they raise, and threads of them.
 
 Clusters are pure functions of the pairs and the reports, in batch: a star cluster is what one
-report finds when it comes in; an extended cluster closes such finds over chains, in the order in
-which the reports came, up to a number of members.
+report finds when it comes in; extended clusters grow as reports come in, up to a number of members:
+a report joins the cluster of what it finds, or begins one.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +30,7 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 def _dominant(rows: DataFrame, key: str, *then) -> DataFrame:
     """The most frequent kind of each key; ties go by ``then``, an order of (key, kind) groups."""
-    counted = rows.groupBy(key, "kind").agg(F.count("*").alias("many"), F.min("nth").alias("first"), F.max("score").alias("best"))
+    counted = rows.groupBy(key, "kind").agg(F.count("*").alias("many"), F.min("nth").alias("first"))
     order = Window.partitionBy(key).orderBy(F.desc("many"), *then)
     return counted.withColumn("r", F.row_number().over(order)).filter("r = 1").select(key, "kind")
 
@@ -47,26 +51,68 @@ def stars(pairs: DataFrame, signals: DataFrame) -> DataFrame:
     return summed.join(score, "id").join(_dominant(found, "id", F.asc("first")), "id")
 
 
-def members(pairs: DataFrame, signals: DataFrame) -> DataFrame:
-    """The reports of every extended cluster, the first MOST of a component in the order in which they came."""
-    label = components(pairs.select("a", "b")).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
-    rows = signals.join(label, "id").withColumn("nth", F.row_number().over(Window.partitionBy("cluster").orderBy("created_at", "id")))
-    return rows.filter(F.col("nth") <= MOST).withColumn("rank", R.by_severity(R.RANK_4))
-
-
-def clusters(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Members summed up: the severity rises with each more severe one, the score is a rolling mean, three categories make a cluster multi-factor."""
-    at = rows.select("cluster", F.col("id").alias("a"), F.col("nth").alias("n_a"))
-    inside = pairs.join(at, "a").join(rows.select(F.col("id").alias("b"), F.col("nth").alias("n_b")), "b").withColumn("nth", F.greatest("n_a", "n_b"))
-    found = inside.groupBy("cluster", "nth").agg(F.avg("score").alias("x"))
-    fold = lambda a, x: F.when(a.isNull(), x["x"]).otherwise((a + x["x"]) / 2)
-    scores = found.groupBy("cluster").agg(F.round(F.aggregate(F.array_sort(F.collect_list(F.struct("nth", "x"))), F.lit(None).cast("double"), fold), 6).alias("score"))
-    top = F.struct(F.col("rank"), -F.col("nth"))
+def arrivals(pairs: DataFrame, signals: DataFrame) -> DataFrame:
+    """Of every report that correlates with earlier ones: the best of these (others, scores and kinds, best first), and the component whose reports it can meet."""
+    at = signals.select("id", "created_at")
+    earlier = F.struct("before", "other") < F.struct("created_at", "id")
+    met = ends(pairs).join(at, "id").join(at.select(F.col("id").alias("other"), F.col("created_at").alias("before")), "other").filter(earlier)
+    best = met.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))).filter(F.col("nth") < MOST)
+    rows = best.groupBy("id").agg(F.min("created_at").alias("created_at"), F.array_sort(F.collect_list(F.struct("nth", "other", "score", "kind"))).alias("met"))
+    label = components(pairs.select("a", "b")).select(F.col("node").alias("id"), F.col("label").alias("component"))
+    return rows.join(label, "id").select("component", "created_at", "id", *[F.col("met")[c].alias(f"{c}s") for c in ("other", "score", "kind")])
+
+
+def _assign(most: int):
+    """Walks a component's reports as they came: each joins the cluster of the best earlier report that is in one, unless that is full, or begins one with all it met."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, owner, size = None, {}, {}
+        for batch in batches:
+            out = []
+            for component, own, others, scores, kinds in batch.itertuples(index=False):
+                if component != now:
+                    now, owner, size = component, {}, {}
+                home = next((owner[x] for x in others if x in owner), None)
+                mean = float(sum(scores) / len(scores))
+                if home is None:
+                    size[own] = 1 + len(others)
+                    counted = Counter(kinds)
+                    kind = max(counted, key=counted.get)  # ties go to the kind that was met first
+                    for nth, member in enumerate([own, *others], 1):
+                        owner[member] = own
+                        out.append((own, member, nth, 0, mean if nth == 1 else None, kind if nth == 1 else None))
+                elif size[home] < most:
+                    size[home] += 1
+                    owner[own] = home
+                    out.append((home, own, size[home], 1, mean, None))
+            yield pd.DataFrame(out, columns=["cluster", "id", "nth", "step", "met", "first_kind"]).astype({"met": "float64"})
+
+    return run
+
+
+def members(pairs: DataFrame, signals: DataFrame, most: int = MOST) -> DataFrame:
+    """The reports of every extended cluster, named by the report that began it, in the order in which they joined.
+
+    A component's reports are one sorted pass of a task, which keeps a number a report: what a report does
+    hangs on all that came before.  Reports that met only full clusters are in none.
+    """
+    rows = arrivals(pairs, signals).repartition("component").sortWithinPartitions("component", "created_at", "id").drop("created_at")
+    kind = signals.schema["id"].dataType.simpleString()
+    joined = rows.mapInPandas(_assign(most), f"cluster {kind}, id {kind}, nth int, step int, met double, first_kind string")
+    return signals.join(joined, "id").withColumn("rank", R.by_severity(R.RANK_4))
+
+
+def clusters(rows: DataFrame) -> DataFrame:
+    """Members summed up: the severity rises with each more severe one, the score is a rolling mean of what each arrival met, and three categories make an extended cluster multi-factor."""
+    fold = lambda a, x: F.when(a.isNull(), x["met"]).otherwise((a + x["met"]) / 2)
+    means = F.collect_list(F.when(F.col("met").isNotNull(), F.struct("nth", "met")))
+    founder = F.col("step") == 0
+    top = F.struct("rank", founder, F.when(founder, F.col("reliability")).otherwise(0.0), -F.col("nth"))
     summed = rows.groupBy("cluster").agg(
-        F.count("*").alias("n"), F.max_by("id", top).alias("primary_id"), F.max_by("severity", top).alias("severity"), F.countDistinct("category").alias("categories"), F.countDistinct("source_id").alias("sources")
-    )
-    kinds = _dominant(inside, "cluster", F.desc("best"), F.asc("kind"))
-    return summed.join(scores, "cluster").join(kinds, "cluster").withColumn("kind", F.when(F.col("categories") >= 3, "multi_factor").otherwise(F.col("kind")))
+        F.count("*").alias("n"), F.max_by("id", top).alias("primary_id"), F.max_by("severity", top).alias("severity"), F.countDistinct("category").alias("categories"), F.countDistinct("source_id").alias("sources"),
+        F.round(F.aggregate(F.array_sort(means), F.lit(None).cast("double"), fold), 6).alias("score"), F.max("step").alias("grown"), F.max("first_kind").alias("first_kind"),
+    )
+    return summed.withColumn("kind", F.when((F.col("categories") >= 3) & (F.col("grown") > 0), "multi_factor").otherwise(F.col("first_kind"))).drop("grown", "first_kind")
 
 
 def corroborated(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -21,23 +21,30 @@ STARS = f"""{ENDS}, star AS (SELECT *, row_number() OVER (PARTITION BY id ORDER
     sfull AS (SELECT m.id, m.member, m.nth, x.category, x.source_id, x.severity, x.reliability, {RANK4.replace("severity", "x.severity", 1)} AS rank FROM smem m JOIN signals x ON x.id = m.member),
     ssum AS (SELECT id, count(*) AS n, arg_max(member, (rank, reliability, -nth)) AS primary_id, arg_max(severity, (rank, reliability, -nth)) AS severity, count(DISTINCT category) AS categories, count(DISTINCT source_id) AS sources FROM sfull GROUP BY id),
     stars AS (SELECT ssum.*, score, kind FROM ssum JOIN (SELECT id, round(avg(score), 6) AS score FROM star GROUP BY id) USING (id) JOIN skinds USING (id))"""
-MEMBERS = f"""{ENDS}, reach AS (SELECT id AS node, id AS label FROM ends UNION SELECT reach.node, ends.other FROM reach JOIN ends ON reach.label = ends.id), labels AS (SELECT node AS id, min(label) AS cluster FROM reach GROUP BY node),
-    mem AS (SELECT cluster, x.*, {RANK4} AS rank, row_number() OVER (PARTITION BY cluster ORDER BY created_at, id) AS nth FROM signals x JOIN labels USING (id) QUALIFY nth <= 12)"""
-CLUSTERS = f"""{MEMBERS}, inside AS (SELECT a.cluster, greatest(a.nth, b.nth) AS nth, p.score, p.kind FROM pairs p JOIN mem a ON a.id = p.a JOIN mem b ON b.id = p.b),
-    rolled AS (SELECT cluster, round(list_reduce(list(x ORDER BY nth), lambda m, v: (m + v) / 2), 6) AS score FROM (SELECT cluster, nth, avg(score) AS x FROM inside GROUP BY 1, 2) GROUP BY cluster),
-    ckinds AS (SELECT cluster, kind FROM inside GROUP BY cluster, kind QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, max(score) DESC, kind) = 1),
-    csum AS (SELECT cluster, count(*) AS n, arg_max(id, (rank, -nth)) AS primary_id, arg_max(severity, (rank, -nth)) AS severity, count(DISTINCT category) AS categories, count(DISTINCT source_id) AS sources FROM mem GROUP BY cluster),
-    clusters AS (SELECT csum.*, score, CASE WHEN categories >= 3 THEN 'multi_factor' ELSE kind END AS kind FROM csum JOIN rolled USING (cluster) JOIN ckinds USING (cluster))"""
+MEMBERS = f"""{ENDS}, met AS (SELECT e.id, x.created_at, e.other, e.score, e.kind FROM ends e JOIN signals x ON x.id = e.id JOIN signals y ON y.id = e.other WHERE (y.created_at, y.id) < (x.created_at, x.id)),
+    best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS r FROM met QUALIFY r < 12),
+    kinds AS (SELECT id, kind FROM best GROUP BY id, kind QUALIFY row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, min(r)) = 1),
+    arr AS (SELECT row_number() OVER (ORDER BY created_at, id) AS k, id, others, met, kind FROM (SELECT id, min(created_at) AS created_at, list(other ORDER BY r) AS others, avg(score) AS met FROM best GROUP BY id) JOIN kinds USING (id)),
+    walk AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS cluster, 0 AS size, []::BIGINT[] AS joined, MAP([]::BIGINT[], []::BIGINT[]) AS owner, MAP([]::BIGINT[], []::INT[]) AS sizes
+        UNION ALL SELECT k, id, coalesce(home, id), coalesce(sizes[home], 0), CASE WHEN home IS NULL THEN list_prepend(id, others) WHEN sizes[home] < 12 THEN [id] ELSE [] END,
+            CASE WHEN home IS NULL THEN map_concat(owner, map_from_entries(list_transform(list_prepend(id, others), lambda x: {{'k': x, 'v': id}}))) WHEN sizes[home] < 12 THEN map_concat(owner, MAP([id], [home])) ELSE owner END,
+            CASE WHEN home IS NULL THEN map_concat(sizes, MAP([id], [len(others)::INT + 1])) WHEN sizes[home] < 12 THEN map_concat(sizes, MAP([home], [sizes[home] + 1])) ELSE sizes END
+        FROM (SELECT a.k, a.id, a.others, w.owner, w.sizes, list_filter(list_transform(a.others, lambda x: w.owner[x]), lambda x: x IS NOT NULL)[1] AS home FROM walk w JOIN arr a ON a.k = w.k + 1)),
+    entered AS (SELECT w.cluster, w.id AS came, unnest(w.joined) AS id, w.size + unnest(range(1, len(w.joined) + 1)) AS nth, CASE WHEN w.size = 0 THEN 0 ELSE 1 END AS step FROM walk w),
+    mem AS (SELECT e.cluster, e.nth, e.step, CASE WHEN e.came = e.id THEN a.met END AS met, CASE WHEN e.came = e.id AND step = 0 THEN a.kind END AS first_kind, x.*, {RANK4.replace("severity", "x.severity", 1)} AS rank FROM entered e JOIN signals x USING (id) LEFT JOIN arr a ON a.id = e.came)"""
+CLUSTERS = f"""{MEMBERS}, clusters AS (SELECT cluster, count(*) AS n, arg_max(id, (rank, step = 0, CASE WHEN step = 0 THEN reliability ELSE 0.0 END, -nth)) AS primary_id, arg_max(severity, (rank, step = 0, CASE WHEN step = 0 THEN reliability ELSE 0.0 END, -nth)) AS severity,
+    count(DISTINCT category) AS categories, count(DISTINCT source_id) AS sources, round(list_reduce(list(met ORDER BY nth) FILTER (WHERE met IS NOT NULL), lambda m, v: (m + v) / 2), 6) AS score,
+    CASE WHEN count(DISTINCT category) >= 3 AND max(step) > 0 THEN 'multi_factor' ELSE max(first_kind) END AS kind FROM mem GROUP BY cluster)"""
 
 
 def recursive(body: str) -> str:
     return with_views(body, S).replace("WITH", "WITH RECURSIVE", 1)
 
 
-def pairs_and_members(v: Views):
+def reports(v: Views):
+    """The members of the extended clusters."""
     ensure_checkpoint_dir(v.spark)
-    pairs = correlation_pairs(v)
-    return pairs, G.members(pairs, v.signals)
+    return G.members(correlation_pairs(v), v.signals)
 
 
 @query("k1_star_clusters", with_views(f"{STARS} SELECT * FROM stars", S))
@@ -48,7 +55,7 @@ def _(v: Views):
 
 @query("k2_extended_clusters", recursive(f"{CLUSTERS} SELECT * FROM clusters"))
 def _(v: Views):
-    return G.clusters(*pairs_and_members(v))
+    return G.clusters(reports(v))
 
 
 @query(
@@ -62,8 +69,8 @@ def _(v: Views):
     ),
 )
 def _(v: Views):
-    pairs, rows = pairs_and_members(v)
-    return G.corroborated(rows, G.clusters(pairs, rows))
+    rows = reports(v)
+    return G.corroborated(rows, G.clusters(rows))
 
 
 @query(
@@ -91,4 +98,4 @@ RANK5 = f"({RANK4} + 1)"
     ),
 )
 def _(v: Views):
-    return G.threads(pairs_and_members(v)[1])
+    return G.threads(reports(v))
