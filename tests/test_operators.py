@@ -91,12 +91,81 @@ def test_breakers_match_a_loop_in_batch_and_stream(spark):
     assert sorted(batch) == sorted(expected) and sorted(stream) == sorted(expected) and expected
 
 
-def test_streamed_dedup_lets_the_first_of_a_key_through(spark):
-    """One file is one micro-batch: of each key one row passes, as no watermark has moved yet."""
-    got = plans.queries()["z1_stream_dedup"](spark, SMALL).collect()
-    rows = {r.event_id: r for r in events(spark).collect()}
-    assert len({(r.user_id, r.event_type) for r in got}) == len(got) == len({(r.user_id, r.event_type) for r in rows.values()})
-    assert all((rows[r.event_id].user_id, rows[r.event_id].event_type) == (r.user_id, r.event_type) for r in got)
+def test_streamed_dedup_equals_the_batch_twin(spark):
+    """Twelve micro-batches in the order of time: keys come back after their time to live, as in batch and in a loop."""
+    until, want = {}, set()
+    for r in by_time(events(spark).collect()):
+        key, at = (r.user_id, r.event_type), r.ts.replace(tzinfo=dt.timezone.utc).timestamp()
+        if key not in until or at >= until[key]:
+            want.add((r.event_id, *key))
+            until[key] = at + 86400
+    got = [(r.event_id, r.user_id, r.event_type) for r in plans.queries()["z1_stream_dedup"](spark, SMALL).collect()]
+    assert len(got) == len(want) > len(until) and set(got) == want
+    assert {r.event_id for r in plans.queries()["z1_url_dedup_ttl"](spark, SMALL).collect()} == {x[0] for x in want}
+
+
+def test_watchdog_matches_a_loop_over_checks(spark):
+    """Every four minutes all users are looked at; silence is told once, also where no row comes any more."""
+    rows = by_time(events(spark).filter("user_id < 20").collect())
+    times = {}
+    for r in rows:
+        times.setdefault(r.user_id, []).append(r.ts.replace(tzinfo=dt.timezone.utc).timestamp())
+    end = max(t for own in times.values() for t in own) - 600
+    want = set()
+    for user, own in times.items():
+        check, seen, silent = math.floor(own[0] / 240) * 240, 0, False
+        while check < end:
+            while seen < len(own) and own[seen] <= check:
+                seen, silent = seen + 1, False
+            if seen and not silent and check - own[seen - 1] >= 480:
+                silent = True
+                want.add((user, check))
+            check += 240
+    from tidewatch.streaming import streams as ST
+
+    stream = ST.run_available(ST.gone_quiet(ST.replayed(events(spark).filter("user_id < 20")), "user_id", 480, 240))
+    got = [(r.user_id, r.at) for r in stream.select("user_id", F.unix_timestamp("at").alias("at")).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+def grown(pairs, order, most=12):
+    """A plain loop of the rule: clusters as reports come in."""
+    near = {}
+    for a, b, score in pairs:
+        near.setdefault(a, []).append((-score, b))
+        near.setdefault(b, []).append((-score, a))
+    owner, clusters, place = {}, {}, {x: i for i, x in enumerate(order)}
+    for own in order:
+        met = [x for _, x in sorted(near.get(own, [])) if place[x] < place[own]][: most - 1]
+        if met:
+            home = next((owner[x] for x in met if x in owner), None)
+            if home is None:
+                clusters[own] = [own, *met]
+                owner.update(dict.fromkeys(clusters[own], own))
+            elif len(clusters[home]) < most:
+                clusters[home].append(own)
+                owner[own] = home
+    return {(c, x, n) for c, found in clusters.items() for n, x in enumerate(found, 1)}
+
+
+def test_clusters_grow_as_reports_come(spark):
+    from tidewatch.operators import clusters as G
+
+    rng = random.Random(5)
+    ids = list(range(1, 2001))
+    times = {i: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(40000)) for i in ids}
+    pairs = {}
+    for _ in range(6000):
+        a = rng.choice(ids)
+        b = min(2000, max(1, a + rng.choice([-1, 1]) * rng.randrange(1, 9)))
+        if a != b:
+            pairs[min(a, b), max(a, b)] = round(0.45 + rng.random() / 2, 2)
+    signals = spark.createDataFrame([(i, times[i], "c", 1, "high", 0.5) for i in ids], "id long, created_at timestamp_ntz, category string, source_id int, severity string, reliability double")
+    table = spark.createDataFrame([(a, b, s, "causal_chain") for (a, b), s in pairs.items()], "a long, b long, score double, kind string")
+    order = sorted(ids, key=lambda i: (times[i], i))
+    got = {(r.cluster, r.id, r.nth) for r in G.members(table, signals).collect()}
+    assert got == grown([(*k, s) for k, s in pairs.items()], order) and len({c for c, _, _ in got}) > 50
+    assert G.members(table.filter("false"), signals).count() == 0
 
 
 def test_topic_batches_stream(spark, tmp_path):

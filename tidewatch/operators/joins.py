@@ -165,21 +165,43 @@ def neighbours(edges: DataFrame, start: str, depth: int) -> DataFrame:
     return found.filter(F.col("node") != start).groupBy("node").agg(F.min("steps").alias("steps"))
 
 
+def _tag_sets(tags: Column, most: int) -> Column:
+    """All sets of up to so many of the tags, each as a sorted array; the empty one too."""
+    none = F.array().cast("array<string>")
+    tags = F.array_sort(F.array_distinct(F.coalesce(F.array_compact(tags), none)))
+    sets = [F.array(none), F.transform(tags, lambda t: F.array(t))]
+    for _ in range(most - 1):
+        sets.append(F.flatten(F.transform(sets[-1], lambda held: F.transform(F.filter(tags, lambda t: t > F.array_max(held)), lambda t: F.array_append(held, t)))))
+    return F.concat(*sets)
+
+
 def causal_chains(df: DataFrame, pairs: Sequence[tuple[str, str]], hours: int, least: float, limit: int) -> DataFrame:
     """Cause and effect of given category pairs in one country, the effect later; the best of each pair of categories and country.
 
-    Each cause looks for the category of its effect, which is a key of the join; the best pairs are found while they are made.
+    A score hangs on the shared tags, three at most, and on whether the effect came within 12 hours.  So
+    the best effect of a cause is, for each set of up to three of its tags, the next one that has the set too:
+    one sorted sweep a key (pair of categories, country, set of tags and stretch of time), linear in the rows.
+    Of effects of one moment the least id counts.  Tag sets grow with the cube of a report's tags.
     """
-    effects = {a: [y for x, y in pairs if x == a] for a, _ in pairs}
-    wanted = F.try_element_at(F.create_map(*[x for a, own in effects.items() for x in (F.lit(a), F.array(*map(F.lit, own)))]), F.col("category"))
-    base = df.select("id", "category", "country_code", "created_at", "tags")
-    causes = base.withColumn("wanted", F.explode(wanted)).select("id", F.col("category").alias("cause"), F.col("wanted").alias("category"), "country_code", "created_at", "tags")
-    met = range_join(causes, base.withColumn("cause", F.lit(None).cast("string")), ["country_code", "category"], "created_at", hours * 3600, after_only=True)
-    shared = F.size(F.array_intersect("tags_a", "tags_b"))
-    score = F.round(0.3 + 0.2 + F.least(0.1 * shared, F.lit(0.3)) + F.when(F.col("gap_s") < 12 * 3600, 0.1).otherwise(0.0), 4)
-    order = F.struct((-score).alias("low"), "gap_s", "id_a", "id_b")
-    best = met.groupBy(F.col("cause_a").alias("cause"), F.col("category_b").alias("effect"), F.col("country_code_a").alias("country_code")).agg(F.min(order).alias("best"))
-    out = best.select("cause", "effect", "country_code", F.col("best.id_a").alias("cause_id"), F.col("best.id_b").alias("effect_id"), "best.gap_s", (-F.col("best.low")).alias("confidence"))
+    seconds = hours * 3600
+    base = df.select("id", "category", "country_code", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), "tags").filter("country_code is not null and at is not null")
+    known = F.array(*[F.struct(F.lit(a).alias("cause"), F.lit(b).alias("effect")) for a, b in pairs])
+    slot = F.floor(F.col("at") / (seconds * 1_000_000))
+    sides = []
+    for side, slots in (("cause", F.array(slot)), ("effect", F.array(slot - 1, slot))):  # an effect serves causes of its own stretch and the one before
+        rows = base.withColumn("pair", F.explode(F.filter(known, lambda p: p[side] == F.col("category")))).withColumn("slot", F.explode(slots))
+        sides.append(rows.select("pair.*", "country_code", "slot", F.explode(_tag_sets(F.col("tags"), 3)).alias("shared"), "at", "id", F.lit(side == "effect").alias("later")))
+    key = ["cause", "effect", "country_code", "slot", "shared"]
+    effects = sides[1].groupBy(*key, "at", "later").agg(F.min("id").alias("id"))
+    swept = sides[0].unionByName(effects)
+    # the last effect that a sweep back in time met at least a second ago
+    after = Window.partitionBy(*key).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1_000_000)
+    found = swept.withColumn("next", F.last(F.when(F.col("later"), F.struct("at", "id")), ignorenulls=True).over(after)).filter("not later and next is not null")
+    gap = F.floor((F.col("next.at") - F.col("at")) / 1_000_000)
+    met = found.withColumn("gap_s", gap).filter((F.col("gap_s") > 0) & (F.col("gap_s") <= seconds))
+    score = F.round(0.3 + 0.2 + 0.1 * F.size("shared") + F.when(F.col("gap_s") < 12 * 3600, 0.1).otherwise(0.0), 4)
+    best = met.groupBy("cause", "effect", "country_code").agg(F.min(F.struct((-score).alias("low"), "gap_s", F.col("id").alias("cause_id"), F.col("next.id").alias("effect_id"))).alias("best"))
+    out = best.select("cause", "effect", "country_code", "best.cause_id", "best.effect_id", "best.gap_s", (-F.col("best.low")).alias("confidence"))
     return out.filter(F.col("confidence") >= least).orderBy(F.desc("confidence"), "gap_s", "cause_id", "effect_id").limit(limit)
 
 

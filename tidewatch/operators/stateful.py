@@ -65,6 +65,15 @@ def ttl_first(df: DataFrame, keys: list[str], ts: str, row: str, seconds: int) -
     return kept.withColumnRenamed("row", row)
 
 
+def quiet_spells(df: DataFrame, key: str, ts: str, seconds: int, every: int, until_micros: int | None = None) -> DataFrame:
+    """(key, at) of each regular check that first finds a key's last row so many seconds old, as far as checks are before ``until_micros``."""
+    step = every * 1_000_000
+    rows = df.select(key, _micros(ts).alias("now")).withColumn("next", F.lead("now").over(Window.partitionBy(key).orderBy("now")))
+    at = F.ceil((F.col("now") + seconds * 1_000_000) / step) * step
+    end = F.coalesce(F.col("next"), F.lit(until_micros).cast("long"))
+    return rows.withColumn("at", at).filter(end.isNull() | (F.col("at") < end)).select(key, F.timestamp_micros("at").cast("timestamp_ntz").alias("at"))
+
+
 def rate_limited(df: DataFrame, keys: list[str], ts: str, row: str, most: int, seconds: int) -> DataFrame:
     """Rows admitted while fewer than ``most`` were in the trailing window; only admitted rows count, so a key's rows are walked in order."""
 

@@ -17,10 +17,13 @@ from .scoring import TIER
 NOW = f"TIMESTAMP '{AS_OF}'"
 
 
-@query("z1_url_dedup_ttl", """WITH RECURSIVE o AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events),
+TTL = """WITH RECURSIVE o AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events),
     g AS (SELECT user_id, event_type, r, event_id, ts AS kept, true AS first FROM o WHERE r = 1
         UNION ALL SELECT o.user_id, o.event_type, o.r, o.event_id, CASE WHEN date_sub('second', g.kept, o.ts) >= 86400 THEN o.ts ELSE g.kept END, date_sub('second', g.kept, o.ts) >= 86400 FROM g JOIN o ON o.user_id = g.user_id AND o.event_type = g.event_type AND o.r = g.r + 1)
-    SELECT event_id FROM g WHERE first""")
+    SELECT {columns} FROM g WHERE first"""
+
+
+@query("z1_url_dedup_ttl", TTL.format(columns="event_id"))
 def _(v: Views):
     return Z.ttl_first(v.table("events"), ["user_id", "event_type"], "ts", "event_id", 86400)
 
@@ -116,10 +119,29 @@ def _(v: Views):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
-@query("z1_stream_dedup")
+@query("z1_stream_dedup", TTL.format(columns="event_id, user_id, event_type"))
+def _(v: Views):
+    """A real stream of twelve micro-batches: the first event of a user and type within a day of event time, equal to the batch twin."""
+    return ST.run_available(ST.first_within(ST.replayed(v.table("events")), ["user_id", "event_type"], "event_id", 86400))
+
+
+QUIET = """WITH l AS (SELECT user_id, epoch_us(ts) AS now, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM events), c AS (SELECT user_id, (now + 480000000 + 239999999) // 240000000 * 240000000 AS checked, next FROM l)
+    SELECT user_id, make_timestamp(checked) AS "at" FROM c WHERE checked < coalesce(next, (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM events))"""
+
+
+@query("z11_quiet_spells", QUIET)
+def _(v: Views):
+    """Checks every four minutes that first find a user's last event eight minutes old."""
+    events = v.table("events")
+    last = events.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
+    return Z.quiet_spells(events, "user_id", "ts", 480, 240, last // 1000 * 1000 - 600_000_000 if last is not None else None)
+
+
+@query("z11_stream_watchdog", QUIET)
 def _(v: Views):
-    """A real stream: the first event of a user and type within a day of event time."""
-    return ST.run_available(ST.deduplicated(ST.read_events(v.spark, v.folder), ["user_id", "event_type"], "24 hours")).select("event_id", "user_id", "event_type")
+    """A real stream with timers of event time, equal to the batch twin up to the last watermark."""
+    out = ST.run_available(ST.gone_quiet(ST.replayed(v.table("events")), "user_id", 480, 240))
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 @query("z10_stream_breaker")

@@ -30,9 +30,75 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def deduplicated(stream: DataFrame, keys: list[str], ttl: str) -> DataFrame:
-    """The first row of each key within a time to live, which is the watermark too."""
-    return stream.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
+def replayed(rows: DataFrame, ts: str = "ts", slices: int = 12) -> DataFrame:
+    """A table as a stream in the order of its times: so many slices of about equal size, each a file and a micro-batch.
+
+    Slices are cut by approximate quantiles and written one after the other, as files of a stream arrive.
+    """
+    spark = ensure_checkpoint_dir(rows.sparkSession)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/replay-{uuid.uuid4().hex}"
+    rows = rows.withColumn(ts, F.col(ts).cast("timestamp"))
+    timed = rows.withColumn("__at", F.unix_micros(ts))
+    edges = sorted(set(timed.approxQuantile("__at", [i / slices for i in range(1, slices)], 0.001)))
+    for low, high in zip([None, *edges], [*edges, None]):
+        part = timed if low is None else timed.filter(F.col("__at") >= int(low))
+        part = part if high is None else part.filter(F.col("__at") < int(high))
+        part.drop("__at").coalesce(1).write.mode("append").parquet(base)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
+
+
+def first_within(stream: DataFrame, keys: list[str], row: str, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """Rows that are the first of their key within a time to live counted from the last row let through.
+
+    The state of a key is the moment at which its time to live ends; it goes when the watermark passes that.
+    Rows of a micro-batch go by time; those older than the watermark are dropped.
+    """
+    ttl = seconds * 1_000_000
+
+    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until, kept = state.get[0] if state.exists else None, []
+        for at, name in pd.concat(list(batches)).sort_values(["at", row])[["at", row]].itertuples(index=False):
+            if until is None or at >= until:
+                kept.append((*group, name))
+                until = at + ttl
+        state.update((until,))
+        state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(kept, columns=[*keys, row])
+
+    types = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in [*keys, row])
+    timed = stream.withWatermark("ts", late).select(*keys, "ts", F.unix_micros("ts").alias("at"), row)
+    return timed.groupBy(*keys).applyInPandasWithState(update, types, "until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def gone_quiet(stream: DataFrame, key: str, seconds: int, every: int, late: str = "10 minutes") -> DataFrame:
+    """A watchdog: (key, at) of each check, one every so many seconds, that first finds a key's last row so many seconds old.
+
+    Timers of event time raise the alarm when no row comes; a key is silent from then on until its next row.
+    """
+    first_check = lambda last: -(-(last + seconds * 1_000_000) // (every * 1_000_000)) * every * 1_000_000
+
+    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(group[0], first_check(last))], columns=[key, "at"])
+            return
+        quiet = []
+        for at in sorted(pd.concat(list(batches))["micros"].tolist()):
+            if last is not None and first_check(last) < at:
+                quiet.append((group[0], first_check(last)))
+            last = at if last is None else max(last, at)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(first_check(last) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(quiet, columns=[key, "at"])
+
+    kind = stream.schema[key].dataType.simpleString()
+    timed = stream.withWatermark("ts", late).select(key, "ts", F.unix_micros("ts").alias("micros"))
+    found = timed.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumn("at", F.timestamp_micros("at"))
 
 
 def sliding_counts(stream: DataFrame, key: str, size: str, step: str, late: str) -> DataFrame:
