@@ -209,7 +209,7 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     ids = [F.xxhash64("doc_id", "text").alias("key"), F.hash(F.lit(7), "text", "doc_id").alias("also_key")]
     text = F.col("text").cast("string").alias("text")
     keyed = docs.select(as_row([c for c in docs.columns if c != "text"]).alias("rest"), text, *ids)
-    keyed = keyed.mapInArrow(_pack, StructType([keyed.schema["rest"], *StructType.fromDDL("packed binary, key long, also_key int").fields]))
+    keyed = keyed.mapInArrow(_pack, StructType([keyed.schema["rest"], *StructType.fromDDL("packed binary, key long not null, also_key int not null").fields]))
     plain = docs.select(text, *ids)
     # a run of texts sends an anchor twice at most, so these rows are dealt out as they are
     anchors = plain.select("text").mapInArrow(_count_anchors(width), "gram long").select(F.bitwise_not("gram").alias("flipped")).repartition("flipped")
@@ -229,7 +229,7 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     # windows name a row by its number, which holds from the checkpoint on and takes fewer bytes than its keys
     facts = facts.withColumn("id", F.monotonically_increasing_id()).checkpoint()
 
-    # the column rest goes along, so that Spark sees the same exchange of texts here and below
+    # the column rest goes along and keys can't be null, so that Spark sees the same exchange of texts here and below
     known = keyed.join(facts.filter("places is not null and copies < 3"), ["key", "also_key"]).select("rest", "packed", "id", "places", "copies")
     found = known.mapInArrow(_candidate_windows(width), "window long, also int, id long, start int")
     twice = _repeated(found, "window", F.when(F.col("start") < 0, 2).otherwise(1), "also")
