@@ -40,8 +40,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 def importance(edges: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
     """Weighted degree and a tenth of the mentions, as a share of the greatest."""
     scored = degrees(edges).join(nodes.select(F.col("entity_id").alias("node"), "mentions"), "node").withColumn("raw", F.col("weighted") + 0.1 * F.col("mentions"))
-    top = F.max("raw").over(Window.partitionBy())
-    return scored.select("node", "degree", F.round(F.col("raw") / top, 6).alias("importance")).orderBy(F.desc("importance"), "node").limit(limit)
+    top = F.broadcast(scored.agg(F.max("raw").alias("top")))  # one row
+    return scored.crossJoin(top).select("node", "degree", F.round(F.col("raw") / F.col("top"), 6).alias("importance")).orderBy(F.desc("importance"), "node").limit(limit)
 
 
 def spikes(mentions: DataFrame, as_of: Column, days: int, baseline_days: int) -> DataFrame:
