@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-for _name in ("core", "scoring", "indices", "joins", "graph", "texts", "streams", "exports", "merges", "clusters", "documents"):
+for _name in ("core", "scoring", "indices", "joins", "graph", "texts", "streams", "exports", "merges", "clusters", "threads", "documents"):
     import_module(f"{__name__}.{_name}")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import threads as TH
 from ..operators.stateful import BREAKER, breaker_step
 from ..session import ensure_checkpoint_dir
 
@@ -101,6 +102,29 @@ def gone_quiet(stream: DataFrame, key: str, seconds: int, every: int, late: str
     return found.withColumn("at", F.timestamp_micros("at"))
 
 
+def threads_of(stream: DataFrame, scope: tuple[str, ...] = ("country_code",), late: str = "10 minutes") -> DataFrame:
+    """Each report's thread as it comes: keyed state holds a scope's active threads, and goes when none can be joined any more.
+
+    Equal to ``operators.threads.assigned`` where micro-batches come in the order of time; rows older than the watermark are dropped.
+    """
+    keys = [f"scope_{c}" for c in scope]
+
+    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        walk = TH.Walk(state.get[0] if state.exists else None)
+        rows = pd.concat(list(batches)).sort_values(["at", "id"])[TH.FACTS]
+        placed = [(row[1], *walk.place(*row)) for row in rows.itertuples(index=False)]
+        state.update((walk.state(),))
+        state.setTimeoutTimestamp(max(walk.last() // 1000 + TH.QUIET_HOURS * 3_600_000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(placed, columns=["id", "thread", "relevance"])
+
+    kind = stream.schema["id"].dataType.simpleString()
+    timed = TH.reports(stream.withWatermark("created_at", late), list(scope), "created_at")
+    return timed.groupBy(*keys).applyInPandasWithState(update, f"id {kind}, thread {kind}, relevance double", "threads string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def sliding_counts(stream: DataFrame, key: str, size: str, step: str, late: str) -> DataFrame:
     return stream.withWatermark("ts", late).groupBy(F.window("ts", size, step), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
