@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..operators import basic as B
 from ..operators import joins as J
 from ..operators import pages as P
+from ..operators import search as SE
 from ..operators import texts as T
 from .core import S
 from .registry import query
@@ -362,6 +363,33 @@ def _(v: Views):
     return T.ranked_search(v.docs, ["that", "thin", "onthe"], 20)
 
 
+#: Searches of documents: each a list of words, the first ones first.
+SEARCHES = [["that", "thin", "onthe"], ["license", "software"], ["contact", "adress", "mail"], ["people", "goverment", "with"]]
+_asked = ", ".join(f"({q}, {n}, '{w}', {2 if len(w) >= 8 else 1 if len(w) >= 4 else 0})" for q, ws in enumerate(SEARCHES) for n, w in enumerate(ws))
+_tokens = lambda n, c: f"SELECT id, {n} AS attribute, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS position FROM (SELECT id, list_filter(regexp_split_to_array(lower({c}), '\\W+'), lambda x: length(x) > 0) AS w FROM docs)"
+_each = lambda what: " + ".join(f"CASE WHEN words > {n} THEN {what.format(n=n)} ELSE 0 END" for n in range(3))
+_least = lambda column: ", ".join(f"min({column}) FILTER (nth = {n}) AS {column}{n}" for n in range(3))
+
+
+@query(
+    "s60_rule_ranking",
+    f"""asked(search, nth, asked, most) AS (VALUES {_asked}), post AS ({_tokens(0, "title")} UNION ALL {_tokens(1, "body")} UNION ALL {_tokens(2, "source")}),
+    means AS (SELECT DISTINCT search, nth, word, levenshtein(word, asked) AS edits FROM (SELECT DISTINCT word FROM post) JOIN asked ON levenshtein(word, asked) <= most),
+    hits AS (SELECT search, id, attribute, position, nth, edits FROM post JOIN means USING (word)),
+    near AS (SELECT a.search, a.id, a.nth, min(CASE WHEN b.position >= a.position THEN greatest(b.position - a.position, 1) ELSE a.position - b.position + 1 END) AS near FROM hits a JOIN hits b ON a.search = b.search AND a.id = b.id AND a.attribute = b.attribute AND b.nth = a.nth + 1 AND b.position BETWEEN a.position - 8 AND a.position + 8 GROUP BY ALL),
+    per AS (SELECT search, id, {_least("edits")}, {_least("attribute")} FROM hits GROUP BY ALL),
+    lead AS (SELECT *, CASE WHEN edits0 IS NULL THEN 0 WHEN edits1 IS NULL THEN 1 WHEN edits2 IS NULL THEN 2 ELSE 3 END AS words FROM per WHERE edits0 IS NOT NULL),
+    scored AS (SELECT l.search, l.id, words, {_each("edits{n}")} AS typos, CASE WHEN words > 1 THEN least(coalesce(x.near, 8), 8) ELSE 0 END + CASE WHEN words > 2 THEN least(coalesce(y.near, 8), 8) ELSE 0 END AS proximity, {_each("attribute{n}")} AS attribute, {_each("(edits{n} = 0)::INT")} AS exact
+        FROM lead l LEFT JOIN near x ON x.search = l.search AND x.id = l.id AND x.nth = 0 LEFT JOIN near y ON y.search = l.search AND y.id = l.id AND y.nth = 1)
+    SELECT search, id, row_number() OVER (PARTITION BY search ORDER BY words DESC, typos, proximity, attribute, exact DESC, (id * 37) % 70 DESC, id) AS place, words, typos, proximity, attribute, exact FROM scored QUALIFY place <= 25""",
+    D,
+)
+def _(v: Views):
+    """The best 25 documents of each search, by rules one after the other."""
+    docs = v.docs.withColumn("reliability", (F.col("id") * 37) % 70)
+    return SE.ranked(SE.postings(docs, ["title", "body", "source"]), docs, SEARCHES, 25)
+
+
 @query("s48_hashed_embedding")
 def _(v: Views):
     return T.hashed_embedding(v.docs, 64)
