@@ -71,6 +71,20 @@ CLAIM_RULES = [
     ("predictive", r"(?i)(?:^|[.!?]\s+)([^.!?]*?\b(?:will|expected to|likely to|forecast|projected|predicted|anticipated|estimated to)\b[^.!?]*[.!?])"),
     ("factual", r"(?i)(?:^|[.!?]\s+)([^.!?]*?\b(?:is the (?:first|largest|smallest|most|least|only|highest|lowest)|has been|was found|are considered|officially)\b[^.!?]*[.!?])"),
 ]
+#: Confidence in a claim, in hundredths: its base, what patterns of its text add, what its kind adds, and what lengths below and above bounds add.
+CLAIM_BASE = 50
+CLAIM_POINTS = [
+    (r"[0-9]", 15), (r"according to|data shows|study found|research indicates", 20), (r"percent|%|million|billion|thousand", 15), (r"official|confirmed|report|published", 10),
+    (r"i think|maybe|possibly|might|could be|seems like|not sure", -20), (r"in my opinion|personally|i feel|i believe", -25),
+]
+CLAIM_KINDS, CLAIM_SHORT, CLAIM_LONG = {"statistical": 10, "attribution": 5, "predictive": -5}, (30, -10), (100, 5)
+#: Words of a snippet that contradict a claim.
+CONTRADICTIONS = [
+    "denied", "refuted", "contradicted", "false", "incorrect", "debunked", "disputed", "rejected", "untrue", "misleading", "misinformation", "retracted", "not true", "no evidence", "unsubstantiated", "fabricated",
+    "disproven",
+]
+#: What spoken text loses, in this order.
+FILLERS = [r"\b(?:um|uh|erm|hmm|like|you know|i mean|sort of|kind of|basically|literally|right|okay|so yeah)\b", r"\b(?:and uh|but um|so uh|well uh)\b"]
 CLAIM_LEAST, CLAIM_MOST, CLAIMS, CLAIM_CONTEXT = 20, 500, 50, 100
 #: Titles that bait clicks, and domains that are known for mass-produced texts.
 CLICKBAIT = [
@@ -136,6 +150,8 @@ TITLES = [
     "sheikh", "general", "admiral", "colonel", "commander", "captain", "dr", "prof", "professor", "ambassador", "senator", "governor", "mayor", "chancellor", "speaker", "chairman", "chairwoman",
     "chairperson", "ceo", "cto", "cfo", "former", "acting", "interim", "chief",
 ]
+#: Short titles that go before all others, with or without a full stop.
+HONORIFIC = r"^(mr|mrs|ms|dr|prof)\.?\s+"
 #: Merges of names: similarities of the kinds of match, and those from which they are merged.
 MERGE_SIMILARITY = {"title_strip": 0.95, "person": 0.88, "organisation": 0.82}
 MERGE_FROM = {"title_strip": 0.90, "containment": 0.85, "trigram": 0.80}

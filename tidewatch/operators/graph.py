@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.tables import MERGE_FROM, MERGE_SIMILARITY, TITLES
+from ..functions.tables import HONORIFIC, MERGE_FROM, MERGE_SIMILARITY, TITLES
 from .joins import both_ways, set_similarity_join, suffixed
 
 
@@ -80,6 +80,12 @@ def bare_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), TITLED, ""), TITLED, "")
 
 
+def plain_name(name: Column) -> Column:
+    """A name without a short title and up to two others before it, otherwise as it is written."""
+    short = F.regexp_replace(F.trim(name), f"(?i){HONORIFIC}", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(short, f"(?i){TITLED}", ""), f"(?i){TITLED}", ""))
+
+
 def contained_names(names: DataFrame) -> DataFrame:
     """(id, type, name) -> a, b with a < b: names of one type of which one holds the other, or persons with one last name and unlike numbers of words.
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as W
@@ -21,10 +22,12 @@ def names(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("id", F.explode(F.array_distinct(runs)).alias("name"))
 
 
-def without_fillers(text: Column, fillers: list[str]) -> Column:
-    """Spoken text without filler words, also those before a comma."""
-    kept = F.filter(F.split(text, " "), lambda w: ~F.lower(F.rtrim(w, F.lit(","))).isin(fillers))
-    return F.trim(F.regexp_replace(F.array_join(kept, " "), r"\s+", " "))
+def clean_spoken(text: Column) -> Column:
+    """Spoken text without filler words, with one blank between words, none before a mark and one after the end of a sentence."""
+    for pattern in W.FILLERS:
+        text = F.regexp_replace(text, ascii_words(f"(?i){pattern}"), " ")
+    text = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s{2,}", " ")), r"\s([.,!?;:])", "$1")
+    return F.regexp_replace(text, r"([.!?])\s*([a-z])", "$1 $2")
 
 
 def claims(docs: DataFrame) -> DataFrame:
@@ -44,10 +47,70 @@ def claims(docs: DataFrame) -> DataFrame:
     return c.select("id", "place", "kind", "claim", context.alias("context"))
 
 
-def claim_confidence(text: Column) -> Column:
-    points = lambda hit, worth: F.when(hit, worth).otherwise(0.0)
-    total = 0.5 + points(text.rlike("[0-9]"), 0.15) + points(F.length(text) > 80, 0.1) - points(F.lower(text).rlike(r"\b(maybe|perhaps|might)\b"), 0.2) - points(F.contains(text, F.lit("?")), 0.25)
-    return F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.05), total)), 4)
+class ExtractClaims:
+    """A table function: the claims of a text as ``claims`` finds them, in order; none of a null text."""
+
+    def __init__(self):
+        self.rules = [(kind, re.compile(pattern, re.ASCII)) for kind, pattern in W.CLAIM_RULES]
+
+    def eval(self, text: str):
+        seen, blank = set(), " \t\n\x0b\f\r"
+        for kind, pattern in self.rules:
+            for found in pattern.finditer(text or ""):
+                claim = found.group(1).strip(blank)
+                same = re.sub(r"\s+", " ", claim.lower(), flags=re.ASCII)
+                if not W.CLAIM_LEAST <= len(claim) <= W.CLAIM_MOST or same in seen or len(seen) == W.CLAIMS:
+                    continue
+                seen.add(same)
+                begin = text.index(claim)
+                yield len(seen), kind, claim, text[max(0, begin - W.CLAIM_CONTEXT) : begin + len(claim) + W.CLAIM_CONTEXT]
+
+
+def register_claims(spark: SparkSession, name: str = "extract_claims") -> str:
+    """Makes the table function known to SQL: ``FROM docs, LATERAL extract_claims(docs.body)``."""
+    spark.udtf.register(name, F.udtf(ExtractClaims, returnType="place int, kind string, claim string, context string", useArrow=True))
+    return name
+
+
+def claim_confidence(text: Column, kind: Column) -> Column:
+    """How likely a text is a claim that can be checked, 0 to 1: numbers, sources and firm words add, hedges and opinions take away."""
+    when = lambda hit, worth: F.when(hit, worth).otherwise(0)
+    total = F.lit(W.CLAIM_BASE)
+    for pattern, worth in W.CLAIM_POINTS:
+        total = total + when(F.lower(text).rlike(pattern), worth)
+    for label, worth in W.CLAIM_KINDS.items():
+        total = total + when(kind == label, worth)
+    (short, less), (long, more) = W.CLAIM_SHORT, W.CLAIM_LONG
+    total = total + when(F.length(text) < short, less) + when(F.length(text) > long, more)
+    return F.least(F.lit(100), F.greatest(F.lit(0), total)) / 100
+
+
+def verified(snippets: DataFrame, key: str) -> DataFrame:
+    """(key, snippet, trust) -> how far what others say agrees with a claim: a row a claim with its counts, score and status.
+
+    A snippet disagrees if it says a word of contradiction; a null one agrees, and a null trust is 0.5.
+    """
+    contra = F.lit(False)
+    for word in W.CONTRADICTIONS:
+        contra = contra | F.contains(F.lower("snippet"), F.lit(word))
+    said = snippets.select(key, (~F.coalesce(contra, F.lit(False))).alias("agrees"), F.coalesce("trust", F.lit(0.5)).alias("trust"))
+    g = said.groupBy(key).agg(F.count_if("agrees").alias("agree"), F.count_if(~F.col("agrees")).alias("disagree"), F.sum(F.when(F.col("agrees"), F.col("trust")).otherwise(-0.5 * F.col("trust"))).alias("total"))
+    n = F.col("agree") + F.col("disagree")
+    g = g.withColumn("score", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.3 + F.col("total") / n * 0.7)), 6)).drop("total")
+    status = F.when((F.col("agree") >= 3) & (F.col("score") >= 0.7), "verified").when(F.col("disagree") >= 2, "disputed").when((n >= 2) & (F.col("score") >= 0.5), "mixed")
+    return g.withColumn("status", status.when(F.col("disagree") >= 1, "disputed").otherwise("unverified"))
+
+
+def domain_verdict(domain: Column, reliability: Column) -> list[Column]:
+    """What is said of a domain: verdict, confidence that it is a farm, and warnings."""
+    farm, low, medium = domain.isin(W.CONTENT_FARMS), reliability < 0.4, reliability < 0.65
+    verdict = F.when(farm, "unreliable").when(reliability.isNull(), "unknown").when(low, "unreliable").when(medium, "caution").otherwise("trusted")
+    shown = F.format_string("%.2f", reliability)
+    told = [
+        F.when(farm, F.concat(domain, F.lit(" is on the list of known content farms"))), F.when(farm, F.lit("Its texts are likely machine-made and unreliable")),
+        F.when(low, F.concat(F.lit("Low reliability ("), shown, F.lit("): a poor source"))).when(medium, F.concat(F.lit("Moderate reliability ("), shown, F.lit("): check claims elsewhere"))),
+    ]
+    return [verdict.alias("verdict"), F.when(farm, "confirmed").when(low, "suspected").otherwise("clean").alias("farm"), F.array_compact(F.array(*told)).alias("warnings")]
 
 
 def scenes(segments: DataFrame, gap: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..bind import AS_OF, Views
@@ -9,6 +11,7 @@ from ..functions import ranks as R
 from ..functions import text as X
 from ..operators import basic as B
 from ..operators import stateful as Z
+from ..session import ensure_checkpoint_dir
 from ..streaming import streams as ST
 from .core import RANK4, S
 from .registry import query
@@ -144,6 +147,17 @@ def _(v: Views):
     return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
+@query("z20_maintained_counts", "SELECT user_id, sum(CASE event_type WHEN 'error' THEN -1 WHEN 'view' THEN 0 ELSE 1 END)::BIGINT AS n FROM events GROUP BY 1")
+def _(v: Views):
+    """A real stream of twelve micro-batches that keeps each user's followers: errors take one away, views none, other events add one."""
+    ensure_checkpoint_dir(v.spark)
+    base = f"{v.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/counts-{uuid.uuid4().hex}"
+    change = F.when(F.col("event_type") == "error", -1).when(F.col("event_type") == "view", 0).otherwise(1)
+    stream = ST.replayed(v.table("events")).select("user_id", change.alias("change"))
+    ST.count_each_batch(stream, ["user_id"], "change", base, f"{base}-log").awaitTermination()
+    return ST.maintained_counts(v.spark, base, ["user_id"])
+
+
 @query("z10_stream_breaker")
 def _(v: Views):
     """A real stream with keyed state: circuit breakers' changes."""

@@ -11,6 +11,7 @@ from ..functions import ranks as R
 from ..functions import tables as W
 from ..functions import text as X
 from ..operators import basic as B
+from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import pages as P
 from ..operators import search as SE
@@ -164,44 +165,82 @@ def _(v: Views):
     return T.names(v.docs, "[A-Z][a-z]{3,}").groupBy("name").agg(F.count("*").alias("docs")).filter("docs >= 5")
 
 
-@query("s29_strip_titles", r"SELECT c_custkey AS id, trim(regexp_replace(regexp_replace(lower(c_name), '^(customer|president|dr|general)\b', ''), '[#.]', '', 'g')) AS bare FROM customer")
+#: Customers stand for persons and get titles.
+_TITLES = ["", "Dr. ", "Former Prime Minister ", "mrs ", "Deputy Minister ", "Prof. General ", "CEO  ", "Drive ", "acting chief "]
+_titled = G.TITLED.replace("'", "''")
+
+
+@query("s29_strip_titles", f"SELECT c_custkey AS id, trim(regexp_replace(regexp_replace(regexp_replace(trim(name), '(?i){W.HONORIFIC}', ''), '(?i){_titled}', ''), '(?i){_titled}', '')) AS bare FROM (SELECT c_custkey, {texts(_TITLES)}[1 + c_custkey % {len(_TITLES)}] || c_name AS name FROM customer)")
 def _(v: Views):
-    bare = F.regexp_replace(F.regexp_replace(F.lower("c_name"), r"^(customer|president|dr|general)\b", ""), "[#.]", "")
-    return v.table("customer").select(F.col("c_custkey").alias("id"), F.trim(bare).alias("bare"))
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), (1 + F.col("c_custkey") % len(_TITLES)).cast("int"))
+    return v.table("customer").select(F.col("c_custkey").alias("id"), G.plain_name(F.concat(title, "c_name")).alias("bare"))
 
 
 _families = " UNION ALL ".join(f"SELECT id, {i} AS family, '{kind}' AS kind, body, unnest(regexp_extract_all(body, '{p}', 1)) AS claim, generate_subscripts(regexp_extract_all(body, '{p}', 1), 1) AS place FROM docs" for i, (kind, p) in enumerate(W.CLAIM_RULES))
 
 
+CLAIMS = rf"""f AS ({_families}), t AS (SELECT id, family, kind, body, place, regexp_replace(claim, '^\s+|\s+$', '', 'g') AS claim FROM f),
+    u AS (SELECT * FROM t WHERE length(claim) BETWEEN 20 AND 500 QUALIFY row_number() OVER (PARTITION BY id, regexp_replace(lower(claim), '\s+', ' ', 'g') ORDER BY family, place) = 1)
+    SELECT id, row_number() OVER (PARTITION BY id ORDER BY family, place) AS place, kind, claim, substr(body, greatest(strpos(body, claim) - 100, 1), least(strpos(body, claim) - 1, 100) + length(claim) + 100) AS context FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY family, place) <= 50"""
+
+
 @query(
     "s31_claims",
-    rf"""f AS ({_families}), t AS (SELECT id, family, kind, body, place, regexp_replace(claim, '^\s+|\s+$', '', 'g') AS claim FROM f),
-    u AS (SELECT * FROM t WHERE length(claim) BETWEEN 20 AND 500 QUALIFY row_number() OVER (PARTITION BY id, regexp_replace(lower(claim), '\s+', ' ', 'g') ORDER BY family, place) = 1)
-    SELECT id, row_number() OVER (PARTITION BY id ORDER BY family, place) AS place, kind, claim, substr(body, greatest(strpos(body, claim) - 100, 1), least(strpos(body, claim) - 1, 100) + length(claim) + 100) AS context FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY family, place) <= 50""",
+    CLAIMS,
     D,
 )
 def _(v: Views):
     return T.claims(v.docs)
 
 
-@query("s32_claim_confidence", r"SELECT conv_id, turn, round(least(0.95, greatest(0.05, 0.5 + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.15 ELSE 0 END + CASE WHEN length(text) > 80 THEN 0.1 ELSE 0 END - CASE WHEN regexp_matches(lower(text), '\b(maybe|perhaps|might)\b') THEN 0.2 ELSE 0 END - CASE WHEN contains(text, '?') THEN 0.25 ELSE 0 END)), 4)::DOUBLE AS confidence FROM segments", "segments")
+@query("s31_claims_in_sql", CLAIMS, D)
 def _(v: Views):
-    return v.segments.select("conv_id", "turn", T.claim_confidence(F.col("text")).alias("confidence"))
+    """The same by a table function, called from SQL."""
+    name = T.register_claims(v.spark)
+    return v.spark.sql(f"SELECT d.id, c.* FROM {{docs}} d, LATERAL {name}(d.body) c", docs=v.docs)
+
+
+#: Conversations are invented words; every turn says one of these besides.
+_SAID = [
+    "According to data shows 3.5 percent.", "I think maybe", "In my opinion it was false.", "The official report, like, um, confirmed 500 cases .", "nothing", "Officials denied it and so uh there is no evidence", "You know , it rose.it fell",
+    "I MEAN, sort of right", "a million people might personally", "likely liking umbrella",
+]
+_said = f"said AS (SELECT *, concat_ws(' ', CASE WHEN turn % 3 > 0 THEN substr(text, 1, turn * 30) END, {texts(_SAID)}[1 + (conv_id * 7 + turn) % {len(_SAID)}]) AS said, {texts([k for k, _ in W.CLAIM_RULES])}[1 + (conv_id + turn) % 5] AS kind, (30 + (conv_id * 37 + turn * 11) % 70) / 100 AS trust FROM segments)"
+_points = " + ".join(f"CASE WHEN regexp_matches(lower(said), '{p}') THEN {n} ELSE 0 END" for p, n in W.CLAIM_POINTS) + "".join(f" + CASE WHEN kind = '{k}' THEN {n} ELSE 0 END" for k, n in W.CLAIM_KINDS.items())
+
 
+def spoken(v: Views):
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (1 + n % len(words)).cast("int"))
+    own = F.when(F.col("turn") % 3 > 0, F.expr("substr(text, 1, int(turn * 30))"))
+    said = F.concat_ws(" ", own, pick(_SAID, F.col("conv_id") * 7 + F.col("turn")))
+    return v.segments.select("conv_id", "turn", said.alias("said"), pick([k for k, _ in W.CLAIM_RULES], F.col("conv_id") + F.col("turn")).alias("kind"), ((30 + (F.col("conv_id") * 37 + F.col("turn") * 11) % 70) / F.lit(100.0)).alias("trust"))
 
-@query("s33_agreement", "g AS (SELECT conv_id, count(*) FILTER (speaker = 'assistant') AS support, count(*) FILTER (length(text) % 5 = 0) AS contra FROM segments GROUP BY 1) SELECT conv_id, support, contra, CASE WHEN support >= 3 AND support / (support + contra)::DOUBLE >= 0.7 THEN 'verified' WHEN contra > support THEN 'disputed' ELSE 'unverified' END AS status FROM g", "segments")
+
+@query("s32_claim_confidence", f"{_said} SELECT conv_id, turn, least(100, greatest(0, {W.CLAIM_BASE} + {_points} + CASE WHEN length(said) < {W.CLAIM_SHORT[0]} THEN {W.CLAIM_SHORT[1]} ELSE 0 END + CASE WHEN length(said) > {W.CLAIM_LONG[0]} THEN {W.CLAIM_LONG[1]} ELSE 0 END)) / 100.0::DOUBLE AS confidence FROM said", "segments")
+def _(v: Views):
+    return spoken(v).select("conv_id", "turn", T.claim_confidence(F.col("said"), F.col("kind")).alias("confidence"))
+
+
+@query(
+    "s33_agreement",
+    f"""{_said}, a AS (SELECT conv_id, trust::DOUBLE AS trust, len(list_filter({texts(W.CONTRADICTIONS)}, lambda w: contains(lower(said), w))) = 0 AS agrees FROM said),
+    g AS (SELECT conv_id, count(*) FILTER (agrees) AS agree, count(*) FILTER (NOT agrees) AS disagree, round(least(1.0, greatest(0.0, 0.3 + sum(CASE WHEN agrees THEN trust ELSE -0.5 * trust END) / count(*) * 0.7)), 6)::DOUBLE AS score FROM a GROUP BY 1)
+    SELECT *, CASE WHEN agree >= 3 AND score >= 0.7 THEN 'verified' WHEN disagree >= 2 THEN 'disputed' WHEN agree + disagree >= 2 AND score >= 0.5 THEN 'mixed' WHEN disagree >= 1 THEN 'disputed' ELSE 'unverified' END AS status FROM g""",
+    "segments",
+)
 def _(v: Views):
-    g = v.segments.groupBy("conv_id").agg(F.count_if(F.col("speaker") == "assistant").alias("support"), F.count_if(F.length("text") % 5 == 0).alias("contra"))
-    share = F.col("support") / F.nullif(F.col("support") + F.col("contra"), F.lit(0))
-    return g.withColumn("status", F.when((F.col("support") >= 3) & (share >= 0.7), "verified").when(F.col("contra") > F.col("support"), "disputed").otherwise("unverified"))
+    """Turns stand for what other sources say about a conversation's claim."""
+    return T.verified(spoken(v).withColumnRenamed("said", "snippet"), "conv_id")
 
 
-FILLERS = ["um", "uh", "er", "of"]
+_unfilled = "said"
+for _pattern in W.FILLERS:
+    _unfilled = f"regexp_replace({_unfilled}, '(?i){_pattern}', ' ', 'g')"
 
 
-@query("s34_clean_spoken", "SELECT conv_id, turn, trim(regexp_replace(array_to_string(list_filter(string_split(text, ' '), lambda w: lower(rtrim(w, ',')) NOT IN ('um', 'uh', 'er', 'of')), ' '), '\\s+', ' ', 'g')) AS clean FROM segments", "segments")
+@query("s34_clean_spoken", rf"{_said} SELECT conv_id, turn, regexp_replace(regexp_replace(trim(regexp_replace({_unfilled}, '\s{{2,}}', ' ', 'g')), '\s([.,!?;:])', '\1', 'g'), '([.!?])\s*([a-z])', '\1 \2', 'g') AS clean FROM said", "segments")
 def _(v: Views):
-    return v.segments.select("conv_id", "turn", T.without_fillers(F.col("text"), FILLERS).alias("clean"))
+    return spoken(v).select("conv_id", "turn", T.clean_spoken(F.col("said")).alias("clean"))
 
 
 _topics = ", ".join("(" + " + ".join(f"contains(lower(said), '{w}')::INT" for w in ws) + f') AS "{t}"' for t, ws in W.TOPICS.items())
@@ -245,10 +284,21 @@ def _(v: Views):
     return p.select("page_id", K.slop(F.col("host"), F.lit(False), F.col("title"), F.col("body"), F.col("n") > 10, F.col("url").rlike(r"^https?://[^/]+/?$")).alias("slop"))
 
 
-@query("s37_domain_verdict", rf"WITH d AS (SELECT {HOST} AS host, count(*) AS n, count(DISTINCT regexp_extract(url, '/(en|fr|de|es)/', 1)) AS langs FROM pages GROUP BY 1) SELECT host, n, CASE WHEN n >= 5 AND langs >= 2 THEN 'suspicious' WHEN n >= 3 THEN 'watch' ELSE 'clean' END AS verdict FROM d")
+@query(
+    "s37_domain_verdict",
+    rf"""WITH h AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN {texts(W.CONTENT_FARMS)}[1 + page_id % {len(W.CONTENT_FARMS)}] ELSE {HOST} END AS host FROM pages),
+    d AS (SELECT host, CASE WHEN min(page_id) % 5 > 0 THEN ((20 + min(page_id) * 37 % 80) / 100)::DOUBLE END AS reliability, list_contains({texts(W.CONTENT_FARMS)}, host) AS farm FROM h GROUP BY host)
+    SELECT host, reliability, CASE WHEN farm THEN 'unreliable' WHEN reliability IS NULL THEN 'unknown' WHEN reliability < 0.4 THEN 'unreliable' WHEN reliability < 0.65 THEN 'caution' ELSE 'trusted' END AS verdict,
+        CASE WHEN farm THEN 'confirmed' WHEN reliability < 0.4 THEN 'suspected' ELSE 'clean' END AS farm,
+        list_filter([CASE WHEN farm THEN host || ' is on the list of known content farms' END, CASE WHEN farm THEN 'Its texts are likely machine-made and unreliable' END,
+            CASE WHEN reliability < 0.4 THEN 'Low reliability (' || printf('%.2f', reliability) || '): a poor source' WHEN reliability < 0.65 THEN 'Moderate reliability (' || printf('%.2f', reliability) || '): check claims elsewhere' END], lambda w: w IS NOT NULL) AS warnings FROM d""",
+)
 def _(v: Views):
-    d = v.table("pages").groupBy(X.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.countDistinct(F.regexp_extract("url", "/(en|fr|de|es)/", 1)).alias("langs"))
-    return d.select("host", "n", F.when((F.col("n") >= 5) & (F.col("langs") >= 2), "suspicious").when(F.col("n") >= 3, "watch").otherwise("clean").alias("verdict"))
+    """Hosts, some of them known farms; the first page of a host says how reliable it is, if anything does."""
+    farm = F.element_at(F.array(*map(F.lit, W.CONTENT_FARMS)), (1 + F.col("page_id") % len(W.CONTENT_FARMS)).cast("int"))
+    first = F.min("page_id")
+    d = v.table("pages").groupBy(F.when(F.col("page_id") % 7 == 0, farm).otherwise(X.host(F.col("url"))).alias("host")).agg(F.when(first % 5 > 0, (20 + first * 37 % 80) / F.lit(100.0)).alias("reliability"))
+    return d.select("host", "reliability", *T.domain_verdict(F.col("host"), F.col("reliability")))
 
 
 #: Hosts of the pages are invented; each page's outlet is one of these or its own host.

@@ -187,3 +187,30 @@ def topic_groups(articles: DataFrame) -> DataFrame:
 def upsert_each_batch(stream: DataFrame, path: str, log: str, merge):
     """A query that hands every micro-batch to ``merge(batch, path)``, which must be idempotent."""
     return stream.writeStream.foreachBatch(lambda batch, _: merge(batch, path)).option("checkpointLocation", log).trigger(availableNow=True).start()
+
+
+def count_each_batch(stream: DataFrame, keys: list[str], change: str, path: str, log: str, merge_every: int = 8):
+    """A query that keeps counts as changes come: each micro-batch adds its own sums, and every so many are merged with all before.
+
+    A batch's sums and a merge are named by the batch's number, so a batch that comes again replaces what it wrote.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*keys).agg(F.sum(change).alias("n")).write.mode("overwrite").parquet(f"{path}/sums/batch={number}")
+        if number % merge_every == merge_every - 1:
+            maintained_counts(batch.sparkSession, path, keys, number).write.mode("overwrite").parquet(f"{path}/merged/batch={number}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", log).trigger(availableNow=True).start()
+
+
+def maintained_counts(spark: SparkSession, path: str, keys: list[str], until: int | None = None) -> DataFrame:
+    """The counts kept under a path (after a batch, before its merge): the last merge and the sums since; keys whose changes cancel out have 0."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/merged")
+    sums = spark.read.parquet(f"{path}/sums")
+    sums = sums if until is None else sums.filter(F.col("batch") <= until)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        merged = spark.read.parquet(f"{path}/merged")
+        last = (merged if until is None else merged.filter(F.col("batch") < until)).agg(F.max("batch")).first()[0]
+        if last is not None:
+            sums = sums.filter(F.col("batch") > last).unionByName(merged.filter(F.col("batch") == last))
+    return sums.groupBy(*keys).agg(F.sum("n").alias("n"))
