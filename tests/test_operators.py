@@ -367,6 +367,23 @@ def test_components_of_a_chain_a_star_and_a_loop(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_signals_are_paired_in_cells(spark):
+    from itertools import combinations
+
+    from tidewatch.operators import graph as G
+
+    rows = [(1, f"e{i}") for i in range(300)] * 2 + [(s, f"e{(s * 7 + i) % 300}") for s in range(2, 30) for i in range(s % 6)] + [(None, "e1"), (None, "e2"), (5, None), (31, "e4")]
+    mentions = spark.createDataFrame(rows, "signal_id long, entity_id string")
+    said = {}
+    for s, e in rows:
+        if s is not None and e is not None:
+            said.setdefault(s, set()).add(e)
+    expected = Counter(pair for names in said.values() for pair in combinations(sorted(names), 2))
+    for part in (20, 1000):
+        got = {(r.a, r.b): (r.n, r.weight) for r in G.cooccurrence(mentions, 1, F.least(F.lit(1.0), F.col("n") / 10), part).collect()}
+        assert got == {pair: (n, min(1.0, n / 10)) for pair, n in expected.items()}
+
+
 def test_parameters_are_clamped():
     from tidewatch.functions import params as P
 

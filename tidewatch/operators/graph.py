@@ -25,11 +25,24 @@ def edge_upsert(edges: DataFrame, first: float, step: float) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("weight", F.round(F.least(F.lit(1.0), first + step * (F.col("n") - 1)), 6))
 
 
-def cooccurrence(mentions: DataFrame, least: int, weight: Column) -> DataFrame:
+def cooccurring(mentions: DataFrame, part: int = 2048) -> DataFrame:
+    """(signal_id, a, b) with a < b: every pair of entities of a signal, once.
+
+    The entities of a signal with many of them are dealt out to parts of about that size, and each pair of parts
+    is a cell of its own: a task gets cells, never a whole hot signal.  Null signals and entities pair with nothing.
+    """
+    d = mentions.select("signal_id", "entity_id").dropna().distinct()
+    parts = d.groupBy("signal_id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).filter("parts > 1")
+    dealt = d.join(parts, "signal_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("nth", F.pmod(F.xxhash64("entity_id"), F.col("parts")).cast("int"))
+    rows = dealt.select("signal_id", F.col("entity_id").alias("x"), F.col("nth").alias("i"), F.explode(F.sequence("nth", F.col("parts") - 1)).alias("j"))
+    columns = dealt.select("signal_id", F.col("entity_id").alias("y"), F.explode(F.sequence(F.lit(0), "nth")).alias("i"), F.col("nth").alias("j"))
+    met = rows.join(columns, ["signal_id", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return met.select("signal_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def cooccurrence(mentions: DataFrame, least: int, weight: Column, part: int = 2048) -> DataFrame:
     """Pairs of entities that share signals; ``weight`` is an expression of ``n``, the signals shared."""
-    d = mentions.select("signal_id", "entity_id").distinct()
-    pairs = suffixed(d, "_a").join(suffixed(d, "_b"), (F.col("signal_id_a") == F.col("signal_id_b")) & (F.col("entity_id_a") < F.col("entity_id_b")))
-    counted = pairs.groupBy(F.col("entity_id_a").alias("a"), F.col("entity_id_b").alias("b")).agg(F.count("*").alias("n"))
+    counted = cooccurring(mentions, part).groupBy("a", "b").agg(F.count("*").alias("n"))
     return counted.filter(F.col("n") >= least).withColumn("weight", F.round(weight, 6))
 
 
