@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..bind import AS_OF, Views
 from ..functions import ranks as R
 from ..operators import basic as B
 from ..operators import pages as P
+from ..session import ensure_checkpoint_dir
 from ..sources import readers as In
 from ..sources import sinks as Out
 from .core import RANK4, S
@@ -97,6 +100,18 @@ def _(v: Views):
     return v.table("events").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "event_type").agg(F.count("*").alias("n"))
 
 
+@query("y5_written_log", "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n, sum(CASE WHEN value < 10 THEN 1 ELSE 0 END)::BIGINT AS empty FROM events WHERE ts < TIMESTAMP '2024-02-01' GROUP BY 1, 2")
+def _(v: Views):
+    """Two appends to a log of searches that is partitioned by month, read back by its months."""
+    ensure_checkpoint_dir(v.spark)
+    path = f"{v.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/log-{uuid.uuid4().hex}"
+    asked = v.table("events").select("ts", "event_type", (F.col("value") < 10).alias("empty"))
+    for later in (False, True):
+        Out.write_log(asked.filter((F.dayofmonth("ts") > 15) == later), path)
+    log = v.spark.read.schema(f"ts {asked.schema['ts'].dataType.simpleString()}, event_type string, empty boolean, month string").parquet(path)
+    return log.filter("month < '2024-02'").groupBy("month", "event_type").agg(F.count("*").alias("n"), F.sum(F.when(F.col("empty"), 1).otherwise(0)).alias("empty"))
+
+
 @query("y7_stix", "SELECT id, CAST(least(100, greatest(0, CASE severity WHEN 'critical' THEN 95 WHEN 'high' THEN 80 WHEN 'medium' THEN 60 WHEN 'low' THEN 30 ELSE 15 END + floor((reliability - 0.5) * 20 + 0.5))) AS BIGINT) AS confidence FROM signals", S)
 def _(v: Views):
     return v.signals.select("id", Out.stix_confidence(F.col("severity"), F.col("reliability")).alias("confidence"))

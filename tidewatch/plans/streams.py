@@ -12,6 +12,8 @@ from ..functions import text as X
 from ..operators import basic as B
 from ..operators import stateful as Z
 from ..session import ensure_checkpoint_dir
+from ..sources import readers as In
+from ..sources.polled import polled
 from ..streaming import streams as ST
 from .core import RANK4, S
 from .registry import query
@@ -158,6 +160,51 @@ def _(v: Views):
     return ST.maintained_counts(v.spark, base, ["user_id"])
 
 
+def _polls(v: Views, columns: list[str], polls: int = 5, overlap: int = 6 * 3600):
+    """The events as they come in, polled so many times by runs that each go on where the one before stopped: yields a run's stream and its checkpoint.
+
+    Every third event of the last hours before a poll comes after it, late by less than the overlap.
+    """
+    ensure_checkpoint_dir(v.spark)
+    base = f"{v.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/polls-{uuid.uuid4().hex}"
+    events = v.table("events").select(*columns).withColumn("ts", F.col("ts").cast("timestamp")).filter("ts is not null")
+    at = F.unix_micros("ts")
+    timed = events.withColumn("at", at)
+    last = timed.agg(F.max("at")).first()[0]
+    if last is None:
+        return
+    moments = [*(int(m) for m in sorted(set(timed.approxQuantile("at", [i / polls for i in range(1, polls)], 0.001)))), last]
+    poll = F.lit(len(moments) - 1)
+    for i in reversed(range(len(moments) - 1)):
+        late = (F.pmod("event_id", F.lit(3)) == 0) & (at > moments[i] - overlap * 1_000_000)
+        poll = F.when(at <= moments[i], F.when(late, i + 1).otherwise(i)).otherwise(poll)
+    events.withColumn("poll", poll).write.partitionBy("poll").parquet(f"{base}/all")
+    for i, moment in enumerate(moments):
+        v.spark.read.schema(events.schema).parquet(f"{base}/all/poll={i}").write.mode("append").parquet(f"{base}/feed")
+        yield polled(v.spark, f"{base}/feed", events.schema, "ts", overlap, moment), base
+
+
+@query("z18_polled_sync", "SELECT event_id, user_id, value, ts FROM events WHERE ts IS NOT NULL")
+def _(v: Views):
+    """Five polls of what has come, each a run of its own from the offsets of the last; late rows are found by the overlap, and none is there twice."""
+    base = None
+    for stream, base in _polls(v, ["event_id", "user_id", "value", "ts"]):
+        ST.sync_each_batch(stream, ["event_id"], "ts", f"{base}/table", f"{base}/log").awaitTermination()
+    out = ST.synced(v.spark, f"{base}/table", ["event_id"]) if base else v.table("events").select("event_id", "user_id", "value", "ts").limit(0)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("x8_polled_distress", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 16 AS status FROM events WHERE ts IS NOT NULL AND CAST(json_extract_string(props, '$.k') AS INTEGER) % 16 IN (7, 14)")
+def _(v: Views):
+    """Frames of a polled stream: those that tell of distress are brought into a table with keys."""
+    base = None
+    for stream, base in _polls(v, ["event_id", "props", "ts"], 3):
+        frames = stream.select("event_id", "ts", (F.get_json_object("props", "$.k").cast("int") % 16).alias("status"))
+        ST.sync_each_batch(In.distress(frames), ["event_id"], "ts", f"{base}/table", f"{base}/log").awaitTermination()
+    out = ST.synced(v.spark, f"{base}/table", ["event_id"]) if base else v.table("events").select("event_id", F.lit(0).alias("status")).limit(0)
+    return out.select("event_id", "status")
+
+
 @query("z10_stream_breaker")
 def _(v: Views):
     """A real stream with keyed state: circuit breakers' changes."""

@@ -214,3 +214,37 @@ def maintained_counts(spark: SparkSession, path: str, keys: list[str], until: in
         if last is not None:
             sums = sums.filter(F.col("batch") > last).unionByName(merged.filter(F.col("batch") == last))
     return sums.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def sync_each_batch(stream: DataFrame, keys: list[str], order: str, path: str, log: str, merge_every: int = 8):
+    """A query that brings every micro-batch's rows into a table with keys: of a key, the row of the last micro-batch stays.
+
+    Of a key's rows in one micro-batch that with the greatest ``order`` stays. A batch and a merge are named by the
+    batch's number, so a batch that comes again replaces what it wrote, and rows that come twice are there once.
+    """
+
+    def bring(batch: DataFrame, number: int) -> None:
+        rest = [c for c in batch.columns if c not in keys]
+        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, F.to_json(F.struct(*rest)))).alias("row"))
+        newest.write.mode("overwrite").parquet(f"{path}/new/batch={number}")
+        if number % merge_every == merge_every - 1:
+            _synced(batch.sparkSession, path, keys, number).write.mode("overwrite").parquet(f"{path}/merged/batch={number}")
+
+    return stream.writeStream.foreachBatch(bring).option("checkpointLocation", log).trigger(availableNow=True).start()
+
+
+def _synced(spark: SparkSession, path: str, keys: list[str], until: int | None = None) -> DataFrame:
+    new = spark.read.parquet(f"{path}/new")
+    new = new if until is None else new.filter(F.col("batch") <= until)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/merged")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        merged = spark.read.parquet(f"{path}/merged")
+        last = (merged if until is None else merged.filter(F.col("batch") < until)).agg(F.max("batch")).first()[0]
+        if last is not None:
+            new = new.filter(F.col("batch") > last).unionByName(merged.filter(F.col("batch") == last))
+    return new.groupBy(*keys).agg(F.max_by("row", "batch").alias("row"))
+
+
+def synced(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The table that ``sync_each_batch`` keeps under a path: the last merge and the batches since."""
+    return _synced(spark, path, keys).select(*keys, "row.*")
