@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter, deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,18 +50,19 @@ def breaker_changes(df: DataFrame, key: str, ts: str, failed: str, row: str, fai
     return changes.withColumn("at", F.timestamp_micros("at").cast("timestamp_ntz"))
 
 
-def ttl_first(df: DataFrame, keys: list[str], ts: str, row: str, seconds: int) -> DataFrame:
-    """Rows that are the first of their key within a time to live counted from the last row let through."""
+def ttl_first(df: DataFrame, keys: list[str], ts: str, row: str, seconds: int | Column) -> DataFrame:
+    """Rows that are the first of their key within a time to live (one for all, or that of the row let through) counted from the last row let through."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out, until = [], None
-        for at, name in rows.sort_values(["at", "row"])[["at", "row"]].itertuples(index=False):
+        for at, name, ttl in rows.sort_values(["at", "row"])[["at", "row", "ttl"]].itertuples(index=False):
             if until is None or at >= until:
                 out.append(name)
-                until = at + seconds * 1_000_000
+                until = at + ttl * 1_000_000
         return pd.DataFrame({"row": out})
 
-    kept = df.select(*keys, _micros(ts).alias("at"), F.col(row).alias("row")).groupBy(*keys).applyInPandas(run, f"row {df.schema[row].dataType.simpleString()}")
+    ttl = seconds if isinstance(seconds, Column) else F.lit(seconds)
+    kept = df.select(*keys, _micros(ts).alias("at"), F.col(row).alias("row"), ttl.cast("long").alias("ttl")).groupBy(*keys).applyInPandas(run, f"row {df.schema[row].dataType.simpleString()}")
     return kept.withColumnRenamed("row", row)
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..bind import Views
+from ..functions import feedrules as FR
 from ..functions import text as X
 from ..operators import graph as G
+from ..operators import stateful as Z
 from ..sources import adapters as A
 from ..sources import readers as In
 from ..sources import sinks as Out
@@ -185,3 +187,54 @@ def _(v: Views):
     rows = v.signals.select("id", "lat", "lng").join(v.table("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("feed"), "ts", F.col("value").alias("measure")), "id")
     found = A.reports(rows, FEEDS)
     return A.fresh(found, found.filter("span % 3 = 0"))
+
+
+#: What the rows of the feeds say, in turn: most is met by some rule, some by none.
+PHRASES = [
+    "calm day", "battle near the town", "riot downtown", "violence against civilians", "airliner fire", "cargo flight", "Microsoft", "arms embargo", "terrorism", "asset list of Tunisia",
+    "reactor shutdown", "INES level 3 event", "orphan source", "kidnapping", "Tornado Warning", "Flood Warning", "ransomware", "phishing", "hypersonic body", "dual-use optics", "earthquake", "drought",
+    "GEOMAGNETIC STORM G4", "RADIO BLACKOUT R3", "SOLAR RADIATION STORM", "tsunami advisory", "information statement", "refugee crisis", "novel virus", "dengue cluster", None,
+]
+STATUSES = sorted({x for f in FR.FEEDS.values() for r in f.rules for x in r.status}) + ["other", None]
+CODES = ["armed clash", "mass killing", "RED", "Yellow", "Immediate", "Future", "new designation", "G21J 1/00", "H04K 3/00", "H04L9/32", "other", None]
+_texts = lambda xs: "[" + ", ".join("NULL" if x is None else "'" + x + "'" for x in xs) + "]::VARCHAR[]"
+
+
+def _rule_sql(rule: FR.Rule) -> str:
+    wanted = [
+        rule.text is not None and f"regexp_matches(text, '{rule.text}')", bool(rule.status) and "status IN (" + ", ".join(f"'{x}'" for x in rule.status) + ")",
+        rule.code is not None and f"regexp_matches(code, '{rule.code}')", rule.least is not None and f"measure >= {float(rule.least)}::DOUBLE",
+        rule.above is not None and f"measure > {float(rule.above)}::DOUBLE", rule.places is not None and f"places >= {rule.places}", rule.days is not None and f"days <= {rule.days}",
+    ]
+    return " AND ".join(w for w in wanted if w)
+
+
+def _feed_sql(feed: FR.FeedRules) -> str:
+    gates = [f"WHEN NOT coalesce({x}, false) THEN NULL" for x in ([f"measure >= {float(feed.least)}::DOUBLE"] if feed.least is not None else []) + ([f"regexp_matches(text, '{feed.about}')"] if feed.about else [])]
+    return "CASE " + " ".join(gates + [f"WHEN {_rule_sql(r)} THEN '{r.level}'" for r in feed.rules]) + (f" ELSE '{feed.otherwise}'" if feed.otherwise else "") + " END"
+
+
+_each = lambda value: "CASE feed " + " ".join(f"WHEN '{n}' THEN {value(f)}" for n, f in FR.FEEDS.items()) + " END"
+
+
+@query(
+    "x15_feed_rules",
+    f"""WITH RECURSIVE r AS (SELECT event_id AS id, ts, user_id % 50 AS key, ({_texts(FR.FEEDS)})[event_id % {len(FR.FEEDS)} + 1] AS feed, event_type || ' ' || ({_texts(PHRASES)})[event_id // 3 % {len(PHRASES)} + 1] AS text,
+        ({_texts(STATUSES)})[event_id // 5 % {len(STATUSES)} + 1] AS status, ({_texts(CODES)})[event_id // 7 % {len(CODES)} + 1] AS code, value * ([0.01, 0.1, 1, 10, 1000, 1000000, 100000000]::DOUBLE[])[event_id // 2 % 7 + 1] AS measure, user_id % 10 AS places, user_id % 45 AS days FROM events),
+    s AS (SELECT *, {_each(_feed_sql)} AS severity, CASE WHEN feed = 'aircraft_squawks' AND status = '7700' THEN 'disaster' ELSE {_each(lambda f: f"'{f.category}'")} END AS category, {_each(lambda f: int(f.hours * 3600))} AS ttl FROM r),
+    o AS (SELECT *, row_number() OVER (PARTITION BY feed, key ORDER BY ts, id) AS n FROM s WHERE severity IS NOT NULL),
+    g AS (SELECT feed, key, n, id, severity, category, ts AS kept, ttl, true AS first FROM o WHERE n = 1 UNION ALL
+        SELECT o.feed, o.key, o.n, o.id, o.severity, o.category, CASE WHEN date_sub('second', g.kept, o.ts) >= g.ttl THEN o.ts ELSE g.kept END, o.ttl, date_sub('second', g.kept, o.ts) >= g.ttl FROM g JOIN o ON o.feed = g.feed AND o.key = g.key AND o.n = g.n + 1)
+    SELECT feed, id, category, severity FROM g WHERE first""",
+)
+def _(v: Views):
+    """All feeds by the table of their rules: what they report, how severe it is, and no key again within a feed's time."""
+    pick = lambda values, step: F.element_at(F.array(*[F.lit(x).cast("string") for x in values]), (F.floor(F.col("event_id") / step) % len(values) + 1).cast("int"))
+    scale = F.element_at(F.array(*map(F.lit, [0.01, 0.1, 1.0, 10.0, 1e3, 1e6, 1e8])), (F.floor(F.col("event_id") / 2) % 7 + 1).cast("int"))
+    rows = v.table("events").select(
+        F.col("event_id").alias("id"), "ts", (F.col("user_id") % 50).alias("key"), pick(FR.FEEDS, 1).alias("feed"), F.concat("event_type", F.lit(" "), pick(PHRASES, 3)).alias("text"),
+        pick(STATUSES, 5).alias("status"), pick(CODES, 7).alias("code"), (F.col("value") * scale).alias("measure"), (F.col("user_id") % 10).alias("places"), (F.col("user_id") % 45).alias("days"),
+    )
+    rated = FR.reported(rows)
+    first = Z.ttl_first(rated, ["feed", "key"], "ts", "id", FR.quiet_seconds())
+    return rated.join(first, "id").select("feed", "id", "category", "severity")
