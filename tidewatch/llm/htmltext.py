@@ -11,7 +11,8 @@ Words of a class, id or role mark parts as adverts, notices, comments and so on,
 is weighed: a part that holds the article itself (an article, a main or the page's title) is
 only a wrapper; words that are said to be absent or are mere tags (``no-sidebar``,
 ``ad-free``, ``tag-alert``) mark nothing; a part with a doubtful word (``related``,
-``header``) stays if it has prose or a heading and few links.  If nothing is left by the
+``header``), or with a word that names a topic here (``share-price-analysis``,
+``notice-board-history``), stays if it has prose or a heading and few links.  If nothing is left by the
 marks, they are not heeded.
 
 Time is linear in the page, also for unclosed tags, quotes and comments: what is once
@@ -56,6 +57,13 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal cookie cookies consent gdpr notice notices disclaimer sidebar nav navbar navigation menu "
     "breadcrumb breadcrumbs pagination pager toolbar footer masthead comment comments respond disqus replies share sharing social newsletter subscribe signup login skip complementary contentinfo".split()
 )
+#: Those that topics are named by too: they mark a part if the last words of the label name a piece of a page (``share-buttons``), and may mark one else (``share-price-analysis``).
+ORDINARY = frozenset("banner notice notices disclaimer comment comments share sharing social navigation menu promotion consent skip respond".split())
+PIECES = frozenset(
+    "area author avatar bar block body bottom box btn button buttons card cards closed column container content count counter date dialog entry feed float form group heading icon icons inner input item items "
+    "label layout left line link links list lists main media message messages meta module network networks open outer panel policy post posts region right row section slot strip tab text thread title toggle tools top "
+    "view wall wrap wrapper zone".split()
+)
 #: Words that may mark one.
 DOUBTFUL = frozenset("header alert overlay aside follow related recommended recommendations widget widgets reply search tags taglist".split())
 #: Of an article element, only these are heeded.
@@ -87,10 +95,13 @@ def _marks(name: str, rest: str) -> int:
             parts = [w.lower() for w in _PARTS.findall(label)]
             if len(parts) > 1 and (parts[0] in ABSENT or parts[-1] in ABSENT_AFTER):
                 continue
+            while len(parts) > 1 and parts[-1] in PIECES:
+                parts.pop()
+            topic = parts and parts[-1] not in MARKS and parts[-1] not in DOUBTFUL and (MARKS if name != "article" else OF_ARTICLES).isdisjoint(w for w in parts if w not in ORDINARY)
             if name == "article":
-                worst = max(worst, 2 * (not OF_ARTICLES.isdisjoint(parts)))
+                worst = max(worst, 2 * (not topic and not OF_ARTICLES.isdisjoint(parts)))
             elif not MARKS.isdisjoint(parts):
-                worst = 2
+                worst = max(worst, 1 if topic else 2)
             elif not DOUBTFUL.isdisjoint(parts) and name not in HEADINGS:
                 worst = max(worst, 1)
     return worst
