@@ -215,6 +215,20 @@ def _(v: Views):
     return J.semantic_duplicates(timed(v), 6, 0.92)
 
 
+@query(
+    "j14_repeated_events",
+    f"""{TIMED}, e AS (SELECT vec_id, created_at, v FROM t UNION ALL SELECT -vec_id - 1, created_at + INTERVAL 1 HOUR, list_transform(v, lambda c, i: c * (1 + CASE WHEN vec_id % 8 = 0 THEN 0.1 ELSE 0.5 END::DOUBLE * (i % 3))) FROM t WHERE vec_id % 4 = 0),
+    p AS (SELECT x.vec_id, y.vec_id AS twin, round({COS}, 6) AS similarity FROM e x JOIN e y ON x.vec_id <> y.vec_id AND abs(date_diff('second', x.created_at, y.created_at)) <= 21600) SELECT vec_id, arg_max(twin, (similarity, -twin)) AS twin, max(similarity) AS similarity FROM p WHERE similarity > 0.92 GROUP BY vec_id""",
+    "vectors",
+)
+def _(v: Views):
+    """Every fourth vector comes again an hour later, a little or more changed, so that the limit of one event is met."""
+    times = timed(v).select("vec_id", "created_at", "v")
+    noise = F.col("noise")
+    again = times.filter("vec_id % 4 = 0").withColumn("noise", F.when(F.col("vec_id") % 8 == 0, 0.1).otherwise(0.5)).select((-F.col("vec_id") - 1).alias("vec_id"), (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("created_at"), F.transform("v", lambda c, i: c * (1 + noise * ((i + 1) % 3))).alias("v"))
+    return J.semantic_duplicates(times.unionByName(again), 6, 0.92)
+
+
 @query("j23_communities", f"WITH rp AS (SELECT o_custkey AS cid, count(*) AS recent FROM orders WHERE o_orderdate >= TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 24 HOURS * 30 GROUP BY 1) SELECT c_custkey, c_name, coalesce(recent, 0) AS recent_posts FROM customer LEFT JOIN rp ON c_custkey = cid WHERE c_mktsegment <> 'FURNITURE' ORDER BY recent_posts DESC, c_acctbal DESC, c_custkey LIMIT 50")
 def _(v: Views):
     """Communities by their posts of late, those without any last."""
