@@ -390,3 +390,16 @@ def test_parameters_are_clamped():
     assert [P.whole(x, 50, 1, 200) for x in ("7", 0, "9999", "x", None, " 12 ")] == [7, 1, 200, 50, 50, 12]
     assert P.one_of("HIGH", ["high", "low"], "low") == "high" and P.one_of(None, ["a"], "a") == "a"
     assert P.box("-10,0,10,5") == (-10.0, 0.0, 10.0, 5.0) and P.box("10,0,-10,5") is None and P.box("a,b") is None and P.box(None) is None
+
+
+def test_amounts_are_rounded_as_sql_prints_them(spark, tmp_path):
+    """Numbers half-way between two, in decimal digits: 0.25 stands for itself, 1.15 is a little less."""
+    import duckdb
+
+    prices = [25000.0, 35000.0, 115000.0, 75000.0, 5000.0, 15000.0, 245000.0, 425000.0, 100000.0, 123456.78]
+    spark.createDataFrame([(i, p) for i, p in enumerate(prices)], "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.execute(plans.oracle_sql()["s45_amounts"]).fetchall()
+    got = plans.queries()["s45_amounts"](spark, str(tmp_path)).select("o_orderkey", "origin", "amount").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and (0, "Exports", 2e8) in want

@@ -388,7 +388,7 @@ def _(v: Views):
 @query("s45_amounts", "WITH t AS (SELECT o_orderkey, 'Exports → Port: $' || printf('%.1f', o_totalprice / 100000) || CASE o_orderkey % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'M' ELSE 'K' END AS title FROM orders), r AS (SELECT o_orderkey, regexp_extract(title, '\\$([0-9.]+)([BMK])', 1)::DOUBLE AS n, regexp_extract(title, '\\$([0-9.]+)([BMK])', 2) AS u, trim(split_part(title, '→', 1)) AS origin FROM t) SELECT o_orderkey, origin, round(n * CASE u WHEN 'B' THEN 1e9 WHEN 'M' THEN 1e6 ELSE 1e3 END, 2) AS amount FROM r")
 def _(v: Views):
     unit = F.element_at(F.array(F.lit("B"), F.lit("M"), F.lit("K")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    titles = v.table("orders").select("o_orderkey", F.concat(F.lit("Exports → Port: $"), F.format_string("%.1f", F.col("o_totalprice") / 100000), unit).alias("title"))
+    titles = v.table("orders").select("o_orderkey", F.concat(F.lit("Exports → Port: $"), X.fixed(F.col("o_totalprice") / 100000, 1), unit).alias("title"))
     return T.trade_amounts(titles).select("o_orderkey", "origin", "amount")
 
 
