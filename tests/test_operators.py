@@ -403,3 +403,19 @@ def test_amounts_are_rounded_as_sql_prints_them(spark, tmp_path):
     want = con.execute(plans.oracle_sql()["s45_amounts"]).fetchall()
     got = plans.queries()["s45_amounts"](spark, str(tmp_path)).select("o_orderkey", "origin", "amount").collect()
     assert sorted(tuple(r) for r in got) == sorted(want) and (0, "Exports", 2e8) in want
+
+
+
+def test_similar_classes_keep_every_link(spark):
+    """Copies are tied to their class only; all links follow from classes and pairs of classes."""
+    names = ["red bolt", "red bolts", "red bolt", "blue nut", "bolt red", "", None, "red bolt", "blue nut"]
+    rows = [(i, i % 2, n) for i, n in enumerate(names * 4)]
+    df = spark.createDataFrame(rows, "id long, size int, n string").select("id", "size", X.trigrams(F.col("n")).alias("t"))
+    held = [(r.id, r.size, set(r.t)) for r in df.collect() if r.t]
+    want = {(a, b) for a, s, x in held for b, t, y in held if a < b and s == t and len(x & y) / len(x | y) >= 0.6}
+    found = J.similar_classes(df, "id", "t", 0.6, ["size"]).collect()
+    of = {r.b: r.a for r in found if r.similarity == 1}
+    linked = {(r.a, r.b) for r in found if r.similarity < 1}
+    top = {i: of.get(i, i) for i, _, _ in held}
+    got = {(a, b) for a in top for b in top if a < b and (top[a] == top[b] or (min(top[a], top[b]), max(top[a], top[b])) in linked)}
+    assert got == want and len(found) < len(want)
