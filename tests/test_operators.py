@@ -419,3 +419,19 @@ def test_similar_classes_keep_every_link(spark):
     top = {i: of.get(i, i) for i, _, _ in held}
     got = {(a, b) for a in top for b in top if a < b and (top[a] == top[b] or (min(top[a], top[b]), max(top[a], top[b])) in linked)}
     assert got == want and len(found) < len(want)
+
+
+
+def test_ordered_pairs_match_a_loop(spark):
+    """Pairs are counted and summed without being made, parts of a second included; half of the rows are in one group."""
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.5 else rng.choice("xyz"), rng.choice("abc"), rng.randrange(0, 5_000_000)) for _ in range(300)]
+    rows += [("hot", "a", None), (None, "a", 5), ("hot", None, 7), ("whole", "a", 1_000_000), ("whole", "b", 2_000_000), ("whole", "b", 2_000_000)]
+    got = {(r.cause, r.effect): (r.n, int(r.seconds)) for r in J.ordered_pairs(spark.createDataFrame(rows, "g string, kind string, at long"), "g", "kind", "at").collect()}
+    want = {}
+    for g, k, s in rows:
+        for h, l, t in rows:
+            if None not in (g, k, s, h, l, t) and g == h and k != l and (t - s) // 1_000_000 > 0:
+                n, total = want.get((k, l), (0, 0))
+                want[k, l] = n + 1, total + (t - s) // 1_000_000
+    assert got == want and len(want) == 6
