@@ -435,3 +435,13 @@ def test_ordered_pairs_match_a_loop(spark):
                 n, total = want.get((k, l), (0, 0))
                 want[k, l] = n + 1, total + (t - s) // 1_000_000
     assert got == want and len(want) == 6
+
+
+
+def test_shared_members_match_a_loop(spark):
+    """Members in many groups are counted by bits, those in few by pairs."""
+    rng = random.Random(9)
+    rows = [(m, g) for m in range(150) for g in range(40) if rng.random() < (0.6 if m % 2 else 0.06)] + [(7, None), (None, 7), (5, 1), (5, 1)]
+    of = {g: {m for m, h in rows if h == g and m is not None} for g in range(40)}
+    want = {(a, b, len(of[a] & of[b])) for a in of for b in of if a < b and len(of[a] & of[b]) >= 2}
+    assert {tuple(r) for r in J.shared_members(spark.createDataFrame(rows, "m long, g long"), "m", "g", 2).collect()} == want
