@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter, deque
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,17 +56,26 @@ def breaker_changes(df: DataFrame, key: str, ts: str, failed: str, row: str, fai
 def ttl_first(df: DataFrame, keys: list[str], ts: str, row: str, seconds: int | Column) -> DataFrame:
     """Rows that are the first of their key within a time to live (one for all, or that of the row let through) counted from the last row let through."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, until = [], None
-        for at, name, ttl in rows.sort_values(["at", "row"])[["at", "row", "ttl"]].itertuples(index=False):
-            if until is None or at >= until:
-                out.append(name)
-                until = at + ttl * 1_000_000
-        return pd.DataFrame({"row": out})
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, until = None, None
+        for batch in batches:
+            kept = []
+            for i, (*key, at, ttl) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*range(n), n, n + 2)))):
+                if key != last:
+                    last, until = key, None
+                if until is None or at is not None and at >= until:
+                    kept.append(i)
+                    until = math.inf if at is None or ttl is None else at + ttl * 1_000_000
+            yield pa.RecordBatch.from_arrays([batch.column(n + 1).take(pa.array(kept, pa.int64()))], names=["row"])
 
     ttl = seconds if isinstance(seconds, Column) else F.lit(seconds)
-    kept = df.select(*keys, _micros(ts).alias("at"), F.col(row).alias("row"), ttl.cast("long").alias("ttl")).groupBy(*keys).applyInPandas(run, f"row {df.schema[row].dataType.simpleString()}")
-    return kept.withColumnRenamed("row", row)
+    names = [f"k{i}" for i in range(n)]  # keys as strings, so that equal ones are equal in Python, too
+    rows = df.select(*[F.col(k).cast("string").alias(c) for k, c in zip(keys, names)], _micros(ts).alias("at"), F.col(row).alias("row"), ttl.cast("long").alias("ttl"))
+    # a task walks its keys one after the other in a stream of sorted rows, and holds one key's moment
+    walked = rows.repartition(*names).sortWithinPartitions(*names, F.asc_nulls_last("at"), F.asc_nulls_last("row"))
+    return walked.mapInArrow(run, f"row {df.schema[row].dataType.simpleString()}").withColumnRenamed("row", row)
 
 
 def quiet_spells(df: DataFrame, key: str, ts: str, seconds: int, every: int, until_micros: int | None = None) -> DataFrame:
