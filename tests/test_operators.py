@@ -445,3 +445,15 @@ def test_shared_members_match_a_loop(spark):
     of = {g: {m for m, h in rows if h == g and m is not None} for g in range(40)}
     want = {(a, b, len(of[a] & of[b])) for a in of for b in of if a < b and len(of[a] & of[b]) >= 2}
     assert {tuple(r) for r in J.shared_members(spark.createDataFrame(rows, "m long, g long"), "m", "g", 2).collect()} == want
+
+
+
+def test_a_hot_signal_is_dealt_to_many_tasks(spark):
+    """The number of tasks follows the pairs, and the pairs of a hot signal are in many cells."""
+    from tidewatch.operators import graph as G
+
+    mentions = spark.createDataFrame([("s", f"e{i:03}") for i in range(600)] + [(f"t{i}", f"e{i % 600:03}") for i in range(600)], "signal_id string, entity_id string")
+    assert G.sized(mentions, 64) == (4, 1) and G.tasks_for(100_000_000, spark) == 200
+    pairs = G.cooccurring(mentions, 64)
+    assert pairs.count() == pairs.select("a", "b").distinct().count() == 600 * 599 // 2
+    assert pairs.groupBy("cell").count().agg(F.count("*"), F.max("count")).first()[0] > 20

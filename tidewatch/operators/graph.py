@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -25,24 +25,56 @@ def edge_upsert(edges: DataFrame, first: float, step: float) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("weight", F.round(F.least(F.lit(1.0), first + step * (F.col("n") - 1)), 6))
 
 
-def cooccurring(mentions: DataFrame, part: int = 2048) -> DataFrame:
-    """(signal_id, a, b) with a < b: every pair of entities of a signal, once.
+#: Pairs and mentions that a task of co-occurrence gets, about: the number of tasks follows the input.
+SHARE = 500_000
+
+
+def tasks_for(rows: int, spark: SparkSession, share: int = SHARE) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // share))
+
+
+def sized(mentions: DataFrame, part: int = 256) -> tuple[int, int]:
+    """Tasks for the pairs of all signals, and how many signals have more mentions than a part."""
+    known = mentions.filter("signal_id is not null and entity_id is not null").select("signal_id")
+    n = known.repartition(tasks_for(known.count(), known.sparkSession, 4 * SHARE), "signal_id").groupBy("signal_id").agg(F.count("*").cast("double").alias("n"))
+    pairs, hot = n.agg(F.sum(F.col("n") * (F.col("n") + 1) / 2), F.count_if(F.col("n") > part)).first()
+    return tasks_for(int(pairs or 0), mentions.sparkSession), hot
+
+
+def cooccurring(mentions: DataFrame, part: int = 256, size: tuple[int, int] | None = None) -> DataFrame:
+    """(signal_id, cell, a, b) with a < b: every pair of entities of a signal, once.
 
     The entities of a signal with many of them are dealt out to parts of about that size, and each pair of parts
-    is a cell of its own: a task gets cells, never a whole hot signal.  Null signals and entities pair with nothing.
+    is made in a row of its own: a task never gets a whole hot signal.  Null signals and entities pair with nothing.
+    All rows of a ``cell`` are in one task.
+    """
+    tasks, hot = size or sized(mentions, part)
+    d = mentions.select("signal_id", "entity_id").dropna()
+    place = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
+    if hot:
+        parts = d.groupBy("signal_id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).filter("parts > 1")
+        d = d.join(F.broadcast(parts) if hot <= 100_000 else parts, "signal_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("nth", F.pmod(F.xxhash64("entity_id"), F.col("parts")).cast("int"))
+        # a part alone, and with each other part as the first or the second one
+        at = lambda j: F.struct(F.least("nth", j).alias("i"), F.greatest("nth", j).alias("j"), F.when(j == F.col("nth"), 0).when(j > F.col("nth"), 1).otherwise(2).alias("side"))
+        place = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), at)
+    placed = d.select("signal_id", "entity_id", F.explode(place).alias("p")).select("signal_id", "p.i", "p.j", "p.side", "entity_id")
+    cell = F.pmod(F.xxhash64("signal_id", "i", "j"), F.lit(64 * tasks)).cast("int")
+    held = lambda side: F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col("entity_id"))))
+    lists = placed.withColumn("cell", cell).repartition(tasks, "cell").groupBy("cell", "signal_id", "i", "j").agg(held(0).alias("own"), held(1).alias("x"), held(2).alias("y"))
+    pair = lambda p, q: F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+    within = F.transform("own", lambda p, n: F.transform(F.slice("own", n + 2, F.size("own")), lambda q: pair(p, q)))
+    across = F.transform("x", lambda p: F.transform("y", lambda q: pair(p, q)))
+    return lists.select("signal_id", "cell", F.explode(F.flatten(F.concat(within, across))).alias("p")).select("signal_id", "cell", "p.a", "p.b")
+
+
+def cooccurrence(mentions: DataFrame, least: int, weight: Column, part: int = 256, size: tuple[int, int] | None = None) -> DataFrame:
+    """Pairs of entities that share signals; ``weight`` is an expression of ``n``, the signals shared.
+
+    Pairs are counted in their cells first, then in as many tasks as the pairs ask for.
     """
-    d = mentions.select("signal_id", "entity_id").dropna().distinct()
-    parts = d.groupBy("signal_id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).filter("parts > 1")
-    dealt = d.join(parts, "signal_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("nth", F.pmod(F.xxhash64("entity_id"), F.col("parts")).cast("int"))
-    rows = dealt.select("signal_id", F.col("entity_id").alias("x"), F.col("nth").alias("i"), F.explode(F.sequence("nth", F.col("parts") - 1)).alias("j"))
-    columns = dealt.select("signal_id", F.col("entity_id").alias("y"), F.explode(F.sequence(F.lit(0), "nth")).alias("i"), F.col("nth").alias("j"))
-    met = rows.join(columns, ["signal_id", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
-    return met.select("signal_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def cooccurrence(mentions: DataFrame, least: int, weight: Column, part: int = 2048) -> DataFrame:
-    """Pairs of entities that share signals; ``weight`` is an expression of ``n``, the signals shared."""
-    counted = cooccurring(mentions, part).groupBy("a", "b").agg(F.count("*").alias("n"))
+    size = size or sized(mentions, part)
+    near = cooccurring(mentions, part, size).groupBy("cell", "a", "b").agg(F.count("*").alias("n"))
+    counted = near.repartition(size[0], "a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"))
     return counted.filter(F.col("n") >= least).withColumn("weight", F.round(weight, 6))
 
 
@@ -65,12 +97,13 @@ def spikes(mentions: DataFrame, as_of: Column, days: int, baseline_days: int) ->
     return g.filter("recent > 0").withColumn("spike", F.round(F.col("recent") / F.greatest(usual, F.lit(1.0)), 6))
 
 
-def redirect(edges: DataFrame, merges: DataFrame) -> DataFrame:
+def redirect(edges: DataFrame, merges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Edges after merges (node -> kept): ends are renamed, loops go, and doubles keep their greatest weight."""
     m = merges.select(F.col("node"), F.col("kept"))
     e = edges.join(m.withColumnsRenamed({"node": "a", "kept": "ka"}), "a", "left").join(m.withColumnsRenamed({"node": "b", "kept": "kb"}), "b", "left")
     e = e.select(F.coalesce("ka", "a").alias("x"), F.coalesce("kb", "b").alias("y"), "weight").filter("x <> y")
-    return e.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("weight").alias("weight"))
+    e = e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "weight")
+    return (e.repartition(tasks, "a", "b") if tasks else e).groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
 
 def connected_signals(mentions: DataFrame, signal_id: int) -> DataFrame:

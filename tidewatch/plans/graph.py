@@ -28,8 +28,8 @@ W = "w AS (SELECT a AS node, weight FROM e UNION ALL SELECT b, weight FROM e)"
 LAST = "2001-08-02"
 
 
-def edges(v: Views):
-    return G.cooccurrence(v.mentions, 1, F.least(F.lit(1.0), F.col("n") / 10))
+def edges(v: Views, size=None):
+    return G.cooccurrence(v.mentions, 1, F.least(F.lit(1.0), F.col("n") / 10), size=size)
 
 
 @query("e1_node_upsert", "SELECT entity_id, type, min(seen_at) AS first_seen, max(seen_at) AS last_seen, count(*) AS mentions, list_sort(list(DISTINCT signal_id))[-20:] AS signals FROM mentions GROUP BY 1, 2", M)
@@ -76,7 +76,8 @@ def _(v: Views):
 @query("e8_merge_apply", f"{D}, {E}, m AS (SELECT a, b, weight, CASE WHEN CAST(substr(a, 2) AS INT) % 10 = 0 THEN 'S1' ELSE a END AS x, CASE WHEN CAST(substr(b, 2) AS INT) % 10 = 0 THEN 'S1' ELSE b END AS y FROM e) SELECT least(x, y) AS a, greatest(x, y) AS b, max(weight) AS weight FROM m WHERE x <> y GROUP BY 1, 2", M)
 def _(v: Views):
     merges = v.mentions.select(F.col("entity_id").alias("node")).distinct().filter(F.substring("node", 2, 9).cast("int") % 10 == 0).withColumn("kept", F.lit("S1"))
-    return G.redirect(edges(v), merges)
+    size = G.sized(v.mentions)
+    return G.redirect(edges(v, size), merges, size[0])
 
 
 @query("e10_entity_search", "SELECT entity_id, count(*) AS mentions FROM mentions WHERE entity_id LIKE 'S1%' OR entity_id IN ('S7', 'S8') GROUP BY 1 ORDER BY mentions DESC, entity_id LIMIT 25", M)
