@@ -457,3 +457,28 @@ def test_a_hot_signal_is_dealt_to_many_tasks(spark):
     pairs = G.cooccurring(mentions, 64)
     assert pairs.count() == pairs.select("a", "b").distinct().count() == 600 * 599 // 2
     assert pairs.groupBy("cell").count().agg(F.count("*"), F.max("count")).first()[0] > 20
+
+
+
+def test_streams_hold_many_keys_in_a_state(spark):
+    """Buckets of keys, null ones too, give what keys alone would, and few of them are called."""
+    from tidewatch.streaming import streams as ST
+
+    rng, start = random.Random(3), dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(seconds=i * 400), rng.choice([None, *range(9)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long")
+    until, want = {}, set()
+    for name, ts, user in rows:
+        if user not in until or ts >= until[user]:
+            want.add((user, name))
+            until[user] = ts + dt.timedelta(hours=3)
+    for buckets in (1, 1024):
+        got = ST.run_available(ST.first_within(ST.replayed(df), ["user_id"], "event_id", 3 * 3600, buckets=buckets)).collect()
+        assert {(r.user_id, r.event_id) for r in got} == want and len(got) == len(want)
+    assert {r.event_id for r in Z.ttl_first(df, ["user_id"], "ts", "event_id", 3 * 3600).collect()} == {name for _, name in want}
+    end = int((rows[-1][1] - start).total_seconds()) - 600
+    last = max(ts for _, ts, _ in rows).replace(tzinfo=dt.timezone.utc)
+    quiet = {(r.user_id, r.at) for r in Z.quiet_spells(df, "user_id", "ts", 480, 240, int(last.timestamp() * 1e6) - 600_000_000).collect()}
+    for buckets in (1, 1024):
+        got = ST.run_available(ST.gone_quiet(ST.replayed(df), "user_id", 480, 240, buckets=buckets)).withColumn("at", F.col("at").cast("timestamp_ntz")).collect()
+        assert {(r.user_id, r.at) for r in got} == quiet and len(got) == len(quiet) > 9 and end > 0

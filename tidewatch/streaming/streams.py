@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -34,7 +35,8 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
 def replayed(rows: DataFrame, ts: str = "ts", slices: int = 12) -> DataFrame:
     """A table as a stream in the order of its times: so many slices of about equal size, each a file and a micro-batch.
 
-    Slices are cut by approximate quantiles and written one after the other, as files of a stream arrive.
+    Slices are cut by approximate quantiles and written one after the other, as files of a stream arrive: all
+    tasks read and filter the table, one writes a slice.
     """
     spark = ensure_checkpoint_dir(rows.sparkSession)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/replay-{uuid.uuid4().hex}"
@@ -44,37 +46,70 @@ def replayed(rows: DataFrame, ts: str = "ts", slices: int = 12) -> DataFrame:
     for low, high in zip([None, *edges], [*edges, None]):
         part = timed if low is None else timed.filter(F.col("__at") >= int(low))
         part = part if high is None else part.filter(F.col("__at") < int(high))
-        part.drop("__at").coalesce(1).write.mode("append").parquet(base)
+        part.drop("__at").repartition(1).write.mode("append").parquet(base)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
 
 
-def first_within(stream: DataFrame, keys: list[str], row: str, seconds: int, late: str = "10 minutes") -> DataFrame:
+#: Buckets of keys: one call and one state serve the keys of a bucket, as a call for each key costs far more than its rows.
+BUCKETS = 1024
+
+
+def _bucketed(stream: DataFrame, keys: list[str], late: str, buckets: int, *rest):
+    """Rows with their bucket, and their keys as strings, so that a bucket's keys keep their values whatever stands beside them."""
+    names = [f"k{i}" for i in range(len(keys))]
+    own = [F.col(k).cast("string").alias(c) for k, c in zip(keys, names)]
+    timed = stream.withWatermark("ts", late).select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket"), *own, "ts", F.unix_micros("ts").alias("at"), *rest)
+    return names, timed.groupBy("bucket")
+
+
+def _held(state: GroupState) -> dict[tuple, int]:
+    """The moments of a bucket's keys."""
+    return {tuple(key): at for key, at in json.loads(state.get[0])} if state.exists else {}
+
+
+def _hold(state: GroupState, held: dict[tuple, int], wake: int | None) -> None:
+    """Keeps a bucket's moments, and sets its timer (milliseconds)."""
+    if not held:
+        if state.exists:
+            state.remove()
+        return
+    state.update((json.dumps([[list(key), at] for key, at in held.items()]),))
+    state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+
+
+def first_within(stream: DataFrame, keys: list[str], row: str, seconds: int, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """Rows that are the first of their key within a time to live counted from the last row let through.
 
-    The state of a key is the moment at which its time to live ends; it goes when the watermark passes that.
+    The state of a key is the moment at which its time to live ends; it goes when the watermark passes that, with the
+    next rows of its bucket or when all of its bucket's are over.
     Rows of a micro-batch go by time; those older than the watermark are dropped.
     """
     ttl = seconds * 1_000_000
+    names = [f"k{i}" for i in range(len(keys))]
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        until, kept = state.get[0] if state.exists else None, []
-        for at, name in pd.concat(list(batches)).sort_values(["at", row])[["at", row]].itertuples(index=False):
+        mark = state.getCurrentWatermarkMs() * 1000
+        held = {key: until for key, until in _held(state).items() if until > mark}
+        rows, kept = pd.concat(list(batches)).sort_values(["at", row]), []
+        for i, (*key, at) in enumerate(zip(*(rows[c].tolist() for c in (*names, "at")))):
+            key = tuple(key)
+            until = held.get(key)
             if until is None or at >= until:
-                kept.append((*group, name))
-                until = at + ttl
-        state.update((until,))
-        state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(kept, columns=[*keys, row])
+                kept.append(i)
+                held[key] = at + ttl
+        _hold(state, held, max(held.values()) // 1000 + 1)
+        yield rows.iloc[kept][[*names, row]]
 
-    types = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in [*keys, row])
-    timed = stream.withWatermark("ts", late).select(*keys, "ts", F.unix_micros("ts").alias("at"), row)
-    return timed.groupBy(*keys).applyInPandasWithState(update, types, "until long", "append", GroupStateTimeout.EventTimeTimeout)
+    names, bucketed = _bucketed(stream, keys, late, buckets, row)
+    types = ", ".join([*[f"{c} string" for c in names], f"{row} {stream.schema[row].dataType.simpleString()}"])
+    found = bucketed.applyInPandasWithState(update, types, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(*[F.col(c).cast(stream.schema[k].dataType).alias(k) for c, k in zip(names, keys)], row)
 
 
-def gone_quiet(stream: DataFrame, key: str, seconds: int, every: int, late: str = "10 minutes") -> DataFrame:
+def gone_quiet(stream: DataFrame, key: str, seconds: int, every: int, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """A watchdog: (key, at) of each check, one every so many seconds, that first finds a key's last row so many seconds old.
 
     Timers of event time raise the alarm when no row comes; a key is silent from then on until its next row.
@@ -82,24 +117,28 @@ def gone_quiet(stream: DataFrame, key: str, seconds: int, every: int, late: str
     first_check = lambda last: -(-(last + seconds * 1_000_000) // (every * 1_000_000)) * every * 1_000_000
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(group[0], first_check(last))], columns=[key, "at"])
-            return
-        quiet = []
-        for at in sorted(pd.concat(list(batches))["micros"].tolist()):
-            if last is not None and first_check(last) < at:
-                quiet.append((group[0], first_check(last)))
-            last = at if last is None else max(last, at)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(first_check(last) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(quiet, columns=[key, "at"])
-
-    kind = stream.schema[key].dataType.simpleString()
-    timed = stream.withWatermark("ts", late).select(key, "ts", F.unix_micros("ts").alias("micros"))
-    found = timed.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-    return found.withColumn("at", F.timestamp_micros("at"))
+        held, quiet = _held(state), []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values("at")
+            for name, at in zip(rows["k0"].tolist(), rows["at"].tolist()):
+                last = held.get((name,))
+                if last is not None and first_check(last) < at:
+                    quiet.append((name, first_check(last)))
+                held[(name,)] = at if last is None else max(last, at)
+        mark, wake = state.getCurrentWatermarkMs(), None
+        for (name,), last in list(held.items()):
+            check = first_check(last)
+            if check // 1000 < mark:
+                quiet.append((name, check))
+                del held[(name,)]
+            elif wake is None or check // 1000 < wake:
+                wake = check // 1000
+        _hold(state, held, wake)
+        yield pd.DataFrame(quiet, columns=["k0", "at"])
+
+    _, bucketed = _bucketed(stream, [key], late, buckets)
+    found = bucketed.applyInPandasWithState(update, "k0 string, at long", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.col("k0").cast(stream.schema[key].dataType).alias(key), F.timestamp_micros("at").alias("at"))
 
 
 def threads_of(stream: DataFrame, scope: tuple[str, ...] = ("country_code",), late: str = "10 minutes") -> DataFrame:
