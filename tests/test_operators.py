@@ -482,3 +482,14 @@ def test_streams_hold_many_keys_in_a_state(spark):
     for buckets in (1, 1024):
         got = ST.run_available(ST.gone_quiet(ST.replayed(df), "user_id", 480, 240, buckets=buckets)).withColumn("at", F.col("at").cast("timestamp_ntz")).collect()
         assert {(r.user_id, r.at) for r in got} == quiet and len(got) == len(quiet) > 9 and end > 0
+
+
+
+def test_tags_are_those_of_the_patterns(spark):
+    """Words are looked up as plain strings first; edges of words decide as the patterns say."""
+    from tidewatch.functions import tables as W
+
+    texts = ["ai", "mais", "AI.", "said ai said", "an xai", "neurope", "europe", "eu", "Europe EU", "europeans in brusselsx", "in brussels", "_china", "china", "chinese", "chinesex", "usable", "washingtonian", "unitedstates", "xunitedstates", "ceasefire", "x peace talks x", "negotiationss", "", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, " ".join(random.Random(i).sample([t for t in texts if t], 6))) for i in range(60)]
+    got = {r.id: r.tags for r in spark.createDataFrame(rows, "id long, t string").select("id", K.tags(F.concat_ws(" ", "t")).alias("tags")).collect()}
+    assert got == {i: [tag for tag, p in W.TAG_RULES if re.search(p, (t or "").lower(), re.ASCII)][:5] for i, t in rows}

@@ -68,9 +68,25 @@ def recalibrated(severity_: Column, category_: Column, opinion: Column) -> Colum
     return F.when(low, "low").when(soft & severity_.isin("critical", "high"), "medium").otherwise(severity_)
 
 
+def _told(lower: Column, pattern: str) -> Column:
+    """Whether a pattern of plain words, some with word edges at their ends, is in a text: words are looked up as plain strings first, and only those with edges by a pattern then."""
+    hit, edged = F.lit(False), F.lit(False)
+    for part in pattern.split("|"):
+        word = part.replace(r"\b", "")
+        if re.search(r"[^a-z ]", word):
+            return lower.rlike(ascii_words(pattern))
+        if word == part:
+            hit = hit | F.contains(lower, F.lit(word))
+        else:
+            edged = edged | (F.contains(lower, F.lit(word)) & lower.rlike(ascii_words(part)))
+    return hit | edged
+
+
 def tags(text: Column, most: int = 5) -> Column:
-    lower = F.lower(text)
-    return F.slice(F.array_compact(F.array(*[F.when(lower.rlike(ascii_words(p)), F.lit(t)) for t, p in T.TAG_RULES])), 1, most)
+    """The first tags of those whose words are in the text."""
+    said = lambda lower: F.array_compact(F.array(*[F.when(_told(lower, p), F.lit(t)) for t, p in T.TAG_RULES]))
+    # the text is lowered once, as the argument of a function
+    return F.slice(F.element_at(F.transform(F.array(F.lower(text)), said), 1), 1, most)
 
 
 def language(text: Column, default: str = "en") -> Column:
