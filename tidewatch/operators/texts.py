@@ -140,12 +140,23 @@ def full_text(docs: DataFrame, words: list[str], prefix: str | None = None) -> D
 
 def ranked_search(docs: DataFrame, words: list[str], limit: int, k: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 over an inverted table; a query word also finds words one edit away if it has four letters, two if it has eight."""
-    tokens = docs.select("id", F.explode(F.filter(F.split(F.lower("body"), r"\W+"), lambda w: F.length(w) > 0)).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
-    size = tokens.groupBy("id").agg(F.sum("tf").alias("size"))
+    asked = [(w, 2 if len(w) >= 8 else 1 if len(w) >= 4 else 0) for w in words]
+
+    least, longest = min(len(w) - most for w, most in asked), max(len(w) + most for w, most in asked)
+
+    def read(tokens: Column) -> Column:
+        """The number of words, and those that are meant by one that is asked for: told apart in their row, and only hits are exploded."""
+        some = F.filter(tokens, lambda w: F.length(w).between(least, longest))
+        near = lambda q, most: F.transform(F.filter(some, lambda w: F.length(w).between(len(q) - most, len(q) + most) & (F.levenshtein(w, F.lit(q)) <= most)), lambda w: F.struct(F.lit(q).alias("q"), F.levenshtein(w, F.lit(q)).alias("distance")))
+        return F.struct(F.size(F.filter(tokens, lambda w: F.length(w) > 0)).cast("long").alias("size"), F.concat(*[near(q, most) for q, most in asked]).alias("hits"))
+
+    # a text is split once, as the argument of a function
+    split = F.element_at(F.transform(F.array(F.split(F.lower("body"), r"\W+")), read), 1)
+    told = docs.filter("body is not null").select("id", split.alias("r")).select("id", "r.size", "r.hits").filter("size > 0")
+    size = told.groupBy("id").agg(F.sum("size").alias("size"))
     totals = size.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
-    q = F.explode(F.array(*[F.struct(F.lit(w).alias("q"), F.lit(2 if len(w) >= 8 else 1 if len(w) >= 4 else 0).alias("edits")) for w in words])).alias("p")
-    hits = tokens.select("*", q).withColumn("distance", F.levenshtein("word", F.col("p.q"))).filter(F.col("distance") <= F.col("p.edits"))
-    hits = hits.groupBy("id", F.col("p.q").alias("q")).agg(F.sum(F.col("tf") / (1 + F.col("distance"))).alias("tf"))
+    hits = told.select("id", F.explode("hits").alias("h")).groupBy("id", "h.q", "h.distance").agg(F.count("*").alias("n"))
+    hits = hits.groupBy("id", "q").agg(F.sum(F.col("n") / (1 + F.col("distance"))).alias("tf"))
     found = hits.groupBy("q").agg(F.count("*").alias("df"))
     scored = hits.join(found, "q").join(size, "id").crossJoin(F.broadcast(totals))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
