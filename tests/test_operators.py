@@ -405,23 +405,6 @@ def test_amounts_are_rounded_as_sql_prints_them(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == sorted(want) and (0, "Exports", 2e8) in want
 
 
-
-def test_similar_classes_keep_every_link(spark):
-    """Copies are tied to their class only; all links follow from classes and pairs of classes."""
-    names = ["red bolt", "red bolts", "red bolt", "blue nut", "bolt red", "", None, "red bolt", "blue nut"]
-    rows = [(i, i % 2, n) for i, n in enumerate(names * 4)]
-    df = spark.createDataFrame(rows, "id long, size int, n string").select("id", "size", X.trigrams(F.col("n")).alias("t"))
-    held = [(r.id, r.size, set(r.t)) for r in df.collect() if r.t]
-    want = {(a, b) for a, s, x in held for b, t, y in held if a < b and s == t and len(x & y) / len(x | y) >= 0.6}
-    found = J.similar_classes(df, "id", "t", 0.6, ["size"]).collect()
-    of = {r.b: r.a for r in found if r.similarity == 1}
-    linked = {(r.a, r.b) for r in found if r.similarity < 1}
-    top = {i: of.get(i, i) for i, _, _ in held}
-    got = {(a, b) for a in top for b in top if a < b and (top[a] == top[b] or (min(top[a], top[b]), max(top[a], top[b])) in linked)}
-    assert got == want and len(found) < len(want)
-
-
-
 def test_ordered_pairs_match_a_loop(spark):
     """Pairs are counted and summed without being made, parts of a second included; half of the rows are in one group."""
     rng = random.Random(8)
@@ -437,7 +420,6 @@ def test_ordered_pairs_match_a_loop(spark):
     assert got == want and len(want) == 6
 
 
-
 def test_shared_members_match_a_loop(spark):
     """Members in many groups are counted by bits, those in few by pairs."""
     rng = random.Random(9)
@@ -447,17 +429,19 @@ def test_shared_members_match_a_loop(spark):
     assert {tuple(r) for r in J.shared_members(spark.createDataFrame(rows, "m long, g long"), "m", "g", 2).collect()} == want
 
 
-
-def test_a_hot_signal_is_dealt_to_many_tasks(spark):
-    """The number of tasks follows the pairs, and the pairs of a hot signal are in many cells."""
-    from tidewatch.operators import graph as G
-
-    mentions = spark.createDataFrame([("s", f"e{i:03}") for i in range(600)] + [(f"t{i}", f"e{i % 600:03}") for i in range(600)], "signal_id string, entity_id string")
-    assert G.sized(mentions, 64) == (4, 1) and G.tasks_for(100_000_000, spark) == 200
-    pairs = G.cooccurring(mentions, 64)
-    assert pairs.count() == pairs.select("a", "b").distinct().count() == 600 * 599 // 2
-    assert pairs.groupBy("cell").count().agg(F.count("*"), F.max("count")).first()[0] > 20
-
+def test_similar_classes_keep_every_link(spark):
+    """Copies are tied to their class only; all links follow from classes and pairs of classes."""
+    names = ["red bolt", "red bolts", "red bolt", "blue nut", "bolt red", "", None, "red bolt", "blue nut"]
+    rows = [(i, i % 2, n) for i, n in enumerate(names * 4)]
+    df = spark.createDataFrame(rows, "id long, size int, n string").select("id", "size", X.trigrams(F.col("n")).alias("t"))
+    held = [(r.id, r.size, set(r.t)) for r in df.collect() if r.t]
+    want = {(a, b) for a, s, x in held for b, t, y in held if a < b and s == t and len(x & y) / len(x | y) >= 0.6}
+    found = J.similar_classes(df, "id", "t", 0.6, ["size"]).collect()
+    of = {r.b: r.a for r in found if r.similarity == 1}
+    linked = {(r.a, r.b) for r in found if r.similarity < 1}
+    top = {i: of.get(i, i) for i, _, _ in held}
+    got = {(a, b) for a in top for b in top if a < b and (top[a] == top[b] or (min(top[a], top[b]), max(top[a], top[b])) in linked)}
+    assert got == want and len(found) < len(want)
 
 
 def test_streams_hold_many_keys_in_a_state(spark):
@@ -484,6 +468,20 @@ def test_streams_hold_many_keys_in_a_state(spark):
         assert {(r.user_id, r.at) for r in got} == quiet and len(got) == len(quiet) > 9 and end > 0
 
 
+def test_near_peers_match_a_loop(spark):
+    """Classes of equal words are compared instead of rows, also where words are alike in no order, and all pairs where no class has many rows."""
+    rng, micros = random.Random(4), 50
+    for words, n in ((["a", "b", "c", "d", "e"], 400), ([f"w{i}" for i in range(9)], 200)):
+        rows = [(i, rng.choice("xxy"), rng.randrange(2000), sorted(rng.sample(words, rng.choice([2, 3])))) for i in range(n)] + [(n, "x", None, ["a"]), (n + 1, None, 7, ["a"])]
+        want = {}
+        for i, b, t, own in rows:
+            near = [len({*own} & {*w}) / len({*own} | {*w}) for j, c, s, w in rows if j != i and b == c and None not in (b, t, s) and abs(s - t) < micros]
+            near = [x for x in near if x > 0.35]
+            if near:
+                want[i] = len(near), max(near)
+        got = J.near_peers(spark.createDataFrame(rows, "id long, category string, at long, words array<string>"), "category", micros, 0.35).collect()
+        assert {r.id: (r.peers, r.best) for r in got} == want and len(got) == len(want) > 20
+
 
 def test_tags_are_those_of_the_patterns(spark):
     """Words are looked up as plain strings first; edges of words decide as the patterns say."""
@@ -493,3 +491,14 @@ def test_tags_are_those_of_the_patterns(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, " ".join(random.Random(i).sample([t for t in texts if t], 6))) for i in range(60)]
     got = {r.id: r.tags for r in spark.createDataFrame(rows, "id long, t string").select("id", K.tags(F.concat_ws(" ", "t")).alias("tags")).collect()}
     assert got == {i: [tag for tag, p in W.TAG_RULES if re.search(p, (t or "").lower(), re.ASCII)][:5] for i, t in rows}
+
+
+def test_a_hot_signal_is_dealt_to_many_tasks(spark):
+    """The number of tasks follows the pairs, and the pairs of a hot signal are in many cells."""
+    from tidewatch.operators import graph as G
+
+    mentions = spark.createDataFrame([("s", f"e{i:03}") for i in range(600)] + [(f"t{i}", f"e{i % 600:03}") for i in range(600)], "signal_id string, entity_id string")
+    assert G.sized(mentions, 64) == (4, 1) and G.tasks_for(100_000_000, spark) == 200
+    pairs = G.cooccurring(mentions, 64)
+    assert pairs.count() == pairs.select("a", "b").distinct().count() == 600 * 599 // 2
+    assert pairs.groupBy("cell").count().agg(F.count("*"), F.max("count")).first()[0] > 20
