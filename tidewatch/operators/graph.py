@@ -12,11 +12,17 @@ from ..functions.tables import HONORIFIC, MERGE_FROM, MERGE_SIMILARITY, TITLES
 from .joins import both_ways, set_similarity_join, suffixed
 
 
-def node_upsert(mentions: DataFrame, most_signals: int) -> DataFrame:
-    """One node an entity: first and last sight, mentions, and its latest signals, which are cut before they are collected."""
+def node_upsert(mentions: DataFrame, most_signals: int, tasks: int | None = None) -> DataFrame:
+    """One node an entity: first and last sight, mentions, and its latest signals, which are cut before they are collected.
+
+    They are cut in 64 parts of an entity first, so that no task gets all signals of a hot one; the number of tasks follows the mentions.
+    """
     keys = ["entity_id", "type"]
-    newest = mentions.groupBy(*keys, "signal_id").agg(F.lit(1)).withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("signal_id")))).filter(F.col("r") <= most_signals)
-    signals = newest.groupBy(*keys).agg(F.array_sort(F.collect_list("signal_id")).alias("signals"))
+    tasks = tasks or tasks_for(mentions.count(), mentions.sparkSession)
+    newest = lambda rows, *by: rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("signal_id")))).filter(F.col("r") <= most_signals).drop("r")
+    dealt = mentions.select(*keys, "signal_id", F.pmod(F.xxhash64("signal_id"), F.lit(64)).alias("part")).repartition(tasks, *keys, "part")
+    cut = newest(dealt.groupBy(*keys, "part", "signal_id").agg(F.lit(1)), *keys, "part").select(*keys, "signal_id")
+    signals = newest(cut.repartition(tasks, *keys), *keys).groupBy(*keys).agg(F.array_sort(F.collect_list("signal_id")).alias("signals"))
     return mentions.groupBy(*keys).agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count("*").alias("mentions")).join(signals, keys)
 
 
@@ -85,8 +91,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 def importance(edges: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
     """Weighted degree and a tenth of the mentions, as a share of the greatest."""
     scored = degrees(edges).join(nodes.select(F.col("entity_id").alias("node"), "mentions"), "node").withColumn("raw", F.col("weighted") + 0.1 * F.col("mentions"))
-    top = F.broadcast(scored.agg(F.max("raw").alias("top")))  # one row
-    return scored.crossJoin(top).select("node", "degree", F.round(F.col("raw") / F.col("top"), 6).alias("importance")).orderBy(F.desc("importance"), "node").limit(limit)
+    top = F.broadcast(scored.agg(F.max(F.struct("raw", "degree")).alias("top")))  # one row; with the degree, the degrees are counted once for both
+    return scored.crossJoin(top).select("node", "degree", F.round(F.col("raw") / F.col("top.raw"), 6).alias("importance")).orderBy(F.desc("importance"), "node").limit(limit)
 
 
 def spikes(mentions: DataFrame, as_of: Column, days: int, baseline_days: int) -> DataFrame:

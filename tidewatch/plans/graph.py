@@ -70,7 +70,7 @@ def _(v: Views):
 
 @query("e9_w10_importance", f"{D}, {E}, {W}, n AS (SELECT entity_id AS node, count(*) AS mentions FROM mentions GROUP BY 1), r AS (SELECT w.node, count(*) AS degree, sum(weight) + 0.1 * any_value(mentions) AS raw FROM w JOIN n ON n.node = w.node GROUP BY 1) SELECT node, degree, round(raw / max(raw) OVER (), 6) AS importance FROM r ORDER BY importance DESC, node LIMIT 50", M)
 def _(v: Views):
-    return G.importance(edges(v), G.node_upsert(v.mentions, 1), 50)
+    return G.importance(edges(v), v.mentions.groupBy("entity_id").agg(F.count("*").alias("mentions")), 50)
 
 
 @query("e8_merge_apply", f"{D}, {E}, m AS (SELECT a, b, weight, CASE WHEN CAST(substr(a, 2) AS INT) % 10 = 0 THEN 'S1' ELSE a END AS x, CASE WHEN CAST(substr(b, 2) AS INT) % 10 = 0 THEN 'S1' ELSE b END AS y FROM e) SELECT least(x, y) AS a, greatest(x, y) AS b, max(weight) AS weight FROM m WHERE x <> y GROUP BY 1, 2", M)
