@@ -66,7 +66,8 @@ EDGES = "d AS (SELECT DISTINCT signal_id, entity_id FROM mentions), n AS (SELECT
 )
 def _(v: Views):
     """All edges of a run are written at once: new ones win over old ones of the same id."""
-    fresh = G.cooccurrence(v.mentions, 1, F.least(F.lit(1.0), F.col("n") / 10)).select(F.substring(F.sha2(F.concat_ws("::co_occurs_with::", "a", "b"), 256), 1, 16).alias("id"), "a", "b", "weight")
+    size = G.sized(v.mentions)
+    fresh = G.cooccurrence(v.mentions, 1, F.least(F.lit(1.0), F.col("n") / 10), size=size).select(F.substring(F.sha2(F.concat_ws("::co_occurs_with::", "a", "b"), 256), 1, 16).alias("id"), "a", "b", "weight").repartition(size[0], "id")
     kept = v.spark.createDataFrame([("kept", "S0", "S00", 0.7)], "id string, a string, b string, weight double")
     return Out.merged(fresh.filter("a = 'S1'").withColumn("weight", F.lit(0.05)).unionByName(kept), fresh, ["id"])
 
