@@ -106,9 +106,11 @@ def _(v: Views):
 @query("j16_edge_names", f"{D}, {E} SELECT e.a, e.b, sa.s_name AS name_a, sb.s_name AS name_b FROM e LEFT JOIN supplier sa ON 'S' || sa.s_suppkey = e.a LEFT JOIN supplier sb ON 'S' || sb.s_suppkey = e.b WHERE n >= 3", M)
 def _(v: Views):
     s = v.table("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("key"), "s_name")
-    e = edges(v).filter("n >= 3").select("a", "b")
+    size, few = G.sized(v.mentions), s.count() <= 100_000
+    e = edges(v, size).filter("n >= 3").select("a", "b")
     for side in "ab":
-        e = e.join(s.withColumnsRenamed({"key": side, "s_name": f"name_{side}"}), side, "left")
+        names = s.withColumnsRenamed({"key": side, "s_name": f"name_{side}"})
+        e = e.join(F.broadcast(names), side, "left") if few else e.repartition(size[0], side).join(names, side, "left")
     return e.select("a", "b", "name_a", "name_b")
 
 
