@@ -502,3 +502,34 @@ def test_a_hot_signal_is_dealt_to_many_tasks(spark):
     pairs = G.cooccurring(mentions, 64)
     assert pairs.count() == pairs.select("a", "b").distinct().count() == 600 * 599 // 2
     assert pairs.groupBy("cell").count().agg(F.count("*"), F.max("count")).first()[0] > 20
+
+
+def _shuffled_to(df) -> set[int]:
+    """The numbers of tasks that the shuffles by keys of a plan have."""
+    return {int(n) for n in re.findall(r"hashpartitioning\(.*?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())}
+
+
+def test_steps_of_edges_have_as_many_tasks_as_pairs_ask_for(spark):
+    """Not the session's 4: hot signals are counted, pairs made and nodes' signals cut in tasks that follow the input."""
+    from tidewatch.operators import graph as G
+
+    mentions = spark.createDataFrame([(s, f"e{e}") for s in range(3) for e in range(40)], "signal_id long, entity_id string").withColumns({"type": F.lit("t"), "seen_at": F.lit(1)})
+    for part, hot in ((16, 3), (256, 0)):
+        assert G.sized(mentions, part)[1] == hot
+        edges = G.cooccurrence(mentions, 1, F.col("n") / 10, part, (50, hot))
+        assert _shuffled_to(edges) == {50} and edges.count() == 40 * 39 // 2
+    nodes = spark.createDataFrame([(i % 5000, "e0" if i % 3 else f"e{i % 7}", "t", i) for i in range(20000)], "signal_id long, entity_id string, type string, seen_at long")
+    newest = G.node_upsert(nodes, 20, 50)
+    assert 50 in _shuffled_to(newest)
+    said = {}
+    for r in nodes.collect():
+        said.setdefault(r.entity_id, set()).add(r.signal_id)
+    assert {r.entity_id: r.signals for r in newest.collect()} == {e: sorted(x)[-20:] for e, x in said.items()}
+
+
+def test_upserted_edges_and_importance_have_tasks_that_follow_the_input(spark, monkeypatch):
+    from tidewatch.operators import graph as G
+
+    monkeypatch.setattr(G, "sized", lambda mentions, part=256: (50, 0))
+    assert _shuffled_to(plans.queries()["y2_batched_edges"](spark, SMALL)) == {50}
+    assert "Window" not in plans.queries()["e9_w10_importance"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()

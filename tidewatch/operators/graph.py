@@ -56,21 +56,24 @@ def cooccurring(mentions: DataFrame, part: int = 256, size: tuple[int, int] | No
     """
     tasks, hot = size or sized(mentions, part)
     d = mentions.select("signal_id", "entity_id").dropna()
-    place = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
+    whole = ["signal_id"]
     if hot:
-        parts = d.groupBy("signal_id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).filter("parts > 1")
+        parts = d.select("signal_id").repartition(tasks, "signal_id").groupBy("signal_id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).filter("parts > 1")
         d = d.join(F.broadcast(parts) if hot <= 100_000 else parts, "signal_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("nth", F.pmod(F.xxhash64("entity_id"), F.col("parts")).cast("int"))
         # a part alone, and with each other part as the first or the second one
         at = lambda j: F.struct(F.least("nth", j).alias("i"), F.greatest("nth", j).alias("j"), F.when(j == F.col("nth"), 0).when(j > F.col("nth"), 1).otherwise(2).alias("side"))
         place = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), at)
-    placed = d.select("signal_id", "entity_id", F.explode(place).alias("p")).select("signal_id", "p.i", "p.j", "p.side", "entity_id")
-    cell = F.pmod(F.xxhash64("signal_id", "i", "j"), F.lit(64 * tasks)).cast("int")
-    held = lambda side: F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col("entity_id"))))
-    lists = placed.withColumn("cell", cell).repartition(tasks, "cell").groupBy("cell", "signal_id", "i", "j").agg(held(0).alias("own"), held(1).alias("x"), held(2).alias("y"))
+        d = d.select("signal_id", "entity_id", F.explode(place).alias("p")).select("signal_id", "p.i", "p.j", "p.side", "entity_id")
+        whole = ["signal_id", "i", "j"]
+    cell = F.pmod(F.xxhash64(*whole), F.lit(64 * tasks)).cast("int")
+    held = lambda side: F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col("entity_id")) if hot else F.col("entity_id")))
+    own, *sides = [held(side).alias(name) for side, name in enumerate(("own", "x", "y") if hot else ("own",))]
+    lists = d.withColumn("cell", cell).repartition(tasks, "cell").groupBy("cell", *whole).agg(own, *sides)
     pair = lambda p, q: F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
-    within = F.transform("own", lambda p, n: F.transform(F.slice("own", n + 2, F.size("own")), lambda q: pair(p, q)))
-    across = F.transform("x", lambda p: F.transform("y", lambda q: pair(p, q)))
-    return lists.select("signal_id", "cell", F.explode(F.flatten(F.concat(within, across))).alias("p")).select("signal_id", "cell", "p.a", "p.b")
+    pairs = F.transform("own", lambda p, n: F.transform(F.slice("own", n + 2, F.size("own")), lambda q: pair(p, q)))
+    if hot:
+        pairs = F.concat(pairs, F.transform("x", lambda p: F.transform("y", lambda q: pair(p, q))))
+    return lists.select("signal_id", "cell", F.explode(F.flatten(pairs)).alias("p")).select("signal_id", "cell", "p.a", "p.b")
 
 
 def cooccurrence(mentions: DataFrame, least: int, weight: Column, part: int = 256, size: tuple[int, int] | None = None) -> DataFrame:
