@@ -91,6 +91,16 @@ def test_components_in_many_blocks(spark):
     assert ours_components(df, members=4) == want and ours_components(df, members=1) == want and ours_components(df) == want
 
 
+def test_components_are_joined_anew_only_where_groups_are_cut(spark, monkeypatch):
+    """Groups in one block have their roots from it: no further rounds, whose plans fill the driver's memory."""
+    calls, joined = [], hyper.components
+    monkeypatch.setattr(hyper, "components", lambda edges: calls.append(1) or joined(edges))
+    rows = [(i, " ".join(f"w{j}" for j in range(60) if j != 59 - i % 3) + f" t{i // 6}") for i in range(18)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ours_components(df) == brute_components(rows) and len(calls) == 1
+    assert ours_components(df, members=2) == brute_components(rows) and len(calls) > 2
+
+
 def test_components_of_odd_rows(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     assert ours_components(odd) == brute_components(rows)

@@ -230,8 +230,10 @@ def components_of(
 
     inside = loaded.withColumn("block", F.explode("blocks")).withColumn("low", F.col("block")).withColumn("high", F.col("block")).withColumn("joined", F.col("class"))
     edges = verified(inside).select(F.col("class").alias("a"), F.col("root").alias("b"))
-    final = components(edges)
-    if not blocks.isEmpty():
+    cut_up = not blocks.isEmpty()
+    # a group in one block has its components' roots already; a group in several has its least class in each
+    final = components(edges) if cut_up else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    if cut_up:
         many = loaded.join(blocks.select(F.col("label").alias("grp"), "n_blocks"), "grp").join(final.select(F.col("node").alias("class"), F.col("label").alias("joined")), "class", "left")
         many = many.withColumn("joined", F.coalesce("joined", "class")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"))
         open_ = many.groupBy("grp").agg((F.min("joined") < F.max("joined")).alias("open")).filter("open").select("grp").checkpoint()

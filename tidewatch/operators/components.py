@@ -20,8 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     node = F.bitwise_not("flipped")
     labels = both.groupBy(F.bitwise_not("a").alias("flipped")).agg(F.min("b").alias("near")).select("flipped", F.least(node, "near").alias("label")).checkpoint()
     while True:
-        near = both.join(labels.select(node.alias("b"), "label"), "b").groupBy(F.bitwise_not("a").alias("flipped")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "flipped").select("flipped", F.col("label").alias("old"), F.least("label", "near").alias("low"))
+        near = both.join(labels.select(node.alias("b"), "label"), "b").select(F.bitwise_not("a").alias("flipped"), F.lit(None).cast("long").alias("old"), F.col("label").alias("low"))
+        lower = near.union(labels.select("flipped", F.col("label").alias("old"), F.col("label").alias("low"))).groupBy("flipped").agg(F.max("old").alias("old"), F.min("low").alias("low"))
         jump = lower.select(node.alias("low"), F.col("low").alias("jump"))
         new = lower.join(jump, "low").select("flipped", "old", F.least("low", "jump").alias("label")).checkpoint()
         labels = new.select("flipped", "label")
