@@ -367,6 +367,15 @@ def test_components_of_a_chain_a_star_and_a_loop(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_have_no_size_estimate_that_grows_with_the_rounds(spark):
+    """A join's estimate is the product of its sides', and checkpoints keep it: its digits filled the driver's memory."""
+    ensure_checkpoint_dir(spark)
+    for length in (4, 400):
+        found = components(spark.range(1, length).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+        assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() <= 64
+        assert found.filter("label = 1").count() == length
+
+
 def test_hot_signals_are_paired_in_cells(spark):
     from itertools import combinations
 

@@ -6,13 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def forgetful(df: DataFrame) -> DataFrame:
+    """A checkpoint without the size estimate of its plan.
+
+    A checkpoint keeps its plan's estimate, and a join's estimate is the product of its sides', so that over
+    rounds of joins the estimate's digits grow exponentially: to hundreds of MB of the driver and of every task's
+    description.  Rows that pass an RDD have no estimate.
+    """
+    rows = df.checkpoint()
+    return df.sparkSession.createDataFrame(rows.rdd, rows.schema, verifySchema=False).checkpoint()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a long, b long) -> (node, label): the least node of its component, for every node of an edge.
 
     A round gives each node the least label among its neighbours and its own, then the
     label of that label.  Labels only fall, and the number of rounds follows the
     logarithm of the longest chain.  Rounds are checkpointed, so that plans stay short and a
-    lost executor costs no more than a round.  A hub's edges are aggregated before they
+    lost executor costs no more than a round, and forget their size estimates.  A hub's edges are aggregated before they
     meet.  Labels are kept by the complement of their node: where they are joined to edges, or
     to nodes that share a label, both sides are dealt out anew, so that Spark can split a hub.
     """
@@ -23,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(node.alias("b"), "label"), "b").groupBy(F.bitwise_not("a").alias("flipped")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "flipped").select("flipped", F.col("label").alias("old"), F.least("label", "near").alias("low"))
         jump = lower.select(node.alias("low"), F.col("low").alias("jump"))
-        new = lower.join(jump, "low").select("flipped", "old", F.least("low", "jump").alias("label")).checkpoint()
+        new = lower.join(jump, "low").select("flipped", "old", F.least("low", "jump").alias("label"))
+        new = forgetful(new)
         labels = new.select("flipped", "label")
         if new.filter("label <> old").isEmpty():
             return labels.select(node.alias("node"), "label")
