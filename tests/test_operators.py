@@ -372,7 +372,7 @@ def test_components_have_no_size_estimate_that_grows_with_the_rounds(spark):
     ensure_checkpoint_dir(spark)
     for length in (4, 400):
         found = components(spark.range(1, length).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
-        assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() <= 64
+        assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
         assert found.filter("label = 1").count() == length
 
 

@@ -166,7 +166,7 @@ def _verify(verifier: Verifier):
             apart = [x for x in rows.values() if x["block"] != last[1]] if rows else []
             if len(rows) < 2 or (last[1] != last[2] and len(apart) in (0, len(rows))):
                 return
-            found = sorted(rows.values(), key=lambda x: x["class"])
+            found = sorted(rows.values(), key=lambda x: (not x["spans"], x["class"]))
             if last[1] != last[2]:
                 found.sort(key=lambda x: x["block"])
             sets = [np.frombuffer(x["grams"], np.uint64) for x in found]
@@ -174,6 +174,9 @@ def _verify(verifier: Verifier):
             # the rows' numbers as labels: the first row of each component
             _, start, place = np.unique([x["joined"] for x in found], return_index=True, return_inverse=True)
             labels = verifier.labels(sets, sketch, start[place], len(found) if last[1] == last[2] else len(found) - len(apart))
+            # a component's root is its first row: the class that all of the group's blocks have, where it is in it
+            _, start, place = np.unique(labels, return_index=True, return_inverse=True)
+            labels = start[place]
             names = np.array([x["class"] for x in found])
             moved = labels != np.arange(len(found))
             yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[labels[moved]])], names=["class", "root"])
@@ -225,15 +228,14 @@ def components_of(
     tasks = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        dealt = pairs.select("class", "joined", "grp", "block", "low", "high", "sketch", "grams").repartition(tasks, "grp", "low", "high").sortWithinPartitions("grp", "low", "high")
+        dealt = pairs.select("class", "joined", "grp", "block", "low", "high", (F.size("blocks") > 1).alias("spans"), "sketch", "grams").repartition(tasks, "grp", "low", "high").sortWithinPartitions("grp", "low", "high")
         return dealt.mapInArrow(_verify(verifier), "class long, root long").checkpoint()
 
     inside = loaded.withColumn("block", F.explode("blocks")).withColumn("low", F.col("block")).withColumn("high", F.col("block")).withColumn("joined", F.col("class"))
     edges = verified(inside).select(F.col("class").alias("a"), F.col("root").alias("b"))
-    cut_up = not blocks.isEmpty()
-    # a group in one block has its components' roots already; a group in several has its least class in each
-    final = components(edges) if cut_up else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    if cut_up:
+    # a class but a group's least is in one block and has one root there; components that meet in the least class have it as their root
+    final = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    if not blocks.isEmpty():
         many = loaded.join(blocks.select(F.col("label").alias("grp"), "n_blocks"), "grp").join(final.select(F.col("node").alias("class"), F.col("label").alias("joined")), "class", "left")
         many = many.withColumn("joined", F.coalesce("joined", "class")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("n_blocks")).cast("int"))
         open_ = many.groupBy("grp").agg((F.min("joined") < F.max("joined")).alias("open")).filter("open").select("grp").checkpoint()

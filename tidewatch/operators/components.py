@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def forgetful(df: DataFrame) -> DataFrame:
-    """A checkpoint without the size estimate of its plan.
+#: Rows of a round's labels that a partition holds at least: small graphs leave few files in each shuffle.
+LEAST_ROWS = 100_000
+
+
+def forgetful(df: DataFrame, most: int) -> DataFrame:
+    """A checkpoint of at most so many partitions, without the size estimate of its plan.
 
     A checkpoint keeps its plan's estimate, and a join's estimate is the product of its sides', so that over
     rounds of joins the estimate's digits grow exponentially: to hundreds of MB of the driver and of every task's
     description.  Rows that pass an RDD have no estimate.
     """
     rows = df.checkpoint()
-    return df.sparkSession.createDataFrame(rows.rdd, rows.schema, verifySchema=False).checkpoint()
+    return df.sparkSession.createDataFrame(rows.rdd.coalesce(most), rows.schema, verifySchema=False).checkpoint()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,14 +32,15 @@ def components(edges: DataFrame) -> DataFrame:
     to nodes that share a label, both sides are dealt out anew, so that Spark can split a hub.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
+    most = both.count() // LEAST_ROWS + 1
+    both = both.coalesce(most)
     node = F.bitwise_not("flipped")
     labels = both.groupBy(F.bitwise_not("a").alias("flipped")).agg(F.min("b").alias("near")).select("flipped", F.least(node, "near").alias("label")).checkpoint()
     while True:
-        near = both.join(labels.select(node.alias("b"), "label"), "b").groupBy(F.bitwise_not("a").alias("flipped")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "flipped").select("flipped", F.col("label").alias("old"), F.least("label", "near").alias("low"))
+        near = both.join(labels.select(node.alias("b"), "label"), "b").select(F.bitwise_not("a").alias("flipped"), F.lit(None).cast("long").alias("old"), F.col("label").alias("low"))
+        lower = near.union(labels.select("flipped", F.col("label").alias("old"), F.col("label").alias("low"))).groupBy("flipped").agg(F.max("old").alias("old"), F.min("low").alias("low"))
         jump = lower.select(node.alias("low"), F.col("low").alias("jump"))
-        new = lower.join(jump, "low").select("flipped", "old", F.least("low", "jump").alias("label"))
-        new = forgetful(new)
+        new = forgetful(lower.join(jump, "low").select("flipped", "old", F.least("low", "jump").alias("label")), most)
         labels = new.select("flipped", "label")
         if new.filter("label <> old").isEmpty():
             return labels.select(node.alias("node"), "label")
