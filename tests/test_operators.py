@@ -376,6 +376,43 @@ def test_components_have_no_size_estimate_that_grows_with_the_rounds(spark):
         assert found.filter("label = 1").count() == length
 
 
+def joined_rows(spark, run):
+    """The rows that all joins of a run made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    known = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    total = 0
+    for i in range(known, store.executionsCount()):
+        number = store.executionsList().apply(i).executionId()
+        metrics, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for metric in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and metrics.contains(metric.accumulatorId()):
+                    total += int(metrics.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_rows_joined_for_components_follow_the_edges(spark):
+    """All rounds together join each edge at both of its ends and each node a few times, also where a large group has many edges a node."""
+    ensure_checkpoint_dir(spark)
+    for nodes in (200, 1000):
+        edges = spark.range(nodes * 20).select((F.col("id") % nodes).alias("a"), F.pmod(F.xxhash64("id"), F.lit(nodes)).alias("b")).filter("a <> b").distinct().checkpoint()
+        found = []
+        rows = joined_rows(spark, lambda edges=edges, found=found: found.append(components(edges).agg(F.count("*"), F.max("label")).first()))
+        assert tuple(found[0]) == (nodes, 0)
+        assert 0 < rows <= 2 * edges.count() + 6 * nodes
+
+
+def test_ties_are_shared(spark):
+    """A group's ties become a star of its least node, and those between the nodes that ties go to: once each."""
+    from tidewatch.operators.components import fewer
+
+    ties = [(i, (j, j)) for i in range(100, 200) for j in (1, 2, 3, 4 + i % 2)] + [(1, (1, 1)), (300, (301, 301)), (302, (302, 302))]
+    got = fewer(spark.createDataFrame(ties, "a long, b struct<id long, class long>")).collect()
+    assert sorted((r.a, r.b) for r in got if r.a != r.b) == sorted([(1, 2), (1, 3), (1, 4), (1, 5), (300, 301)] + [(i, 1) for i in range(100, 200)])
+
+
 def test_hot_signals_are_paired_in_cells(spark):
     from itertools import combinations
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import components
+from ..operators.components import components, fewer
 from .columns import with_id
 from .near import choose_bands, grams_of
 from .words import Words, give_back, mix, pieces
@@ -215,7 +215,7 @@ def components_of(
     keys = stands.select(F.struct("rep.none", "rep.id", "class").alias("by"), F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy(F.bitwise_not("key").alias("flipped"), "band").agg(F.min("by").alias("first"), F.count("*").alias("n")).filter("n > 1")
     ties = keys.join(shared.select(F.bitwise_not("flipped").alias("key"), "band", "first"), ["key", "band"])
-    groups = components(ties.select(F.col("by.class").alias("a"), F.col("first.class").alias("b"))).withColumnRenamed("node", "class")
+    groups = components(fewer(ties.select(F.col("by.class").alias("a"), F.col("first").alias("b")))).withColumnRenamed("node", "class")
     members_of = stands.select("class", "k1", "k2", "rep", "n_shingles", "sketch").join(groups, "class").checkpoint()
     n_blocks = F.greatest(F.ceil(F.sum("n_shingles") / F.lit(block)), F.ceil(F.count("*") / F.lit(members))).cast("int").alias("n_blocks")
     blocks = members_of.groupBy("label").agg(n_blocks, F.min(F.struct("rep", "class"))["class"].alias("least")).filter("n_blocks > 1").checkpoint()
