@@ -490,6 +490,40 @@ def test_similar_classes_keep_every_link(spark):
     assert got == want and len(found) < len(want)
 
 
+def test_similar_named_make_every_pair(spark):
+    """Copies pair with each other and with all copies of similar names, in lists of a few keys; keys that come twice and names without tokens too."""
+    rng = random.Random(6)
+    names = ["red bolt", "red bolts", "bolt red", "blue nut", "Blue-nut", "red", "", "--", None]
+    rows = [(rng.choice([None, *range(150)]), rng.choice([0, 0, 0, 1, None]), rng.choice(names)) for _ in range(160)] + [(200 + i, 2, "hot") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, size int, n string")
+    grams = {n: set(g) for n, g in spark.createDataFrame([(n,) for n in names if n is not None] + [("hot",)], "n string").select("n", X.trigrams(F.col("n"))).collect()}
+    alike = lambda x, y: len(x & y) / len(x | y) if x | y else 2.0
+    held = [(i, s, grams[n]) for i, s, n in rows if None not in (i, s, n)]
+    want = Counter((a, b, alike(x, y)) for a, s, x in held for b, t, y in held if a < b and s == t and alike(x, y) >= 0.6)
+    for part in (4, 1024):
+        found = J.similar_named(df, "id", "n", X.trigrams, 0.6, ["size"], part).withColumn("task", F.spark_partition_id()).collect()
+        assert Counter((r.a, r.b, 2.0 if math.isnan(r.similarity) else r.similarity) for r in found) == want and len({r.similarity for r in found if r.similarity < 1}) > 0
+        # a class of a few lists is dealt to all tasks
+        assert part > 4 or len({r.task for r in found if r.a >= 200}) == 4
+
+
+def test_trigram_join_gives_all_pairs_of_parts(spark, tmp_path):
+    """Not one link a copy: each pair of copies, and of copies of similar names, as its SQL and a loop say."""
+    import duckdb
+
+    names = ["red bolt", "red bolts", "Red  bolt", "blue nut", "bolt red", "", "?!", None, "RİNG", "ring"]
+    rows = [(i, names[i % 10], i % 3 if i % 11 else None) for i in range(120)] + [(None, "red bolt", 1), (7, "red bolts", 2)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = plans.queries()["j11_trigram_join"](spark, str(tmp_path)).select("a", "b", "similarity").collect()
+    sets = [(k, s, {f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", n.replace("İ", "i").lower()) for i in range(len(w) + 1)}) for k, n, s in rows if None not in (k, n, s)]
+    pairs = [(a, b) for a, s, x in sets for b, t, y in sets if a < b and s == t and (not x | y or 5 * len(x & y) >= 3 * len(x | y))]
+    assert sorted((r.a, r.b) for r in got) == sorted(pairs) and len(pairs) > 3 * len(rows)
+    plain = lambda found: sorted((a, b, -1.0 if math.isnan(s) else s) for a, b, s in found)
+    assert plain(got) == plain(con.execute(plans.oracle_sql()["j11_trigram_join"]).fetchall())
+
+
 def test_streams_hold_many_keys_in_a_state(spark):
     """Buckets of keys, null ones too, give what keys alone would, and few of them are called."""
     from tidewatch.streaming import streams as ST
